@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm import bpe, decontaminate, sharding, simhash
+from attesta.llm import ann, bpe, decontaminate, html_text, quality, sharding, simhash
 from attesta.session import table
 
 #: Bytes of text in a shard of op8.
 SHARD_BYTES = 4 << 20
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "expected_grade", "tail_probability", "keep")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,8 +40,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, query_every=100)
+
+
 def queries():
-    return {f.__name__: partial(f) for f in (op3_simhash, op5_bpe, op6_decontaminate, op8_sharding)}
+    found = (op2_quality, op3_simhash, op4_html, op5_bpe, op6_decontaminate, op8_sharding, op10_ann)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
