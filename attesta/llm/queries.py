@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import ann, bpe, decontaminate, html_text, quality, sharding, simhash
+from attesta.llm import ann, bpe, decontaminate, html_text, quality, sharding, simhash, toxicity
 from attesta.session import table
 
 #: Bytes of text in a shard of op8.
 SHARD_BYTES = 4 << 20
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(docs, quality.graded(table(spark, sf_dir, "labels")))
@@ -45,7 +51,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = (op2_quality, op3_simhash, op4_html, op5_bpe, op6_decontaminate, op8_sharding, op10_ann)
+    found = (op1_toxicity, op2_quality, op3_simhash, op4_html, op5_bpe, op6_decontaminate, op8_sharding, op10_ann)
     return {f.__name__: f for f in found}
 
 
