@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 #: How a byte-level vocabulary splits text before merging (fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept with their ids; beyond it the memory is started afresh.
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 250_000
+#: Token pairs kept with whether they may stand side by side.
+MEMORY_PAIRS = 200_000
 #: A word of more bytes is walked alone and not stored in the trie.
 LONG_WORD = 2_048
 
@@ -97,7 +99,7 @@ class ByteBpe:
                     done = a == limit
             if done:
                 break
-        if len(self.joins) > 1_000_000:
+        if len(self.joins) > MEMORY_PAIRS:
             self.joins.clear()
         self.joins[key] = good
         return good
@@ -192,7 +194,7 @@ def vocabulary(definition: str) -> ByteBpe:
     return _loaded[key]
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text, a row at least."""
     values = batch.column(column)
     measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
@@ -215,27 +217,33 @@ def _add(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [column], names=[*keep, name])
 
 
+def _vocabulary_of(df: DataFrame, definition_path: str):
+    with open(definition_path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())  # a few MB: a vocabulary
+
+
+def _encoded(bpe: ByteBpe, texts: list[str | None]) -> pa.ListArray:
+    ids = bpe.encode_all(texts)
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+
+
 def bpe_encode(df: DataFrame, definition_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add `out` (array<int>): the ids of the whole `text`."""
-    with open(definition_path, encoding="utf-8") as f:
-        definition = df.sparkSession.sparkContext.broadcast(f.read())  # a few MB: a vocabulary
+    definition = _vocabulary_of(df, definition_path)
 
     def run(batches):
         bpe = vocabulary(definition.value)
         for whole in batches:
             for batch in _slices(whole, text):
-                ids = bpe.encode_all(batch.column(text).to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield _add(batch, out, pa.ListArray.from_arrays(pa.array(ends), values))
+                yield _add(batch, out, _encoded(bpe, batch.column(text).to_pylist()))
 
     return df.mapInArrow(run, _with(df.schema, out, T.ArrayType(T.IntegerType())))
 
 
 def bpe_decode(df: DataFrame, definition_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add `out` (string): the text of the id list `ids`, special tokens included."""
-    with open(definition_path, encoding="utf-8") as f:
-        definition = df.sparkSession.sparkContext.broadcast(f.read())
+    definition = _vocabulary_of(df, definition_path)
 
     def run(batches):
         bpe = vocabulary(definition.value)
@@ -246,10 +254,26 @@ def bpe_decode(df: DataFrame, definition_path: str, ids: str = "ids", out: str =
     return df.mapInArrow(run, _with(df.schema, out, T.StringType()))
 
 
+def bpe_round_trip(df: DataFrame, definition_path: str, text: str = "text") -> DataFrame:
+    """Replace `text` by ids and decoded in one pass: encoded, and decoded again from the ids alone."""
+    definition = _vocabulary_of(df, definition_path)
+    base = df.drop("ids", "decoded")
+    schema = _with(_with(base.drop(text).schema, "ids", T.ArrayType(T.IntegerType())), "decoded", T.StringType())
+
+    def run(batches):
+        bpe = vocabulary(definition.value)
+        for whole in batches:
+            for batch in _slices(whole, text):
+                ids = _encoded(bpe, batch.column(text).to_pylist())
+                decoded = pa.array(bpe.decode_all(ids.to_pylist()), pa.string())
+                yield _add(_add(batch, "ids", ids), "decoded", decoded).select([f.name for f in schema.fields])
+
+    return base.mapInArrow(run, schema)
+
+
 def bpe_digest(df: DataFrame, definition_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of whole texts, encoded and decoded again."""
-    both = bpe_decode(bpe_encode(df.select("doc_id", "text"), definition_path).drop("text"), definition_path)
-    return both.select(
+    return bpe_round_trip(df.select("doc_id", "text"), definition_path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

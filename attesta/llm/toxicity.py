@@ -34,8 +34,8 @@ WINDOW, STRIDE = 24, 12
 PIECE = 16
 LETTERS, WORDS = 512, 1 << 13
 LETTER_DIM, LETTER_HIDDEN, WORD_DIM, HIDDEN = 8, 8, 8, 8
-TOXIC, CLEAN, TRAIN_CHARS = 1_200, 3_600, 3_000
-EPOCHS, RATE = 6, 0.01
+TOXIC, CLEAN, TRAIN_CHARS = 1_000, 3_600, 2_500
+EPOCHS, RATE, LEAST_STEPS = 6, 0.01, 300
 #: Distinct words that a worker remembers.
 MEMORY_WORDS = 200_000
 THRESHOLD = 0.7
@@ -179,7 +179,7 @@ class Network:
         total = np.add.reduceat(share * logit, starts)
         prob = sigmoid(total)
         loss = -np.mean(np.where(y, np.log(prob + 1e-7), np.log(1 - prob + 1e-7)))
-        d_logit = ((prob - y) / n_docs)[doc] * share
+        d_logit = (((prob - y) / n_docs)[doc] * share).astype(logit.dtype)
         grad = {"bias": np.array([d_logit.sum()]), "out": pooled.T @ d_logit[:, None]}
         d_pooled = d_logit[:, None] * p["out"][:, 0]
         d_weight = (states * d_pooled[None]).sum(axis=2)
@@ -218,7 +218,7 @@ def batch_of(texts: list[list[str]], number: dict[str, int]):
     return words, live.astype(np.float32), doc
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> Network | None:
+def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
     """A network for documents and their labels; None without labels of both kinds."""
     found = [(w, y) for w, y in ((words_of(t), y) for t, y in zip(texts, labels, strict=True)) if w]
     if len({y for _, y in found}) < 2:
@@ -227,6 +227,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step, per = 0, 48
+    epochs = max(EPOCHS, -(-LEAST_STEPS * per // len(found)))
     for epoch in range(epochs):
         order = rng.permutation(len(found))
         rate, sharp = RATE * (1 - 0.9 * epoch / epochs), 2.0 + 6.0 * epoch / epochs  # nearer and nearer to the highest window
