@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import ann, bpe, decontaminate, html_text, quality, sharding, simhash, toxicity
+from attesta.llm import ann, bpe, decontaminate, html_text, quality, sharding, simhash, substring, toxicity
 from attesta.session import table
 
 #: Bytes of text in a shard of op8.
@@ -46,12 +46,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "first_id", "first_start", "first_end")
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, query_every=100)
 
 
 def queries():
-    found = (op1_toxicity, op2_quality, op3_simhash, op4_html, op5_bpe, op6_decontaminate, op8_sharding, op10_ann)
+    found = (op1_toxicity, op2_quality, op3_simhash, op4_html, op5_bpe, op6_decontaminate, op8_sharding, op9_substring, op10_ann)
     return {f.__name__: f for f in found}
 
 

@@ -6,16 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, decontaminate, simhash
+from attesta.llm import bpe, decontaminate, quality, simhash, substring
 from attesta.session import cut, table
 
 
+def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier junk than well-formed go."""
+    scored = quality.score_quality(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return scored.where("keep").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest doc_id."""
     classes = simhash.near_duplicates(docs).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
     return docs.join(classes, docs.doc_id.eqNullSafe(classes.doc_id), "left_semi")
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand in an earlier document are cut out of the later ones."""
+    return substring.drop_repeats(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
@@ -25,7 +36,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs.select("doc_id", "text"), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("decontamination", drop_contaminated), ("bpe", encode)]
+STAGES = [
+    ("quality", drop_junk),
+    ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 #: SQL cannot express the fitted, hashed and encoded stages; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
