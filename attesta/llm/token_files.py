@@ -20,6 +20,7 @@ reading; an empty table gives an empty folder and no rows; only doc_id and text
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import uuid
 import zlib
@@ -30,22 +31,29 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4_096
+BLOCK = 2_048
 #: Blocks coded in step, at most.
-LANES = 1_024
+LANES = 4_096
 #: Ids of a chunk, unless one document has more.
 CHUNK_IDS = 65_536
 
 _BITS = 15
 _ONE = 1 << _BITS
-_SLOTS = 4_096
-_TOP, _BOTTOM, _MASK = np.uint64(32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
+_SLOTS = 2_048
+_TOP, _BOTTOM, _MASK = np.uint64(32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
 
 #: ln(p / (1 - p)) and its inverse, in steps of 1/256 over probabilities of 12 bits.
 _STRETCH = np.array([round(256 * math.log((2 * p + 1) / (8191 - 2 * p))) for p in range(4096)], np.int32)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
-#: Where each of 16 cumulative frequencies moves when a digit is seen.
-_TARGET = np.array([[i + (_ONE - 16 if i > d else 0) for i in range(16)] for d in range(16)], np.int32)
+#: Where each of 17 cumulative frequencies moves when a digit is seen.
+_TARGET = np.array([[_ONE if i == 16 else i + (_ONE - 16 if i > d else 0) for i in range(17)] for d in range(16)], np.int32)
+
+
+def bounds(cdf: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the interval of digit d, by rows of cumulative frequencies (17, the last _ONE)."""
+    rows, flat = np.arange(0, cdf.size, 17), cdf.ravel()
+    start = flat[rows + d]
+    return start, flat[rows + d + 1] - start
 
 
 class _Coder:
@@ -93,12 +101,14 @@ class _Writer(_Coder):
         return y
 
     def digit(self, at, step_no, shift, cdf):
-        d = (self.ids[at, step_no] >> shift) & 15
-        rows = np.arange(len(at))
-        start = cdf[rows, d]
-        end = np.where(d < 15, cdf[rows, np.minimum(d + 1, 15)], _ONE)
-        self.narrow(at, self.range[at] >> np.uint64(_BITS), start, end - start)
-        return d
+        d = ((self.ids[at, step_no] >> shift) & 15).astype(np.int64)
+        start, size = bounds(cdf, d)
+        if shift > 4:
+            self.narrow(at, self.range[at] >> np.uint64(_BITS), start, size)
+            return d
+        low = (self.ids[at, step_no] & 15).astype(np.int64)
+        self.narrow(at, self.range[at] >> np.uint64(_BITS + 4), (start << 4) + low * size, size)
+        return d, low
 
     def learned(self, at, step_no, ids):
         pass
@@ -114,12 +124,13 @@ class _Reader(_Coder):
     def __init__(self, coded: list[bytes], most: int):
         super().__init__(len(coded))
         width = max(len(c) for c in coded) // 2 + 64
-        self.units = np.zeros((len(coded), width), np.uint64)
+        self.units = np.zeros((len(coded), width), np.uint16)
         for i, c in enumerate(coded):
             self.units[i, : len(c) // 2] = np.frombuffer(c, "<u2", len(c) // 2)
-        self.code = self.units[:, 0] << np.uint64(32) | self.units[:, 1] << np.uint64(16) | self.units[:, 2]
+        first = self.units[:, :3].astype(np.uint64)
+        self.code = first[:, 0] << np.uint64(32) | first[:, 1] << np.uint64(16) | first[:, 2]
         self.pos = np.full(len(coded), 3, np.int64)
-        self.ids = np.zeros((len(coded), most), np.int64)
+        self.ids = np.zeros((len(coded), most), np.int32)
 
     def shift(self, at, low):
         self.code[at] = (self.code[at] << np.uint64(16)) & _MASK | self.units[at, np.minimum(self.pos[at], self.units.shape[1] - 1)]
@@ -132,14 +143,17 @@ class _Reader(_Coder):
         return y
 
     def digit(self, at, step_no, shift, cdf):
-        step = self.range[at] >> np.uint64(_BITS)
-        target = np.minimum((self.code[at] - self.low[at]) // step, np.uint64(_ONE - 1)).astype(np.int32)
-        d = (cdf <= target[:, None]).sum(axis=1) - 1
-        rows = np.arange(len(at))
-        start = cdf[rows, d]
-        end = np.where(d < 15, cdf[rows, np.minimum(d + 1, 15)], _ONE)
-        self.narrow(at, step, start, end - start)
-        return d
+        more = 0 if shift > 4 else 4
+        step = self.range[at] >> np.uint64(_BITS + more)
+        target = np.minimum((self.code[at] - self.low[at]) // step, np.uint64((_ONE << more) - 1)).astype(np.int32)
+        d = np.count_nonzero(cdf <= (target >> more)[:, None], axis=1) - 1
+        start, size = bounds(cdf, d)
+        if shift > 4:
+            self.narrow(at, step, start, size)
+            return d
+        low = (target - (start << 4)) // size
+        self.narrow(at, step, (start << 4) + low * size, size)
+        return d, low
 
     def learned(self, at, step_no, ids):
         self.ids[at, step_no] = ids
@@ -156,15 +170,14 @@ def _code(coder: _Writer | _Reader, lengths: np.ndarray) -> None:
     order2, order1 = np.zeros(n * _SLOTS, np.int32), np.zeros(n * _SLOTS, np.int32)  # (id + 1) << 3 | confidence
     seen2, seen1, seen_b = np.full(n * 9, _ONE // 2, np.int32), np.full(n * 16, _ONE // 2, np.int32), np.full(n * 8, _ONE // 4, np.int32)
     weights = np.full((2, n), 1 << 15, np.int64)
-    digits = np.tile((np.arange(16) * (_ONE // 16)).astype(np.int32), (n, 273, 1)).reshape(-1, 16)
-    flat = (np.arange(16) * (_ONE // 16)).astype(np.int32)[None]
+    digits = np.tile((np.arange(17) * (_ONE // 16)).astype(np.int32), (n * 273, 1))
     last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
     alive = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if n else 0), side="left")
     for t in range(int(lengths[0]) if n else 0):
         lanes = np.arange(int(alive[t]))
         one, two = last[lanes], before[lanes]
-        h1 = lanes * _SLOTS + (((one * 0x9E3779B1) & 0xFFFFFFFF) >> 20)
-        h2 = lanes * _SLOTS + (((one * 0x9E3779B1 ^ two * 0x85EBCA6B + 0x5BD1) & 0xFFFFFFFF) >> 20)
+        h1 = lanes * _SLOTS + (((one * 0x9E3779B1) & 0xFFFFFFFF) >> 21)
+        h2 = lanes * _SLOTS + (((one * 0x9E3779B1 ^ two * 0x85EBCA6B + 0x5BD1) & 0xFFFFFFFF) >> 21)
         e1, e2 = order1[h1], order2[h2]
         q1, c1, q2, c2 = e1 >> 3, e1 & 7, e2 >> 3, e2 & 7
         guess = np.where(q2 > 0, q2, q1)
@@ -201,10 +214,11 @@ def _code(coder: _Writer | _Reader, lengths: np.ndarray) -> None:
                 at = row + first + value
                 cdf = digits[at]
                 d = coder.digit(rest, t, shift, cdf)
+                if shift == 4:
+                    d, low = d
                 digits[at] = cdf + ((_TARGET[d] - cdf) >> 4)
                 value = value << 4 | d
-            d = coder.digit(rest, t, 0, np.broadcast_to(flat, (len(rest), 16)))
-            ids[rest] = value << 4 | d
+            ids[rest] = value << 4 | low
         coder.learned(lanes, t, ids)
         for table, h, e, q, c in ((order1, h1, e1, q1, c1), (order2, h2, e2, q2, c2)):
             right = q == ids + 1
@@ -221,7 +235,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if not part:
             continue
         lengths = np.array([len(blocks[i]) for i in part])
-        ids = np.zeros((len(part), lengths[0]), np.int64)
+        ids = np.zeros((len(part), lengths[0]), np.int32)
         for k, i in enumerate(part):
             ids[k, : lengths[k]] = blocks[i]
         writer = _Writer(ids)
@@ -269,6 +283,7 @@ class WordTokens:
         self.library.no_padding()
         self.library.no_truncation()
         self.words, self.unknown = regex.compile(self.WORDS), regex.compile(r"[\p{Cn}\p{M}\u1100-\u11ff\ua960-\ua97f\uac00-\ud7ff]")
+        self.distant = re.compile("[^\x00-\u02ff]")  # a quick look before the exact one
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
@@ -277,7 +292,7 @@ class WordTokens:
         end, split = end_id.to_bytes(2, "little"), []
         for text in texts:
             text = text or ""
-            if any(s in text for s in self.special) or not text.isascii() and self.unknown.search(text):
+            if any(s in text for s in self.special) or self.distant.search(text) and self.unknown.search(text):
                 split.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
                 continue
             if not text.isascii():
