@@ -1,11 +1,14 @@
-"""Queries over the driver tables, each with its DuckDB counterpart."""
+"""All queries over the driver tables."""
 
 from __future__ import annotations
 
+from attesta.plans import claims, history, linking, pages, tables  # noqa: F401  registers queries
+from attesta.plans.registry import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
