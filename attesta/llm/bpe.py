@@ -12,6 +12,7 @@ columns are passed through, and output columns replace columns of the same name.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 
@@ -25,12 +26,12 @@ from pyspark.sql import types as T
 
 #: How a byte-level vocabulary splits text before merging (fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept with their ids; beyond it the memory is started afresh.
-MEMORY_WORDS = 250_000
+#: Words kept with their ids; the older half makes room.
+MEMORY_WORDS = 800_000
 #: Token pairs kept with whether they may stand side by side.
-MEMORY_PAIRS = 200_000
+MEMORY_PAIRS = 500_000
 #: A word of more bytes is walked alone and not stored in the trie.
-LONG_WORD = 2_048
+LONG_WORD = 256
 
 
 def byte_letters() -> list[str]:
@@ -63,23 +64,72 @@ class ByteBpe:
             self.pairs[pair] = 256 + i
         vocab = {raw(t): i for t, i in model["vocab"].items()}
         self.ids = [vocab[t] for t in self.text]
-        self.lengths: dict[bytes, list[int]] = {}
-        for t in self.text:
-            self.lengths.setdefault(t[-2:], []).append(len(t))
-        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
+        self.sizes = [len(t) for t in self.text]
+        self.raw_ids = [int(i).to_bytes(4, "little") for i in self.ids]
+        self._suffix_machine()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_id = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        longest = max(self.by_id) + 1
+        sizes = np.array([len(self.by_id.get(i, b"")) for i in range(longest)])
+        self.pool = np.frombuffer(b"".join(self.by_id.get(i, b"") for i in range(longest)), np.uint8), np.cumsum(sizes) - sizes, sizes
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(SPLIT)
         self.unknown = regex.compile(r"\p{Cn}")
-        self.joins: dict[tuple[int, int], bool] = {}
+        self.joins: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _suffix_machine(self) -> None:
+        """States that tell which tokens end at a byte: a trie of all tokens with failure links."""
+        self.step: dict[int, int] = {}
+        own, fail, queue = [-1], [0], []
+        for token, text in enumerate(self.text):
+            state = 0
+            for depth, b in enumerate(text):
+                below = self.step.get(state << 8 | b)
+                if below is None:
+                    below = self.step[state << 8 | b] = len(own)
+                    own.append(-1)
+                    fail.append(0)
+                    queue.append((depth, state, b, below))
+                state = below
+            own[state] = token
+        queue.sort()
+        for depth, state, b, below in queue:
+            if depth:
+                back = fail[state]
+                while (to := self.step.get(back << 8 | b)) is None:
+                    back = fail[back]
+                fail[below] = to
+        self.own, self.fail, self.moves, self.ends = own, fail, {}, {}
+
+    def move(self, state: int, b: int) -> int:
+        """The state after one more byte; every byte is a token, so the search ends."""
+        key = state << 8 | b
+        found = self.step.get(key)
+        while found is None:
+            state = self.fail[state]
+            found = self.step.get(state << 8 | b)
+        if len(self.moves) > MEMORY_PAIRS:
+            self.moves.clear()
+        self.moves[key] = found
+        return found
+
+    def tokens_at(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(token, length) of all tokens that end in this state, longest first."""
+        found, at = [], state
+        while at:
+            if self.own[at] >= 0:
+                found.append((self.own[at], len(self.text[self.own[at]])))
+            at = self.fail[at]
+        if len(self.ends) > MEMORY_PAIRS:
+            self.ends.clear()
+        self.ends[state] = found = tuple(found)
+        return found
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves a next to b: no earlier merge crosses their border."""
-        key = a, b
-        if (known := self.joins.get(key)) is not None:
-            return known
+        key = a << 20 | b
         limit, good = len(self.text), True
         while True:
             if self.pairs.get((a, b), limit) < limit:
@@ -104,53 +154,75 @@ class ByteBpe:
         self.joins[key] = good
         return good
 
-    def last_token(self, prefix: bytes, lasts: list[int]) -> int:
-        """The last token of prefix, given those of all shorter prefixes (lasts[i] for length i)."""
-        n = len(prefix)
-        for size in self.lengths.get(prefix[-2:], ()) if n > 1 else ():
-            if size <= n and (token := self.rank.get(prefix[n - size :])) is not None:
-                if size == n or self.compatible(lasts[n - size], token):
-                    return token
-        return self.rank[prefix[-1:]]
-
-    def ids_of(self, lasts: list[int]) -> bytes:
-        """The ids of a whole word, as little-endian 32-bit integers, walked back from its end."""
-        found, n = [], len(lasts) - 1
+    def last_token(self, state: int, depth: int, lasts: list[int]) -> int:
+        """The last token of a prefix of `depth` bytes, given its state and those of shorter prefixes."""
+        for token, size in self.ends.get(state) or self.tokens_at(state):
+            if size == depth:
+                return token
+            good = self.joins.get(lasts[depth - size] << 20 | token)
+            if good or good is None and self.compatible(lasts[depth - size], token):
+                return token
+        raise ValueError("every byte must be a token")
+
+    def walk(self, data: bytes) -> bytes:
+        """The ids of one word that is not in the trie, read back from its end."""
+        state, lasts = 0, [0]
+        for depth, b in enumerate(data, 1):
+            state = self.step.get(state << 8 | b) or self.move(state, b)
+            lasts.append(self.last_token(state, depth, lasts))
+        found, n = [], len(data)
         while n:
-            found.append(self.ids[lasts[n]])
+            found.append(self.raw_ids[lasts[n]])
             n -= len(self.text[lasts[n]])
-        return np.array(found[::-1], dtype="<i4").tobytes()
+        return b"".join(reversed(found))
 
     def learn(self, words: list[str]) -> None:
-        """Insert words into a trie and traverse it depth-first; the ids go to self.known."""
-        children: list[dict[int, int]] = [{}]
+        """Insert words into a trie and traverse it depth-first; the ids go to self.known.
+
+        Along the path stand, for each prefix, its last token and its ids: those of the
+        prefix before the last token, and the token.
+        """
+        children: list[list[tuple[int, int]]] = [[]]  # (byte, node) below each node
+        edges: dict[int, int] = {}
         ends: dict[int, str] = {}
         for word in words:
             data = word.encode("utf-8", "surrogatepass")
             if len(data) > LONG_WORD:
-                lasts = [0]
-                for n in range(1, len(data) + 1):
-                    lasts.append(self.last_token(data[max(0, n - LONG_WORD) : n], lasts[max(0, n - LONG_WORD) :]))
-                self.known[word] = self.ids_of(lasts)
+                self.known[word] = self.walk(data)
                 continue
             node = 0
             for b in data:
-                below = children[node].get(b)
-                if below is None:
-                    below = children[node][b] = len(children)
-                    children.append({})
-                node = below
+                key = node << 8 | b
+                if key in edges:
+                    node = edges[key]
+                else:
+                    edges[key] = below = len(children)
+                    children[node].append((b, below))
+                    children.append([])
+                    node = below
             ends[node] = word
-        path, lasts = bytearray(), [0]
-        stack = [(node, 1, b) for b, node in children[0].items()]
+        lasts, ids, states = [0] * (LONG_WORD + 1), [b""] * (LONG_WORD + 1), [0] * (LONG_WORD + 1)
+        moves, tokens, joins = self.moves.get, self.ends.get, self.joins.get
+        known, sizes, raw = self.known, self.sizes, self.raw_ids
+        stack = [(node, 1, b) for b, node in children[0]]
         while stack:
             node, depth, b = stack.pop()
-            del path[depth - 1 :], lasts[depth:]
-            path.append(b)
-            lasts.append(self.last_token(bytes(path), lasts))
+            state = moves(states[depth - 1] << 8 | b)
+            if state is None:
+                state = self.move(states[depth - 1], b)
+            states[depth] = state
+            for last, size in tokens(state) or self.tokens_at(state):  # as in last_token, longest first
+                if size == depth:
+                    break
+                good = joins(lasts[depth - size] << 20 | last)
+                if good or good is None and self.compatible(lasts[depth - size], last):
+                    break
+            lasts[depth] = last
+            found = ids[depth] = ids[depth - sizes[last]] + raw[last]
             if node in ends:
-                self.known[ends[node]] = self.ids_of(lasts)
-            stack += [(below, depth + 1, c) for c, below in children[node].items()]
+                known[ends[node]] = found
+            for c, below in children[node]:
+                stack.append((below, depth + 1, c))
 
     def split(self, text: str) -> list[str]:
         if not text.isascii() and self.unknown.search(text):  # letters newer than the regex tables
@@ -166,20 +238,34 @@ class ByteBpe:
         for text in texts:
             parts = self.cut.split(text or "") if self.cut else [text or ""]
             cut.append([self.split(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
+        if len(self.known) > MEMORY_WORDS // 2:
+            self.known, self.older = {}, self.known
         fresh = {w for parts in cut for p in parts[::2] for w in p if w not in self.known}
-        if len(self.known) + len(fresh) > MEMORY_WORDS:
-            self.known.clear()
-            fresh = {w for parts in cut for p in parts[::2] for w in p}
-        self.learn(list(fresh))
+        again = {w: self.older[w] for w in fresh if w in self.older}
+        self.known |= again
+        gc.disable()  # a trie is many small lists, none of which make cycles
+        try:
+            self.learn([w for w in fresh if w not in again])
+        finally:
+            gc.enable()
         found, known = [], self.known
         for parts in cut:
             found.append(b"".join(b"".join(map(known.__getitem__, p)) if i % 2 == 0 else np.array([self.special[p]], "<i4").tobytes() for i, p in enumerate(parts)))
         return found
 
-    def decode_all(self, ids: list[list[int] | None]) -> list[str]:
+    def decode_all(self, ids: list[list[int] | np.ndarray | None]) -> list[str]:
         """Texts of id lists; ids outside the vocabulary give nothing, broken UTF-8 gives U+FFFD."""
-        get = self.by_id.get
-        return [b"".join(get(i, b"") for i in one or ()).decode("utf-8", "replace") for one in ids]
+        pool, starts, sizes = self.pool
+        found = []
+        for one in ids:
+            one = np.asarray(one if one is not None else (), np.int64)
+            one = one[(one >= 0) & (one < len(starts))]
+            size = sizes[one]
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(one) else 0
+            at = np.repeat(starts[one] - ends + size, size) + np.arange(total)
+            found.append(pool[at].tobytes().decode("utf-8", "replace"))
+        return found
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -265,7 +351,7 @@ def bpe_round_trip(df: DataFrame, definition_path: str, text: str = "text") -> D
         for whole in batches:
             for batch in _slices(whole, text):
                 ids = _encoded(bpe, batch.column(text).to_pylist())
-                decoded = pa.array(bpe.decode_all(ids.to_pylist()), pa.string())
+                decoded = pa.array(bpe.decode_all(np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1])), pa.string())
                 yield _add(_add(batch, "ids", ids), "decoded", decoded).select([f.name for f in schema.fields])
 
     return base.mapInArrow(run, schema)
