@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +24,21 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application.
+
+    It is for sessions that were started without it on the Python path; Spark serves the
+    archive to all machines.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "attesta"), "zip", os.path.dirname(root), os.path.basename(root))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

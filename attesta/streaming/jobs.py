@@ -40,14 +40,19 @@ def run_once(stream: DataFrame, out: str, mode: str = "append") -> None:
     job.awaitTermination()
 
 
+def timed(events: DataFrame, delay: str) -> DataFrame:
+    """Events with a watermark; event time must be a timestamp with a zone, so ts is read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def first_seen_stream(events: DataFrame, keys: list[str], delay: str = "40 days") -> DataFrame:
     """W1, W2 as a stream: one row of each key within the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    return timed(events, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Counts by event-time window; a window is written once the watermark has passed it."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return timed(events, delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 def upsert_stream(events: DataFrame, out: str, keys: list[str], order: list) -> None:
