@@ -2,7 +2,7 @@
 
 Fingerprints within `max_bits` differing bits agree on one of max_bits + 1 blocks of bits.
 For each block the fingerprint is turned so that the block stands first; rows meet by that
-block, and below it a binary trie is joined with itself: node pairs go down together, each
+block (by several blocks, where there are very many fingerprints), and below it a binary trie is joined with itself: node pairs go down together, each
 pair carries the bits that differ so far and is pruned beyond the budget.
 
 Equal fingerprints are one trie leaf, so exact copies cost nothing. A pair of nodes whose
@@ -17,6 +17,8 @@ gives no rows; only doc_id and text are read, so other columns may have any name
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,8 @@ from attesta.llm.graph import components
 CHUNK = 100_000
 #: A trie node of as many keys is a leaf.
 LEAF = 4
+#: Fingerprints that may meet by chance in one block.
+BUCKET = 2_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -62,10 +66,31 @@ def fingerprints(df: DataFrame, shingle: int = 4) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks(max_bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the max_bits + 1 blocks of 64 bits."""
-    edges = [round(i * 64 / (max_bits + 1)) for i in range(max_bits + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def block_choices(max_bits: int, n: int) -> list[list[tuple[int, int]]]:
+    """Sets of bit blocks, (shift, width) each, one of which any two linked fingerprints agree on.
+
+    64 bits are cut into max_bits + c blocks, of which max_bits errors leave c untouched. The
+    more fingerprints, the larger c: more sets, but longer keys, so that about BUCKET
+    fingerprints meet by chance. The links found are the same for each c.
+    """
+    c = 1
+    while c < 4 and n >> (64 * c // (max_bits + c)) > BUCKET:
+        c += 1
+    edges = [round(i * 64 / (max_bits + c)) for i in range(max_bits + c + 1)]
+    cut = [(64 - b, b - a) for a, b in itertools.pairwise(edges)]
+    return [list(x) for x in itertools.combinations(cut, c)]
+
+
+def brought_forward(keys: np.ndarray, chosen: list[tuple[int, int]]) -> np.ndarray:
+    """Keys with the bits of the chosen blocks first and all others after them."""
+    used = np.zeros(64, bool)
+    for shift, width in chosen:
+        used[shift : shift + width] = True
+    rest = [(shift, 1) for shift in range(63, -1, -1) if not used[shift]]
+    found = np.zeros_like(keys)
+    for shift, width in [*chosen, *rest]:
+        found = found << np.uint64(width) | keys >> np.uint64(shift) & np.uint64((1 << width) - 1)
+    return found
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,12 +166,10 @@ def trie_self_join(keys: np.ndarray, depth: int, max_bits: int) -> np.ndarray:
 
 def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` that connect all within max_bits bits."""
-    turned = [(i, start, width) for i, (start, width) in enumerate(blocks(max_bits))]
-    rows = prints.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("block"), F.expr(turn_left("fp", start)).alias("key"), F.expr(f"shiftrightunsigned({turn_left('fp', start)}, {64 - width})").alias("head")) for i, start, width in turned])
-        ).alias("x")
-    ).select("x.*")
+    choices = block_choices(max_bits, prints.count())
+    head = lambda chosen: " || '-' || ".join(f"(shiftrightunsigned(fp, {s}) & {(1 << w) - 1})" for s, w in chosen)
+    entries = [F.struct(F.lit(i).alias("block"), F.xxhash64(F.expr(head(c))).alias("head")) for i, c in enumerate(choices)]
+    rows = prints.select(F.col("fp").alias("key"), F.explode(F.array(*entries)).alias("x")).select("x.*", "key")
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -154,20 +177,18 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
             return
         block = np.concatenate([p.column("block").to_numpy() for p in parts])
         key = np.concatenate([p.column("key").to_numpy() for p in parts]).view(np.uint64)
-        for i, start, width in turned:
-            keys = np.unique(key[block == i])
-            labels = trie_self_join(keys, width, max_bits)
-            linked = np.flatnonzero(labels != np.arange(len(keys)))
-            back = (keys << np.uint64(64 - start)) | (keys >> np.uint64(start)) if start else keys
-            yield pa.RecordBatch.from_arrays([pa.array(back[linked].view(np.int64)), pa.array(back[labels[linked]].view(np.int64))], names=["a", "b"])
+        for i, chosen in enumerate(choices):
+            own = np.unique(key[block == i])
+            turned = brought_forward(own, chosen)
+            order = np.argsort(turned)
+            labels = trie_self_join(turned[order], sum(w for _, w in chosen), max_bits)
+            linked = np.flatnonzero(labels != np.arange(len(own)))
+            back = own[order].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(back[linked]), pa.array(back[labels[linked]])], names=["a", "b"])
 
     return rows.repartition("block", "head").select("block", "key").mapInArrow(run, "a long, b long")
 
 
-def turn_left(fp: str, n: int) -> str:
-    return f"(shiftleft({fp}, {n}) | shiftrightunsigned({fp}, {64 - n}))" if n else fp
-
-
 def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id and n_links (other fingerprints in the component) of each row."""
     from attesta.session import cut
@@ -182,3 +203,71 @@ def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
         "fp", F.coalesce("linked_id", "least").alias("component_id"), F.coalesce("linked_n", F.lit(0)).alias("n_links")
     )
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def word_shingles(text: str | None, size: int) -> set[bytes]:
+    """Runs of `size` words in lower case; the whole sequence if it is shorter."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def verified_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+    """(doc_id, gid, kept_id): documents that a kept one stands for; gid is the hash of the text.
+
+    Equal texts are copies of the one with the smallest doc_id. Others are candidates if their
+    fingerprints are linked, and copies if the Jaccard similarity of their word shingles with
+    the component's first document is `similarity` or more. What is no copy of it goes on to
+    the next round with a new first document; after the last round the rest simply stays. Rows
+    without doc_id take no part.
+    """
+    from attesta.session import cut
+
+    gid = F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
+    docs = df.where("doc_id is not null").select("doc_id", gid.alias("gid"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def prints_of(batches):
+        for batch in batches:
+            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("gid"), pa.array(prints.view(np.int64))], names=["doc_id", "gid", "fp"])
+
+    prints = cut(docs.mapInArrow(prints_of, "doc_id long, gid long, fp long"))
+    texts = prints.groupBy("gid", "fp").agg(F.min("doc_id").alias("first_id"))
+    equal = prints.join(texts, ["gid", "fp"]).where("doc_id > first_id").select("doc_id", "gid", F.col("first_id").alias("kept_id"))
+    roots = components(fingerprint_links(texts.select("fp").distinct(), max_bits))
+    member = texts.join(roots, texts.fp == roots.node, "left").select("gid", F.col("first_id").alias("doc_id"), F.coalesce("root", "fp").alias("root"))
+    several = member.groupBy("root").count().where("count > 1").select("root")
+    open_ = cut(docs.dropDuplicates(["doc_id", "gid"]).join(member.join(several, "root"), ["doc_id", "gid"]).select("root", "doc_id", "gid", "text"))
+    found = equal
+    for _ in range(rounds):
+        first = open_.groupBy("root").agg(F.min(F.struct("doc_id", "gid", "text")).alias("f"))
+        pairs = open_.join(first, "root").select("root", "doc_id", "gid", "text", F.col("f.doc_id").alias("kept_id"), F.col("f.gid").alias("kept_gid"), F.col("f.text").alias("kept_text"))
+
+        def compare(batches):
+            for whole in batches:
+                for start in range(0, whole.num_rows, 256):
+                    rows, out = whole.slice(start, 256).to_pylist(), []
+                    kept, own = None, set()
+                    for r in rows:
+                        if r["kept_gid"] != kept:
+                            kept, own = r["kept_gid"], word_shingles(r["kept_text"], shingle)
+                        mine = word_shingles(r["text"], shingle)
+                        out.append((r["root"], r["doc_id"], r["gid"], r["kept_id"], len(mine & own) >= similarity * len(mine | own)))
+                    columns = list(zip(*out, strict=True))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["root", "doc_id", "gid", "kept_id", "copy"])
+
+        judged = cut(pairs.mapInArrow(compare, "root long, doc_id long, gid long, kept_id long, copy boolean"))
+        found = found.unionByName(judged.where("copy AND doc_id <> kept_id").select("doc_id", "gid", "kept_id"))
+        rest = judged.where("NOT copy").select("root", "doc_id", "gid")
+        left = rest.join(rest.groupBy("root").count().where("count > 1").select("root"), "root")
+        if left.isEmpty():
+            break
+        open_ = cut(open_.join(left.select("doc_id", "gid"), ["doc_id", "gid"], "left_semi"))
+    return found
+
+
+def drop_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similarity: float = 0.8) -> DataFrame:
+    """`df` with one document of each group of verified copies, that with the smallest doc_id."""
+    copies = verified_copies(df, shingle, max_bits, similarity).select(F.col("doc_id").alias("gone_id"), F.col("gid").alias("gone_gid")).distinct()
+    gid = F.xxhash64(F.coalesce(df["text"], F.lit("")), F.length(F.coalesce(df["text"], F.lit(""))))
+    return df.join(copies, (df["doc_id"] == copies["gone_id"]) & (gid == copies["gone_gid"]), "left_anti")

@@ -68,3 +68,42 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (None, 3)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(roots[i] == 0 for i in range(201)) and all(roots[1000 + i] == 1000 for i in range(300)) and 5000 not in roots
+
+
+def test_links_are_the_same_with_longer_keys(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    keys = np.unique(np.concatenate([base, near])).view(np.int64).tolist()
+    prints = spark.createDataFrame([(k,) for k in keys], "fp long")
+    roots = lambda: {(r.node, r.root) for r in components(simhash.fingerprint_links(prints, 4)).collect()}
+    short = roots()
+    monkeypatch.setattr(simhash, "BUCKET", -1)
+    assert len(simhash.block_choices(4, len(keys))[0]) > 1 and roots() == short
+
+
+def test_verified_copies_by_definition(spark):
+    random.seed(6)
+    rows = []
+    for k in range(30):
+        words = [f"w{random.randint(0, 900)}" for _ in range(400)]
+        for c in range(4):
+            copy = list(words)
+            for _ in range(2 * c):
+                copy[random.randrange(len(copy))] = f"z{random.random()}"
+            rows.append((1000 + len(rows), " ".join(copy)))
+    rows += [(5000 + k, f"distinct text number {k} about nothing else at all") for k in range(20)] + [(1, "Same  text"), (2, "same text"), (3, None), (4, ""), (None, "same text")]
+    docs = clashing(documents(spark, rows))
+    text = {i: t for i, t in rows if i is not None}
+    copies = simhash.verified_copies(docs).collect()
+    for r in copies:
+        a, b = simhash.word_shingles(text[r.doc_id], 5), simhash.word_shingles(text[r.kept_id], 5)
+        assert r.kept_id < r.doc_id and len(a & b) >= 0.8 * len(a | b)
+    gone = {r.doc_id for r in copies}
+    similar = {j for i, j in ((1000 + 4 * k, 1000 + 4 * k + c) for k in range(30) for c in (1, 2, 3)) if (lambda a, b: len(a & b) >= 0.8 * len(a | b))(simhash.word_shingles(text[i], 5), simhash.word_shingles(text[j], 5))}
+    assert len(gone & similar) >= 0.75 * len(similar) and not gone & set(range(5000, 5020)) and gone >= {2, 4}
+    kept = simhash.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - len(gone)
+    assert simhash.drop_copies(documents(spark, [])).count() == 0
