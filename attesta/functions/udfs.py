@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -50,6 +51,30 @@ def _align(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([blocks(x, y) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DateType())
+def _stable_date(values: pd.Series) -> pd.Series:
+    """A fuzzy date that doesn't depend on what the parser fills in: two defaults must agree."""
+    from dateutil import parser
+
+    defaults = (datetime.datetime(2000, 1, 1), datetime.datetime(2001, 2, 2))
+
+    def one(t: str) -> datetime.date | None:
+        if not re.search(r"(?<!\d)20\d{2}(?!\d)", t):
+            return None
+        try:
+            first, second = (parser.parse(t, fuzzy=True, default=d).date() for d in defaults)
+        except (ValueError, OverflowError, TypeError):
+            return None
+        return first if first == second else None
+
+    return values.fillna("").map(one)
+
+
+def stable_fuzzy_date(c: Column | str) -> Column:
+    """The date in free text with a year 20xx, if it is whole; null rather than a guess."""
+    return _stable_date(text(c))
+
+
 def ascii_fold(c: Column | str) -> Column:
     """Plain ASCII for spreadsheets."""
     return _fold(text(c))

@@ -115,3 +115,19 @@ def test_readable_and_quality(spark):
     assert one(spark, text.readable(F.lit("several readable words " * 30)))["ok"] is True
     q = lambda **k: one(spark, decisions.quality(lit(k.get("error")), F.lit(k.get("fetched", True)), F.lit(k.get("status", 200)), F.lit(k.get("body", "")), F.lit(k.get("chars", 900))))["verdict"]
     assert [q(error="x"), q(fetched=False), q(status=503), q(status=404), q(body="CAPTCHA"), q(chars=10), q()] == ["ERROR", "BLOCKED", "BLOCKED", "PARTIAL", "BLOCKED", "PARTIAL", "PASS"]
+
+
+@pytest.mark.parametrize(("value", "date"), [("Closes on Friday 4 September 2026, noon", dt.date(2026, 9, 4)), ("September 2026", None), ("4 September", None), ("2026", None), (None, None)])
+def test_stable_fuzzy_date(spark, value, date):
+    assert one(spark, udfs.stable_fuzzy_date(lit(value))) == date
+
+
+def test_citations(spark):
+    from attesta.functions import citations
+
+    page = "<form action='/subscribe'>Your mail</form><form action=\"/cfp\"><b>Submit</b> a talk</form><button data-href='/enter' onclick=\"location.href='/x'\">go</button>"
+    assert [tuple(r) for r in one(spark, citations.forms_in(F.lit(page)))] == [("/subscribe", "Your mail"), ("/cfp", "Submit a talk")]
+    assert one(spark, citations.clickable_targets(F.lit(page))) == ["/enter", "/x"]
+    assert one(spark, citations.quote_around(F.lit("a  b NEEDLE c"), F.lit("needle"), 4)) == "a b NEEDLE c"
+    assert one(spark, citations.duration(F.lit(75))) == "1m 15s" and one(spark, citations.safe_filename(F.lit("AI / Bio!"))) == "AI_Bio"
+    assert one(spark, citations.is_deliberate_clear(F.lit(" [retired] old"))) is True
