@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of the row hash that can index the directory.
@@ -29,11 +29,11 @@ def row_hash():
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, h: one row for each row of df."""
+    """doc_id, n_bytes, copy, h: one row for each row of df."""
     rows = df.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = rows.groupBy("doc_id", "n_bytes").agg(F.count("*").alias("n"))
     copies = counted.select("doc_id", "n_bytes", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    return copies.select("doc_id", "n_bytes", row_hash().alias("h"))
+    return copies.select("doc_id", "n_bytes", "copy", row_hash().alias("h"))
 
 
 def directory(rows: DataFrame, limit_bytes: int) -> DataFrame:
@@ -63,28 +63,40 @@ def directory(rows: DataFrame, limit_bytes: int) -> DataFrame:
         low, step = high, 8
 
 
-def shard_documents(df: DataFrame, limit_bytes: int) -> DataFrame:
-    """doc_id, n_bytes, shard (prefix bits as text), depth, shard_bytes and shard_rows of each row.
+def placed(df: DataFrame, limit_bytes: int) -> DataFrame:
+    """doc_id, n_bytes, copy, shard (prefix bits as text), depth, shard_bytes and shard_rows of each row.
 
     Rows find their shard by an equi-join on each depth's prefix; depths are few.
     """
     rows = sized(df)
     shards = directory(rows, limit_bytes)
-    depths = sorted(r.depth for r in shards.select("depth").distinct().collect())  # at most 61
-    if not depths:
-        depths = [0]
+    depths = sorted(r.depth for r in shards.select("depth").distinct().collect()) or [0]  # at most 61
     keyed = rows.withColumn("at", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", HASH_BITS - d).alias("prefix")) for d in depths])))
-    joined = keyed.select("doc_id", "n_bytes", "at.*").join(shards, ["depth", "prefix"])
+    joined = keyed.select("doc_id", "n_bytes", "copy", "at.*").join(shards, ["depth", "prefix"])
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    return joined.select("doc_id", "n_bytes", bits.alias("shard"), "depth", F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
+    return joined.select("doc_id", "n_bytes", "copy", bits.alias("shard"), "depth", F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
+
+
+def shard_documents(df: DataFrame, limit_bytes: int) -> DataFrame:
+    """doc_id, n_bytes, shard, depth, shard_bytes and shard_rows of each row of df."""
+    return placed(df, limit_bytes).drop("copy")
 
 
 def write_shards(df: DataFrame, limit_bytes: int, path: str) -> None:
-    """Write the rows of df as Parquet, one folder for each shard."""
-    placed = shard_documents(df, limit_bytes).select("doc_id", "n_bytes", "shard").dropDuplicates(["doc_id", "n_bytes"])
-    sized_df = df.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    same = sized_df["doc_id"].eqNullSafe(placed["doc_id"]) & (sized_df["n_bytes"] == placed["n_bytes"])
-    whole = sized_df.join(placed, same).select(*(sized_df[c] for c in df.columns), placed["shard"])
+    """Write the rows of df as Parquet, one folder for each shard.
+
+    Only rows that share id and size are numbered, so that each copy finds its own shard.
+    """
+    where = placed(df, limit_bytes).select(F.col("doc_id").alias("p_id"), F.col("n_bytes").alias("p_bytes"), F.col("copy").alias("p_copy"), "shard")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    several = where.where("p_copy = 2").select(F.col("p_id").alias("s_id"), F.col("p_bytes").alias("s_bytes"))
+    rows = df.withColumn("p_size", size)
+    twice = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("p_size") == F.col("s_bytes"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "p_size").orderBy(F.xxhash64("text")))
+    copies = rows.join(several, twice, "left_semi").withColumn("p_number", number)
+    all_rows = rows.join(several, twice, "left_anti").withColumn("p_number", F.lit(1)).unionByName(copies)
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("p_size") == F.col("p_bytes")) & (F.col("p_number") == F.col("p_copy"))
+    whole = all_rows.join(where, same).select(*df.columns, "shard")
     whole.repartition("shard").write.partitionBy("shard").parquet(path)
 
 

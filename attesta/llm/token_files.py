@@ -312,37 +312,32 @@ class WordTokens:
 _loaded: dict[str, WordTokens] = {}
 
 
-def tokenized(df: DataFrame, definition_path: str, end_id: int = 2) -> DataFrame:
-    """(doc_id, tie long, ids binary): 16-bit ids of whole texts; tie orders equal doc_ids."""
-    with open(definition_path, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())  # a few MB: a vocabulary
-
-    def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = str(len(shared.value))
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = WordTokens(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = _loaded[key].encode_all(part.column("text").to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+def _vocabulary(definition: str) -> WordTokens:
+    import os
 
-    return df.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, ids binary")
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if definition not in _loaded:
+        _loaded.clear()
+        _loaded[definition] = WordTokens(definition)
+    return _loaded[definition]
 
 
 def write_token_files(df: DataFrame, definition_path: str, path: str, end_id: int = 2) -> None:
-    """Encode whole texts and write their ids to `path` in ascending doc_id order."""
-    ordered = tokenized(df, definition_path, end_id).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    """Encode whole texts and write their ids to `path` in ascending doc_id order.
+
+    Texts are put in order before they are encoded: Spark looks twice at what it deals out by
+    range, and texts are cheap to look at.
+    """
+    with open(definition_path, encoding="utf-8") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())  # a few MB: a vocabulary
+    texts = df.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    ordered = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def chunks(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        number, group, docs, lengths, ids = 0, [], [], [], []
+        part, tokens = TaskContext.get().partitionId(), _vocabulary(shared.value)
+        group, docs, lengths, ids, number, held = [], [], [], [], 0, 0
 
         def pack():
             nonlocal number, docs, lengths, ids
@@ -357,19 +352,20 @@ def write_token_files(df: DataFrame, definition_path: str, path: str, end_id: in
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_FILE)
 
-        held = 0
-        for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                docs.append(doc)
-                lengths.append(len(data) // 2)
-                ids.append(data)
-                held += len(data) // 2
-                if sum(lengths) >= CHUNK_IDS:
-                    pack()
-                if held >= LANES * BLOCK:
-                    pack()
-                    yield from flush()
-                    held = 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                for doc, data in zip(batch.column("doc_id").to_pylist(), tokens.encode_all(batch.column("text").to_pylist(), end_id), strict=True):
+                    docs.append(doc)
+                    lengths.append(len(data) // 2)
+                    ids.append(data)
+                    held += len(data) // 2
+                    if sum(lengths) >= CHUNK_IDS:
+                        pack()
+                    if held >= LANES * BLOCK:
+                        pack()
+                        yield from flush()
+                        held = 0
         pack()
         yield from flush()
 

@@ -286,10 +286,12 @@ class Scorer:
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> tuple[list[str], list[int]]:
     """Texts and labels of the bounded sample."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    short = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS)).join(marked, "doc_id")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("text"))
-    part = lambda y, n: short.where(F.col("toxic") == y).orderBy(*order).limit(n)
-    rows = part(1, toxic).unionByName(part(0, clean)).toArrow().to_pydict()
+    # ids are chosen by lengths alone; texts move only for the sample, one for each id
+    short = docs.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id").distinct().join(marked, "doc_id")
+    part = lambda y, n: short.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = F.broadcast(part(1, toxic).unionByName(part(0, clean)))  # `toxic` + `clean` rows
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS)).join(chosen, "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "toxic").toArrow().to_pydict()
     return rows["text"], rows["toxic"]
 
 
