@@ -12,7 +12,9 @@ from attesta.plans.registry import query
 from attesta.session import table
 
 TODAY = dt.date(1998, 6, 1)
-K = F.col("o_orderkey")
+def k():
+    """The key that stands for a claim."""
+    return F.col("o_orderkey")
 
 SPELLED_SQL = """CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN month(o_orderdate) || '/' || day(o_orderdate) || '/' || year(o_orderdate) WHEN 2 THEN day(o_orderdate) || ' ' || strftime(o_orderdate, '%B') || ' ' || year(o_orderdate)
  WHEN 3 THEN strftime(o_orderdate, '%b') || '. ' || day(o_orderdate) || 'th, ' || year(o_orderdate) WHEN 4 THEN 'closes ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 5 THEN 'early ' || year(o_orderdate) WHEN 6 THEN '' ELSE day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) END"""
@@ -24,9 +26,9 @@ def spelled():
     day, month, year = (F.date_format(d, p) for p in ("d", "M", "yyyy"))
     iso, long, short = (F.date_format(d, p) for p in ("yyyy-MM-dd", "MMMM", "MMM"))
     forms = [iso, F.concat_ws("/", month, day, year), F.concat_ws(" ", day, long, year), F.concat(short, F.lit(". "), day, F.lit("th, "), year), F.concat(F.lit("closes "), iso), F.concat(F.lit("early "), year), F.lit(""), F.concat_ws("/", day, month, year)]
-    found = F.when(K % 8 == 0, forms[0])
+    found = F.when(k() % 8 == 0, forms[0])
     for i, f in enumerate(forms[1:], 1):
-        found = found.when(K % 8 == i, f)
+        found = found.when(k() % 8 == i, f)
     return found
 
 
@@ -51,7 +53,7 @@ def date_parsers(spark, sf):
 def years_and_serials(spark, sf):
     """Years in texts, past-ness, spreadsheet days there and back."""
     o = table(spark, sf, "orders")
-    t = F.when(K % 3 == 0, "May 3-5, 2026 (moved to 2027)").when(K % 3 == 1, "Edition 2031, hall 20261").otherwise("market day, soon")
+    t = F.when(k() % 3 == 0, "May 3-5, 2026 (moved to 2027)").when(k() % 3 == 1, "Edition 2031, hall 20261").otherwise("market day, soon")
     serial = dates.excel_serial(F.to_date("o_orderdate"))
     return o.select("o_orderkey", dates.edition_year(F.lit("no year"), t).alias("edition"), dates.first_year(t).alias("first"), dates.event_past(t, dt.date(2026, 12, 1)).alias("past"), serial.alias("serial"), F.date_format(dates.from_excel_serial(serial), "yyyy-MM-dd").alias("back"))
 
@@ -60,7 +62,7 @@ def years_and_serials(spark, sf):
 def find_dates(spark, sf):
     """Whether a claimed date stands in a page in another rendering."""
     o, d = table(spark, sf, "orders"), F.to_date("o_orderdate")
-    page = F.when(K % 4 == 0, F.concat(F.lit("Deadline: "), F.date_format(d, "MMMM d'st,' yyyy"), F.lit(". More"))).when(K % 4 == 1, F.concat(F.lit("due "), F.date_format(d, "dd MMM yyyy"))).when(K % 4 == 2, F.concat(F.lit("by "), F.date_format(d, "MM/dd/yyyy"), F.lit("!")))
+    page = F.when(k() % 4 == 0, F.concat(F.lit("Deadline: "), F.date_format(d, "MMMM d'st,' yyyy"), F.lit(". More"))).when(k() % 4 == 1, F.concat(F.lit("due "), F.date_format(d, "dd MMM yyyy"))).when(k() % 4 == 2, F.concat(F.lit("by "), F.date_format(d, "MM/dd/yyyy"), F.lit("!")))
     return o.select("o_orderkey", dates.find_date(page.otherwise("no date at all, 12 May"), d).alias("found"))
 
 
@@ -80,7 +82,7 @@ SELECT o_orderkey, array_to_string(list_filter([CASE WHEN d < DATE '1998-06-01'
 def claim_issues(spark, sf):
     """Contradictions within a claim, and its status after the date gate."""
     c = _claims(spark, sf)
-    city, link = F.when(K % 5 != 0, "Berlin"), F.when(K % 6 != 0, "https://x.example/cfp")
+    city, link = F.when(k() % 5 != 0, "Berlin"), F.when(k() % 6 != 0, "https://x.example/cfp")
     found = decisions.issues(F.col("status"), F.col("t"), F.lit("1/1/2000"), F.lit("Fixed Deadline"), city, link, TODAY)
     return c.select("o_orderkey", F.array_join(found, "|").alias("issues"), decisions.gated_claim_status(F.col("status"), F.col("t"), TODAY).alias("gated"))
 
@@ -90,7 +92,7 @@ SELECT issue, count(*) AS n FROM i GROUP BY 1""")
 def issue_histogram(spark, sf):
     """How often each issue stands in an import."""
     c = _claims(spark, sf)
-    found = decisions.issues(F.col("status"), F.col("t"), F.lit(""), F.lit("Rolling Form"), F.when(K % 5 != 0, "Berlin"), F.lit("http"), TODAY)
+    found = decisions.issues(F.col("status"), F.col("t"), F.lit(""), F.lit("Rolling Form"), F.when(k() % 5 != 0, "Berlin"), F.lit("http"), TODAY)
     return c.select(F.explode(found).alias("i")).groupBy(F.substring_index("i", " ", 1).alias("issue")).agg(F.count("*").alias("n"))
 
 
@@ -99,12 +101,12 @@ def issue_histogram(spark, sf):
 def confidence(spark, sf):
     """Whether a deadline can be acted on, and the status after the edition gate."""
     c = _claims(spark, sf)
-    state = F.when(K % 5 == 0, "contradicted").when(K % 5 == 1, "verified").when(K % 5 == 2, "not_found")
-    detail, projected = F.when(K % 2 == 0, "cited page 404").otherwise("another date"), F.when(K % 3 == 0, "TRUE").otherwise("")
+    state = F.when(k() % 5 == 0, "contradicted").when(k() % 5 == 1, "verified").when(k() % 5 == 2, "not_found")
+    detail, projected = F.when(k() % 2 == 0, "cited page 404").otherwise("another date"), F.when(k() % 3 == 0, "TRUE").otherwise("")
     return c.select(
         "o_orderkey",
         decisions.confidence(state, detail, projected, F.col("t"), F.lit("PASS"), F.col("status")).alias("confidence"),
-        decisions.gated_status(F.col("status"), F.when(K % 7 == 0, 1).otherwise(0), F.date_format("o_orderdate", "yyyy"), TODAY).alias("gated"),
+        decisions.gated_status(F.col("status"), F.when(k() % 7 == 0, 1).otherwise(0), F.date_format("o_orderdate", "yyyy"), TODAY).alias("gated"),
     )
 
 
@@ -120,9 +122,9 @@ PAGES = [
 
 
 def page_text():
-    found = F.when(K % 7 == 0, PAGES[0][0])
+    found = F.when(k() % 7 == 0, PAGES[0][0])
     for i, (p, _) in enumerate(PAGES[1:], 1):
-        found = found.when(K % 7 == i, p)
+        found = found.when(k() % 7 == i, p)
     return found
 
 
@@ -142,12 +144,12 @@ def layered_verification(spark, sf):
     iso = F.date_format(d, "yyyy-MM-dd")
     s = table(spark, sf, "orders")
     claimed = F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", "open").otherwise("upcoming")
-    close = F.when(K % 5 == 0, F.date_format(d, "MMMM d, yyyy")).when(K % 5 == 1, F.date_format(F.date_add(d, 40), "yyyy-MM-dd"))
-    ours, basis = F.when(K % 2 == 0, "open").otherwise("closed"), F.when(K % 6 == 0, "explicit_open").otherwise("inferred")
+    close = F.when(k() % 5 == 0, F.date_format(d, "MMMM d, yyyy")).when(k() % 5 == 1, F.date_format(F.date_add(d, 40), "yyyy-MM-dd"))
+    ours, basis = F.when(k() % 2 == 0, "open").otherwise("closed"), F.when(k() % 6 == 0, "explicit_open").otherwise("inferred")
     l0s = decisions.cross_check_status(claimed, F.lit(""), ours, basis, F.lit(""), close, F.lit("PASS"), TODAY)
     l0 = decisions.cross_check(iso, F.lit(""), close, F.lit("PASS"), TODAY)
-    l1 = decisions.check_link(F.when(K % 4 == 0, 404).otherwise(200))
-    page = F.when(K % 3 == 0, F.concat(F.lit("Deadline is "), F.date_format(d, "d MMM yyyy"))).otherwise("Welcome to the venue")
+    l1 = decisions.check_link(F.when(k() % 4 == 0, 404).otherwise(200))
+    page = F.when(k() % 3 == 0, F.concat(F.lit("Deadline is "), F.date_format(d, "d MMM yyyy"))).otherwise("Welcome to the venue")
     l2 = decisions.verify_against_page(page, iso, claimed, F.lit(True), TODAY)
     # like the status check, the date check of a stale record declines only if it cannot confirm
     return s.select("o_orderkey", decisions.resolve(l0s, l0, l1, l2).alias("v")).select("o_orderkey", "v.verdict", "v.layer")
@@ -157,9 +159,9 @@ def layered_verification(spark, sf):
  CASE o_orderkey % 5 WHEN 0 THEN 'not a contradiction' WHEN 1 THEN 'no quote captured' WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'shared platform and the quote does not name the event' END WHEN 4 THEN 'quote does not name the call' ELSE '' END AS reason, CASE WHEN o_orderkey % 5 IN (2, 3, 0) THEN 'abstract' ELSE '' END AS label FROM orders""")
 def exportable(spark, sf):
     """Whether a contradiction may leave the system, and the first reason if not."""
-    verdict = F.when(K % 5 == 0, "verified").otherwise("contradicted")
-    quote = F.when(K % 5 == 1, " ").when(K % 5 == 4, "The date is July 6, 2026").when((K % 5 == 3) & (K % 2 == 0), "Photonics abstract deadline: July 6").otherwise("Abstract deadline: July 6, 2026 for talks")
-    source = F.when(K % 5 == 3, "https://ras.papercept.net/x").otherwise("https://photonics.example/cfp")
+    verdict = F.when(k() % 5 == 0, "verified").otherwise("contradicted")
+    quote = F.when(k() % 5 == 1, " ").when(k() % 5 == 4, "The date is July 6, 2026").when((k() % 5 == 3) & (k() % 2 == 0), "Photonics abstract deadline: July 6").otherwise("Abstract deadline: July 6, 2026 for talks")
+    source = F.when(k() % 5 == 3, "https://ras.papercept.net/x").otherwise("https://photonics.example/cfp")
     e = decisions.exportable(verdict, quote, source, F.lit("Photonics Global Congress 2026"))
     return table(spark, sf, "orders").select("o_orderkey", e["ok"].alias("ok"), e["reason"].alias("reason"), text.call_label(quote).alias("label"))
 
@@ -167,28 +169,28 @@ def exportable(spark, sf):
 @query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'rejected: unknown id' WHEN 1 THEN 'kept: nothing proposed' WHEN 2 THEN 'rejected: proxy' WHEN 3 THEN 'rejected: social' WHEN 4 THEN 'rejected: homepage over a deeper page' WHEN 5 THEN 'rejected: unreadable' WHEN 6 THEN 'rejected: quote not on page' ELSE 'accepted' END AS fate FROM orders""")
 def citation_merge(spark, sf):
     """What becomes of each proposed citation."""
-    proposed = F.when(K % 8 == 1, "").when(K % 8 == 2, "https://web.archive.org/web/x").when(K % 8 == 3, "https://www.linkedin.com/p/1").when(K % 8 == 4, "https://e.example/").otherwise("https://e.example/cfp/dates")
-    quote = F.when(K % 8 == 6, "Something else entirely").otherwise("Deadline: 15th March")
-    fate = decisions.citation_guard(K % 8 != 0, proposed, F.lit("https://e.example/a/b"), K % 8 != 5, quote, F.lit("The DEADLINE:   15 march!"))
+    proposed = F.when(k() % 8 == 1, "").when(k() % 8 == 2, "https://web.archive.org/web/x").when(k() % 8 == 3, "https://www.linkedin.com/p/1").when(k() % 8 == 4, "https://e.example/").otherwise("https://e.example/cfp/dates")
+    quote = F.when(k() % 8 == 6, "Something else entirely").otherwise("Deadline: 15th March")
+    fate = decisions.citation_guard(k() % 8 != 0, proposed, F.lit("https://e.example/a/b"), k() % 8 != 5, quote, F.lit("The DEADLINE:   15 march!"))
     return table(spark, sf, "orders").select("o_orderkey", fate.alias("fate"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'REJECT' WHEN 2 THEN 'CONFIDENT' WHEN 3 THEN 'CONFIDENT' ELSE 'REVIEW' END AS class FROM orders""")
 def link_proposals(spark, sf):
     """What to do with a replacement link."""
-    u = F.when(K % 5 == 0, "https://e.example/").when(K % 5 == 1, "https://e.example/events/").when(K % 5 == 2, "https://sessionize.com/e-2026").when(K % 5 == 3, "https://e.example/submit-abstract").otherwise("https://e.example/about/team")
+    u = F.when(k() % 5 == 0, "https://e.example/").when(k() % 5 == 1, "https://e.example/events/").when(k() % 5 == 2, "https://sessionize.com/e-2026").when(k() % 5 == 3, "https://e.example/submit-abstract").otherwise("https://e.example/about/team")
     return table(spark, sf, "orders").select("o_orderkey", decisions.proposal_class(u).alias("class"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Berlin' WHEN 1 THEN 'Las Vegas' WHEN 2 THEN 'Hong Kong' ELSE '' END AS city, CASE o_orderkey % 4 WHEN 0 THEN 'Fixed Deadline' WHEN 1 THEN 'Rolling Form' WHEN 2 THEN 'Invite Only' ELSE 'Not Announced' END AS model, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'kept' END AS cell FROM orders""")
 def places_and_models(spark, sf):
     """Settlements out of venues, models out of spellings, placeholders out of cells."""
-    location = F.when(K % 4 == 0, "Messe Berlin, Berlin, Germany").when(K % 4 == 1, "Expo Hall, Las Vegas, Nevada, USA").when(K % 4 == 2, "AsiaWorld-Expo, Hong Kong").otherwise("TBD")
-    state = F.when(K % 4 == 0, "Berlin").when(K % 4 == 1, "Nevada").when(K % 4 == 2, "Hong Kong").otherwise("")
-    country = F.when(K % 4 == 0, "Germany").when(K % 4 == 1, "USA").when(K % 4 == 2, "Hong Kong").otherwise("")
-    model = F.when(K % 4 == 0, "fixed-deadline").when(K % 4 == 1, "ROLLING").when(K % 4 == 2, "Curated / Invite").otherwise("who knows")
-    city = F.when(K % 4 == 0, "Messe Berlin").otherwise("")
-    return table(spark, sf, "orders").select("o_orderkey", records.clean_city(location, city, state, country).alias("city"), records.call_model(F.regexp_replace(model, "Curated / Invite", "curated invite")).alias("model"), text.scrub_placeholder(F.when(K % 2 == 0, " N/A ").otherwise("kept ")).alias("cell"))
+    location = F.when(k() % 4 == 0, "Messe Berlin, Berlin, Germany").when(k() % 4 == 1, "Expo Hall, Las Vegas, Nevada, USA").when(k() % 4 == 2, "AsiaWorld-Expo, Hong Kong").otherwise("TBD")
+    state = F.when(k() % 4 == 0, "Berlin").when(k() % 4 == 1, "Nevada").when(k() % 4 == 2, "Hong Kong").otherwise("")
+    country = F.when(k() % 4 == 0, "Germany").when(k() % 4 == 1, "USA").when(k() % 4 == 2, "Hong Kong").otherwise("")
+    model = F.when(k() % 4 == 0, "fixed-deadline").when(k() % 4 == 1, "ROLLING").when(k() % 4 == 2, "Curated / Invite").otherwise("who knows")
+    city = F.when(k() % 4 == 0, "Messe Berlin").otherwise("")
+    return table(spark, sf, "orders").select("o_orderkey", records.clean_city(location, city, state, country).alias("city"), records.call_model(F.regexp_replace(model, "Curated / Invite", "curated invite")).alias("model"), text.scrub_placeholder(F.when(k() % 2 == 0, " N/A ").otherwise("kept ")).alias("cell"))
 
 
 @query("""WITH o AS (SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE upper(c_name) || ' ' END AS tn, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'x' ELSE c_mktsegment END AS ts FROM customer WHERE c_custkey % 7 <> 0)
@@ -210,8 +212,8 @@ def reconciliation(spark, sf):
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'unclear' ELSE 'open' END AS status, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'deadline_after_event_conflict' ELSE 'inferred_open_but_deadline_past' END ELSE 'inferred_from_live_submission_form' END AS basis FROM orders""")
 def edition_guard(spark, sf):
     """Verdicts whose years cannot both hold become unclear; ambiguous years change nothing."""
-    close = F.when(K % 3 == 0, F.when(K % 2 == 0, "May 2027").otherwise("May 2024")).when(K % 3 == 1, "2024 or 2028").otherwise("May 2026")
-    event = F.when((K % 3 == 0) & (K % 2 == 1), "some day").otherwise("June 2026")
+    close = F.when(k() % 3 == 0, F.when(k() % 2 == 0, "May 2027").otherwise("May 2024")).when(k() % 3 == 1, "2024 or 2028").otherwise("May 2026")
+    event = F.when((k() % 3 == 0) & (k() % 2 == 1), "some day").otherwise("June 2026")
     g = decisions.edition_consistency(F.lit("open"), F.lit("inferred_from_live_submission_form"), close, event, dt.date(2026, 1, 1))
     return table(spark, sf, "orders").select("o_orderkey", g["status"].alias("status"), g["basis"].alias("basis"))
 
@@ -220,8 +222,8 @@ def edition_guard(spark, sf):
 def silence_reasons(spark, sf):
     """Why a page gave nothing."""
     copy = "The programme committee welcomes everyone to this meeting about applied photonics and related fields. " * 8
-    page = F.when(K % 5 == 1, "Just a moment...").when(K % 5 == 2, "Please enable JavaScript to view this site").when(K % 5 == 3, "Hello").otherwise(copy)
-    return table(spark, sf, "orders").select("o_orderkey", decisions.unread_reason(F.when(K % 5 == 0, 410).otherwise(200), page).alias("reason"))
+    page = F.when(k() % 5 == 1, "Just a moment...").when(k() % 5 == 2, "Please enable JavaScript to view this site").when(k() % 5 == 3, "Hello").otherwise(copy)
+    return table(spark, sf, "orders").select("o_orderkey", decisions.unread_reason(F.when(k() % 5 == 0, 410).otherwise(200), page).alias("reason"))
 
 
 @query("""SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'open' ELSE 'closed' END AS kept FROM orders""")

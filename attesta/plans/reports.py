@@ -12,7 +12,9 @@ from attesta.plans.registry import query
 from attesta.session import table
 
 TODAY = dt.date(1998, 6, 1)
-K = F.col("o_orderkey")
+def k():
+    """The key that stands for a claim."""
+    return F.col("o_orderkey")
 
 
 def _orders(spark, sf):
@@ -26,7 +28,7 @@ def edition_states(spark, sf):
     """The state of each edition of a series."""
     o = _orders(spark, sf)
     event = F.concat(F.year("d").cast("string"), F.lit("-series-"), (F.col("o_custkey") % 300).cast("string"))
-    prose = F.when(K % 9 == 0, "Series discontinued").when(K % 9 == 1, "discontinued here, moves to Rome").otherwise("")
+    prose = F.when(k() % 9 == 0, "Series discontinued").when(k() % 9 == 1, "discontinued here, moves to Rome").otherwise("")
     rows = o.select(event.alias("event"), F.date_format("d", "yyyy-MM-dd").alias("start"), prose.alias("prose"))
     return reports.edition_states(rows, "event", "start", "prose", dt.date(2001, 7, 1))
 
@@ -36,7 +38,7 @@ SELECT view, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN days BETWE
 def review_views(spark, sf):
     """Rows in each of the overlapping review views."""
     status = F.when(F.col("o_orderstatus") == "O", "Open").when(F.col("o_orderstatus") == "P", "Upcoming").otherwise("Closed")
-    views = reports.review_views(status, F.col("d"), F.date_add("d", 60), F.when(K % 6 == 0, "Watching"), F.when(K % 5 == 0, "verified").when(K % 5 == 1, "no_quote"), K % 7 == 0, TODAY)
+    views = reports.review_views(status, F.col("d"), F.date_add("d", 60), F.when(k() % 6 == 0, "Watching"), F.when(k() % 5 == 0, "verified").when(k() % 5 == 1, "no_quote"), k() % 7 == 0, TODAY)
     return _orders(spark, sf).select(F.explode(views).alias("view")).groupBy("view").agg(F.count("*").alias("n"))
 
 
@@ -44,8 +46,8 @@ def review_views(spark, sf):
 def weekly_digest(spark, sf):
     """What moved since the last sweep."""
     o = table(spark, sf, "orders")
-    before = o.select("o_orderkey", F.when(K % 4 == 0, "contradicted").otherwise("unverified").alias("state"))
-    after = o.select("o_orderkey", F.when(K % 3 == 1, "contradicted").otherwise("verified").alias("state"), F.when(K % 5 == 0, "cited page does not exist").otherwise("").alias("detail"))
+    before = o.select("o_orderkey", F.when(k() % 4 == 0, "contradicted").otherwise("unverified").alias("state"))
+    after = o.select("o_orderkey", F.when(k() % 3 == 1, "contradicted").otherwise("verified").alias("state"), F.when(k() % 5 == 0, "cited page does not exist").otherwise("").alias("detail"))
     return reports.digest(before, after, "o_orderkey").groupBy("change").agg(F.count("*").alias("n"))
 
 
@@ -62,31 +64,31 @@ def coverage(spark, sf):
 @query("""SELECT o_orderkey, o_orderkey % 3 <> 0 AS found, o_orderkey % 4 <> 0 AS has, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 THEN o_orderkey % 5 <> 0 END AS year_match FROM orders""")
 def gold_compare(spark, sf):
     """Our deadlines beside the true ones."""
-    text = F.when(K % 3 == 0, "").when(K % 5 == 0, "some day in 1812").otherwise(F.date_format("d", "MMM yyyy"))
-    g = reports.gold_compare(text, F.when(K % 4 != 0, F.col("d")))
+    text = F.when(k() % 3 == 0, "").when(k() % 5 == 0, "some day in 1812").otherwise(F.date_format("d", "MMM yyyy"))
+    g = reports.gold_compare(text, F.when(k() % 4 != 0, F.col("d")))
     return _orders(spark, sf).select("o_orderkey", g["found"].alias("found"), g["has"].alias("has"), g["year_match"].alias("year_match"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'no_quote' WHEN 2 THEN 'contradicted' WHEN 3 THEN 'verified' WHEN 4 THEN 'verified' ELSE 'no_quote' END AS verdict FROM orders""")
 def evidence_audit(spark, sf):
     """What a page says of each claim, by field."""
-    field = F.when(K % 6 < 2, "deadline").when(K % 6 < 4, "status").otherwise("venue")
-    claimed = F.when(K % 6 < 2, F.date_format("d", "yyyy-MM-dd")).when(K % 6 == 2, "open").when(K % 6 == 3, "closed").when(K % 6 == 4, "Grand Hotel").otherwise("")
-    page = F.when(K % 6 == 0, F.concat(F.lit("Due "), F.date_format("d", "d MMMM yyyy"))).when(K % 6 == 1, "Welcome").when(K % 6 < 4, "Submissions are closed").otherwise("At the GRAND hotel")
+    field = F.when(k() % 6 < 2, "deadline").when(k() % 6 < 4, "status").otherwise("venue")
+    claimed = F.when(k() % 6 < 2, F.date_format("d", "yyyy-MM-dd")).when(k() % 6 == 2, "open").when(k() % 6 == 3, "closed").when(k() % 6 == 4, "Grand Hotel").otherwise("")
+    page = F.when(k() % 6 == 0, F.concat(F.lit("Due "), F.date_format("d", "d MMMM yyyy"))).when(k() % 6 == 1, "Welcome").when(k() % 6 < 4, "Submissions are closed").otherwise("At the GRAND hotel")
     return _orders(spark, sf).select("o_orderkey", reports.audit(field, claimed, page, TODAY)["verdict"].alias("verdict"))
 
 
 @query("""SELECT band, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 101 >= 100 THEN '100%' WHEN o_orderkey % 101 >= 90 THEN '90-99%' WHEN o_orderkey % 101 >= 70 THEN '70-89%' WHEN o_orderkey % 101 >= 40 THEN '40-69%' ELSE 'under 40%' END AS band FROM orders) GROUP BY 1""")
 def confidence_bands(spark, sf):
     """A18"""
-    return table(spark, sf, "orders").groupBy(reports.confidence_band(K % 101).alias("band")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "orders").groupBy(reports.confidence_band(k() % 101).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT count(*) AS watched, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS pipeline, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 3 = 0) AS open_confirmed, count(*) FILTER (o_orderkey % 3 = 1) AS check_link, count(*) FILTER (o_orderdate >= TIMESTAMP '2001-06-01') AS new FROM orders""")
 def kpis(spark, sf):
     """A6"""
     bucket = F.when(F.col("o_orderstatus") == "O", "Open").when(F.col("o_orderstatus") == "P", "Upcoming").otherwise("Closed")
-    o = _orders(spark, sf).select(bucket.alias("bucket"), F.when(K % 3 == 0, "Confirmed").when(K % 3 == 1, "Check link").otherwise("").alias("confidence"), "d")
+    o = _orders(spark, sf).select(bucket.alias("bucket"), F.when(k() % 3 == 0, "Confirmed").when(k() % 3 == 1, "Check link").otherwise("").alias("confidence"), "d")
     return reports.kpis(o, F.col("d"), dt.date(2001, 6, 1))
 
 
@@ -121,14 +123,14 @@ def owned_hosts(spark, sf):
 @query("""SELECT o_custkey, arg_min(CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%b. %Y') ELSE upper(strftime(o_orderdate, '%B %Y')) END, o_orderkey) AS written FROM orders GROUP BY o_custkey, strftime(o_orderdate, '%Y-%m')""")
 def distinct_dates(spark, sf):
     """Dates that differ by more than spelling, as first written."""
-    o = _orders(spark, sf).select("o_custkey", "o_orderkey", F.when(K % 2 == 0, F.date_format("d", "MMM. yyyy")).otherwise(F.upper(F.date_format("d", "MMMM yyyy"))).alias("written"))
+    o = _orders(spark, sf).select("o_custkey", "o_orderkey", F.when(k() % 2 == 0, F.date_format("d", "MMM. yyyy")).otherwise(F.upper(F.date_format("d", "MMMM yyyy"))).alias("written"))
     return reports.distinct_dates(o, "o_custkey", "o_orderkey", "written")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'stated' WHEN 1 THEN 'platform' WHEN 2 THEN 'form' WHEN 3 THEN 'page' END AS url, CASE o_orderkey % 5 WHEN 3 THEN 'inferred' WHEN 4 THEN NULL ELSE 'confirmed' END AS confidence FROM orders""")
 def submission_targets(spark, sf):
     """D5"""
-    t = reports.submission_target(F.when(K % 5 == 0, "stated"), F.when(K % 5 <= 1, "platform"), F.when(K % 5 == 2, "form"), F.lit("page"), K % 5 == 3)
+    t = reports.submission_target(F.when(k() % 5 == 0, "stated"), F.when(k() % 5 <= 1, "platform"), F.when(k() % 5 == 2, "form"), F.lit("page"), k() % 5 == 3)
     return table(spark, sf, "orders").select("o_orderkey", t["url"].alias("url"), t["confidence"].alias("confidence"))
 
 
@@ -136,7 +138,7 @@ def submission_targets(spark, sf):
 def retired(spark, sf):
     """Retired claims lose their date and say why."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderstatus").alias("detail"))
-    return reports.retire(o, o.where(K % 10 == 0), "o_orderkey", ["o_orderpriority"], citations.CLEAR_MARKERS[0])
+    return reports.retire(o, o.where(k() % 10 == 0), "o_orderkey", ["o_orderpriority"], citations.CLEAR_MARKERS[0])
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 1 AND c_custkey % 3 = 0 AND l.seg IS NOT NULL THEN l.seg WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS seg FROM customer LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 10 = 2) l ON l.k = c_custkey + 1 WHERE c_custkey % 10 <> 2""")
@@ -152,7 +154,7 @@ SELECT col AS "column", CASE WHEN CAST(url[2:] AS INT) < 40 THEN CASE WHEN CAST(
 def link_fan_out(spark, sf):
     """Each distinct address checked once, its state brought back to every row and column."""
     c = F.col("o_custkey")
-    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("u"), (c % 50).cast("string")).alias("a"), F.when(K % 2 == 0, "").otherwise(F.concat(F.lit("u"), (c % 70).cast("string"))).alias("b"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("u"), (c % 50).cast("string")).alias("a"), F.when(k() % 2 == 0, "").otherwise(F.concat(F.lit("u"), (c % 70).cast("string"))).alias("b"))
     states = spark.range(40).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.when(F.col("id") % 2 == 0, "dead").otherwise("alive").alias("state"))
     return reports.fan_out(rows, "o_orderkey", ["a", "b"], states).groupBy("column", "state").agg(F.count("*").alias("n"))
 
@@ -160,34 +162,34 @@ def link_fan_out(spark, sf):
 @query("""SELECT o_custkey AS row, count(*) AS untried FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1 AND o_orderkey % 5 <> 0 GROUP BY 1""")
 def untried_links(spark, sf):
     """J21"""
-    href = F.concat(F.when(K % 3 == 0, "https://other.org/").otherwise("https://www.site.org/"), K.cast("string"))
-    links = table(spark, sf, "orders").select(F.col("o_custkey").alias("row"), href.alias("href"), F.lit("https://site.org").alias("page"), F.when(K % 4 == 1, "Call for Papers").otherwise("Venue").alias("label"), K)
-    return reports.untried_links(links.drop("o_orderkey"), links.where(K % 5 == 0).select("row", "href"), "row", "call for|submit")
+    href = F.concat(F.when(k() % 3 == 0, "https://other.org/").otherwise("https://www.site.org/"), k().cast("string"))
+    links = table(spark, sf, "orders").select(F.col("o_custkey").alias("row"), href.alias("href"), F.lit("https://site.org").alias("page"), F.when(k() % 4 == 1, "Call for Papers").otherwise("Venue").alias("label"), k())
+    return reports.untried_links(links.drop("o_orderkey"), links.where(k() % 5 == 0).select("row", "href"), "row", "call for|submit")
 
 
 @query("""SELECT o_custkey AS file, CASE WHEN arg_max(o_orderstatus, o_orderkey) FILTER (o_orderkey % 2 = 0) = 'F' THEN 'failed' WHEN count(*) FILTER (o_orderkey % 2 = 0) > 0 THEN 'done' ELSE 'to do' END AS state FROM orders GROUP BY 1""")
 def batch_manifest(spark, sf):
     """Which files of a batch are done, failed or to do."""
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "file")
-    done = o.where(K % 2 == 0).select("file", F.when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("state"), K.alias("at"))
+    done = o.where(k() % 2 == 0).select("file", F.when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("state"), k().alias("at"))
     return reports.batch_manifest(o, done, "file")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'our page is the homepage' WHEN 1 THEN 'our page is shallower than the cited one' WHEN 2 THEN 'our page does not name the call' WHEN 3 THEN 'our page names a call of another kind' WHEN 4 THEN 'the cited page is of another call' ELSE 'same call, and the quote carries the date' END AS reason FROM orders""")
 def judged_fixes(spark, sf):
     """Whether a better citation may be offered, and why not."""
-    ours = F.when(K % 6 == 0, "https://a.org/").when(K % 6 == 1, "https://a.org/x").otherwise("https://a.org/dates/2026")
-    cited = F.when(K % 6 == 1, "https://a.org/call/2026/dates").when(K % 6 == 4, "https://a.org/poster").otherwise("https://a.org/cfp")
-    quote = F.when(K % 6 == 2, "July 6").when(K % 6 == 3, "Nomination deadline July 6").otherwise("Abstract deadline July 6")
+    ours = F.when(k() % 6 == 0, "https://a.org/").when(k() % 6 == 1, "https://a.org/x").otherwise("https://a.org/dates/2026")
+    cited = F.when(k() % 6 == 1, "https://a.org/call/2026/dates").when(k() % 6 == 4, "https://a.org/poster").otherwise("https://a.org/cfp")
+    quote = F.when(k() % 6 == 2, "July 6").when(k() % 6 == 3, "Nomination deadline July 6").otherwise("Abstract deadline July 6")
     return table(spark, sf, "orders").select("o_orderkey", citations.judged_fix(F.lit("2026-a-rome"), cited, ours, quote, F.lit("A"))["reason"].alias("reason"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '3-15|9-14' WHEN 1 THEN '5-8|8-5' WHEN 2 THEN '9-28' ELSE '' END AS pairs, CASE WHEN o_orderkey % 2 = 0 THEN 'august 10-13 2026' ELSE 'may 2026' END AS date_key, CASE WHEN o_orderkey % 2 = 0 THEN 'late breaking poster' ELSE 'poster' END AS label, o_orderkey % 2 = 0 AS form FROM orders""")
 def date_mentions(spark, sf):
     """Months and days a text names, date keys, labels that the page bears out, forms."""
-    t = F.when(K % 4 == 0, "Closes March 15th; 14 Sept").when(K % 4 == 1, "due 5/8/2026").when(K % 4 == 2, "28.9.2026 or 2026-09-28").otherwise("soon")
+    t = F.when(k() % 4 == 0, "Closes March 15th; 14 Sept").when(k() % 4 == 1, "due 5/8/2026").when(k() % 4 == 2, "28.9.2026 or 2026-09-28").otherwise("soon")
     pairs = F.array_join(F.transform(citations.month_day_pairs(t), lambda p: F.concat_ws("-", p["month"].cast("string"), p["day"].cast("string"))), "|")
-    written = F.when(K % 2 == 0, "AUG. 10 – 13, 2026").otherwise("May 2026")
-    page = F.when(K % 2 == 0, "Late breaking poster deadline: 1 July").otherwise("Poster deadline: 1 July")
+    written = F.when(k() % 2 == 0, "AUG. 10 – 13, 2026").otherwise("May 2026")
+    page = F.when(k() % 2 == 0, "Late breaking poster deadline: 1 July").otherwise("Poster deadline: 1 July")
     label = citations.verify_call_label(page, F.lit("Poster deadline: 1 July"), F.lit("Late breaking poster"))
-    return table(spark, sf, "orders").select("o_orderkey", pairs.alias("pairs"), citations.date_key(written).alias("date_key"), label.alias("label"), citations.is_submission_form(F.when(K % 2 == 0, "/cfp").otherwise("/newsletter"), F.lit("Your mail")).alias("form"))
+    return table(spark, sf, "orders").select("o_orderkey", pairs.alias("pairs"), citations.date_key(written).alias("date_key"), label.alias("label"), citations.is_submission_form(F.when(k() % 2 == 0, "/cfp").otherwise("/newsletter"), F.lit("Your mail")).alias("form"))
