@@ -182,14 +182,14 @@ def link_proposals(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", decisions.proposal_class(u).alias("class"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Berlin' WHEN 1 THEN 'Las Vegas' WHEN 2 THEN 'Hong Kong' ELSE '' END AS city, CASE o_orderkey % 4 WHEN 0 THEN 'Fixed Deadline' WHEN 1 THEN 'Rolling Form' WHEN 2 THEN 'Invite Only' ELSE 'Not Announced' END AS model, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'kept' END AS cell FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Ulm' WHEN 1 THEN 'Reno' WHEN 2 THEN 'Monaco' ELSE '' END AS city, CASE o_orderkey % 4 WHEN 0 THEN 'Fixed Deadline' WHEN 1 THEN 'Rolling Form' WHEN 2 THEN 'Invite Only' ELSE 'Not Announced' END AS model, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'kept' END AS cell FROM orders""")
 def places_and_models(spark, sf):
     """Settlements out of venues, models out of spellings, placeholders out of cells."""
-    location = F.when(k() % 4 == 0, "Messe Berlin, Berlin, Germany").when(k() % 4 == 1, "Expo Hall, Las Vegas, Nevada, USA").when(k() % 4 == 2, "AsiaWorld-Expo, Hong Kong").otherwise("TBD")
-    state = F.when(k() % 4 == 0, "Berlin").when(k() % 4 == 1, "Nevada").when(k() % 4 == 2, "Hong Kong").otherwise("")
-    country = F.when(k() % 4 == 0, "Germany").when(k() % 4 == 1, "USA").when(k() % 4 == 2, "Hong Kong").otherwise("")
+    location = F.when(k() % 4 == 0, "Messe Ulm, Ulm, Germany").when(k() % 4 == 1, "Expo Hall, Reno, Nevada, USA").when(k() % 4 == 2, "Harbour Expo, Monaco").otherwise("TBD")
+    state = F.when(k() % 4 == 0, "Ulm").when(k() % 4 == 1, "Nevada").when(k() % 4 == 2, "Monaco").otherwise("")
+    country = F.when(k() % 4 == 0, "Germany").when(k() % 4 == 1, "USA").when(k() % 4 == 2, "Monaco").otherwise("")
     model = F.when(k() % 4 == 0, "fixed-deadline").when(k() % 4 == 1, "ROLLING").when(k() % 4 == 2, "Curated / Invite").otherwise("who knows")
-    city = F.when(k() % 4 == 0, "Messe Berlin").otherwise("")
+    city = F.when(k() % 4 == 0, "Messe Ulm").otherwise("")
     return table(spark, sf, "orders").select("o_orderkey", records.clean_city(location, city, state, country).alias("city"), records.call_model(F.regexp_replace(model, "Curated / Invite", "curated invite")).alias("model"), text.scrub_placeholder(F.when(k() % 2 == 0, " N/A ").otherwise("kept ")).alias("cell"))
 
 
