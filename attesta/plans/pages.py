@@ -127,11 +127,12 @@ def quote_containment(spark, sf):
     """
     docs = table(spark, sf, "documents").select("doc_id", text.normalize_evidence("text").alias("t"))
     quotes = table(spark, sf, "benchmark").select("item_id", F.substring(text.normalize_evidence("text"), 1, 60).alias("q"))
-    run = lambda c, i: F.array_join(F.slice(F.split(c, " "), i, 4), " ")
+    run = lambda words, i: F.array_join(F.slice(words, i, 4), " ")
     # the first word may continue one in the document, so the block starts at the second
-    keyed = quotes.withColumn("k", run(F.col("q"), F.lit(2)))
-    words = F.size(F.split("t", " "))
-    runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(words - 3, F.lit(1))), lambda i: run(F.col("t"), i)))).alias("k"))
+    keyed = quotes.withColumn("k", run(F.split("q", " "), 2))
+    # the words are split once, and once for the whole lambda
+    every = text.let(F.split("t", " "), lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: run(words, i)))
+    runs = docs.select("doc_id", F.explode(F.array_distinct(every)).alias("k"))
     found = runs.join(keyed, "k").select("doc_id", "item_id").distinct()
     return found.join(docs, "doc_id").join(quotes, "item_id").where(F.contains("t", F.col("q"))).select("doc_id", "item_id")
 
