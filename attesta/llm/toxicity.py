@@ -34,8 +34,8 @@ WINDOW, STRIDE = 24, 12
 PIECE = 16
 LETTERS, WORDS = 512, 1 << 13
 LETTER_DIM, LETTER_HIDDEN, WORD_DIM, HIDDEN = 8, 8, 8, 8
-TOXIC, CLEAN, TRAIN_CHARS = 1_000, 3_600, 2_500
-EPOCHS, RATE, LEAST_STEPS = 6, 0.01, 300
+TOXIC, CLEAN, TRAIN_CHARS = 1_000, 3_600, 5_000
+EPOCHS, RATE, LEAST_STEPS = 5, 0.01, 600
 #: Distinct words that a worker remembers.
 MEMORY_WORDS = 200_000
 THRESHOLD = 0.7
