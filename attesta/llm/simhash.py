@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.graph import components
+from attesta.llm.substring import mixed
+from attesta.session import cut
 
 #: Node pairs that are expanded at once.
 CHUNK = 100_000
@@ -33,13 +35,18 @@ CHUNK = 100_000
 LEAF = 4
 #: Fingerprints that may meet by chance in one block.
 BUCKET = 2_000
+#: Texts of a component up to which all of its pairs are compared at once, those already connected left out.
+SMALL = 32
+#: Keys by which the texts of a larger component meet, each of two min-hashes. Texts of a
+#: similarity of 0.8 share none of them in 0.36^BANDS = 5 of a million pairs.
+BANDS = 12
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bits set in over half of the XXH64 hashes (seed 42) of the word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included; none of a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -48,13 +55,22 @@ def fingerprint(text: str | None, shingle: int) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 16_384):
         counts += np.unpackbits(hashes[i : i + 16_384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Bits set in over half of the XXH64 hashes (seed 42) of the word shingles, repeats included."""
+    return majority_bits(shingle_hashes(text, shingle))
+
+
 def fingerprints(df: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp long) of whole texts."""
 
@@ -191,8 +207,6 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 
 def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id and n_links (other fingerprints in the component) of each row."""
-    from attesta.session import cut
-
     prints = cut(fingerprints(df, shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(fingerprint_links(distinct.select("fp"), max_bits))
@@ -211,17 +225,106 @@ def word_shingles(text: str | None, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def verified_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS hashes of two min-hashes each."""
+    if not len(hashes):
+        return [0] * BANDS
+    least = [mixed(hashes, i).min() for i in range(1, 2 * BANDS + 1)]
+    return [int(mixed(np.array([a]), i)[0] ^ b) for i, (a, b) in enumerate(itertools.batched(least, 2), 1)]
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts (gid, text) have a Jaccard similarity of `similarity` or more."""
+    # a text that is compared with many is dealt out in parts of 256
+    salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
+    wanted = salted.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
+    salted = salted.join(wanted, "a").withColumn("part", F.col("part") % F.col("parts"))
+    first = wanted.join(texts, wanted.a == texts.gid).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = salted.join(texts.select(F.col("gid").alias("b"), F.col("text").alias("text_b")), "b").join(first, ["a", "part"]).select("a", "b", "text_a", "text_b")
+
+    def compare(batches):
+        last, own = None, set()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                out = []
+                for r in whole.slice(start, 256).to_pylist():
+                    if r["a"] != last:
+                        last, own = r["a"], word_shingles(r["text_a"], shingle)
+                    other = word_shingles(r["text_b"], shingle)
+                    if len(own & other) >= similarity * len(own | other):
+                        out.append((r["a"], r["b"]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def small_links(member: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of member (root, gid, text): links that connect the similar texts of each component; none has over SMALL texts."""
+
+    def run(group):
+        gids, sets = group.column("gid").to_pylist(), [word_shingles(t, shingle) for t in group.column("text").to_pylist()]
+        label, out = list(range(len(gids))), []
+        for i, j in itertools.combinations(range(len(gids)), 2):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                label = [label[i] if x == label[j] else x for x in label]
+                out.append((gids[i], gids[j]))
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return member.select("root", "gid", "text").groupBy("root").applyInArrow(run, "a long, b long")
+
+
+def verified_links(member: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links of similar texts that connect all similar ones which meet in a component.
+
+    member: root, gid; texts: gid, text. All texts of a small component meet; those of a larger
+    one do by band keys, and lead one after the other in an order by hash: eight times as many
+    lead in each turn as in the one before, each against those after it that are not connected
+    to it by then. It ends when all have led or all that meet are connected.
+    """
+    sizes = member.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    member = cut(member.join(sizes, "root"))
+    found = cut(small_links(member.where(F.col("size") <= SMALL).join(texts, "gid"), shingle, similarity))
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                keys = [band_keys(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+                band = np.tile(np.arange(BANDS, dtype=np.int64), batch.num_rows)
+                key = np.array(keys, np.uint64).reshape(-1).view(np.int64)
+                gid, root = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("gid", "root"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (root, gid, band, key)], names=["root", "gid", "band", "key"])
+
+    large = member.where(F.col("size") > SMALL).join(texts, "gid").select("root", "gid", "text")
+    keyed = large.mapInArrow(run, "root long, gid long, band long, key long").select("gid", F.xxhash64("root", "band", "key").alias("meet"))
+    place = (F.xxhash64("gid", F.lit("place")) / F.lit(2.0**64) + 0.5).alias("place")
+    keyed = cut(keyed.select("gid", "meet", place))
+    groups = keyed.groupBy("meet").agg(F.count("*").alias("n"), F.min(F.struct("place", "gid")).alias("first")).where("n > 1")
+    soon = (F.col("n") <= 4) | (F.col("gid") == F.col("first.gid")) | (F.col("place") * F.col("n") <= 1)
+    turn = F.when(soon, 0).otherwise(F.ceil(F.log(8.0, F.col("place") * F.col("n")))).cast("int")
+    open_ = cut(keyed.join(groups, "meet").select("meet", "gid", "place", turn.alias("turn"), F.col("gid").alias("label")))
+    now = 0
+    while (last := open_.agg(F.max("turn")).first()[0]) is not None and now <= last:
+        lead = open_.where(F.col("turn") == now).select("meet", F.col("gid").alias("a"), F.col("place").alias("of"), F.col("label").alias("own"))
+        after = (F.col("place") > F.col("of")) | (F.col("place") == F.col("of")) & (F.col("gid") > F.col("a"))
+        pairs = cut(lead.join(open_, "meet").where(after & (F.col("label") != F.col("own"))).select("a", "own", F.col("gid").alias("b"), "label").distinct())
+        new = cut(similar_pairs(pairs.select("a", "b"), texts, shingle, similarity))
+        found, now = found.unionByName(new), now + 1
+        merged = components(pairs.join(new, ["a", "b"]), "own", "label")
+        named = open_.join(merged, open_.label == merged.node, "left").select("meet", "gid", "place", "turn", F.coalesce("root", "label").alias("label"))
+        unsettled = named.groupBy("meet").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("meet")
+        open_ = cut(named.join(unsettled, "meet"))
+    return found
+
+
+def verified_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similarity: float = 0.8) -> DataFrame:
     """(doc_id, gid, kept_id): documents that a kept one stands for; gid is the hash of the text.
 
     Equal texts are copies of the one with the smallest doc_id. Others are candidates if their
-    fingerprints are linked, and copies if the Jaccard similarity of their word shingles with
-    the component's first document is `similarity` or more. What is no copy of it goes on to
-    the next round with a new first document; after the last round the rest simply stays. Rows
-    without doc_id take no part.
+    fingerprints are of one component, and linked if the Jaccard similarity of their word
+    shingles is `similarity` or more. The smallest doc_id of all that links connect, directly
+    or through others, is kept. Rows without doc_id take no part.
     """
-    from attesta.session import cut
-
     gid = F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
     docs = df.where("doc_id is not null").select("doc_id", gid.alias("gid"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -231,39 +334,18 @@ def verified_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similari
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("gid"), pa.array(prints.view(np.int64))], names=["doc_id", "gid", "fp"])
 
     prints = cut(docs.mapInArrow(prints_of, "doc_id long, gid long, fp long"))
-    texts = prints.groupBy("gid", "fp").agg(F.min("doc_id").alias("first_id"))
-    equal = prints.join(texts, ["gid", "fp"]).where("doc_id > first_id").select("doc_id", "gid", F.col("first_id").alias("kept_id"))
-    roots = components(fingerprint_links(texts.select("fp").distinct(), max_bits))
-    member = texts.join(roots, texts.fp == roots.node, "left").select("gid", F.col("first_id").alias("doc_id"), F.coalesce("root", "fp").alias("root"))
+    firsts = cut(prints.groupBy("gid", "fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(fingerprint_links(firsts.select("fp").distinct(), max_bits))
+    member = firsts.join(roots, firsts.fp == roots.node, "left").select("gid", F.col("first_id").alias("doc_id"), F.coalesce("root", "fp").alias("root"))
     several = member.groupBy("root").count().where("count > 1").select("root")
-    open_ = cut(docs.dropDuplicates(["doc_id", "gid"]).join(member.join(several, "root"), ["doc_id", "gid"]).select("root", "doc_id", "gid", "text"))
-    found = equal
-    for _ in range(rounds):
-        first = open_.groupBy("root").agg(F.min(F.struct("doc_id", "gid", "text")).alias("f"))
-        pairs = open_.join(first, "root").select("root", "doc_id", "gid", "text", F.col("f.doc_id").alias("kept_id"), F.col("f.gid").alias("kept_gid"), F.col("f.text").alias("kept_text"))
-
-        def compare(batches):
-            for whole in batches:
-                for start in range(0, whole.num_rows, 256):
-                    rows, out = whole.slice(start, 256).to_pylist(), []
-                    kept, own = None, set()
-                    for r in rows:
-                        if r["kept_gid"] != kept:
-                            kept, own = r["kept_gid"], word_shingles(r["kept_text"], shingle)
-                        mine = word_shingles(r["text"], shingle)
-                        out.append((r["root"], r["doc_id"], r["gid"], r["kept_id"], len(mine & own) >= similarity * len(mine | own)))
-                    columns = list(zip(*out, strict=True))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["root", "doc_id", "gid", "kept_id", "copy"])
-
-        judged = cut(pairs.mapInArrow(compare, "root long, doc_id long, gid long, kept_id long, copy boolean"))
-        found = found.unionByName(judged.where("copy AND doc_id <> kept_id").select("doc_id", "gid", "kept_id"))
-        rest = judged.where("NOT copy").select("root", "doc_id", "gid")
-        left = rest.join(rest.groupBy("root").count().where("count > 1").select("root"), "root")
-        if left.isEmpty():
-            break
-        open_ = cut(open_.join(left.select("doc_id", "gid"), ["doc_id", "gid"], "left_semi"))
-    return found
+    member = cut(member.join(several, "root"))
+    texts = cut(docs.join(member.select("doc_id", "gid"), ["doc_id", "gid"]).dropDuplicates(["gid"]).select("gid", "text"))
+    linked = components(verified_links(member.select("root", "gid"), texts, shingle, similarity))
+    named = firsts.select("gid", "first_id").join(linked.select(F.col("node").alias("gid"), "root"), "gid")
+    kept = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = named.join(kept, "root").select("gid", "least_id")
+    known = firsts.select("gid", "first_id").join(named, "gid", "left").select("gid", F.coalesce("least_id", "first_id").alias("kept_id"))
+    return prints.select("doc_id", "gid").join(known, "gid").where("doc_id > kept_id")
 
 
 def drop_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similarity: float = 0.8) -> DataFrame:

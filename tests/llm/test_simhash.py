@@ -107,3 +107,43 @@ def test_verified_copies_by_definition(spark):
     kept = simhash.drop_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - len(gone)
     assert simhash.drop_copies(documents(spark, [])).count() == 0
+
+
+def kept_by_links(rows, links):
+    """Documents left of rows (id, text) when each group that links connect keeps its smallest id."""
+    label = {i: i for i, _ in rows}
+    for a, b in links:
+        x, y = sorted((label[a], label[b]))
+        label = {i: x if g == y else g for i, g in label.items()}
+    return {i for i, g in label.items() if i == g}
+
+
+def linked_pairs(rows, similarity=0.8):
+    sets = [(i, simhash.word_shingles(t, 5)) for i, t in rows]
+    return [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if len(a & b) >= similarity * len(a | b)]
+
+
+def test_copies_of_a_later_base_and_many_groups_are_settled(spark, monkeypatch):
+    """All candidates in one component: a star whose base comes late, and a dozen groups."""
+    rng = random.Random(8)
+    rows = []
+    base = [f"b{rng.randint(0, 10**6)}" for _ in range(400)]
+    for c in range(40):  # 8 words of 400: 0.82 similar to the base, about 0.66 to each other
+        copy = list(base)
+        for at in rng.sample(range(4, 396), 8):
+            copy[at] = f"z{rng.random()}"
+        rows.append((1 + c, " ".join(copy)))
+    rows.append((99, " ".join(base)))
+    for g in range(12):
+        words = [f"g{rng.randint(0, 10**6)}" for _ in range(300)]
+        for c in range(6):
+            copy = list(words)
+            copy[rng.randrange(300)] = f"z{rng.random()}"
+            rows.append((100 + 10 * g + c, " ".join(copy)))
+    links = linked_pairs(rows)
+    assert not [1 for a, b in links if max(a, b) < 99]
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda prints, max_bits: prints.selectExpr("fp AS a", "min(fp) OVER () AS b"))
+    for small in (3, 1000):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        left = {r.doc_id for r in simhash.drop_copies(documents(spark, rows)).collect()}
+        assert left == kept_by_links(rows, links) and len(left) == 13
