@@ -136,11 +136,16 @@ def same_run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def grow(a: np.ndarray, b: np.ndarray, shared: int) -> tuple[int, int]:
-    """How far a passage goes on in a and b from their starts, given `shared` words before."""
+def grow(a: np.ndarray, b: np.ndarray, tokens: int, length_a: int, length_b: int) -> tuple[int, int, int, int, int]:
+    """How far a passage goes on over gaps in a and b from their starts, and what it then has.
+
+    tokens, length_a, length_b: the shingles the passage shares so far and its words in both.
+    It ends at the last run up to which the similarity of the whole passage holds; runs before
+    that may be below it, as long as those that follow can make up for them.
+    """
     gaps = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x or y), key=lambda g: (sum(g), abs(g[0] - g[1])))
-    i = j = same_run(a, b)
-    tokens, length_a, length_b = max(0, shared + i - SHINGLE + 1), shared + i, shared + j
+    i = j = 0
+    best = (0, 0, tokens, length_a, length_b)
     while i < len(a) and j < len(b):
         for x, y in gaps:
             run = same_run(a[i + x :], b[j + y :])
@@ -149,10 +154,13 @@ def grow(a: np.ndarray, b: np.ndarray, shared: int) -> tuple[int, int]:
         else:
             break
         tokens, length_a, length_b = tokens + run - SHINGLE + 1, length_a + x + run, length_b + y + run
-        if tokens < SIMILARITY * (length_a + length_b - 2 * (SHINGLE - 1) - tokens):
-            break
         i, j = i + x + run, j + y + run
-    return i, j
+        lacking = SIMILARITY * (length_a + length_b - 2 * (SHINGLE - 1) - tokens) - tokens
+        if lacking <= 0:
+            best = (i, j, tokens, length_a, length_b)
+        elif lacking > (1 - SIMILARITY) * min(len(a) - i, len(b) - j):
+            break
+    return best
 
 
 def passages(first: str | None, text: str | None, seeds: list[tuple[int, int]], least: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
@@ -166,8 +174,15 @@ def passages(first: str | None, text: str | None, seeds: list[tuple[int, int]],
     found: list[tuple[int, int, int, int]] = []
 
     def try_seed(p: int, q: int) -> None:
-        right = grow(a[p:], b[q:], 0)
-        left = grow(a[:p][::-1], b[:q][::-1], right[0])
+        # the equal words on both sides of the seed count before any gap is judged
+        before, after = (a[:p][::-1], b[:q][::-1]), (a[p:], b[q:])
+        runs = same_run(*before), same_run(*after)
+        state, left, right, moved = (sum(runs) - SHINGLE + 1, sum(runs), sum(runs)), [runs[0]] * 2, [runs[1]] * 2, True
+        while moved:
+            moved = False
+            for side, at in ((after, right), (before, left)):
+                x, y, *state = grow(side[0][at[0] :], side[1][at[1] :], *state)
+                at[0], at[1], moved = at[0] + x, at[1] + y, moved or x > 0
         start, end, start_b, end_b = p - left[0], p + right[0], q - left[1], q + right[1]
         if end - start >= least:
             one, two = set(tokens[start : end - SHINGLE + 1].tolist()), set(other[start_b : end_b - SHINGLE + 1].tolist())

@@ -103,3 +103,14 @@ def test_every_equal_run_of_a_linked_pair_is_covered():
     for p in range(len(text) - 49):
         if tuple(text[p : p + 50]) in runs:
             assert any(s <= p and p + 50 <= e for s, e, *_ in found)
+
+
+def test_edited_passages_are_found_from_every_seed():
+    for edits, n in (((30,), 60), ((20, 30), 100), ((70, 80), 101), ((40, 50, 90), 140)):
+        passage = prose(n, n)
+        edited = [f"new{k}" if k in edits else w for k, w in enumerate(passage)]
+        first, text = prose(90, 1) + passage + prose(80, 2), prose(70, 3) + edited + prose(60, 4)
+        for at in range(n - 4):
+            if edited[at : at + 5] == passage[at : at + 5]:
+                found = substring.passages(" ".join(first), " ".join(text), [(70 + at, 90 + at)])
+                assert any(s <= 70 and 70 + n <= e for s, e, *_ in found), (edits, at)
