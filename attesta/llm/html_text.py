@@ -2,13 +2,21 @@
 
 A page is read into a tree of elements; each paragraph passes points for its length and its
 commas to its ancestors, the nearer the more. Containers are discounted by link density; the
-best one and those siblings that read like it are kept, without the elements that are never
-part of an article (menus, forms, adverts, comments of readers and the like).
+best one and those siblings that read like it are kept. An article or main element around the
+best container bounds the article, unless it is mostly links.
+
+Menus, page headers and footers, asides, scripts and the like go by their element or role.
+Class and id names only raise a suspicion, which the scores confirm or refute: a block named
+after comments, adverts, sharing or notices stays if nearly all prose of the page is in it;
+one named after a place in the layout (sidebar, related, discussion) goes from inside an article only
+if it is links or has no prose, or holds readers' comments or a form. An id counts only if all of it is
+such a name, and never on a heading or paragraph, as headings give ids to what they title.
 
 Defined cases: null, empty and broken pages never fail; a page without text gives the empty
 text; references are decoded as HTML5 does; white space inside a block is one space; blocks
-are joined by one newline; nothing is cut off; repeated rows give repeated rows; an empty
-table gives no rows; other columns pass through.
+are joined by one newline; nothing is cut off, and the work grows in proportion to the page;
+repeated rows give repeated rows; an empty table gives no rows; other columns pass through,
+and a column of the name of `out` is replaced.
 """
 
 from __future__ import annotations
@@ -21,62 +29,114 @@ from pyspark.sql import DataFrame
 
 from attesta.llm.bpe import _add, _with
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>""", re.S)
-_CLASS = re.compile(r"""\b(class|id|role|aria-hidden|style|type)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""", re.I)
+_TAG = re.compile(r"""<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_OPEN_QUOTE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>)[^>]*>")
+#: Characters up to which the end of a tag is looked for, but for FAR_TAGS tags of a page; beyond, quotes are not minded.
+TAG_CHARS, FAR_TAGS = 1 << 16, 16
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # HTML element names by what they mean for text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NEVER = {"head", "nav", "header", "footer", "aside", "form", "template", "button", "select", "svg", "math", "canvas", "object", "audio", "video", "dialog", "menu", "fieldset", "map", "datalist"} | RAW
+NEVER = {"head", "nav", "header", "footer", "aside", "template", "button", "select", "svg", "math", "canvas", "object", "audio", "video", "dialog", "menu", "fieldset", "map", "datalist"} | RAW
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr"} | VOID
 PARAGRAPH = {"p", "pre", "blockquote", "td", "dd", "figcaption"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LISTED = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 NEVER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-#: Words of class and id names that mark elements beside the article.
-NEVER_NAME = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "promoted",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "header", "masthead", "topbar", "footer", "foot", "sidebar", "aside", "rail", "widget",
-    "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
-    "share", "sharing", "social", "related", "recommended", "recommendations", "outbrain", "taboola", "copyright", "disclaimer", "legal",
+#: Parts of class and id names by what they mark: readers' comments; adverts, sharing and notices; places in a layout.
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
+INSERTS = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "promoted", "outbrain", "taboola",
+    "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
+}
+LAYOUT = {
+    "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "header", "masthead", "topbar", "footer", "foot", "sidebar", "aside", "rail", "widget",
+    "reply", "discussion", "alert", "related", "recommended", "recommendations", "copyright", "disclaimer", "legal",
+}
+#: Parts that say nothing by themselves, and parts that turn what they stand with around.
+NEUTRAL = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "buttons", "card", "col", "column", "container", "content", "group", "hint", "holder", "inner", "item", "items", "js", "left",
+    "link", "links", "list", "main", "message", "outer", "page", "panel", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "stories", "story", "text", "thread",
+    "top", "unit", "wrap", "wrapper", "zone",
 }
+TURNED = {"has", "with", "no", "without", "and", "is", "not", "show", "hide"}
+
+#: Characters from which a block reads as prose, and ancestors that a paragraph gives points to.
+PROSE, REACH = 80, 6
 
 
 class Node:
-    __slots__ = ("tag", "up", "never", "points", "chars", "link_chars", "semantic")
+    __slots__ = ("tag", "up", "never", "named", "unsure", "within", "evidence", "points", "own", "chars", "link_chars", "prose", "semantic", "kept", "holds")
 
-    def __init__(self, tag: str, up: Node | None, never: bool):
-        self.tag, self.up, self.never = tag, up, never
-        self.points = 0.0
-        self.chars = self.link_chars = 0
+    def __init__(self, tag: str, up: Node | None, never: bool, named: str):
+        self.tag, self.up, self.never, self.named = tag, up, never, named
         self.semantic = tag in ("article", "main")
+        self.within = up is not None and (up.within or up.semantic)
+        self.unsure = self if named == "layout" else up.unsure if up else None  # the nearest block of a layout name
+        self.evidence = self.kept = self.holds = False
+        self.points = self.own = 0.0
+        self.chars = self.link_chars = self.prose = 0
+
+    @property
+    def link_share(self) -> float:
+        return self.link_chars / self.chars if self.chars else 1.0
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """The attributes of a start tag, the first of each name; references are decoded."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        value = value[1:-1] if value[:1] in ("'", '"') else value
+        found.setdefault(name.lower(), html.unescape(value) if "&" in value else value)
+    return found
+
 
+def meaning(name: str, whole: bool) -> str:
+    """What a class or id name marks: "comments", "insert", "layout" or "" (nothing).
 
-def never_part(tag: str, rest: str) -> bool:
-    """Whether an element of these attributes is never part of an article."""
+    whole: all parts must be known; else the first or the last part may say it alone.
+    """
+    parts = [p.lower() for p in _PART.findall(name)]
+    if not parts or TURNED.intersection(parts):
+        return ""
+    known = all(p.isdigit() or p in NEUTRAL or p in COMMENTS or p in INSERTS or p in LAYOUT for p in parts)
+    for marked, words in (("comments", COMMENTS), ("insert", INSERTS), ("layout", LAYOUT)):
+        if known and words.intersection(parts) or not whole and marked != "layout" and words.intersection((parts[0], parts[-1])):
+            return marked
+    return ""
+
+
+def judged(tag: str, rest: str) -> tuple[bool, str]:
+    """Whether an element is never part of an article, and what its names mark it as."""
     if tag in NEVER:
-        return True
-    if not rest or tag in ("html", "body"):
-        return False
-    for name, value, hidden in _CLASS.findall(rest):
-        value, name = value.strip("\"'").lower(), name.lower()
-        if hidden and not name:
-            return True
-        if name == "role" and value in NEVER_ROLE or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and NEVER_NAME.intersection(re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", value)):
-            return True
-    return False
-
-
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters in links) of each block, in page order."""
-    root = Node("#root", None, False)
-    node, block, parts, linked, links = root, root, [], 0, 0
-    found: list[tuple[Node, str, int]] = []
+        return True, ""
+    named = "form" if tag == "form" else ""
+    if not rest or rest == "/" or tag in ("html", "body"):
+        return False, named
+    found = attributes(rest)
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in NEVER_ROLE or _UNSEEN.search(found.get("style", "").lower()):
+        return True, ""
+    if tag in ("article", "main") or named:
+        return False, named
+    text = tag in PARAGRAPH or tag in HEADING or tag == "li"
+    marks = [meaning(c, whole=text) for c in found.get("class", "").split()]
+    if not text:
+        marks.append(meaning(found.get("id", ""), whole=True))
+    for mark in ("comments", "insert", "layout"):
+        if mark in marks and not (text and mark == "layout"):
+            return False, mark
+    return False, ""
+
+
+def tree_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """All elements, parents first, and (element, text, characters in links) of each block, in page order."""
+    root = Node("#root", None, False, "")
+    nodes, found = [root], []
+    path, places, blocks = [root], {}, [0]  # open elements; where each tag is open; where blocks are open
+    block, parts, linked = root, [], 0
 
     def flush(nxt: Node) -> None:
         nonlocal block, linked
@@ -89,48 +149,61 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not node.never:
+        if text and not path[-1].never:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
-            if links:
+            if places.get("a"):
                 linked += len(text.strip())
 
-    def close(to: Node) -> None:
-        """Go up to `to`, the parent of the element that ends."""
-        nonlocal node, links
+    def close(place: int) -> None:
+        """End the element at `place` of the path and all inside it."""
         broke = False
-        while node is not to:
-            links -= node.tag == "a"
-            broke |= node.tag not in INLINE
-            node = node.up
+        while len(path) > place:
+            tag = path.pop().tag
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+                broke = True
         if broke:
-            up = node
-            while up.tag in INLINE:
-                up = up.up
-            flush(up)
-
-    at = 0
-    while match := _TOKEN.search(page, at):
-        add(page[at : match.start()])
-        at = match.end()
-        tag = match["tag"]
-        if tag is None:
+            flush(path[blocks[-1]])
+
+    at = seen = 0  # up to `seen` the page has been read
+    last, far = page.rfind(">"), FAR_TAGS
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), at):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            ended = page.find(mark, at + 2)
+            if ended < 0 and mark == ">":
+                at += 1
+                if at > last:
+                    break
+                continue
+            add(page[seen:at])
+            at = seen = ended + len(mark) if ended >= 0 else len(page)
+            continue
+        match = _TAG.match(page, at, at + TAG_CHARS) if at < last else None
+        if match is None and at < last and page[at + 1 : at + 2].isalpha() and far:
+            match, far = _TAG.match(page, at), far - 1
+        if match is None and at < last:
+            match = _OPEN_QUOTE.match(page, at)
+        if match is None:
+            at += 1
             continue
+        add(page[seen:at])
+        at = seen = match.end()
+        tag = match["tag"]
         tag = tag.lower()
         if match["end"]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag in INLINE and up.tag not in INLINE:
-                    up = root
-                    break
-                up = up.up
-            if up is not root:
-                close(up.up)
+            where = places.get(tag)
+            if where and (tag not in INLINE or where[-1] > blocks[-1]):
+                close(where[-1])
             continue
         rest = match["rest"] or ""
         if tag in RAW:
-            ended = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = ended.end() if ended else len(page)
+            ended = _ENDS[tag].search(page, at)
+            at = seen = ended.end() if ended else len(page)
+            if tag == "textarea" and path[-1].unsure:
+                path[-1].unsure.evidence = True
             continue
         if tag in VOID:
             if tag == "br":
@@ -139,80 +212,116 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 flush(block)
             continue
         if tag not in INLINE:
-            up = node  # an open paragraph, or item of the same list, ends here
-            while up is not root:
-                if up.tag == "p" or up.tag in HEADING and tag in HEADING or tag in LISTED and up.tag == tag:
-                    close(up.up)
+            k = len(blocks) - 1  # an open paragraph, or item of the same list, ends here
+            while k > 0:
+                open_tag = path[blocks[k]].tag
+                if open_tag == "p" or open_tag in HEADING and tag in HEADING or tag in LISTED and open_tag == tag:
+                    close(blocks[k])
                     break
-                if up.tag not in INLINE and (tag not in LISTED or up.tag in LISTED[tag] or up.tag not in LISTED) and up.tag not in INLINE:
+                if tag not in LISTED or open_tag in LISTED[tag] or open_tag not in LISTED:
                     break
-                up = up.up
+                k -= 1
         if rest.endswith("/") and tag in ("svg", "math", "path", "g"):
             continue
-        child = Node(tag, node, node.never or never_part(tag, rest))
-        links += tag == "a"
+        up = path[-1]
+        never, named = (True, "") if up.never else judged(tag, rest)
+        child = Node(tag, up, never, named)
+        if named in ("comments", "form") and up.unsure:
+            up.unsure.evidence = True
         if tag not in INLINE:
             flush(child)
-        node = child
-    add(page[at:])
+            blocks.append(len(path))
+        places.setdefault(tag, []).append(len(path))
+        path.append(child)
+        nodes.append(child)
+    add(page[seen:])
     flush(root)
-    return found
+    return nodes, found
+
+
+_ENDS = {tag: re.compile(f"</{tag}\\b[^>]*>", re.I) for tag in RAW}
+
+
+def points_of(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def measure(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Sum up characters, links, prose and points of what each element holds."""
+    for node in nodes:
+        node.own, node.chars, node.link_chars, node.prose, node.holds = 0.0, 0, 0, 0, False
+    for block, text, linked in blocks:
+        block.chars += len(text)
+        block.link_chars += linked
+        block.own += points_of(text, linked)
+        block.prose += len(text) if len(text) >= PROSE and 2 * linked < len(text) else 0
+        block.holds = True
+    for node in reversed(nodes):  # children stand after their parents
+        if node.up is not None and node.holds:
+            up = node.up
+            up.chars, up.link_chars, up.prose, up.own, up.holds = up.chars + node.chars, up.link_chars + node.link_chars, up.prose + node.prose, up.own + node.own, True
+
+
+def beside(node: Node, page: Node) -> bool:
+    """Whether the scores agree with the name of `node` that it is no part of the article."""
+    rest, rest_prose = page.own - node.own, page.prose - node.prose
+    if node.named == "comments":
+        return rest_prose > 0 or node.prose == 0
+    if node.named == "layout" and node.within:
+        return node.evidence or node.link_share >= 1 / 3 or node.prose == 0
+    return 3 * rest >= node.own or rest_prose >= node.prose
+
+
+def without_beside(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that stand in no element which is beside the article."""
+    if not any(n.named and n.holds for n in nodes):
+        return blocks
+    for node in nodes:
+        node.never = node.up is not None and node.up.never or bool(node.named) and node.holds and beside(node, nodes[0])
+    return [b for b in blocks if not b[0].never]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page as blocks joined by newlines."""
-    blocks = blocks_of(page or "")
-    if not blocks:
+    nodes, blocks = tree_of(page or "")
+    measure(nodes, blocks)
+    kept = without_beside(nodes, blocks)
+    if not kept:
         return ""
+    if len(kept) < len(blocks):
+        blocks = kept
+        measure(nodes, blocks)
     least = 25 if any(len(t) >= 25 and b.tag not in HEADING and b.tag != "li" for b, t, _ in blocks) else 1
     for block, text, linked in blocks:
-        up = block
-        while up is not None:
-            up.chars += len(text)
-            up.link_chars += linked
-            up = up.up
         if len(text) < least or block.tag in HEADING or block.tag == "li":
             continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        up, share = (block.up if block.tag in PARAGRAPH and block.up else block), 1.0
-        distance = 0
-        while up is not None:
+        points, share = points_of(text, linked), 1.0
+        up = block.up if block.tag in PARAGRAPH and block.up else block
+        for distance in range(1, REACH + 1):
             up.points += points * share
-            distance += 1
             share = 1 / (2 * distance) if distance < 2 else 1 / (3 * distance)
             up = up.up
-    within: dict[int, Node] = {}
-    for block, *_ in blocks:
-        up = block
-        while up is not None and id(up) not in within:
-            within[id(up)] = up
-            up = up.up
-    for node in within.values():
-        node.points *= 1 - (node.link_chars / node.chars if node.chars else 0)
-        node.points *= 1.25 if node.semantic else 1
-    best = max(within.values(), key=lambda n: n.points)
+            if up is None:
+                break
+    holding = [n for n in nodes if n.holds]
+    for node in holding:
+        node.points *= (1 - node.link_share) * (1.25 if node.semantic else 1)
+    best = max(holding, key=lambda n: n.points)
     up = best
     while up is not None:  # all of an article belongs together
-        if up.semantic:
+        if up.semantic and up.link_share < 0.5:
             best = up
         up = up.up
-    keep = {id(best)}
+    best.kept = True
     if not best.semantic and best.up is not None:
         limit = max(10.0, best.points * 0.2)
-        for node in within.values():
+        for node in holding:
             if node.up is best.up and node is not best:
-                density = node.link_chars / node.chars if node.chars else 1
-                reads = node.tag in PARAGRAPH | HEADING and density < 0.25
-                if node.points >= limit or reads or node.semantic:
-                    keep.add(id(node))
-    out = []
-    for block, text, _ in blocks:
-        up = block
-        while up is not None and id(up) not in keep:
-            up = up.up
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+                reads = node.tag in PARAGRAPH | HEADING and node.link_share < 0.25
+                node.kept = node.points >= limit or reads or node.semantic
+    for node in holding:
+        node.kept |= node.up is not None and node.up.kept
+    return "\n".join(text for block, text, _ in blocks if block.kept)
 
 
 def extract_main(df: DataFrame, html_column: str = "html", out: str = "text") -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 
 from attesta.llm import ann
@@ -31,6 +34,67 @@ def test_odd_pages(spark):
     assert extract_main(pages.limit(0)).count() == 0
 
 
+def test_names_do_not_remove_article_text():
+    prose = "Some prose of this article, with commas, goes on for a good while, and ends here at last."
+    inside = [
+        f'<p title="Hidden gems">{prose} 1</p>',
+        f'<p>{prose} 2 <a href="/hidden-valley">the valley</a></p>',
+        f'<div data-id="ad 7"><p>{prose} 3</p></div>',
+        f'<h2 id="related-work">Related work</h2><p>{prose} 4</p><h2 id="legal-background">Legal</h2>',
+        f'<section class="discussion"><h2>Discussion</h2><p>{prose} 5</p></section>',
+        f'<section id="social-consequences"><p>{prose} 6</p></section>',
+        f'<p id="comments">{prose} 7</p><div class="has-sidebar no-ads"><p>{prose} 8</p></div>',
+    ]
+    text = main_text(f"<body><nav><a href=/>Home</a></nav><article>{''.join(inside)}</article><footer>end</footer></body>")
+    assert [text.count(f"at last. {k}") for k in range(1, 9)] == [1] * 8
+    assert all(x in text for x in ("the valley", "Related work", "Legal", "Discussion"))
+    wrapped = main_text(f'<body><form id=aspnetForm><div class="content-sidebar-wrap"><div><p>{prose}</p><p>{prose}</p></div></div></form></body>')
+    assert wrapped.count("at last.") == 2
+
+
+def generated_page(rng):
+    """A page and the text of its article, which is known as the page is made."""
+    words = ["river", "stone", "market", "winter", "engine", "letter", "garden", "signal", "harbour", "method"]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randint(8, 16))).capitalize() + ", " + " ".join(rng.choices(words, k=rng.randint(6, 12))) + "."
+    paragraph = lambda: " ".join(sentence() for _ in range(rng.randint(2, 5)))
+    slug = lambda: "-".join(rng.choices(["related", "legal", "social", "notice", "advert", "share", "comments", *words], k=2) + [rng.choice(words)])
+    beside = [
+        lambda: f'<div class="comments"><div class="comment"><p>{paragraph()}</p></div></div>',
+        lambda: f'<div class="ad-slot"><p>{sentence()}</p></div>',
+        lambda: f'<div class="share-buttons"><a href=x>{sentence()}</a></div>',
+        lambda: f'<section class="discussion"><div class="comment-body"><p>{paragraph()}</p></div></section>',
+        lambda: f'<div id="cookie-notice"><p>{sentence()}</p></div>',
+        lambda: f'<form><p>{sentence()}</p><input></form>',
+        lambda: f'<div hidden><p>{paragraph()}</p></div><div style="display: none">{sentence()}</div>',
+        lambda: f'<aside>{sentence()}</aside><ul class="menu"><li><a href=a>{sentence()}</a></ul>',
+    ]
+    parts, expected = [], []
+    for k in range(rng.randint(2, 6)):
+        title, body = " ".join(rng.choices(words, k=3)), paragraph()
+        opening = rng.choice(["<section>", '<section class="discussion">', f'<section id="{slug()}">', f'<div data-class="ad comments" id="{slug()}">'])
+        parts.append(f'{opening}<h2 id="{slug()}">{title}</h2><p title="hidden {title}">{body} <a href="/hidden/comments">{title}</a></p></{opening[1:].split()[0].strip(">")}>')
+        expected += [title, f"{body} {title}"]
+        if rng.random() < 0.7:
+            parts.append(rng.choice(beside)())
+    article = rng.choice(["article", "main"])
+    page = f"<html><head><title>no</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav>{rng.choice(beside)()}<{article}>{''.join(parts)}</{article}>{rng.choice(beside)()}<footer>{sentence()}</footer></body></html>"
+    return page, "\n".join(expected)
+
+
+def test_generated_pages():
+    rng = random.Random(3)
+    for _ in range(300):
+        page, expected = generated_page(rng)
+        assert main_text(page) == expected, page
+
+
+def test_long_odd_pages_take_linear_time():
+    for page in ("<p>" + "<b>" * 70_000 + "x" + "</i>" * 150_000, "<div>x " * 100_000, "<b>" * 60_000 + "<div>a</div>" * 60_000, '<a "' * 200_000, "<a '>" * 150_001, "<ul><li><p>some text" * 40_000):
+        start = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - start < 6
+
+
 def vectors(n, dim=16, seed=1):
     return np.random.default_rng(seed).normal(size=(n, dim)).astype(np.float32)
 
@@ -70,3 +134,23 @@ def test_few_and_no_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0])]
     assert {(r.query_id, r["rank"], r.vec_id) for r in run(spark, rows)} == brute(rows)
     assert run(spark, [(0, [1.0])]) == [] and run(spark, [(1, None)]) == []
+
+
+def test_outliers_short_buckets_and_ties_are_answered_exactly(spark):
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(vectors(30, 8))] + [(100, [90.0, -70.0] + [0.0] * 6)]
+    assert {(r.query_id, r["rank"], r.vec_id) for r in run(spark, rows)} == brute(rows)
+    ties = [(i, [float(i == j) for j in range(220)]) for i in range(220)]  # all at one distance
+    assert {(r.query_id, r["rank"], r.vec_id) for r in run(spark, ties)} == brute(ties)
+
+
+def test_blocks_of_exact_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_NUMBERS", 16)
+    monkeypatch.setattr(ann, "GROUP_NUMBERS", 1 << 10)
+    rows = [(i, (v * 1000 if i % 100 == 0 else v).tolist()) for i, v in enumerate(vectors(500, 8, seed=4))]
+    assert {(r.query_id, r["rank"], r.vec_id) for r in run(spark, rows)} == brute(rows)
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(40, 4, seed=2))] + [(0, [5.0, 5.0, 5.0, 5.0]), (3, [1.0, 1.0, 1.0, 1.0])]
+    found = run(spark, rows)
+    assert [r["rank"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(1, 11)) and len({r.vec_id for r in found}) == 10
