@@ -9,18 +9,20 @@ The set is broadcast in blocks of at most `block_windows` windows: a larger benc
 more passes over the documents, each of bounded size, whose hits are merged by document.
 
 Defined cases: null and empty texts have no words and no hits; items without words never
-occur; equal items each count; rows of documents are never merged, even with equal doc_id;
-an empty table gives no rows; extra columns pass through `decontaminate`.
+occur; equal items each count; words of an item without item_id are hit, but having no name it
+is not among the items found; rows of documents are never merged, even with equal doc_id;
+an empty table gives no rows; columns of any name pass through `decontaminate` as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from attesta.llm.columns import free_name
 
 #: A-Z in lower case; bytes of words stay, all others turn into spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -38,8 +40,8 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
 class WindowSet:
     """Windows of benchmark items; finds where they occur in texts."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
-        self.items: dict[tuple[int, ...], set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
+        self.items: dict[tuple[int, ...], set[str | None]] = {}
         self.vocabulary: dict[bytes, int] = {}
         for item, text in items:
             for window in windows_of(words_of(text), size):
@@ -80,7 +82,7 @@ class WindowSet:
                     start = at - (int(ends[doc - 1]) if doc else 0)
                     spans, names = hits.setdefault(doc, ([], set()))
                     spans.append((start, start + n))
-                    names |= items
+                    names |= items - {None}
         return [(merged(hits[i][0]), hits[i][1]) if i in hits else ([], set()) for i in range(len(texts))]
 
 
@@ -95,16 +97,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
-HIT = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+#: What a scan adds to a document: its number of words, the hit spans of words, the ids of occurring items.
+ADDED = ("n_words", "spans", "items")
+
 
+def benchmark_hits(df: DataFrame, benchmark: DataFrame, size: int = 13, block_windows: int = 200_000, names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """`df` with n_words, spans (of hit words) and items (ids of occurring items, sorted).
 
-def benchmark_hits(df: DataFrame, benchmark: DataFrame, size: int = 13, block_windows: int = 1_000_000) -> DataFrame:
-    """`df` with n_words, spans (of hit words) and items (ids of occurring items, sorted)."""
-    blocks = item_blocks(benchmark, size, block_windows)
-    base = df.drop("n_words", "spans", "items")
-    found = base
-    for k, items in enumerate(blocks):
-        found = _scan(found, items, size, first=k == 0)
+    The columns are called `names`; columns of `df` with these names are replaced.
+    """
+    found = df.drop(*names)
+    for k, items in enumerate(item_blocks(benchmark, size, block_windows)):
+        found = _scan(found, items, size, names, first=k == 0)
     return found
 
 
@@ -113,7 +117,7 @@ def item_blocks(benchmark: DataFrame, size: int, block_windows: int):
 
     One block at a time is read, so the driver holds no more than one.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     words = F.size(F.split("text", "[^0-9A-Za-z\\u0080-\\x{10FFFF}]+"))
     total = items.agg(F.coalesce(F.sum(F.greatest(words - (size - 1), F.lit(1))), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // block_windows)) if total > block_windows else 1
@@ -122,33 +126,46 @@ def item_blocks(benchmark: DataFrame, size: int, block_windows: int):
         yield [(r.item_id, r.text) for r in part.toLocalIterator()]
 
 
-def _scan(df: DataFrame, items: list[tuple[str, str | None]], size: int, first: bool) -> DataFrame:
+_built: list[tuple[list, int, WindowSet]] = []
+
+
+def window_set(items: list[tuple[str | None, str | None]], size: int) -> WindowSet:
+    """The windows of `items`, built once for each worker as long as the same list is asked for."""
+    if not _built or _built[0][0] is not items or _built[0][1] != size:
+        _built[:] = [(items, size, WindowSet(items, size))]
+    return _built[0][2]
+
+
+def _scan(df: DataFrame, items: list[tuple[str | None, str | None]], size: int, added: tuple[str, str, str], first: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(items)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in ("n_words", "spans", "items"))
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    kinds = (T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType()))
+    fields = [f for f in df.schema.fields if f.name not in added]
+    schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(added, kinds, strict=True))])
+    names = [f.name for f in fields]
 
     def run(batches):
-        windows = WindowSet(shared.value, size)
+        windows = window_set(shared.value, size)
         for whole in batches:
-            names = [n for n in whole.schema.names if n not in ("n_words", "spans", "items")]
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 words = [words_of(t.as_py()) for t in batch.column("text")]
                 hits = windows.scan(words)
                 if not first:
-                    before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                    before = zip(batch.column(added[1]).to_pylist(), batch.column(added[2]).to_pylist(), strict=True)
                     hits = [(merged([*spans, *((s["start"], s["end"]) for s in old)]), items | set(had)) for (spans, items), (old, had) in zip(hits, before, strict=True)]
                 columns = [
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _ in hits], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array([sorted(items) for _, items in hits], pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], names=[*names, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], names=[*names, *added])
 
-    return df.mapInArrow(run, f"{schema}, {HIT}")
+    return df.mapInArrow(run, schema)
 
 
-def n_hit():
-    return F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+def n_hit(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
@@ -166,16 +183,14 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFr
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, size: int = 13, remove: str = "documents") -> DataFrame:
     """`df` without contaminated documents ("documents"), or with hit words cut from texts ("spans")."""
-    hits = benchmark_hits(df, benchmark, size)
+    added = tuple(free_name(n, df.columns) for n in ADDED)
+    hits, (n_words, spans, _) = benchmark_hits(df, benchmark, size, names=added), added
     if remove == "documents":
-        hit = n_hit()
-        return hits.where(~((hit > 0) & (20 * hit >= F.col("n_words")))).select(df.columns)
+        hit = n_hit(spans)
+        return hits.where(~((hit > 0) & (20 * hit >= F.col(n_words)))).select(df.columns)
     pattern = "[0-9A-Za-z\\u0080-\\x{10FFFF}]+"
     pieces = F.split("text", f"(?={pattern})(?<![0-9A-Za-z\\u0080-\\x{{10FFFF}}])")
     lead = F.when(F.col("text").rlike(f"^(?:{pattern})"), 0).otherwise(1)
-    kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i - lead >= s["start"]) & (i - lead < s["end"])))
-    return hits.withColumn("text", F.when(F.size("spans") > 0, F.array_join(kept, "")).otherwise(F.col("text"))).select(df.columns)
-
+    kept = F.filter(pieces, lambda p, i: ~F.exists(spans, lambda s: (i - lead >= s["start"]) & (i - lead < s["end"])))
+    return hits.withColumn("text", F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(F.col("text"))).select(df.columns)
 
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()

@@ -61,8 +61,17 @@ def test_removal(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     docs = clashing(documents(spark, rows))
     kept = decontaminate.decontaminate(docs, bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == docs.columns
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.schema == docs.schema
+    assert all(r[c] == "x" for r in kept.collect() for c in own)
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
     assert cut[1].split() == ["Start,", "End."] and cut[2] == "clean text" and "b5" not in cut[3] and cut[4] is None
     assert decontaminate.contamination(documents(spark, []), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_items_without_id_are_hit_but_not_named(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, item), (7, "other words")], "item_id long, text string")
+    (row,) = decontaminate.contamination(documents(spark, [(1, item)]), bench).collect()
+    assert (row.n_hit, row.n_items, row.items_sha256, row.contaminated) == (20, 0, hashlib.sha256(b"").hexdigest(), True)
