@@ -40,9 +40,9 @@ _LETTER_RUN = re.compile(r"[^\W\d_]+")
 
 
 def shape(word: str) -> str:
-    """A word's form: runs of letters as x, X or Xx, runs of digits as 9, the rest as it is, capped at 12."""
-    word = _LETTER_RUN.sub(lambda m: "X" if len(m[0]) > 1 and m[0].isupper() else "Xx" if m[0][0].isupper() else "x", word[:64])
-    return re.sub(r"\d+", "9", word)[:12]
+    """A word's form: runs of letters as x, X or Xx, runs of digits as 9, the rest as it is."""
+    word = _LETTER_RUN.sub(lambda m: "X" if len(m[0]) > 1 and m[0].isupper() else "Xx" if m[0][0].isupper() else "x", word)
+    return re.sub(r"\d+", "9", word)
 
 
 def bucket(kind: str, value: str) -> int:
@@ -180,15 +180,15 @@ def rated_features(docs: DataFrame, ratings: DataFrame, sample: int) -> tuple[li
     return rows, np.array(found["grade"].to_pylist(), np.int64)
 
 
-def score_quality(df: DataFrame, ratings: DataFrame, docs: DataFrame | None = None, keep_grade: int = 1, keep_probability: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def score_quality(df: DataFrame, ratings: DataFrame, docs: DataFrame | None = None, keep_grade: int = 1, keep_probability: float = 0.5, sample: int = SAMPLE, out: tuple[str, str, str] = ("expected_grade", "tail_probability", "keep")) -> DataFrame:
     """`df` with expected_grade, tail_probability (of keep_grade or better) and keep.
 
-    ratings: doc_id and grade (0, 1, ...); docs: where rated texts stand, `df` by default.
+    ratings: doc_id and grade (0, 1, ...); docs: where rated texts stand, `df` by default;
+    out: the names of the three columns, which replace columns of `df` with these names.
     """
     rows, grades = rated_features(df if docs is None else docs, ratings, sample)
     model = OrdinalModel.fit(rows, grades)
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.grades))  # 128 KB
-    out = ("expected_grade", "tail_probability", "keep")
     base = df.drop(*out)
     schema = T.StructType(base.schema.fields + [T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.BooleanType())])
 

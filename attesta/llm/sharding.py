@@ -18,6 +18,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.llm.columns import free_name
+
 #: Bits of the row hash that can index the directory.
 HASH_BITS = 60
 
@@ -82,22 +84,23 @@ def shard_documents(df: DataFrame, limit_bytes: int) -> DataFrame:
     return placed(df, limit_bytes).drop("copy")
 
 
-def write_shards(df: DataFrame, limit_bytes: int, path: str) -> None:
-    """Write the rows of df as Parquet, one folder for each shard.
+def write_shards(df: DataFrame, limit_bytes: int, path: str) -> str:
+    """Write the rows of df as Parquet, one folder for each shard; the name of the shard column.
 
-    Only rows that share id and size are numbered, so that each copy finds its own shard.
+    It is "shard", or "shard_" and so on where df has such a column. Only rows that share id
+    and size are numbered, so that each copy finds its own shard.
     """
-    where = placed(df, limit_bytes).select(F.col("doc_id").alias("p_id"), F.col("n_bytes").alias("p_bytes"), F.col("copy").alias("p_copy"), "shard")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    several = where.where("p_copy = 2").select(F.col("p_id").alias("s_id"), F.col("p_bytes").alias("s_bytes"))
-    rows = df.withColumn("p_size", size)
-    twice = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("p_size") == F.col("s_bytes"))
-    number = F.row_number().over(Window.partitionBy("doc_id", "p_size").orderBy(F.xxhash64("text")))
-    copies = rows.join(several, twice, "left_semi").withColumn("p_number", number)
-    all_rows = rows.join(several, twice, "left_anti").withColumn("p_number", F.lit(1)).unionByName(copies)
-    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("p_size") == F.col("p_bytes")) & (F.col("p_number") == F.col("p_copy"))
-    whole = all_rows.join(where, same).select(*df.columns, "shard")
-    whole.repartition("shard").write.partitionBy("shard").parquet(path)
+    size_, number_, shard, id_, bytes_, copy_ = (free_name(n, df.columns) for n in ("row size", "row number", "shard", "placed id", "placed size", "placed copy"))
+    where = placed(df, limit_bytes).select(F.col("doc_id").alias(id_), F.col("n_bytes").alias(bytes_), F.col("copy").alias(copy_), F.col("shard").alias(shard))
+    rows = df.withColumn(size_, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"`{id_}`")) & (F.col(f"`{size_}`") == F.col(f"`{bytes_}`"))
+    several = where.where(F.col(f"`{copy_}`") == 2).select(f"`{id_}`", f"`{bytes_}`")
+    number = F.row_number().over(Window.partitionBy("doc_id", f"`{size_}`").orderBy(F.xxhash64("text")))
+    copies = rows.join(several, same, "left_semi").withColumn(number_, number)
+    all_rows = rows.join(several, same, "left_anti").withColumn(number_, F.lit(1)).unionByName(copies)
+    whole = all_rows.join(where, same & (F.col(f"`{number_}`") == F.col(f"`{copy_}`"))).select(*[f"`{c}`" for c in df.columns], shard)
+    whole.repartition(shard).write.partitionBy(shard).parquet(path)
+    return shard
 
 
 def shard_sql(limit_bytes: int) -> str:

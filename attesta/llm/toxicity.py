@@ -296,7 +296,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean:
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """`df` with score and predicted; labels: doc_id and toxic; docs: where labelled texts stand."""
+    """`df` with score and predicted, which replace columns of these names.
+
+    labels: doc_id and toxic; docs: where labelled texts stand, `df` by default.
+    """
     net = train(*training_rows(df if docs is None else docs, labels))
     shared = df.sparkSession.sparkContext.broadcast(None if net is None else net.p)
     base = df.drop("score", "predicted")

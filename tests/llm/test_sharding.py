@@ -35,7 +35,7 @@ def test_small_and_empty_tables(spark):
 
 def test_written_shards_hold_every_row(spark, tmp_path):
     rows = [(i, "word " * (i % 50)) for i in range(300)] + [(7, "dup"), (7, "dup")]
-    docs = clashing(documents(spark, rows)).drop("shard")
-    sharding.write_shards(docs, 5000, str(tmp_path / "out"))
+    docs = clashing(documents(spark, rows)).selectExpr("*", "1 as p_id", "2 as p_size", "3 as s_id")
+    assert sharding.write_shards(docs, 5000, str(tmp_path / "out")) == "shard_"
     again = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
-    assert sorted((r.doc_id, r.text) for r in again.collect()) == sorted(rows)
+    assert sorted((r.doc_id, r.text, r.shard, r.p_size) for r in again.collect()) == sorted((*r, "x", 2) for r in rows)
