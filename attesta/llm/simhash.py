@@ -9,6 +9,11 @@ Equal fingerprints are one trie leaf, so exact copies cost nothing. A pair of no
 leaves already are of one component is pruned too: dense groups of near copies give a
 spanning forest, not their pairs.
 
+`near_duplicates` links fingerprints as such. `verified_copies` takes PRINTS fingerprints of a
+text, each by another hash of the same shingles: texts are candidates if one of them differs
+in at most max_bits bits and all of them together in at most TOTAL bits each on average, so
+that chance links of single fingerprints never join components; candidates are then verified on the shingles.
+
 Defined cases: null and empty texts, and texts of white space, have the fingerprint zero and
 are linked like any other; rows with equal doc_id each get the component of their text; a
 null doc_id is never the name of a component unless no other id is in it; an empty table
@@ -22,7 +27,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.graph import components
@@ -31,10 +36,15 @@ from attesta.session import cut
 
 #: Node pairs that are expanded at once.
 CHUNK = 100_000
-#: A trie node of as many keys is a leaf.
-LEAF = 4
+#: A trie node of as many keys is a leaf; key pairs of leaves that are compared at once.
+LEAF, LEAF_CELLS = 64, 1 << 20
 #: Fingerprints that may meet by chance in one block.
 BUCKET = 2_000
+#: Fingerprints of a text in `verified_copies`, and bits in which each may differ on average. At a
+#: similarity of 0.8 a bit differs in 15 of 100 cases, 9.7 of 64; unlike texts differ in 32.
+PRINTS, TOTAL = 3, 16
+#: Rows of one task of the trie join, on average.
+TASK_ROWS = 500_000
 #: Texts of a component up to which all of its pairs are compared at once, those already connected left out.
 SMALL = 32
 #: Keys by which the texts of a larger component meet, each of two min-hashes. Texts of a
@@ -120,10 +130,11 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def trie_self_join(keys: np.ndarray, depth: int, max_bits: int) -> np.ndarray:
-    """Component labels of sorted distinct 64-bit keys, linked at up to max_bits differing bits.
+def trie_self_join(keys: np.ndarray, depth: int, max_bits: int, others: np.ndarray | None = None, total: int = 0) -> np.ndarray:
+    """Component labels of sorted 64-bit keys, linked at up to max_bits differing bits.
 
-    Only keys that share their first `depth` bits are compared.
+    Only keys that share their first `depth` bits are compared. others: further fingerprints
+    of each key; a link then needs at most `total` differing bits in all of them together.
     """
     n = len(keys)
     labels = np.arange(n)
@@ -148,15 +159,12 @@ def trie_self_join(keys: np.ndarray, depth: int, max_bits: int) -> np.ndarray:
         small = ((a_end - a <= LEAF) & (b_end - b <= LEAF)) | (level >= 64)
         if small.any():
             links = [[], []]
-            la, ea, lb, eb, _ = pairs[:, small]
-            for i in range(int((ea - la).max())):
-                for j in range(int((eb - lb).max())):
-                    x, y = la + i, lb + j
-                    fits = (x < ea) & (y < eb) & (x < y)
-                    x, y = x[fits], y[fits]
-                    near = np.bitwise_count(keys[x] ^ keys[y]) <= max_bits
-                    links[0].append(x[near])
-                    links[1].append(y[near])
+            for x, y in leaf_pairs(keys, pairs[:, small], max_bits):
+                if others is not None:
+                    near = all_bits(keys, others, x, y) <= total
+                    x, y = x[near], y[near]
+                links[0].append(x)
+                links[1].append(y)
             x, y = map(np.concatenate, links)
             if len(x):
                 labels = join_labels(labels, x, y)
@@ -180,12 +188,68 @@ def trie_self_join(keys: np.ndarray, depth: int, max_bits: int) -> np.ndarray:
     return labels
 
 
+def leaf_pairs(keys: np.ndarray, pairs: np.ndarray, max_bits: int):
+    """(x, y) of keys within max_bits bits, each in one leaf of a pair of leaves (a, a_end, b, b_end, ...)."""
+    a, a_end, b, b_end = pairs[:4]
+    order = np.argsort(np.maximum(a_end - a, b_end - b), kind="stable")  # leaves of like sizes together
+    at = 0
+    while at < len(order):
+        wide = int(max(a_end[order[at]] - a[order[at]], b_end[order[at]] - b[order[at]]))
+        size = max(1, LEAF_CELLS // max(1, 2 * wide) ** 2)
+        part = order[at : at + size]
+        at += size
+        la, lb = a[part], b[part]
+        i, j = np.arange(int((a_end[part] - la).max())), np.arange(int((b_end[part] - lb).max()))
+        x, y = la[:, None] + i, lb[:, None] + j
+        left, right = keys[np.minimum(x, len(keys) - 1)], keys[np.minimum(y, len(keys) - 1)]
+        p, q, r = np.nonzero(np.bitwise_count(left[:, :, None] ^ right[:, None, :]) <= max_bits)
+        x, y = x[p, q], y[p, r]
+        fits = (x < a_end[part][p]) & (y < b_end[part][p]) & (x < y)
+        yield x[fits], y[fits]
+
+
+def all_bits(keys: np.ndarray, others: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of keys and others together, of the pairs x-y."""
+    return np.bitwise_count(keys[x] ^ keys[y]).astype(np.int64) + np.bitwise_count(others[x] ^ others[y]).sum(axis=1, dtype=np.int64)
+
+
+def stand_ins(keys: np.ndarray, others: np.ndarray, total: int) -> np.ndarray:
+    """For each of sorted keys the index of one that stands for it in the trie.
+
+    Of more than four equal keys, those that are near the first of them, or near the one
+    before them in order of the other fingerprints, are linked to it and need no comparison.
+    """
+    found = np.arange(len(keys))
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    first = np.repeat(starts, sizes)
+    many = np.flatnonzero((np.repeat(sizes, sizes) > 4) & (found != first))
+    near = all_bits(keys, others, many, first[many]) <= total
+    found[many[near]] = first[many[near]]
+    rest = many[~near]
+    follows = rest[all_bits(keys, others, rest, rest - 1) <= total]
+    found[follows] = follows - 1
+    while (found[found] != found).any():
+        found = found[found]
+    return found
+
+
+def _tasks(prints: DataFrame, rows: int) -> int:
+    """Tasks of a trie join: as many as shuffles have, more where the table is large."""
+    return max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def _entries(choices: list[list[tuple[int, int]]], fp: str) -> list[Column]:
+    """struct(block, head) of each set of blocks: where the rows of a fingerprint meet."""
+    head = lambda chosen: " || '-' || ".join(f"(shiftrightunsigned({fp}, {s}) & {(1 << w) - 1})" for s, w in chosen)
+    return [F.struct(F.lit(i).alias("block"), F.xxhash64(F.expr(head(c))).alias("head")) for i, c in enumerate(choices)]
+
+
 def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` that connect all within max_bits bits."""
-    choices = block_choices(max_bits, prints.count())
-    head = lambda chosen: " || '-' || ".join(f"(shiftrightunsigned(fp, {s}) & {(1 << w) - 1})" for s, w in chosen)
-    entries = [F.struct(F.lit(i).alias("block"), F.xxhash64(F.expr(head(c))).alias("head")) for i, c in enumerate(choices)]
-    rows = prints.select(F.col("fp").alias("key"), F.explode(F.array(*entries)).alias("x")).select("x.*", "key")
+    n = prints.count()
+    choices = block_choices(max_bits, n)
+    rows = prints.select(F.col("fp").alias("key"), F.explode(F.array(*_entries(choices, "fp"))).alias("x")).select("x.*", "key")
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -202,7 +266,41 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
             back = own[order].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(back[linked]), pa.array(back[labels[linked]])], names=["a", "b"])
 
-    return rows.repartition("block", "head").select("block", "key").mapInArrow(run, "a long, b long")
+    return rows.repartition(_tasks(prints, n * len(choices)), "block", "head").select("block", "key").mapInArrow(run, "a long, b long")
+
+
+def candidate_links(prints: DataFrame, max_bits: int, total: int) -> DataFrame:
+    """(a, b): links between rows of prints (pid, fp0, fp1, ...) that are near in one fingerprint and in all.
+
+    Near: at most max_bits differing bits in one of them, at most `total` in all together.
+    """
+    names = [f"fp{i}" for i in range(PRINTS)]
+    n = prints.count()
+    choices = block_choices(max_bits, n)
+    entries = [F.struct(F.lit(i).alias("which"), e["block"].alias("block"), e["head"].alias("head")) for i, fp in enumerate(names) for e in _entries(choices, fp)]
+    rows = prints.select("pid", *names, F.explode(F.array(*entries)).alias("x")).select("x.*", "pid", *names)
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        which, block, pid = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("which", "block", "pid"))
+        fps = np.stack([np.concatenate([p.column(c).to_numpy() for p in parts]) for c in names], axis=1).view(np.uint64)
+        for i in range(PRINTS):
+            for k, chosen in enumerate(choices):
+                at = np.flatnonzero((which == i) & (block == k))
+                turned, others = brought_forward(fps[at, i], chosen), np.delete(fps[at], i, axis=1)
+                order = np.lexsort((*others.T, turned))
+                at, turned, others = at[order], turned[order], others[order]
+                stands = stand_ins(turned, others, total)
+                chief = np.flatnonzero(stands == np.arange(len(at)))
+                labels = trie_self_join(turned[chief], sum(w for _, w in chosen), max_bits, others[chief], total)
+                linked, copied = np.flatnonzero(labels != np.arange(len(chief))), np.flatnonzero(stands != np.arange(len(at)))
+                own = pid[at]
+                a, b = (np.concatenate(x) for x in ((own[chief[linked]], own[copied]), (own[chief[labels[linked]]], own[stands[copied]])))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.repartition(_tasks(prints, n * len(entries)), "which", "block", "head").drop("head").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -317,26 +415,29 @@ def verified_links(member: DataFrame, texts: DataFrame, shingle: int, similarity
     return found
 
 
-def verified_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similarity: float = 0.8) -> DataFrame:
+def verified_copies(df: DataFrame, shingle: int = 5, max_bits: int = 9, similarity: float = 0.8) -> DataFrame:
     """(doc_id, gid, kept_id): documents that a kept one stands for; gid is the hash of the text.
 
-    Equal texts are copies of the one with the smallest doc_id. Others are candidates if their
-    fingerprints are of one component, and linked if the Jaccard similarity of their word
-    shingles is `similarity` or more. The smallest doc_id of all that links connect, directly
+    Equal texts are copies of the one with the smallest doc_id. Others are candidates if near
+    fingerprints connect them, and linked if the Jaccard similarity of their word shingles is
+    `similarity` or more. The smallest doc_id of all that links connect, directly
     or through others, is kept. Rows without doc_id take no part.
     """
     gid = F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
     docs = df.where("doc_id is not null").select("doc_id", gid.alias("gid"), F.coalesce("text", F.lit("")).alias("text"))
 
+    names = [f"fp{i}" for i in range(PRINTS)]
+
     def prints_of(batches):
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("gid"), pa.array(prints.view(np.int64))], names=["doc_id", "gid", "fp"])
-
-    prints = cut(docs.mapInArrow(prints_of, "doc_id long, gid long, fp long"))
-    firsts = cut(prints.groupBy("gid", "fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(fingerprint_links(firsts.select("fp").distinct(), max_bits))
-    member = firsts.join(roots, firsts.fp == roots.node, "left").select("gid", F.col("first_id").alias("doc_id"), F.coalesce("root", "fp").alias("root"))
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
+            fps = [np.fromiter((majority_bits(h if i == 0 else mixed(h, i)) for h in hashes), np.uint64, batch.num_rows).view(np.int64) for i in range(PRINTS)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("gid"), *map(pa.array, fps)], names=["doc_id", "gid", *names])
+
+    prints = cut(docs.mapInArrow(prints_of, "doc_id long, gid long, " + ", ".join(f"{n} long" for n in names)))
+    firsts = cut(prints.groupBy("gid", *names).agg(F.min("doc_id").alias("first_id")).withColumn("pid", F.xxhash64(*names)))
+    roots = components(candidate_links(firsts.select("pid", *names).dropDuplicates(["pid"]), max_bits, PRINTS * TOTAL))
+    member = firsts.join(roots, firsts.pid == roots.node, "left").select("gid", F.col("first_id").alias("doc_id"), F.coalesce("root", "pid").alias("root"))
     several = member.groupBy("root").count().where("count > 1").select("root")
     member = cut(member.join(several, "root"))
     texts = cut(docs.join(member.select("doc_id", "gid"), ["doc_id", "gid"]).dropDuplicates(["gid"]).select("gid", "text"))
@@ -348,7 +449,7 @@ def verified_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similari
     return prints.select("doc_id", "gid").join(known, "gid").where("doc_id > kept_id")
 
 
-def drop_copies(df: DataFrame, shingle: int = 5, max_bits: int = 8, similarity: float = 0.8) -> DataFrame:
+def drop_copies(df: DataFrame, shingle: int = 5, max_bits: int = 9, similarity: float = 0.8) -> DataFrame:
     """`df` with one document of each group of verified copies, that with the smallest doc_id."""
     copies = verified_copies(df, shingle, max_bits, similarity).select(F.col("doc_id").alias("gone_id"), F.col("gid").alias("gone_gid")).distinct()
     gid = F.xxhash64(F.coalesce(df["text"], F.lit("")), F.length(F.coalesce(df["text"], F.lit(""))))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -142,8 +143,31 @@ def test_copies_of_a_later_base_and_many_groups_are_settled(spark, monkeypatch):
             rows.append((100 + 10 * g + c, " ".join(copy)))
     links = linked_pairs(rows)
     assert not [1 for a, b in links if max(a, b) < 99]
-    monkeypatch.setattr(simhash, "fingerprint_links", lambda prints, max_bits: prints.selectExpr("fp AS a", "min(fp) OVER () AS b"))
+    monkeypatch.setattr(simhash, "candidate_links", lambda prints, max_bits, total: prints.selectExpr("pid AS a", "min(pid) OVER () AS b"))
     for small in (3, 1000):
         monkeypatch.setattr(simhash, "SMALL", small)
         left = {r.doc_id for r in simhash.drop_copies(documents(spark, rows)).collect()}
         assert left == kept_by_links(rows, links) and len(left) == 13
+
+
+def test_candidate_links_equal_brute_force(spark):
+    """Several prints a text: near in one and in all; many equal first prints, and chance links that must not join."""
+    rng = random.Random(6)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    base = [tuple(rng.getrandbits(64) for _ in range(3)) for _ in range(60)]
+    prints = [*base, *(tuple(flip(x, rng.randint(0, 12)) for x in rng.choice(base)) for _ in range(300))]
+    prints += [(base[0][0], rng.getrandbits(64), rng.getrandbits(64)) for _ in range(12)]  # equal by chance
+    prints += [(base[1][0], flip(base[1][1], 6), flip(base[1][2], 9)) for _ in range(12)]  # equal and near
+    prints = sorted(set(prints))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *map(signed, p)) for i, p in enumerate(prints)]
+    links = simhash.candidate_links(spark.createDataFrame(rows, "pid long, fp0 long, fp1 long, fp2 long"), 9, 48)
+    found = {r.node: r.root for r in components(links).collect()}
+    true = list(range(len(prints)))
+    apart = lambda p, q: [(a ^ b).bit_count() for a, b in zip(p, q, strict=True)]
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        bits = apart(prints[i], prints[j])
+        if min(bits) <= 9 and sum(bits) <= 48 and true[i] != true[j]:
+            lo, hi = sorted((true[i], true[j]))
+            true = [lo if t == hi else t for t in true]
+    assert [found.get(i, i) for i in range(len(prints))] == true
