@@ -19,10 +19,10 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest doc_id.
 
-    Candidates by SimHash of five-word shingles within eight bits, verified at a Jaccard
+    Candidates by SimHash of five-word shingles within nine bits of one of three fingerprints, verified at a Jaccard
     similarity of 0.8.
     """
-    return simhash.drop_copies(docs, shingle=5, max_bits=8, similarity=0.8)
+    return simhash.drop_copies(docs, shingle=5, max_bits=9, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
