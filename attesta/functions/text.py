@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Punctuation that spreadsheets garble and what stands for it in plain ASCII.
 SMART_PUNCTUATION = {"—": "-", "–": "-", "−": "-", "…": "...", "\u00a0": " ", "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "™": "TM", "®": "(R)", "©": "(C)"}
+# References and typographic marks that quotes and pages spell differently.
+GATE_MARKS = {"&nbsp;": " ", "&amp;": "&", "&#8217;": "'", "&rsquo;": "'", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-"}
 # Cells that mean "nothing".
 PLACEHOLDERS = ("x", "n/a", "na", "-", "none")
 # Words that set sibling editions of one brand apart.
@@ -84,6 +86,14 @@ def normalize_evidence(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def gate_text(c: Column | str) -> Column:
+    """Text of a quote made comparable: references and typographic marks plain, space run together, lower case."""
+    t = text(c)
+    for mark, plain in GATE_MARKS.items():
+        t = F.replace(t, F.lit(mark), F.lit(plain))
+    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+
+
 def visible_text(html: Column | str) -> Column:
     """Text of a page without script, style, tags and the commonest references."""
     t = F.regexp_replace(text(html), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
