@@ -3,12 +3,20 @@
 Tokens are shingles of five words. For each of `HASHES` hash functions the Cartesian tree of
 a text's token hashes, built from the top and pruned below the least length, gives compact
 windows (l, c, r): every passage within [l, r] that holds c has the token at c as its
-min-hash. Two texts that share a passage share, for each hash that its min-hash agrees on,
-the window's token and, on the side of c where the passage goes on, the token REACH further.
-These two tokens key a join; it links each window to the first document (smallest doc_id)
-that has the key. Intervals of one pair of documents are joined over all hashes, and each
-candidate is verified on the words: it grows from the shared token over small edits while
-the Jaccard similarity of five-word shingles stays at SIMILARITY or more.
+min-hash. Windows of two functions are joined where their intervals meet: every passage in
+the common interval that holds both minima has this signature of two tokens. The signatures
+key a join over documents, so texts that meet agree in two functions on one interval: an
+equal passage always does, one of a similarity of 0.8 does in 90 of 100 cases, one of 0.9 in 97. They
+are then verified on the words, from the shared token over small edits while the Jaccard
+similarity of five-word shingles stays at SIMILARITY or more.
+
+A key links each of its windows to its first document (smallest doc_id). Within a batch of a task
+the windows of a key are linked to the first of the batch, which alone goes on, so that
+a passage of very many documents is spread over the tasks. A text that does not share a passage
+with its first document is not done: it goes on under keys of where their common words end
+and of what follows there, on each side, which any other text that shares a passage
+around that token has too. This is repeated until no key holds two texts; the common words
+grow each time, so that it ends.
 
 A repeated passage has MIN_WORDS words or more and stands in another document too. Its first
 document keeps it. Documents whose whole text stands in an earlier one are copies: one text
@@ -23,6 +31,7 @@ pass through `drop_repeats`.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -35,9 +44,6 @@ from attesta.session import cut
 
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 HASHES = 3
-#: Tokens from a window's minimum to the second token of its key. A passage of MIN_WORDS has
-#: 46 tokens, so at least one side of the minimum reaches that far.
-REACH = 20
 #: Words that may differ in a row while a passage grows.
 GAP = 3
 
@@ -92,36 +98,46 @@ def shingles_of(words: np.ndarray) -> np.ndarray:
     return mixed(found)
 
 
+def spread(values: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of tokens, made distinct: equal tokens stand in an order by place, so that trees stay low."""
+    return mixed(values, seed) & ~np.uint64(0xFFFFF) | mixed(np.arange(len(values), dtype=np.uint64), 99) >> np.uint64(44)
+
+
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree's nodes that span `least` tokens or more."""
-    found, stack = [], [(0, len(values) - 1)]
+    """(l, c, r) of the Cartesian tree's nodes that span `least` tokens or more; values are distinct."""
+    found, stack = [], [(0, len(values))] if len(values) >= least else []
     while stack:
-        l, r = stack.pop()  # noqa: E741
-        if r - l + 1 < least:
-            continue
-        part = values[l : r + 1]
-        c = int(part.argmin())
-        if (part[c + 1 :] == part[c]).any():  # of equal tokens the middle one, so that the tree stays low
-            same = np.flatnonzero(part == part[c])
-            c = int(same[len(same) // 2])
-        c += l
-        found.append((l, c, r))
-        stack += [(l, c - 1), (c + 1, r)]
+        l, end = stack.pop()  # noqa: E741
+        c = l + int(values[l:end].argmin())
+        found.append((l, c, end - 1))
+        if c - l >= least:
+            stack.append((l, c))
+        if end - c > least:
+            stack.append((c + 1, end))
     return found
 
 
+def joined_intervals(one: np.ndarray, other: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(c, c of other) of windows of two functions whose common interval holds both minima and `least` tokens."""
+    other = other[np.argsort(other[:, 1])]
+    l, c, r = one.T  # noqa: E741
+    lows, highs = np.searchsorted(other[:, 1], l), np.searchsorted(other[:, 1], r, "right")
+    n = highs - lows
+    x = np.repeat(np.arange(len(one)), n)
+    y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lows, n)
+    left, right = np.maximum(l[x], other[y, 0]), np.minimum(r[x], other[y, 2])
+    fits = (other[y, 0] <= c[x]) & (c[x] <= other[y, 2]) & (right - left + 1 >= least)
+    return c[x[fits]], other[y[fits], 1]
+
+
 def window_keys(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of all windows of all hashes, and the token each stands at."""
-    keys, at = [], []
-    for i in range(1, HASHES + 1):
-        values = mixed(tokens, i)
-        windows = np.array(compact_windows(values, least), np.int64).reshape(-1, 3)
-        l, c, r = windows.T  # noqa: E741
-        for side, fits in ((1, c + REACH <= r), (-1, c - REACH >= l)):
-            here = c[fits]
-            keys.append(mixed(values[here] ^ mixed(tokens[here + side * REACH], 64 + side), i))
-            at.append(here)
-    return np.concatenate(keys), np.concatenate(at)
+    """Signatures of two functions, and the token each stands at."""
+    windows = [np.array(compact_windows(spread(tokens, i), least), np.int64).reshape(-1, 3) for i in range(1, HASHES + 1)]
+    found = []
+    for i, j in itertools.combinations(range(HASHES), 2):
+        c, d = joined_intervals(windows[i], windows[j], least)
+        found.append((mixed(tokens[c] ^ mixed(tokens[d], 64 + j), 1 + i), c))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def same_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -169,7 +185,11 @@ def passages(first: str | None, text: str | None, seeds: list[tuple[int, int]],
     seeds: words of `text` and of `first` where a shingle is shared. Runs of `least` words
     that are equal in both are found whether there is a seed in them or not.
     """
-    a, b = run_hashes(text, 1), run_hashes(first, 1)
+    return shared_passages(run_hashes(text, 1), run_hashes(first, 1), seeds, least)
+
+
+def shared_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int]]:
+    """The same, by the hashes of the words of `text` and of `first`."""
     tokens, other = shingles_of(a), shingles_of(b)
     found: list[tuple[int, int, int, int]] = []
 
@@ -223,8 +243,46 @@ def passages(first: str | None, text: str | None, seeds: list[tuple[int, int]],
     return found
 
 
+def open_ends(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], found: list[tuple[int, int, int, int]], salt: int) -> list[tuple[int, int]]:
+    """(key, word) of seeds that lie in no passage found: where the common words end, and what follows.
+
+    A third text that shares a passage around the seed with text a, but not with b, goes on
+    as a does on one side at least, and so has the same key there. salt: the hash of text b.
+    """
+    keys = []
+    for p, q in seeds:
+        if any(s <= p and p + SHINGLE <= e for s, e, *_ in found) or not np.array_equal(a[p : p + SHINGLE], b[q : q + SHINGLE]):
+            continue
+        after, before = same_run(a[p:], b[q:]), same_run(a[:p][::-1], b[:q][::-1])
+        start = shingles_of(a[p : p + SHINGLE])
+        for side, at in ((after, p + after), (-1 - before, p - before - 1)):
+            if 0 <= at < len(a):
+                word = mixed(a[at : at + 1], 3) ^ np.uint64((salt ^ side) & (2**64 - 1))
+                keys.append((int(mixed(start ^ mixed(word, 8), 9).view(np.int64)[0]), p))
+    return keys
+
+
+#: What a task sends: a window (first_at below zero), or a link within a batch, whose `key` is the text it is linked to.
+SENT = ("key", "doc_id", "gid", "at", "first_at")
+
+
+def sent_rows(keys: np.ndarray, ids: np.ndarray, gids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The windows of the first text of each key of a batch, and links of the other texts to it."""
+    order = np.lexsort((at, gids, ids, keys))
+    keys, ids, gids, at = keys[order], ids[order], gids[order], at[order]
+    fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    linked = gids != gids[lead]
+    columns = (np.where(linked, gids[lead], keys), ids, gids, at.astype(np.int32), np.where(linked, at[lead], -1).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(SENT))
+
+
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, k, nullable=False) for n, k in fields])
+
+
 def _windows(docs: DataFrame, least_words: int) -> DataFrame:
-    """(key, doc_id, gid, at): window keys of all texts.
+    """Window keys of all texts, as SENT says.
 
     Of the copies of a text a task sends the first, and again only one with a smaller doc_id,
     so that the first document of a text is always among them.
@@ -233,9 +291,9 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
     def run(batches):
         sent: dict[int, int] = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                keys, at, ids, gids = [], [], [], []
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                found, ids, gids = [], [], []
                 for doc, gid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "gid", "text")), strict=True):
                     if gid in sent and sent[gid] <= doc:
                         continue
@@ -243,47 +301,56 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
                     tokens = run_hashes(text, SHINGLE)
                     if len(tokens) < least_words - SHINGLE + 1:
                         continue
-                    found = window_keys(tokens, least_words - SHINGLE + 1)
-                    keys.append(found[0])
-                    at.append(found[1])
-                    ids.append(np.full(len(found[0]), doc, np.int64))
-                    gids.append(np.full(len(found[0]), gid, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(gids)), pa.array(np.concatenate(at).astype(np.int32))], names=["key", "doc_id", "gid", "at"])
+                    found.append(window_keys(tokens, least_words - SHINGLE + 1))
+                    ids.append(np.full(len(found[-1][0]), doc, np.int64))
+                    gids.append(np.full(len(found[-1][0]), gid, np.int64))
+                if found:
+                    keys, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                    if len(keys):
+                        yield sent_rows(keys.view(np.int64), np.concatenate(ids), np.concatenate(gids), at)
 
-    kinds = (("key", T.LongType()), ("doc_id", T.LongType()), ("gid", T.LongType()), ("at", T.IntegerType()))
-    return docs.mapInArrow(run, T.StructType([T.StructField(n, k, nullable=False) for n, k in kinds]))
+    long, int_ = T.LongType(), T.IntegerType()
+    return docs.mapInArrow(run, _schema(("key", long), ("doc_id", long), ("gid", long), ("at", int_), ("first_at", int_)))
 
 
-def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, gid, start, end, first_id, first_start, first_end): passages that repeat an earlier document.
+def links_of(windows: DataFrame) -> DataFrame:
+    """(gid, doc_id, at, first_gid, first_at): each window beside that of the first document of its key.
 
-    Positions count words; gid is the hash of the text. Copies of a whole text have one row,
-    from its first to its last word.
+    Windows of a key meet once: the first of them and all of them read one shuffle, which
+    Spark reuses as both need the same columns, none of them nullable.
     """
-    docs = df.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text", F.length("text")).alias("gid"), "text")
-    texts = docs.groupBy("gid").agg(F.min("doc_id").alias("least_id"))
-    # Each key's windows meet once: the first of them and all of them read one shuffle, which
-    # Spark reuses as both need the same columns, none of them nullable.
-    windows = _windows(docs, least_words).repartition("key")
-    order = F.struct("doc_id", "gid", "at")
-    firsts = windows.groupBy("key").agg(F.min(order).alias("f"), F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("key", "f")
-    links = windows.join(firsts, "key").where("gid <> f.gid").select("doc_id", "gid", "at", F.col("f.gid").alias("first_gid"), F.col("f.at").alias("first_at"))
-    pairs = links.groupBy("gid", "first_gid").agg(F.collect_set(F.struct("at", "first_at")).alias("seeds"), F.min("doc_id").alias("seen_id"))
-    pairs = cut(pairs)
+    met = windows.repartition("key")
+    window = F.when(F.col("first_at") < 0, F.struct("doc_id", "gid", "at", "first_at"))
+    firsts = met.groupBy("key").agg(F.min(window).alias("f"), F.min(window["gid"]).alias("lo"), F.max(window["gid"]).alias("hi")).where("lo <> hi").select("key", "f")
+    local, own = F.col("first_at") >= 0, F.col("gid") != F.col("f.gid")  # a key of links has no first
+    kept = met.join(firsts, "key", "left").where(local | own)
+    return kept.select("gid", "doc_id", "at", F.when(local, F.col("key")).otherwise(F.col("f.gid")).alias("first_gid"), F.when(local, F.col("first_at")).otherwise(F.col("f.at")).alias("first_at"))
+
+
+#: Rows of `judged`: a passage, or (with first_id null) a word at which a text goes on under another key.
+JUDGED = "doc_id long, gid long, start int, end int, first_id long, first_start int, first_end int, key long"
+
+
+def judged(links: DataFrame, docs: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
+    """Verified passages of linked texts, and keys under which a text goes on that shares none; see JUDGED.
+
+    docs: doc_id, gid, text, one row each; texts: gid and least_id, the first document of each text.
+    """
+    pairs = cut(links.groupBy("gid", "first_gid").agg(F.collect_set(F.struct("at", "first_at")).alias("seeds")))
     # a pair is kept by the later of its texts; both are named by their first document
     named = pairs.join(texts, "gid").join(texts.select(F.col("gid").alias("first_gid"), F.col("least_id").alias("first_id")), "first_gid")
     late = (F.col("first_id") < F.col("least_id")) | (F.col("first_id") == F.col("least_id")) & (F.col("first_gid") < F.col("gid"))
-    named = named.where(late).select("gid", "least_id", "first_gid", "first_id", "seeds", F.xxhash64("gid", "first_gid").alias("pair"))
-    named = cut(named)
+    turned = F.transform("seeds", lambda s: F.struct(s["first_at"].alias("at"), s["at"].alias("first_at")))
+    ends = lambda c, other: F.when(late, F.col(c)).otherwise(F.col(other))
+    named = named.select(ends("gid", "first_gid").alias("gid"), ends("least_id", "first_id").alias("least_id"), ends("first_gid", "gid").alias("first_gid"), ends("first_id", "least_id").alias("first_id"), F.when(late, F.col("seeds")).otherwise(turned).alias("seeds"))
+    named = cut(named.withColumn("pair", F.xxhash64("gid", "first_gid")))
     sides = named.select("pair", F.col("gid").alias("of"), F.col("least_id").alias("id"), F.lit(0).alias("side")).unionByName(
         named.select("pair", F.col("first_gid").alias("of"), F.col("first_id").alias("id"), F.lit(1).alias("side"))
     )
     # the texts of both sides, from one shuffle of the documents
-    one_each = docs.dropDuplicates(["doc_id", "gid"]) if _repeated_ids(docs) else docs
-    held = one_each.join(sides, (one_each.doc_id == sides.id) & (one_each.gid == sides.of)).select("pair", "side", "text")
+    held = docs.join(sides.distinct(), (docs.doc_id == sides.id) & (docs.gid == sides.of)).select("pair", "side", "text")
     both = held.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("text"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("first_text"))
-    both = both.join(named, "pair").select("gid", F.col("least_id").alias("doc_id"), "first_id", "seeds", "text", "first_text")
+    both = both.join(named, "pair").select("gid", F.col("least_id").alias("doc_id"), "first_id", "first_gid", "seeds", "text", "first_text")
 
     def verify(batches):
         for whole in batches:
@@ -291,17 +358,48 @@ def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
                 rows = []
                 for r in whole.slice(start, 128).to_pylist():
                     seeds = [(s["at"], s["first_at"]) for s in r["seeds"]]
-                    rows += [(r["doc_id"], r["gid"], s, e, r["first_id"], t, u) for s, e, t, u in passages(r["first_text"], r["text"], seeds, least_words)]
+                    a, b = run_hashes(r["text"], 1), run_hashes(r["first_text"], 1)
+                    found = shared_passages(a, b, seeds, least_words)
+                    rows += [(r["doc_id"], r["gid"], s, e, r["first_id"], t, u, None) for s, e, t, u in found]
+                    rows += [(r["doc_id"], r["gid"], at, None, None, None, None, key) for key, at in set(open_ends(a, b, seeds, found, r["first_gid"]))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "gid", "start", "end", "first_id", "first_start", "first_end"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    names = ["doc_id", "gid", "start", "end", "first_id", "first_start", "first_end", "key"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return both.mapInArrow(verify, JUDGED)
 
-    kind = "doc_id long, gid long, start int, end int, first_id long, first_start int, first_end int"
-    partial = both.mapInArrow(verify, kind)
+
+def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, gid, start, end, first_id, first_start, first_end): passages that repeat an earlier document.
+
+    Positions count words; gid is the hash of the text. The earlier document is the first that
+    holds the passage, or the first of a batch of a task. Copies of a whole text have one row,
+    from its first to its last word.
+    """
+    docs = df.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text", F.length("text")).alias("gid"), "text")
+    texts = cut(docs.groupBy("gid").agg(F.min("doc_id").alias("least_id")))
+    one_each = docs.dropDuplicates(["doc_id", "gid"]) if _repeated_ids(docs) else docs
+    links, found, again = links_of(_windows(docs, least_words)), None, False
+    while True:
+        seen = cut(judged(links, one_each, texts, least_words))
+        passages_ = seen.where("first_id is not null").drop("key")
+        found = passages_ if found is None else found.unionByName(passages_)
+        # texts that share no passage with the first document meet those that go on alike
+        going = seen.where("first_id is null").select("key", "doc_id", "gid", F.col("start").alias("at"))
+        firsts = going.groupBy("key").agg(F.min(F.struct("doc_id", "gid", "at")).alias("f"), F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("key", "f")
+        links = cut(going.join(firsts, "key").where("gid <> f.gid").select("gid", "doc_id", "at", F.col("f.gid").alias("first_gid"), F.col("f.at").alias("first_at")))
+        if links.isEmpty():
+            break
+        if not again:  # all further rounds are among the texts of this one
+            some = links.select("gid").union(links.select("first_gid")).distinct().join(texts, "gid")
+            one_each, again = cut(one_each.join(some.select(F.col("gid").alias("of"), "least_id"), (F.col("gid") == F.col("of")) & (F.col("doc_id") == F.col("least_id")), "left_semi")), True
+    found = found.distinct()
     trimmed = F.trim("text", F.lit(" \t\n\x0b\x0c\r"))
     n_words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+")))
     counted = docs.select("doc_id", "gid", n_words.alias("n")).where(F.col("n") >= least_words).distinct()
     copies = counted.join(texts, "gid").where("doc_id > least_id").select("doc_id", "gid", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("least_id").alias("first_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"))
-    return partial.unionByName(copies)
+    return found.unionByName(copies)
 
 
 def _repeated_ids(docs: DataFrame) -> bool:

@@ -13,12 +13,13 @@ def prose(n, seed):
 
 def test_compact_windows_cover_every_passage_once():
     values = np.array([random.Random(k).randint(0, 9) for k in range(60)], np.uint64)
+    values = substring.spread(values, 1)
     windows = substring.compact_windows(values, 8)
     for i in range(60):
         for j in range(i + 7, 60):
             holding = [(l, c, r) for l, c, r in windows if l <= i <= c <= j <= r]
             assert len(holding) == 1 and values[holding[0][1]] == values[i : j + 1].min()
-    assert len(substring.compact_windows(np.zeros(100_000, np.uint64), 46)) < 10_000
+    assert len(substring.compact_windows(substring.spread(np.zeros(100_000, np.uint64), 1), 46)) < 10_000
 
 
 def test_run_hashes_follow_words():
@@ -55,9 +56,7 @@ def test_finds_planted_passages_and_nothing_else(spark):
     rows = cases() + [(None if i is None else i + 5000, t) for i, t in odd_rows()]
     found = substring.repeats(clashing(documents(spark, rows))).collect()
     pairs = {(r.doc_id, r.first_id) for r in found}
-    missed = brute(rows, 50) - pairs
-    assert not missed
-    assert pairs - brute(rows, 50) <= {(202, 100)} and (202, 100) in pairs
+    assert {i for i, _ in brute(rows, 50)} | {202} == {i for i, _ in pairs} and all(f < i for i, f in pairs)
     text = {}
     for i, t in rows:
         text.setdefault(i, t)
@@ -114,3 +113,36 @@ def test_edited_passages_are_found_from_every_seed():
             if edited[at : at + 5] == passage[at : at + 5]:
                 found = substring.passages(" ".join(first), " ".join(text), [(70 + at, 90 + at)])
                 assert any(s <= 70 and 70 + n <= e for s, e, *_ in found), (edits, at)
+
+
+def test_passages_are_found_when_the_first_holder_has_only_a_part(spark):
+    """Documents that share a passage meet though an earlier one with much of it fails against both."""
+    passage = prose(52, "whole")
+    for edits in ((12, 25, 38, 47), (20, 26), (3, 48)):
+        part = [f"new{k}" if k in edits else w for k, w in enumerate(passage)]
+        rows = [(1, " ".join(prose(70, 1) + part + prose(60, 2))), (2, " ".join(prose(80, 3) + passage + prose(50, 4))), (3, " ".join(prose(65, 5) + passage + prose(75, 6)))]
+        found = {(r.doc_id, r.end - r.start) for r in substring.repeats(documents(spark, rows)).collect() if r.first_id == 2}
+        assert any(i == 3 and n >= 52 for i, n in found), edits
+
+
+def test_lines_that_many_share_hide_no_passage(spark):
+    line = prose(30, "licence")
+    passages = [line[10:] + prose(30, f"after{k}") for k in range(3)] + [prose(30, f"before{k}") + line[:22] for k in range(3)]
+    rows = [(k, " ".join(prose(60, f"l{k}") + line + prose(60, f"r{k}"))) for k in range(60)]
+    for n, p in enumerate(passages * 2):
+        rows.append((100 + n, " ".join(prose(40, f"a{n}") + (line[:10] + p if n % 6 < 3 else p + line[22:]) + prose(45, f"b{n}"))))
+    found = substring.repeats(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.first_id) for r in found} == {(106 + n, 100 + n) for n in range(6)}
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 100 words with two words changed (similarity 0.81 and more) are found in 0.9 of all cases."""
+    rng, rows = random.Random(77), []
+    for k in range(150):
+        passage = prose(100, 5000 + k)
+        edited = list(passage)
+        for at in rng.sample(range(6, 94), 2):
+            edited[at] = f"new{k}x{at}"
+        rows += [(k, " ".join(prose(60, 6000 + k) + passage + prose(60, 7000 + k))), (1000 + k, " ".join(prose(50, 8000 + k) + edited + prose(50, 9000 + k)))]
+    found = {r.doc_id - 1000 for r in substring.repeats(documents(spark, rows)).collect() if r.first_id == r.doc_id - 1000}
+    assert len(found) >= 135
