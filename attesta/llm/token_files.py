@@ -1,11 +1,11 @@
 """Token-ID files: ids of an adaptive context-mixing range coder, in checksummed blocks.
 
 Each block of at most BLOCK ids starts from a fresh model and is coded alone. Order-2 and
-order-1 contexts (the last two ids, the last id) each predict one id with a confidence;
-adaptive probabilities of both predictions are mixed in the logistic domain by weights that
-learn online, and the mixed probability drives an arithmetic coder. Ids that neither context
-predicts are coded by an adaptive order-0 model, digit by digit. All arithmetic is on
-integers, so that any machine decodes what another has written.
+order-1 contexts (the last two ids, the last id) each predict one id with a confidence; the
+adaptive probabilities of both predictions and that which the order-0 model gives the predicted id are
+mixed in the logistic domain by weights that learn online, and the mixed probability drives an
+arithmetic coder. Ids that neither context predicts are coded by the order-0 model, digit by
+digit. All arithmetic is on integers, so that any machine decodes what another has written.
 
 Blocks don't depend on each other, so many are coded in step, one array element for each.
 
@@ -164,12 +164,22 @@ def _adapt(table: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
     table[at] += (np.where(y, _ONE - 1, 0) - table[at]) >> 4
 
 
+def order0(digits: np.ndarray, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order-0 share of an id of each lane, of 4096: the product of the shares of its digits."""
+    flat, row, found = digits.ravel(), lanes * 273, None
+    for shift, first in ((12, 0), (8, 1), (4, 17)):
+        at = (row + first + (ids >> (shift + 4))) * 17 + ((ids >> shift) & 15)
+        share = (flat[at + 1] - flat[at]).astype(np.int64)
+        found = share if found is None else found * share >> _BITS
+    return found >> (4 + _BITS - 12)  # the last digit is even
+
+
 def _code(coder: _Writer | _Reader, lengths: np.ndarray) -> None:
     """Run the model over all lanes; lengths must fall. Writer and reader meet the same states."""
     n = len(lengths)
     order2, order1 = np.zeros(n * _SLOTS, np.int32), np.zeros(n * _SLOTS, np.int32)  # (id + 1) << 3 | confidence
     seen2, seen1, seen_b = np.full(n * 9, _ONE // 2, np.int32), np.full(n * 16, _ONE // 2, np.int32), np.full(n * 8, _ONE // 4, np.int32)
-    weights = np.full((2, n), 1 << 15, np.int64)
+    weights = np.repeat(np.array([[1 << 15], [1 << 15], [1 << 12]], np.int64), n, axis=1)
     digits = np.tile((np.arange(17) * (_ONE // 16)).astype(np.int32), (n * 273, 1))
     last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
     alive = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if n else 0), side="left")
@@ -188,12 +198,14 @@ def _code(coder: _Writer | _Reader, lengths: np.ndarray) -> None:
             i2 = has * 9 + np.where(q2[has] > 0, c2[has], 8)
             i1 = has * 16 + np.where(q1[has] == guess[has], c1[has], 8 + c1[has])
             x2, x1 = _STRETCH[seen2[i2] >> 3], _STRETCH[seen1[i1] >> 3]
-            w2, w1 = weights[0, has], weights[1, has]
-            p12 = _SQUASH[np.clip((w2 * x2 + w1 * x1) >> 16, -2047, 2047) + 2047]
+            x0 = _STRETCH[order0(digits, has, guess[has] - 1)]
+            w2, w1, w0 = weights[0, has], weights[1, has], weights[2, has]
+            p12 = _SQUASH[np.clip((w2 * x2 + w1 * x1 + w0 * x0) >> 16, -2047, 2047) + 2047]
             y = coder.bit(has, t, np.clip(p12 << 3, 32, _ONE - 32), guess[has])
             error = ((y.astype(np.int64) << 12) - p12) * 6
             weights[0, has] = w2 + ((x2 * error + 512) >> 10)
             weights[1, has] = w1 + ((x1 * error + 512) >> 10)
+            weights[2, has] = w0 + ((x0 * error + 512) >> 10)
             _adapt(seen2, i2, y)
             _adapt(seen1, i1, y)
             hit = has[y]
@@ -337,14 +349,14 @@ def write_token_files(df: DataFrame, definition_path: str, path: str, end_id: in
         from pyspark import TaskContext
 
         part, tokens = TaskContext.get().partitionId(), _vocabulary(shared.value)
-        group, docs, lengths, ids, number, held = [], [], [], [], 0, 0
+        group, docs, lengths, ids, number, held, own = [], [], [], [], 0, 0, 0
 
         def pack():
-            nonlocal number, docs, lengths, ids
+            nonlocal number, docs, lengths, ids, own
             if docs:
                 group.append((number, (docs, lengths, np.frombuffer(b"".join(ids), "<u2"))))
                 number += 1
-                docs, lengths, ids = [], [], []
+                docs, lengths, ids, own = [], [], [], 0
 
         def flush():
             rows = list(coded_group(group, part))
@@ -360,7 +372,8 @@ def write_token_files(df: DataFrame, definition_path: str, path: str, end_id: in
                     lengths.append(len(data) // 2)
                     ids.append(data)
                     held += len(data) // 2
-                    if sum(lengths) >= CHUNK_IDS:
+                    own += len(data) // 2
+                    if own >= CHUNK_IDS:
                         pack()
                     if held >= LANES * BLOCK:
                         pack()
