@@ -23,6 +23,7 @@ gives no rows; only doc_id and text are read, so other columns may have any name
 from __future__ import annotations
 
 import itertools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,14 @@ CHUNK = 100_000
 #: A trie node of as many keys is a leaf; key pairs of leaves that are compared at once.
 LEAF, LEAF_CELLS = 64, 1 << 20
 #: Fingerprints that may meet by chance in one block.
-BUCKET = 2_000
+BUCKET = 20_000
 #: Fingerprints of a text in `verified_copies`, and bits in which each may differ on average. At a
 #: similarity of 0.8 a bit differs in 15 of 100 cases, 9.7 of 64; unlike texts differ in 32.
 PRINTS, TOTAL = 3, 16
 #: Rows of one task of the trie join, on average.
 TASK_ROWS = 500_000
-#: Texts of a component up to which all of its pairs are compared at once, those already connected left out.
-SMALL = 32
+#: Texts and characters of a component up to which its pairs are compared at once, those already connected left out.
+SMALL, SMALL_CHARS = 256, 1 << 25
 #: Keys by which the texts of a larger component meet, each of two min-hashes. Texts of a
 #: similarity of 0.8 share none of them in 0.36^BANDS = 5 of a million pairs.
 BANDS = 12
@@ -239,17 +240,22 @@ def _tasks(prints: DataFrame, rows: int) -> int:
     return max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
 
-def _entries(choices: list[list[tuple[int, int]]], fp: str) -> list[Column]:
-    """struct(block, head) of each set of blocks: where the rows of a fingerprint meet."""
-    head = lambda chosen: " || '-' || ".join(f"(shiftrightunsigned({fp}, {s}) & {(1 << w) - 1})" for s, w in chosen)
-    return [F.struct(F.lit(i).alias("block"), F.xxhash64(F.expr(head(c))).alias("head")) for i, c in enumerate(choices)]
+def _meeting(prints: DataFrame, choices: list[list[tuple[int, int]]], names: list[str]) -> DataFrame:
+    """`prints` once for each fingerprint and each set of blocks: which, block, and head, by which near ones meet."""
+    masks = [sum(((1 << w) - 1) << shift for shift, w in chosen) for chosen in choices]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    entries = [{"which": i, "block": k, "mask": m} for i in range(len(names)) for k, m in enumerate(signed)]
+    listed = F.from_json(F.lit(json.dumps(entries)), "array<struct<which:int,block:int,mask:long>>")  # a literal, once folded
+    rows = prints.withColumn("x", F.explode(listed))
+    own = F.element_at(F.array(*[F.col(n) for n in names]), F.col("x.which") + 1)
+    return rows.select("x.which", "x.block", F.xxhash64("x.which", "x.block", own.bitwiseAND(F.col("x.mask"))).alias("head"), *prints.columns)
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` that connect all within max_bits bits."""
     n = prints.count()
     choices = block_choices(max_bits, n)
-    rows = prints.select(F.col("fp").alias("key"), F.explode(F.array(*_entries(choices, "fp"))).alias("x")).select("x.*", "key")
+    rows = _meeting(prints.select("fp"), choices, ["fp"]).withColumnRenamed("fp", "key")
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -277,8 +283,7 @@ def candidate_links(prints: DataFrame, max_bits: int, total: int) -> DataFrame:
     names = [f"fp{i}" for i in range(PRINTS)]
     n = prints.count()
     choices = block_choices(max_bits, n)
-    entries = [F.struct(F.lit(i).alias("which"), e["block"].alias("block"), e["head"].alias("head")) for i, fp in enumerate(names) for e in _entries(choices, fp)]
-    rows = prints.select("pid", *names, F.explode(F.array(*entries)).alias("x")).select("x.*", "pid", *names)
+    rows = _meeting(prints.select("pid", *names), choices, names)
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -300,7 +305,7 @@ def candidate_links(prints: DataFrame, max_bits: int, total: int) -> DataFrame:
                 a, b = (np.concatenate(x) for x in ((own[chief[linked]], own[copied]), (own[chief[labels[linked]]], own[stands[copied]])))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.repartition(_tasks(prints, n * len(entries)), "which", "block", "head").drop("head").mapInArrow(run, "a long, b long")
+    return rows.repartition(_tasks(prints, n * PRINTS * len(choices)), "which", "block", "head").drop("head").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -317,10 +322,20 @@ def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def word_shingles(text: str | None, size: int) -> set[bytes]:
-    """Runs of `size` words in lower case; the whole sequence if it is shorter."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `size` words; texts without words have one in common."""
+    found = np.unique(shingle_hashes(text, size))
+    return found if len(found) else np.zeros(1, np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of `similarity` or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    small, large = sorted((a, b), key=len)
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return common >= similarity * (len(a) + len(b) - common)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -341,15 +356,14 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     both = salted.join(texts.select(F.col("gid").alias("b"), F.col("text").alias("text_b")), "b").join(first, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
     def compare(batches):
-        last, own = None, set()
+        last, own = None, np.zeros(0, np.uint64)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 out = []
                 for r in whole.slice(start, 256).to_pylist():
                     if r["a"] != last:
-                        last, own = r["a"], word_shingles(r["text_a"], shingle)
-                    other = word_shingles(r["text_b"], shingle)
-                    if len(own & other) >= similarity * len(own | other):
+                        last, own = r["a"], shingle_set(r["text_a"], shingle)
+                    if alike(own, shingle_set(r["text_b"], shingle), similarity):
                         out.append((r["a"], r["b"]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -357,13 +371,13 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
 
 
 def small_links(member: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of member (root, gid, text): links that connect the similar texts of each component; none has over SMALL texts."""
+    """(a, b) of member (root, gid, text): links that connect the similar texts of each component; all are small."""
 
     def run(group):
-        gids, sets = group.column("gid").to_pylist(), [word_shingles(t, shingle) for t in group.column("text").to_pylist()]
+        gids, sets = group.column("gid").to_pylist(), [shingle_set(t.as_py(), shingle) for t in group.column("text")]
         label, out = list(range(len(gids))), []
         for i, j in itertools.combinations(range(len(gids)), 2):
-            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            if label[i] != label[j] and alike(sets[i], sets[j], similarity):
                 label = [label[i] if x == label[j] else x for x in label]
                 out.append((gids[i], gids[j]))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -375,13 +389,15 @@ def verified_links(member: DataFrame, texts: DataFrame, shingle: int, similarity
     """(a, b): links of similar texts that connect all similar ones which meet in a component.
 
     member: root, gid; texts: gid, text. All texts of a small component meet; those of a larger
-    one do by band keys, and lead one after the other in an order by hash: eight times as many
+    one do by band keys, and lead one after the other in an order by hash: 64 times as many
     lead in each turn as in the one before, each against those after it that are not connected
     to it by then. It ends when all have led or all that meet are connected.
     """
-    sizes = member.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    lengths = texts.select("gid", F.length("text").alias("chars"))
+    sizes = member.join(lengths, "gid").groupBy("root").agg(F.count("*").alias("size"), F.sum("chars").alias("chars")).where("size > 1")
     member = cut(member.join(sizes, "root"))
-    found = cut(small_links(member.where(F.col("size") <= SMALL).join(texts, "gid"), shingle, similarity))
+    small = (F.col("size") <= SMALL) & (F.col("chars") <= SMALL_CHARS)
+    found = cut(small_links(member.where(small).join(texts, "gid"), shingle, similarity))
 
     def run(batches):
         for whole in batches:
@@ -393,13 +409,13 @@ def verified_links(member: DataFrame, texts: DataFrame, shingle: int, similarity
                 gid, root = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("gid", "root"))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (root, gid, band, key)], names=["root", "gid", "band", "key"])
 
-    large = member.where(F.col("size") > SMALL).join(texts, "gid").select("root", "gid", "text")
+    large = member.where(~small).join(texts, "gid").select("root", "gid", "text")
     keyed = large.mapInArrow(run, "root long, gid long, band long, key long").select("gid", F.xxhash64("root", "band", "key").alias("meet"))
     place = (F.xxhash64("gid", F.lit("place")) / F.lit(2.0**64) + 0.5).alias("place")
     keyed = cut(keyed.select("gid", "meet", place))
     groups = keyed.groupBy("meet").agg(F.count("*").alias("n"), F.min(F.struct("place", "gid")).alias("first")).where("n > 1")
     soon = (F.col("n") <= 4) | (F.col("gid") == F.col("first.gid")) | (F.col("place") * F.col("n") <= 1)
-    turn = F.when(soon, 0).otherwise(F.ceil(F.log(8.0, F.col("place") * F.col("n")))).cast("int")
+    turn = F.when(soon, 0).otherwise(F.ceil(F.log(64.0, F.col("place") * F.col("n")))).cast("int")
     open_ = cut(keyed.join(groups, "meet").select("meet", "gid", "place", turn.alias("turn"), F.col("gid").alias("label")))
     now = 0
     while (last := open_.agg(F.max("turn")).first()[0]) is not None and now <= last:
