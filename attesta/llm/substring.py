@@ -336,7 +336,8 @@ def judged(links: DataFrame, docs: DataFrame, texts: DataFrame, least_words: int
 
     docs: doc_id, gid, text, one row each; texts: gid and least_id, the first document of each text.
     """
-    pairs = cut(links.groupBy("gid", "first_gid").agg(F.collect_set(F.struct("at", "first_at")).alias("seeds")))
+    # the smallest doc_id is asked for only so that both readers of the windows need the same columns (see links_of)
+    pairs = cut(links.groupBy("gid", "first_gid").agg(F.collect_set(F.struct("at", "first_at")).alias("seeds"), F.min("doc_id").alias("seen_id")))
     # a pair is kept by the later of its texts; both are named by their first document
     named = pairs.join(texts, "gid").join(texts.select(F.col("gid").alias("first_gid"), F.col("least_id").alias("first_id")), "first_gid")
     late = (F.col("first_id") < F.col("least_id")) | (F.col("first_id") == F.col("least_id")) & (F.col("first_gid") < F.col("gid"))
