@@ -19,6 +19,7 @@ CALLS_OF = {
     "exhibiting": ("exhibit", "booth", "sponsor"),
     "registration": ("register", "registration"),
 }
+# Marks of deliberate clears, and words that tell no call from another.
 CLEAR_MARKERS = ("[retired]", "[R1 withdrawal]")
 LABEL_STOP = ("the", "for", "and", "call", "deadline", "submission", "submissions")
 
@@ -107,6 +108,30 @@ def quote_around(page: Column | str, needle: Column | str, reach: int = 60) -> C
     return F.when((at > 0) & (n != ""), F.trim(F.substring(flat, F.greatest(at - reach, F.lit(1)), F.length(n) + 2 * reach))).otherwise("")
 
 
+def date_quote(page: Column | str, d: Column, reach: int = 80) -> Column:
+    """The words of a page around a date as people write it, whole words, never a bare day number; empty if none."""
+    forms = ["MMMM d", "MMMM dd", "MMM d", "d MMMM", "d MMM", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy"]
+    flat = F.regexp_replace(text(page), r"\s+", " ")
+
+    def around(needle: Column) -> Column:
+        at = F.instr(F.lower(flat), F.lower(needle))
+        start = F.greatest(at - reach, F.lit(1))
+        piece = F.substring(flat, start, F.lit(2 * reach))
+        whole = F.when(start > 1, F.regexp_replace(piece, r"^\S*\s", "")).otherwise(piece)
+        ended = F.when(start + 2 * reach <= F.length(flat), F.regexp_replace(whole, r"\s\S*$", "")).otherwise(whole)
+        return F.when(needle.isNotNull() & (at > 0), F.trim(ended))
+
+    return F.coalesce(*[around(F.date_format(d, f)) for f in forms], F.lit(""))
+
+
+def closure_evidence(page: Column | str) -> Column:
+    """The words around the first wording on a page that closes the call; empty if none does."""
+    from attesta.operators.decisions import CLOSED_WORDING, page_status
+
+    around = F.regexp_extract(F.regexp_replace(text(page), r"\s+", " "), rf"(?i)(.{{0,60}}?(?:{CLOSED_WORDING}).{{0,60}})", 1)
+    return F.when(page_status(page) == "closed", F.trim(around)).otherwise("")
+
+
 def judged_fix(event: Column | str, cited: Column | str, ours: Column | str, quote: Column | str, name: Column | str) -> Column:
     """struct(verdict, reason): whether a better citation may be offered; CONFIRMED or REVIEW."""
     own, given = (F.regexp_replace(url.path_of(u), "/+$", "") for u in (ours, cited))

@@ -61,4 +61,4 @@ def series(event: Column | str) -> Column:
 def opportunity_of(event: Column | str) -> Column:
     """The kind of opportunity that an id ends in."""
     e = text(event)
-    return F.when(e.endswith("-awards"), "awards").when(e.endswith("-exhibiting"), "exhibiting").when(e.endswith("-sponsorship"), "sponsorship").otherwise("speaking")
+    return F.when(e.endswith("-awards"), "awards").when(e.endswith("-exhibiting"), "exhibiting").when(e.endswith("-registration"), "registration").otherwise("speaking")

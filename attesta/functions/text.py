@@ -190,9 +190,12 @@ def has_member(list_column: Column | str, value: Column | str) -> Column:
 
 
 def salvage_json(c: Column | str) -> Column:
-    """The outermost {...} of a model's answer, code fences dropped; null if there is none."""
-    t = F.regexp_replace(text(c), "```(?:json)?", "")
-    return F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit(""))
+    """The JSON object of a model's answer: fences dropped, the first of a list, else the outermost {...}; null if none can be read."""
+    t = F.trim(F.regexp_replace(text(c), r"(?m)^```(?:json)?|```$", ""))
+    cut = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    listed = F.filter(F.from_json(F.when(t.startswith("["), t), "array<string>"), lambda x: x.startswith("{"))
+    as_object = lambda j: F.when(j.startswith("{") & F.from_json(j, "map<string,string>").isNotNull(), j)
+    return F.when(t.startswith("["), as_object(F.get(listed, F.lit(0)))).otherwise(F.coalesce(as_object(t), as_object(cut)))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = ("Open", "Upcoming", "Monitoring", "Verify", "Closed")
+# The buckets of an event, in the order in which they are shown and ranked.
+BUCKETS = ("Open", "Upcoming", "Monitoring", "Closed", "Verify")
 
 
 def billing(licenses: DataFrame, usage: DataFrame, period: str | None, rate_per_mtok: float) -> DataFrame:
@@ -66,3 +67,16 @@ def repeated_shingles(pages: DataFrame, key: str, page_text: str, least_pages: i
 
     each = pages.select(key, F.explode(shingles(page_text, size)).alias("shingle"))
     return each.groupBy(key, "shingle").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+
+
+def chrome_share(snippets: DataFrame, chrome: DataFrame, key: str, snippet: str, size: int = 6) -> DataFrame:
+    """Snippets (id, key, snippet) with the share of their runs that are their site's chrome, and is_chrome.
+
+    Half of the runs make a snippet chrome; one that is too short for a run is not.
+    """
+    from attesta.functions.text import shingles
+
+    runs = snippets.select("id", key, F.explode(shingles(snippet, size)).alias("shingle"))
+    known = chrome.select(key, "shingle").distinct().withColumn("known", F.lit(1))
+    share = runs.join(known, [key, "shingle"], "left").groupBy("id").agg((F.count("known") / F.count("*")).alias("share"))
+    return snippets.join(share, "id", "left").withColumn("share", F.coalesce("share", F.lit(0.0))).withColumn("is_chrome", F.col("share") >= 0.5)

@@ -24,9 +24,21 @@ CLOSED_WORDING = (
     r"|thank(?:s| you)? (?:all )?(?:the )?authors who (?:have )?submitted"
 )
 OPEN_WORDING = r"call for (?:papers|abstracts|speakers|presentations) (?:is )?(?:now )?open|submissions? (?:are |is )?(?:now )?open|submit your (?:paper|abstract|proposal|talk)|now accepting (?:papers|abstracts|submissions|proposals)"
+# Wording of conditions, of deadlines that are not the call's, and hosts that no citation may have.
 CONDITIONAL = r"\b(?:once|if|when|after|unless|should|until|in the event|please note that)\b"
 OTHER_DEADLINE = r"\b(?:registration|early[- ]bird|hotel|booth|exhibit\w*|payment|visa|badge)\s+deadline\b"
 
+PROXY_HOSTS = ("vertexaisearch.cloud.google.com", "grounding-api-redirect", "webcache.googleusercontent.com", "translate.google.com", "r.jina.ai", "12ft.io", "outlook.safelinks.protection.outlook.com")
+SOCIAL_HOSTS = ("facebook.com", "m.facebook.com", "fb.com", "twitter.com", "x.com", "instagram.com", "linkedin.com", "threads.net", "t.me", "tiktok.com", "reddit.com", "medium.com", "youtube.com", "youtu.be")
+# Wording of consent walls, of checks for robots, and of pages that need scripts; marks of pages that are not there.
+CONSENT_WORDING = r"(?i)accept all cookies|reject all|manage (your )?(cookie|consent|preferences)|we (use|value) (your )?(cookies|privacy)|cookie (policy|banner|settings)|consent to the use of cookies|privacy preference cent"
+ROBOT_WORDING = (
+    r"(?i)just a moment|checking your browser|verify(ing)? you are (a )?human|are you a robot|captcha|cloudflare|ddos protection|access denied|request unsuccessful"
+    r"|incapsula|imperva|akamai|bot detection|unusual traffic|security check"
+)
+SCRIPT_WORDING = r"(?i)enable javascript|javascript is (required|disabled)|requires javascript|please enable js|<noscript>|loading\.\.\.$"
+GONE_MARKS = ("404", "page not found", "cannot be found", "doesn't exist", "does not exist")
+
 
 def verdict(name: Column | str, reason: Column | str, layer: str = "") -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
@@ -62,7 +74,8 @@ def page_status(page: Column | str) -> Column:
     flat = F.regexp_replace(t(page), r"\s+", " ")
     around = F.regexp_extract_all(flat, F.lit(rf"(?i)((?:(?!{CLOSED_WORDING}).){{0,90}}(?:{CLOSED_WORDING}).{{0,20}})"))
     conditional = rf"(?is){CONDITIONAL}[^.]{{0,80}}(?:{CLOSED_WORDING})"
-    real = F.exists(around, lambda s: ~s.rlike(conditional) & ~s.rlike(f"(?i){OTHER_DEADLINE}"))
+    # most pages have no such wording at all, and are not looked at again
+    real = flat.rlike(f"(?i){CLOSED_WORDING}") & F.exists(around, lambda s: ~s.rlike(conditional) & ~s.rlike(f"(?i){OTHER_DEADLINE}"))
     return F.when(real, "closed").when(flat.rlike(f"(?i){OPEN_WORDING}"), "open")
 
 
@@ -213,14 +226,24 @@ def exportable(verdict_: Column, quote: Column, source: Column, event: Column) -
     return F.struct(reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
+def is_proxy(link: Column | str) -> Column:
+    """Whether an address only leads through a search, cache or mail proxy to the page."""
+    return contains_any(F.lower(t(link)), PROXY_HOSTS)
+
+
+def is_social(link: Column | str) -> Column:
+    """Whether an address is a post and no page of its own."""
+    return url.bare_host(link).isin(*SOCIAL_HOSTS) | url.host(link).isin(*SOCIAL_HOSTS)
+
+
 def citation_guard(known: Column, proposed: Column, current: Column, readable: Column, quote: Column, page: Column) -> Column:
     """What becomes of a proposed citation, in order of the rules."""
     on_page = F.contains(text.normalize_evidence(page), text.normalize_evidence(F.substring(t(quote), 1, 60)))
     return (
         F.when(~known, "rejected: unknown id")
         .when(blank(proposed), "kept: nothing proposed")
-        .when(contains_any(F.lower(t(proposed)), ("google.com/url", "webcache", "web.archive.org", "translate.goog", "r.jina.ai")), "rejected: proxy")
-        .when(url.bare_host(proposed).isin("facebook.com", "twitter.com", "x.com", "linkedin.com", "instagram.com", "youtube.com", "medium.com", "reddit.com"), "rejected: social")
+        .when(is_proxy(proposed), "rejected: proxy")
+        .when(is_social(proposed), "rejected: social")
         .when(url.is_homepage(proposed) & ~blank(current) & (url.url_depth(current) > 0), "rejected: homepage over a deeper page")
         .when(~F.coalesce(readable, F.lit(False)), "rejected: unreadable")
         .when(~blank(quote) & ~F.coalesce(on_page, F.lit(False)), "rejected: quote not on page")
@@ -265,19 +288,44 @@ def reconciled_field(theirs: Column, ours: Column, is_date: bool = False) -> Col
     return F.when((a == "") & (b == ""), F.lit(None)).when(a == "", "gap_filled").when(b == "", F.lit(None)).when(same, "confirmed").otherwise("changed")
 
 
-def unread_reason(status: Column, page: Column) -> Column:
-    """Why a page gave nothing: gone, refused, script_wall, thin or read."""
-    low = F.lower(t(page))
-    words = text.real_words(page)
+def page_kind(page: Column | str) -> Column:
+    """Empty, unreadable (and why), bot-check, js-only, consent-wall, thin or readable; the first that fits."""
+    p = t(page)
+    ok, n, head = text.readable(p), F.length(p), F.substring(p, 1, 1500)
+    return (
+        F.when(blank(p), "empty")
+        .when(~ok["ok"], F.concat(F.lit("unreadable: "), ok["reason"]))
+        .when(head.rlike(ROBOT_WORDING), "bot-check")
+        .when((n < 1200) & head.rlike(SCRIPT_WORDING), "js-only")
+        .when((n < 1500) & head.rlike(CONSENT_WORDING), "consent-wall")
+        .when(n < 400, "thin")
+        .otherwise("readable")
+    )
+
+
+def silence(resolves: Column, status: Column, n_bytes: Column) -> Column:
+    """Which kind of nothing came back: gone, refused, our_bug, thin or unknown.
+
+    Only a name that does not resolve, or 404 and 410, says that a page is gone; a refusal says
+    nothing about it, and a page that a plain request gets in full is a fault of ours.
+    """
     return (
-        F.when(status.isin(404, 410) | (low.rlike(text.SOFT_404) & (F.length(low) < 2500)), "gone")
-        .when(status.isin(*BLOCK_STATUSES) | contains_any(low, BLOCK_MARKERS), "refused")
-        .when(low.rlike("enable javascript|requires javascript|turn on javascript") & (words < 60), "script_wall")
-        .when((F.length(F.trim(low)) < 200) | (words < 40), "thin")
-        .otherwise("read")
+        F.when(~F.coalesce(resolves, F.lit(True)), "gone")
+        .when(status.isin(404, 410), "gone")
+        .when(status.isin(401, 403, 429), "refused")
+        .when(status.isNull() | (status >= 400), "unknown")
+        .when(n_bytes > 2000, "our_bug")
+        .otherwise("thin")
     )
 
 
+def second_opinion(status: Column, body: Column | str) -> Column:
+    """Dead, http and the status, empty or ALIVE, by what a browser got; a short page that says so is dead too."""
+    chars = F.length(F.trim(t(body)))
+    soft = contains_any(F.substring(F.lower(t(body)), 1, 4000), GONE_MARKS) & (chars < 2500)
+    return F.when(status.isin(404, 410) | soft, "dead").when(status >= 400, F.concat(F.lit("http "), status.cast("string"))).when(chars < 200, "empty").otherwise("ALIVE")
+
+
 def alerts(changes: DataFrame, deadlines: DataFrame, today: dt.date) -> DataFrame:
     """(key, severity, kind). changes: key, field, new_value, change_type; deadlines: key, deadline.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import blank, text
+from attesta.operators.aggregates import contested
 from attesta.operators.windows import first_wins
 
 #: Fields that a crawl owns.
@@ -101,15 +102,17 @@ def overlay(df: DataFrame, edits: DataFrame, key: str, fields: list[str]) -> Dat
     return joined.withColumns(values | {"edited_fields": F.when(F.col("_edits").isNotNull(), edited).otherwise(F.array().cast("array<string>"))}).select(*df.columns, "edited_fields")
 
 
-def refresh(delivery: DataFrame, verified: DataFrame, key: str, owned: list[str], date_columns: tuple[str, ...] = (), cleared: str | None = None) -> tuple[DataFrame, DataFrame]:
+def refresh(delivery: DataFrame, verified: DataFrame, key: str, owned: list[str], deadline: str, date_columns: tuple[str, ...] = (), cleared: str | None = None) -> tuple[DataFrame, DataFrame]:
     """U8: (rows, changes): owned columns of a delivery brought up to date from verified records.
 
-    Keys with more than one deadline on either side are contested and left alone, so are
-    unknown ones; a blank only clears where `cleared` is true; what is no date never enters
-    a date column.
+    Keys under which the delivery itself has more than one deadline are contested: they stand for several
+    calls, of which one record cannot be all, and are left alone. So are unknown keys; a blank only clears
+    where `cleared` is true; what is no date never enters a date column. Of several verified records of a
+    key the greatest by its owned columns counts.
     """
-    contested = verified.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    source = verified.join(contested, key, "left_anti").select(key, *[F.col(c).alias(f"_new_{c}") for c in owned], *([F.col(cleared).alias("_cleared")] if cleared else []))
+    held = contested(delivery.withColumn("_deadline", F.lower(F.trim(text(deadline)))), key, "_deadline")
+    given = [F.col(c).alias(f"_new_{c}") for c in owned] + ([F.col(cleared).alias("_cleared")] if cleared else [])
+    source = verified.groupBy(key).agg(F.max(F.struct(*given)).alias("_v")).select(key, "_v.*").join(held, key, "left_anti")
     joined = delivery.join(source, key, "left")
     clears = F.coalesce(F.col("_cleared"), F.lit(False)) if cleared else F.lit(False)
 
@@ -124,9 +127,10 @@ def refresh(delivery: DataFrame, verified: DataFrame, key: str, owned: list[str]
 
 
 def rename(df: DataFrame, names: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Values of a key column renamed (old, new); rows that then collide become one."""
-    renamed = df.join(names.select(F.col("old").alias(column), "new"), column, "left").withColumn(column, F.coalesce("new", column)).drop("new")
-    return renamed.dropDuplicates(keys).select(*df.columns)
+    """Values of a key column renamed (old, new); of rows that then collide the one that had the new name stays."""
+    given = names.select(F.col("old").alias(column), F.col("new").alias("_new"))
+    renamed = df.join(given, column, "left").withColumn("_moved", F.col("_new").isNotNull()).withColumn(column, F.coalesce("_new", column))
+    return first_wins(renamed, keys, ["_moved", *[c for c in df.columns if c not in keys]]).select(*df.columns)
 
 
 def freeze_key_year(df: DataFrame, edition: str = "edition", start: str = "start_date") -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from attesta.functions import citations, dates, records, url
 from attesta.functions.text import blank, let, text
 from attesta.operators.decisions import page_status, verdict
+from attesta.operators.gate import ENDED_WORDING, MOVING_WORDING
 
-# Prose of series that ended, and of those that only move.
-DEFUNCT = r"(?i)discontinued|cancell?ed permanently|no longer (?:held|organi[sz]ed)|ceased|final edition"
-ROTATION = r"(?i)cycle dictates|rotat|alternat|moves to|held instead in"
+# What is cleared with a retired deadline and with a withdrawn citation, and how the detail starts.
+CLEARED = {"[retired]": ("deadline",), "[R1 withdrawal]": ("deadline_evidence_url", "deadline_quote")}
 BANDS = ((100, "100%"), (90, "90-99%"), (70, "70-89%"), (40, "40-69%"), (0, "under 40%"))
 
 
@@ -23,7 +23,7 @@ def edition_states(rows: DataFrame, event: str, start: str, prose: str, today: d
     Rows of one event are one edition in several markets.
     """
     year = F.when(F.col(event).rlike(r"^(19|20)\d{2}-"), F.substring(event, 1, 4)).otherwise("0")
-    each = rows.groupBy(event).agg(F.min(start).alias("start"), F.max(F.col(prose).rlike(DEFUNCT)).alias("ended"), F.max(F.col(prose).rlike(ROTATION)).alias("moves"))
+    each = rows.groupBy(event).agg(F.min(start).alias("start"), F.max(F.col(prose).rlike(ENDED_WORDING)).alias("ended"), F.max(F.col(prose).rlike(MOVING_WORDING)).alias("moves"))
     latest = F.row_number().over(Window.partitionBy(records.series(event)).orderBy(year.desc(), F.desc(event))) == 1
     ran = F.coalesce(F.try_to_date("start") < F.lit(today), F.lit(False))
     state = F.when(~latest, "Archived").when(F.col("ended") & ~F.col("moves"), "Discontinued").when(ran, "Watching").otherwise("Active")
@@ -131,7 +131,10 @@ def submission_target(stated: Column, external: Column, form: Column, opportunit
 
 
 def retire(df: DataFrame, retired: DataFrame, key: str, cleared: list[str], marker: str) -> DataFrame:
-    """Listed records lose the cleared fields and say so in their detail."""
+    """Listed records lose the cleared fields and say so in their detail.
+
+    A retired deadline clears the deadline, a withdrawn citation its address and quote (CLEARED).
+    """
     hit = F.col("_retired").isNotNull()
     joined = df.join(retired.select(key, F.lit(True).alias("_retired")).distinct(), key, "left")
     return joined.select(*[(F.when(hit, F.lit("")).otherwise(F.col(c)) if c in cleared else F.when(hit & ~text(c).startswith(marker), F.concat(F.lit(marker + " "), text(c))).otherwise(F.col(c)) if c == "detail" else F.col(c)).alias(c) for c in df.columns])

@@ -169,7 +169,7 @@ def exportable(spark, sf):
 @query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'rejected: unknown id' WHEN 1 THEN 'kept: nothing proposed' WHEN 2 THEN 'rejected: proxy' WHEN 3 THEN 'rejected: social' WHEN 4 THEN 'rejected: homepage over a deeper page' WHEN 5 THEN 'rejected: unreadable' WHEN 6 THEN 'rejected: quote not on page' ELSE 'accepted' END AS fate FROM orders""")
 def citation_merge(spark, sf):
     """What becomes of each proposed citation."""
-    proposed = F.when(k() % 8 == 1, "").when(k() % 8 == 2, "https://web.archive.org/web/x").when(k() % 8 == 3, "https://www.linkedin.com/p/1").when(k() % 8 == 4, "https://e.example/").otherwise("https://e.example/cfp/dates")
+    proposed = F.when(k() % 8 == 1, "").when(k() % 8 == 2, "https://r.jina.ai/https://e.example/cfp").when(k() % 8 == 3, "https://www.linkedin.com/p/1").when(k() % 8 == 4, "https://e.example/").otherwise("https://e.example/cfp/dates")
     quote = F.when(k() % 8 == 6, "Something else entirely").otherwise("Deadline: 15th March")
     fate = decisions.citation_guard(k() % 8 != 0, proposed, F.lit("https://e.example/a/b"), k() % 8 != 5, quote, F.lit("The DEADLINE:   15 march!"))
     return table(spark, sf, "orders").select("o_orderkey", fate.alias("fate"))
@@ -218,14 +218,6 @@ def edition_guard(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", g["status"].alias("status"), g["basis"].alias("basis"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'gone' WHEN 1 THEN 'refused' WHEN 2 THEN 'script_wall' WHEN 3 THEN 'thin' ELSE 'read' END AS reason FROM orders""")
-def silence_reasons(spark, sf):
-    """Why a page gave nothing."""
-    copy = "The programme committee welcomes everyone to this meeting about applied photonics and related fields. " * 8
-    page = F.when(k() % 5 == 1, "Just a moment...").when(k() % 5 == 2, "Please enable JavaScript to view this site").when(k() % 5 == 3, "Hello").otherwise(copy)
-    return table(spark, sf, "orders").select("o_orderkey", decisions.unread_reason(F.when(k() % 5 == 0, 410).otherwise(200), page).alias("reason"))
-
-
 @query("""SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'open' ELSE 'closed' END AS kept FROM orders""")
 def keep_first_membership(spark, sf):
     """Memberships are recorded once, whatever the crawl's quality."""

@@ -183,19 +183,41 @@ def missing_and_extra(spark, sf):
     return merge.both_ways(*_before_after(spark, sf), "c_custkey")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment WHEN v.new IS NOT NULL AND v.n = 1 THEN v.new ELSE c_mktsegment END AS c_mktsegment, CASE WHEN v.n = 1 AND v.d IS NOT NULL THEN v.d ELSE 'none' END AS checked FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, min(CASE WHEN o_custkey % 4 = 0 THEN '' ELSE o_orderpriority END) AS new, min(CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END) AS d FROM orders WHERE o_totalprice > 430000 GROUP BY 1) v ON v.o_custkey = c_custkey""")
+REFRESH_SQL = """WITH d AS (SELECT o_orderkey AS id, 'k' || (o_orderkey % 4000) AS key, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN ' 1998-01-01' ELSE '1998-01-01' END AS due, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'old' END AS page FROM orders),
+x AS (SELECT key FROM d GROUP BY key HAVING count(DISTINCT lower(trim(due))) > 1),
+v AS (SELECT 'k' || c_custkey AS key, max({'d': CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'soon' ELSE '1999-09-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') END, 'p': CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'new' END, 'c': c_custkey % 2 = 0}) AS v FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1),
+n AS (SELECT d.*, CASE WHEN v.key IS NULL THEN due WHEN try_cast(v.v.d AS DATE) IS NOT NULL THEN v.v.d WHEN v.v.c AND v.v.d = '' THEN '' ELSE due END AS due2, CASE WHEN v.key IS NULL THEN page WHEN v.v.p <> '' THEN v.v.p WHEN v.v.c THEN '' ELSE page END AS page2 FROM d LEFT JOIN (SELECT * FROM v WHERE key NOT IN (SELECT key FROM x)) v ON v.key = d.key)"""
+
+
+def _refreshed(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        k.alias("id"), F.concat(F.lit("k"), (k % 4000).cast("string")).alias("key"),
+        F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 1, " 1998-01-01").otherwise("1998-01-01").alias("due"), F.when(k % 5 == 0, "").otherwise("old").alias("page"),
+    )
+    c = F.col("c_custkey")
+    day = F.concat(F.lit("1999-09-"), F.lpad((c % 28 + 1).cast("string"), 2, "0"))
+    verified = table(spark, sf, "customer").where(c % 7 != 0).select(F.concat(F.lit("k"), c.cast("string")).alias("key"), F.when(c % 4 == 0, "").when(c % 4 == 1, "soon").otherwise(day).alias("due"), F.when(c % 3 == 0, "").otherwise("new").alias("page"), (c % 2 == 0).alias("cleared"))
+    return merge.refresh(rows, verified, "key", ["due", "page"], "due", ("due",), "cleared")
+
+
+@query(REFRESH_SQL + " SELECT id, key, due2 AS due, page2 AS page FROM n")
 def delivery_refresh(spark, sf):
-    """U8: owned columns brought up to date; contested keys, blanks and non-dates leave the delivery as it is."""
-    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.lit("none").alias("checked"))
-    o, k = table(spark, sf, "orders").where("o_totalprice > 430000"), F.col("o_custkey")
-    verified = o.select(k.alias("c_custkey"), F.when(k % 4 != 0, F.col("o_orderpriority")).otherwise("").alias("c_mktsegment"), F.when(k % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon").alias("checked"))
-    return merge.refresh(rows, verified, "c_custkey", ["c_mktsegment", "checked"], ("checked",))[0]
+    """U8: owned columns brought up to date; keys with several deadlines in the delivery, blanks and non-dates stay."""
+    return _refreshed(spark, sf)[0]
+
+
+@query(REFRESH_SQL + " SELECT key, 'due' AS field, due AS old_value, due2 AS new_value FROM n WHERE due <> due2 UNION ALL SELECT key, 'page', page, page2 FROM n WHERE page <> page2")
+def refresh_changes(spark, sf):
+    """U8: the change log of the same refresh."""
+    return _refreshed(spark, sf)[1]
 
 
-@query("SELECT DISTINCT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN '2-HIGH' WHEN '4-NOT SPECIFIED' THEN '3-MEDIUM' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+@query("""WITH m AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS source FROM orders GROUP BY 1, 2), r AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN '2-HIGH' WHEN '4-NOT SPECIFIED' THEN '3-MEDIUM' ELSE o_orderpriority END AS o_orderpriority, o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') AS moved, source FROM m)
+SELECT o_custkey, o_orderpriority, arg_min(source, (moved, source)) AS source FROM r GROUP BY 1, 2""")
 def rename_with_collision(spark, sf):
-    """Renamed memberships; those that then stand twice become one."""
-    members = table(spark, sf, "orders").select("o_custkey", "o_orderpriority").distinct()
+    """Renamed memberships; of those that then stand twice the one that had the new name stays."""
+    members = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("source"))
     names = spark.createDataFrame([("1-URGENT", "2-HIGH"), ("4-NOT SPECIFIED", "3-MEDIUM")], "old string, new string")
     return merge.rename(members, names, "o_orderpriority", ["o_custkey", "o_orderpriority"])
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.functions import text, udfs, url
-from attesta.operators import aggregates, frontier, linkage
+from attesta.functions import scoring, text, udfs, url
+from attesta.operators import aggregates, alignment, frontier, linkage
 from attesta.plans.pages import PAGES_SQL
 from attesta.plans.registry import query
 from attesta.session import cut, table
@@ -18,39 +18,70 @@ def _sides(spark, sf):
     ours = p.select(i.alias("id"), title.alias("name"), "url", F.concat(F.lit("City"), (i % 40).cast("string")).alias("city"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (i % 300).cast("int")), "yyyy-MM-dd").alias("start"))
     k = F.col("id")
     theirs = ours.where(k % 3 == 0).select("id", F.concat("name", F.lit(" (2026)")).alias("name"), F.when(k % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://"), url.host("url"), F.lit("/other"))).alias("url"), F.concat(F.col("city"), F.lit(", Land")).alias("city"), "start")
-    ready = lambda d: linkage.prepared(d, "id", "name", "url", "city", "start")
+    ready = lambda d: linkage.prepared(d, "id", "name", "url", "city", "start", "id")
     return ready(theirs), ready(ours)
 
 
-@query(f"""{PAGES_SQL}, o AS (SELECT page_id, rtrim(lower(trim(url)), '/') AS link, host, domain FROM d), t AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN link ELSE 'https://' || host || '/other' END AS link, domain FROM o WHERE page_id % 3 = 0)
-SELECT t.page_id AS row, 'exact_url' AS test, o.page_id AS candidate FROM t JOIN o ON t.link = o.link UNION ALL SELECT t.page_id, 'domain_date', o.page_id FROM t JOIN o ON t.domain = o.domain AND abs(t.page_id % 300 - o.page_id % 300) <= 21""")
+SIDES_SQL = f"""{PAGES_SQL}, o AS (SELECT page_id, rtrim(lower(trim(url)), '/') AS link, host, domain, 'city' || (page_id % 40) AS city, DATE '2026-01-01' + (page_id % 300)::INT AS start FROM d),
+t AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN link ELSE 'https://' || host || '/other' END AS link, domain, city, start FROM o WHERE page_id % 3 = 0)"""
+URLS_SQL = "SELECT t.page_id AS row, 'exact_url' AS test, o.page_id AS candidate FROM t JOIN o ON t.link = o.link"
+DATES_SQL = "SELECT t.page_id AS row, 'domain_date' AS test, o.page_id AS candidate FROM t JOIN o ON t.domain = o.domain AND abs(date_diff('day', t.start, o.start)) <= 21"
+CITIES_SQL = "SELECT t.page_id AS row, 'domain_city' AS test, o.page_id AS candidate FROM t JOIN o ON t.domain = o.domain AND (contains(t.city, o.city) OR contains(o.city, t.city))"
+PLACES_SQL = """SELECT t.page_id AS row, 'domain_position' AS test, o.page_id AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS n FROM t) t JOIN (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS n FROM o) o ON t.domain = o.domain AND t.n = o.n"""
+
+
+@query(f"{SIDES_SQL} {URLS_SQL} UNION ALL {DATES_SQL}")
 def linkage_blocks(spark, sf):
     """Candidates by URL, and by domain within 21 days."""
-    found = linkage.candidates(*_sides(spark, sf))
-    return found.where(F.col("test").isin("exact_url", "domain_date")).select("row", "test", "candidate")
+    return linkage.candidates(*_sides(spark, sf), tests=("exact_url", "domain_date")).select("row", "test", "candidate")
+
+
+@query(f"{SIDES_SQL} {CITIES_SQL} UNION ALL {PLACES_SQL}")
+def linkage_places(spark, sf):
+    """Candidates by domain and a place that holds the other, and by domain and matching place in the sheet."""
+    return linkage.candidates(*_sides(spark, sf), tests=("domain_city", "domain_position")).select("row", "test", "candidate")
+
+
+VOTED = ("exact_url", "domain_date", "domain_position")
+
+
+@query(f"""{SIDES_SQL}, f AS ({URLS_SQL} UNION ALL {DATES_SQL} UNION ALL {PLACES_SQL}), k AS (SELECT row, test, min(candidate) AS candidate FROM f GROUP BY 1, 2 HAVING count(DISTINCT candidate) = 1),
+a AS (SELECT row, candidate AS anchor FROM k WHERE test = 'domain_position'), w AS (SELECT test, pow(count(*) FILTER (candidate = anchor) / count(*), 2) AS weight FROM k JOIN a USING (row) GROUP BY 1),
+s AS (SELECT k.*, weight FROM k JOIN w USING (test)), g AS (SELECT row, candidate, sum(weight) AS score, count(*) AS agree, array_to_string(list_sort(list(test)), ',') AS tests FROM s GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, agree DESC, candidate DESC) AS n FROM g), h AS (SELECT row, sum(weight) AS fired FROM s GROUP BY 1)
+SELECT row, candidate, CASE WHEN contains(tests, 'exact_url') THEN 100 ELSE greatest(3, least(99, floor(100 * CASE WHEN fired > 0 THEN score / fired ELSE 0 END * (0.6 + 0.4 * least(1.0, agree / 4.0)) + 1e-9))) END::INT AS confidence, tests FROM b JOIN h USING (row) WHERE n = 1""")
+def linkage_vote(spark, sf):
+    """Tests that abstain, weights calibrated on rows at matching places, and the vote."""
+    picked = cut(linkage.collapsed(linkage.candidates(*_sides(spark, sf), tests=VOTED)))
+    voted = linkage.vote(picked, _calibrated(picked, "domain_position"))
+    return voted.withColumn("tests", F.array_join("tests", ","))
+
+
+def _calibrated(picked, anchor):
+    anchors = picked.where(F.col("test") == anchor).select("row", F.col("candidate").alias("anchor"))
+    votes = picked.join(anchors, "row").select("test", F.lit(True).alias("fired"), (F.col("candidate") == F.col("anchor")).alias("agreed"))
+    return aggregates.calibrated_weights(votes)
 
 
 @query(r"""WITH s AS (SELECT page_id, list_sort(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\b(19|20)[0-9]{2}\b', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' +'), lambda w: length(w) > 1 AND w NOT IN ('the','and','of','for','on','in','a','an','conference','summit','expo','exhibition','congress','forum','show','annual','international','week','event')))) AS tokens FROM pages)
 SELECT t.page_id AS row, o.page_id AS candidate FROM s t JOIN s o ON t.tokens = o.tokens WHERE t.page_id % 3 = 0 AND len(t.tokens) > 0""")
 def linkage_exact_names(spark, sf):
     """M1: candidates whose name has the same words."""
-    return linkage.candidates(*_sides(spark, sf)).where("test = 'exact_name'").select("row", "candidate")
+    return linkage.candidates(*_sides(spark, sf), tests=("exact_name",)).select("row", "candidate")
 
 
 @query()
 def linkage_votes(spark, sf):
-    """The match of each row by the calibrated vote; similarity has no SQL counterpart."""
-    theirs, ours = _sides(spark, sf)
-    picked = cut(linkage.collapsed(linkage.candidates(theirs, ours)))
-    anchors = picked.where("test = 'exact_url'").select("row", F.col("candidate").alias("anchor"))
-    votes = picked.join(anchors, "row").select("test", F.lit(True).alias("fired"), (F.col("candidate") == F.col("anchor")).alias("agreed"))
-    return linkage.vote(picked, aggregates.calibrated_weights(votes))
+    """The match of each row by the calibrated vote of all tests; similarity has no SQL counterpart."""
+    picked = cut(linkage.collapsed(linkage.candidates(*_sides(spark, sf))))
+    return linkage.vote(picked, _calibrated(picked, "domain_position"))
 
 
-@query()
+@query("SELECT o_custkey AS candidate, count(*) AS rows FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY 1 HAVING count(*) > 1")
 def one_to_one_breaches(spark, sf):
     """M7: records that several rows were matched to."""
-    return linkage.one_to_one_breaches(linkage_votes(spark, sf))
+    matches = table(spark, sf, "orders").where(F.col("o_orderpriority").startswith("1"))
+    return linkage.one_to_one_breaches(matches.select(F.col("o_orderkey").alias("row"), F.col("o_custkey").alias("candidate")))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey * 10 WHEN 1 THEN c_custkey * 10 + 1 END AS claim_id FROM customer""")
@@ -81,11 +112,13 @@ def name_similarities(spark, sf):
 
 @query()
 def best_first(spark, sf):
-    """Best-first walks over a link table of each customer's orders; iterative, so no SQL counterpart."""
-    o = table(spark, sf, "orders").where("o_custkey % 50 = 0").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("n"), F.floor("o_totalprice").alias("score"))
-    seeds = o.groupBy("site").agg(F.min("n").cast("string").alias("url"))
-    links = o.alias("a").join(o.alias("b"), (F.col("a.site") == F.col("b.site")) & (F.col("b.n") > F.col("a.n"))).select(F.col("a.site").alias("site"), F.col("a.n").cast("string").alias("src"), F.col("b.n").cast("string").alias("dst"), F.col("b.score").alias("score"), F.col("b.n").alias("pos"))
-    return frontier.explore(seeds, links, max_pages=5, max_depth=2)
+    """Best-first walks over the links of each domain's pages; iterative, so no SQL counterpart."""
+    p = table(spark, sf, "pages").select(url.registrable_domain("url").alias("site"), url.normalize_url("url").alias("url"), "page_id", F.posexplode_outer(url.links_in("html")).alias("pos", "link")).where("site <> ''")
+    seeds = p.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
+    to = url.absolute("link", "url")
+    links = p.where("link is not null").select("site", F.col("url").alias("src"), url.normalize_url(to).alias("dst"), scoring.score_link(to, F.lit("")).alias("score"), "pos")
+    inside = links.where(url.registrable_domain("dst") == F.col("site")).groupBy("site", "src", "dst").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
+    return frontier.explore(seeds, inside, max_pages=12, max_depth=2)
 
 
 @query()
@@ -96,15 +129,15 @@ def folded_text(spark, sf):
 
 @query()
 def located_quotes(spark, sf):
-    """A page's own words for a quote with other case and space."""
-    d = table(spark, sf, "documents").where("n_chars > 200")
-    return d.select("doc_id", udfs.locate_verbatim("text", F.upper(F.substring("text", 21, 60))).alias("quote"))
+    """A page's own words for a quote with other case and space, null where there is none."""
+    return table(spark, sf, "documents").select("doc_id", udfs.locate_verbatim("text", F.upper(F.substring("text", 21, 60))).alias("quote"))
 
 
-@query()
+@query(f"""{PAGES_SQL}, a AS (SELECT page_id // 2 AS pos, host AS item FROM d WHERE page_id % 2 = 0), b AS (SELECT page_id // 2 AS pos, host AS item FROM d WHERE page_id % 2 = 1),
+n AS (SELECT a.pos AS a, b.pos AS b FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS n FROM a) a JOIN (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS n FROM b) b USING (item, n)),
+i AS (SELECT *, a - row_number() OVER (PARTITION BY b - a ORDER BY a) AS island FROM n) SELECT min(a) AS a, min(b) AS b, count(*) AS n FROM i GROUP BY b - a, island""")
 def aligned_hosts(spark, sf):
-    """Equal blocks of two host sequences of a domain."""
-    p = table(spark, sf, "pages").select(url.registrable_domain("url").alias("domain"), "page_id", url.host("url").alias("host"))
-    seq = lambda keep, name: p.where(keep).groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "host"))), lambda s: s["host"]).alias(name))
-    both = seq(F.col("page_id") % 2 == 0, "a").join(seq(F.col("page_id") % 2 == 1, "b"), "domain")
-    return both.select("domain", F.size(udfs.align_equal_blocks(F.col("a"), F.col("b"))).alias("blocks"))
+    """Equal blocks of the hosts of even and odd pages."""
+    p = table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 2).alias("pos"), url.host("url").alias("item"))
+    sides = [p.where(F.col("page_id") % 2 == k).select("pos", "item") for k in (0, 1)]
+    return alignment.equal_blocks(alignment.aligned(*sides))

@@ -142,15 +142,6 @@ def dead_flags(spark, sf):
     return flags.groupBy("l_orderkey", "l_linenumber").agg(aggregates.any_true(F.col("s")).alias("supplier_dead"), aggregates.any_true(F.col("p")).alias("part_dead"))
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'verified' WHEN o_orderpriority = '5-LOW' THEN 'answered' WHEN o_totalprice < 20000 THEN 'no date' WHEN o_orderdate < TIMESTAMP '1998-06-01' THEN 'passed' WHEN c_custkey IS NULL THEN 'unmatched' ELSE 'queued' END AS reason FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 8 <> 0) ON c_custkey = o_custkey) GROUP BY 1""")
-def weekly_queue(spark, sf):
-    """Why rows are or are not in the weekly queue, first reason first."""
-    c = table(spark, sf, "customer").where("c_custkey % 8 <> 0").select("c_custkey")
-    o = table(spark, sf, "orders")
-    reason = F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderpriority") == "5-LOW", "answered").when(F.col("o_totalprice") < 20000, "no date").when(F.to_date("o_orderdate") < F.lit(TODAY), "passed").when(F.col("c_custkey").isNull(), "unmatched").otherwise("queued")
-    return o.join(c, o.o_custkey == c.c_custkey, "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus IN ('O', 'P') AND date_diff('day', DATE '1998-06-01', o_orderdate::DATE) BETWEEN 0 AND 60""")
 def review_filter(spark, sf):
     """A reviewer's filters, all of them and the deadline window."""
@@ -185,10 +176,3 @@ def consolidated_status(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
     whole = c.join(o, c.c_custkey == o.o_custkey, "left")
     return whole.select("c_custkey", decisions.consolidated_status(F.col("f"), F.col("o"), F.col("p"), F.lit(False), F.lit(False), F.col("seen"))["basis"].alias("basis"))
-
-
-@query("""WITH c AS (SELECT *, c_acctbal < 0 AS bad FROM customer) SELECT 'NEGATIVE' AS check_id, true AS fatal, c_custkey::VARCHAR AS offender FROM c WHERE bad UNION ALL SELECT 'SEGMENT', false, c_custkey::VARCHAR FROM c WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'AUTOMOBILE') UNION ALL SELECT 'NAME', true, c_custkey::VARCHAR FROM c WHERE c_name NOT LIKE 'Customer#%7'""")
-def acceptance_gate(spark, sf):
-    """Every row that fails a check, in one pass."""
-    checks = {"NEGATIVE": (True, F.col("c_acctbal") >= 0), "SEGMENT": (False, F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD", "AUTOMOBILE")), "NAME": (True, F.col("c_name").startswith("Customer#") & F.col("c_name").endswith("7"))}
-    return decisions.failures(table(spark, sf, "customer"), "c_custkey", checks)

@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint `df` to the shared folder of the cluster and go on from there.
 
-    The folder is the one named in spark.checkpoint.dir; only where none is set
-    (tests, a laptop) is one made.
+    The folder is the one named in spark.checkpoint.dir; only where none is set and all runs on
+    one machine (tests, a laptop) is one made.
     """
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager)
 

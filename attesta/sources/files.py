@@ -19,8 +19,14 @@ from attesta.functions import url
 from attesta.functions.dates import from_excel_serial
 from attesta.functions.text import blank
 
-#: Header spellings of workbook columns by the role they play.
-ROLES = {"url": ("url", "conference url", "website", "link", "event url"), "name": ("name", "conference", "event", "award", "title"), "location": ("location", "city", "venue", "place"), "dates": ("dates", "start dates", "date", "event dates"), "industry": ("industry", "market", "sector")}
+# Header spellings of workbook columns by role, the preferred one first.
+ROLES = {
+    "url": ("conference url", "submission url", "award url", "url", "link"),
+    "name": ("conference", "award", "event name", "event", "name"),
+    "location": ("location", "venue", "city"),
+    "dates": ("start dates", "event dates", "conference dates", "dates"),
+    "industry": ("industry", "market"),
+}
 
 
 def read_delivery(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -100,24 +106,53 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
 def workbook_targets(cells: DataFrame) -> DataFrame:
     """(path, sheet, row, url, name, location, dates, industry): only the URL column gives targets.
 
-    Columns are found by their header within the first five rows; a sheet without a URL header
-    takes the first column that holds an address.
+    Columns are found by their header within the first five rows, the preferred spelling of a
+    role before others; the header row is the first that names the URL column. Where name and URL
+    are the first two columns, place and dates are the next two unless headers say otherwise. A
+    sheet without a URL header takes the first column that holds an address.
     """
     flat = cells.select("path", "sheet", "row", F.posexplode("cells").alias("pos", "value"))
-    label = F.lower(F.trim("value"))
-    role = None
-    for name, spellings in ROLES.items():
-        role = F.when(label.isin(*spellings), name) if role is None else role.when(label.isin(*spellings), name)
-    heads = flat.where("row <= 5").withColumn("role", role).where("role is not null").groupBy("path", "sheet", "role").agg(F.min(F.struct("row", "pos")).alias("h"))
+    label = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
+    known = [F.when(label == s, F.struct(F.lit(role).alias("role"), F.lit(i).alias("choice"))) for role, spellings in ROLES.items() for i, s in enumerate(spellings)]
+    heads = flat.where("row <= 5").withColumn("h", F.coalesce(*known)).where("h is not null").select("path", "sheet", "row", "h.role", F.struct("h.choice", "pos").alias("at"))
+    heads = heads.groupBy("path", "sheet", "row", "role").agg(F.min("at")["pos"].alias("pos"))
+    by_row = heads.groupBy("path", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("role", "pos"))).alias("at")).where(F.map_contains_key("at", "url"))
+    roles = by_row.groupBy("path", "sheet").agg(F.min_by("at", "row").alias("at"), F.min("row").alias("head"))
     first = flat.where(F.col("value").rlike("^https?://")).groupBy("path", "sheet").agg(F.min(F.struct("pos", "row")).alias("f"))
-    roles = heads.groupBy("path", "sheet").agg(F.map_from_entries(F.collect_list(F.struct("role", F.col("h.pos").alias("pos")))).alias("at"), F.min("h.row").alias("head"))
-    known = first.join(roles, ["path", "sheet"], "left").withColumn("url_pos", F.coalesce(F.col("at")["url"], F.col("f.pos")))
-    joined = cells.join(known, ["path", "sheet"]).where(F.col("row") > F.coalesce("head", F.lit(0)))
+    known_at = first.join(roles, ["path", "sheet"], "left").withColumn("url_pos", F.coalesce(F.col("at")["url"], F.col("f.pos")))
+    joined = cells.join(known_at, ["path", "sheet"]).where(F.col("row") > F.coalesce("head", F.lit(0)))
+    classic = (F.col("at")["url"] == 1) & (F.col("at")["name"] == 0)
+    place = {"location": F.when(classic, 2), "dates": F.when(classic, 3)}
     pick = lambda pos: F.trim(F.get("cells", pos))
-    out = joined.select("path", "sheet", "row", pick(F.col("url_pos")).alias("url"), *[F.nullif(pick(F.col("at")[r]), F.lit("")).alias(r) for r in ROLES if r != "url"])
+    roles_at = {r: F.coalesce(F.col("at")[r], place.get(r, F.lit(None))) for r in ROLES if r != "url"}
+    out = joined.select("path", "sheet", "row", pick(F.col("url_pos")).alias("url"), *[F.nullif(pick(p), F.lit("")).alias(r) for r, p in roles_at.items()])
     return out.where(F.col("url").rlike("^https?://"))
 
 
+def read_dead_links(spark: SparkSession, checks: DataFrame | None, path: str | None = None) -> DataFrame:
+    """(url) of links known to be dead: of the checks (url, state) if there are any, else of a file.
+
+    A file is a sheet with a SUBMISSION URL column, or a plain list of addresses. The checks win,
+    as a file only says what was true when it was written.
+    """
+    if checks is not None:
+        return checks.where((F.lower("state") == "dead") & F.col("url").isNotNull()).select("url").distinct()
+    if path is None:
+        return spark.createDataFrame([], "url string")
+    head = spark.read.text(path).limit(1).collect()
+    if head and "SUBMISSION URL" in head[0].value:
+        sheet = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return sheet.select(F.trim("SUBMISSION URL").alias("url")).where(~blank("url")).distinct()
+    return spark.read.text(path).select(F.trim("value").alias("url")).where(F.col("url").startswith("http")).distinct()
+
+
+def read_checks(spark: SparkSession, path: str) -> DataFrame:
+    """(event_id, v, u, q) of a file of check results; of several of an event the last counts."""
+    sheet = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = sheet.select(F.trim("EVENT_ID").alias("event_id"), *[F.coalesce(F.trim(c), F.lit("")).alias(n) for c, n in (("CHECK", "v"), ("CHECK_URL", "u"), ("CHECK_QUOTE", "q"))], F.monotonically_increasing_id().alias("at"))
+    return rows.where(~blank("event_id")).groupBy("event_id").agg(F.max_by(F.struct("v", "u", "q"), "at").alias("c")).select("event_id", "c.*")
+
+
 def gold_rows(cells: DataFrame, only_with_truth: bool = False) -> DataFrame:
     """Reference rows: those whose second cell is an address; serial days become dates."""
     get = lambda i: F.get("cells", F.lit(i))

@@ -51,7 +51,8 @@ def test_links_and_platforms(spark):
     assert one(spark, url.detect_platform(F.lit("https://docs.google.com/forms/d/1"))) == "Google Forms"
     assert one(spark, url.urls_in(F.lit("see https://a.b/c, and (http://d.e)."))) == ["https://a.b/c", "http://d.e"]
     assert one(spark, scoring.score_link(F.lit("/x"), F.lit(None).cast("string"))) == 0
-    assert one(spark, scoring.track_label(F.array(F.lit("award"), F.lit("Panel"), F.lit("booth")))) == "Speaking; Awards; Other"
+    track = lambda *types: one(spark, scoring.track_label(F.array(*[F.lit(t) for t in types])))
+    assert track("nomination", " Panel", "showcase") == "Speaking; Awards" and track("cfp") == "Speaking" and track("showcase") == "Other" and track("", " ") == ""
 
 
 @pytest.mark.parametrize(("value", "loose", "deadline"), [("5/8/2026", dt.date(2026, 5, 8), dt.date(2026, 8, 5)), ("2026-02-30", None, None), ("13/1/2026", None, dt.date(2026, 1, 13)), ("15th May 2026", None, dt.date(2026, 5, 15)), ("Sept. 4, 2026", None, dt.date(2026, 9, 4)), ("May 8th", None, None), (None, None, None), ("2026-05-01T10:00", dt.date(2026, 5, 1), dt.date(2026, 5, 1))])

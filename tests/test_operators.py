@@ -1,12 +1,14 @@
 """Merges, linkage, exploration, streams, sources and sinks on small invented rows."""
 
 import datetime as dt
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import aggregates, decisions, frontier, linkage, merge, windows
+from attesta.functions import vocabulary
+from attesta.operators import aggregates, decisions, frontier, gate, linkage, merge, reports, review, windows
 from attesta.sources import files, sinks
 from attesta.streaming import jobs
 
@@ -35,10 +37,10 @@ def test_upsert_rules(spark):
 
 
 def test_refresh_leaves_contested_and_logs(spark):
-    rows = spark.createDataFrame([("a", "old"), ("b", "old"), ("c", "old"), ("d", "old")], "id string, due string")
-    verified = spark.createDataFrame([("a", "2026-05-01", False), ("b", "soon", False), ("c", "2026-05-01", False), ("c", "2026-06-01", False), ("d", "", True)], "id string, due string, clear boolean")
-    found, log = merge.refresh(rows, verified, "id", ["due"], ("due",), "clear")
-    assert dict(found.collect()) == {"a": "2026-05-01", "b": "old", "c": "old", "d": ""}
+    rows = spark.createDataFrame([("a", "old"), ("a", " OLD"), ("b", "old"), ("c", "old"), ("c", "2026-01-01"), ("d", "old")], "id string, due string")
+    verified = spark.createDataFrame([("a", "2026-05-01", False), ("a", "2026-05-01", False), ("b", "soon", False), ("c", "2026-05-01", False), ("d", "", True)], "id string, due string, clear boolean")
+    found, log = merge.refresh(rows, verified, "id", ["due"], "due", ("due",), "clear")
+    assert sorted(found.collect()) == [("a", "2026-05-01"), ("a", "2026-05-01"), ("b", "old"), ("c", "2026-01-01"), ("c", "old"), ("d", "")]
     assert {(r.id, r.new_value) for r in log.collect()} == {("a", "2026-05-01"), ("d", "")}
 
 
@@ -131,9 +133,14 @@ def workbook(path, rows):
 
 
 def test_workbooks(spark, tmp_path):
-    workbook(tmp_path / "w.xlsx", [["List of events"], ["Conference", "Website", "City"], ["One", "https://one.org", "Rome"], ["Two", "none", ""], ["Three", "https://three.org", ""]])
+    workbook(tmp_path / "w.xlsx", [["List of events"], ["Conference", "Conference  URL", "City"], ["One", "https://one.org", "Rome"], ["Two", "none", ""], ["Three", "https://three.org", ""]])
     found = files.workbook_targets(files.read_workbook(spark, str(tmp_path / "w.xlsx"))).orderBy("row").collect()
     assert [(r.url, r.name, r.location) for r in found] == [("https://one.org", "One", "Rome"), ("https://three.org", "Three", None)]
+    workbook(tmp_path / "a.xlsx", [["Award", "Open date", "Submission URL", "URL"], ["Prize", "1 May", "https://prize.org/submit", "https://prize.org"]])
+    award = files.workbook_targets(files.read_workbook(spark, str(tmp_path / "a.xlsx"))).collect()
+    assert [(r.url, r.name, r.location, r.dates) for r in award] == [("https://prize.org/submit", "Prize", None, None)]
+    workbook(tmp_path / "c.xlsx", [["Conference", "URL"], ["One", "https://one.org", "Rome", "May"]])
+    assert [(r.location, r.dates) for r in files.workbook_targets(files.read_workbook(spark, str(tmp_path / "c.xlsx"))).collect()] == [("Rome", "May")]
     workbook(tmp_path / "g.xlsx", [["N", "U"], ["One", "https://one.org", "", "", "", 46143], ["Two", "https://two.org"]])
     gold = files.gold_rows(files.read_workbook(spark, str(tmp_path / "g.xlsx")), only_with_truth=True).collect()
     assert [(r.name, r.deadline) for r in gold] == [("One", dt.date(2026, 5, 1))]
@@ -153,11 +160,62 @@ def test_customer_sheet(spark, tmp_path):
     sinks.write_csv(sheet, str(tmp_path / "sheet"), ["CONFERENCE", "EDITION"])
     assert spark.read.option("header", True).csv(str(tmp_path / "sheet")).columns == list(sinks.CUSTOMER_COLUMNS)
     sinks.write_feed(sheet, str(tmp_path / "feed"), "bio")
-    assert spark.read.json(str(tmp_path / "feed")).count() == 2
-    sinks.write_market_sheets(rows.select("key", "name"), spark.createDataFrame([(1, "AI"), (1, "Bio")], "key int, market string"), "key", str(tmp_path / "markets"))
-    assert sorted((r.key, r.market) for r in spark.read.parquet(str(tmp_path / "markets")).collect()) == [(1, "AI"), (1, "Bio"), (2, "unassigned"), (3, "unassigned")]
+    assert spark.read.json(str(tmp_path / "feed" / "lines")).count() == 2
+    document = json.loads(spark.read.text(str(tmp_path / "feed" / "json"), wholetext=True).first()[0])
+    assert document["columns"] == list(sinks.CUSTOMER_COLUMNS) and len(document["rows"]) == 2 and document["rows"][0]["CONFERENCE"] == "Cafe"
+    sinks.write_market_sheets(rows.select("key", "name", "status"), spark.createDataFrame([(1, "AI"), (1, "Bio")], "key int, market string"), "key", str(tmp_path / "markets"))
+    sheets = lambda part: spark.read.option("header", True).csv(str(tmp_path / "markets" / part))
+    assert sorted((r.key, r.market) for r in sheets("markets").collect()) == [("1", "AI"), ("1", "Bio")]
+    assert sorted((r.key, r.MARKET) for r in sheets("all").collect()) == [("1", "AI"), ("1", "Bio"), ("2", "(unassigned)"), ("3", "(unassigned)")]
     target = str(tmp_path / "checked")
     assert sinks.write_checked(sheet, target, sheet.columns) == 3 and sinks.write_checked(sheet.limit(1), target, sheet.columns) == 1
     assert spark.read.parquet(target).count() == 1 and spark.read.parquet(f"{target}.before").count() == 3
     with pytest.raises(ValueError, match="differs"):
         sinks.write_checked(sheet, target, ["other"])
+
+
+def test_dead_links_and_checks(spark, tmp_path):
+    checks = spark.createDataFrame([("https://a", "Dead"), ("https://b", "alive"), (None, "dead")], "url string, state string")
+    (tmp_path / "sheet.csv").write_text("NAME,SUBMISSION URL\nx, https://c \ny,\n")
+    (tmp_path / "list.txt").write_text("https://d\nnote\n\nhttps://d\n")
+    (tmp_path / "checks.csv").write_text('EVENT_ID,CHECK,CHECK_URL,CHECK_QUOTE\ne1,no_quote,,\n ,verified,u,q\ne1, verified ,https://u,"a, b"\n')
+    urls = lambda *given: sorted(r.url for r in files.read_dead_links(spark, *given).collect())
+    assert urls(checks, str(tmp_path / "list.txt")) == ["https://a"] and urls(None, str(tmp_path / "sheet.csv")) == ["https://c"] and urls(None, str(tmp_path / "list.txt")) == ["https://d"] and urls(None) == []
+    assert [tuple(r) for r in files.read_checks(spark, str(tmp_path / "checks.csv")).collect()] == [("e1", "verified", "https://u", "a, b")]
+
+
+def test_structure_of_a_delivery(spark, tmp_path):
+    header = [f"C{i}" for i in range(38)] + list(gate.SPONSOR_COLUMNS)
+    (tmp_path / "good.csv").write_text(",".join(header) + "\n" + ",".join("x" * 43) + "\n" + ",".join("x" * 42) + "\n")
+    (tmp_path / "named.csv").write_text(",".join(f"C{i}" for i in range(43)) + "\n")
+    (tmp_path / "narrow.csv").write_text("A,B\n1,2\n")
+    bad = lambda name: [r.offender for r in gate.structure_failures(files.read_ragged(spark, str(tmp_path / name))).collect()]
+    assert bad("good.csv") == ["line 3"] and bad("named.csv") == ["line 1"] and bad("narrow.csv") == ["line 1"]
+
+
+def test_queue_is_bounded_and_markets_are_guarded(spark):
+    rows = spark.createDataFrame([(1, "queued"), (2, "queued"), (3, "passed")], "id int, why string")
+    kept, tally = review.weekly_queue(rows, F.col("why"), 2)
+    assert kept.count() == 2 and dict(tally.collect()) == {"queued": 2, "passed": 1}
+    with pytest.raises(ValueError, match="more than 1"):
+        review.weekly_queue(rows, F.col("why"), 1)
+    names = ["Utilities", "utility", "Photonics", " ", "Semiconductors", "Biofuels"]
+    named = spark.createDataFrame([(n,) for n in names], "n string")
+    fates = [(r.fate, r.name) for r in named.select(vocabulary.admit_market("n").alias("a")).select("a.*").collect()]
+    assert fates == [("refused: looks like another", "Utility"), ("known", "Utility"), ("added", "Photonics"), ("refused: empty", None), ("refused: looks like another", "Semiconductor"), ("known", "Bioeconomy")]
+    assert named.where("n = 'Utilities'").select(vocabulary.admit_market("n", forced=F.lit(True)).alias("a")).first().a.fate == "added"
+
+
+def test_chrome_snippets(spark):
+    menu = "home agenda speakers venue travel contact us now"
+    pages = spark.createDataFrame([("s", f"{menu} page {i} has words of its own to read here") for i in range(3)], "site string, body string")
+    chrome = aggregates.repeated_shingles(pages, "site", "body")
+    snippets = spark.createDataFrame([(1, "s", menu), (2, "s", "a quite new sentence about the call for papers"), (3, "s", "too short"), (4, "t", menu)], "id int, site string, snippet string")
+    assert {r.id: r.is_chrome for r in aggregates.chrome_share(snippets, chrome, "site", "snippet").collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_withdrawal_and_retirement_clear_their_own_fields(spark):
+    rows = spark.createDataFrame([(1, "2026-01-01", "u", "q", "")], "id int, deadline string, deadline_evidence_url string, deadline_quote string, detail string")
+    for marker, left in (("[retired]", ("", "u", "q")), ("[R1 withdrawal]", ("2026-01-01", "", ""))):
+        (row,) = reports.retire(rows, rows.select("id"), "id", list(reports.CLEARED[marker]), marker).collect()
+        assert (row.deadline, row.deadline_evidence_url, row.deadline_quote) == left and row.detail.startswith(marker)
