@@ -10,9 +10,9 @@ equal passage always does, one of a similarity of 0.8 does in 90 of 100 cases, o
 are then verified on the words, from the shared token over small edits while the Jaccard
 similarity of five-word shingles stays at SIMILARITY or more.
 
-A key links each of its windows to its first document (smallest doc_id). Within a batch of a task
-the windows of a key are linked to the first of the batch, which alone goes on, so that
-a passage of very many documents is spread over the tasks. A text that does not share a passage
+A key links each of its windows to its first document (smallest doc_id). Where a batch of a task
+has many windows of a key, they are linked to the first of the batch, which alone goes on, so
+that a passage of very many documents is spread over the tasks. A text that does not share a passage
 with its first document is not done: it goes on under keys of where their common words end
 and of what follows there, on each side, which any other text that shares a passage
 around that token has too. This is repeated until no key holds two texts; the common words
@@ -193,26 +193,24 @@ def shared_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]],
     tokens, other = shingles_of(a), shingles_of(b)
     found: list[tuple[int, int, int, int]] = []
 
-    def try_seed(p: int, q: int) -> None:
-        # the equal words on both sides of the seed count before any gap is judged
-        before, after = (a[:p][::-1], b[:q][::-1]), (a[p:], b[q:])
-        runs = same_run(*before), same_run(*after)
-        state, left, right, moved = (sum(runs) - SHINGLE + 1, sum(runs), sum(runs)), [runs[0]] * 2, [runs[1]] * 2, True
+    def try_run(p: int, q: int, n: int) -> None:
+        # n equal words from p and q on count before any gap is judged
+        before, after = (a[:p][::-1], b[:q][::-1]), (a[p + n :], b[q + n :])
+        state, left, right, moved = (n - SHINGLE + 1, n, n), [0, 0], [0, 0], True
         while moved:
             moved = False
             for side, at in ((after, right), (before, left)):
                 x, y, *state = grow(side[0][at[0] :], side[1][at[1] :], *state)
                 at[0], at[1], moved = at[0] + x, at[1] + y, moved or x > 0
-        start, end, start_b, end_b = p - left[0], p + right[0], q - left[1], q + right[1]
+        start, end, start_b, end_b = p - left[0], p + n + right[0], q - left[1], q + n + right[1]
         if end - start >= least:
             one, two = set(tokens[start : end - SHINGLE + 1].tolist()), set(other[start_b : end_b - SHINGLE + 1].tolist())
             if len(one & two) >= SIMILARITY * len(one | two):
                 found.append((start, end, start_b, end_b))
 
-    for p, q in sorted(seeds):
-        near = any(s <= p and p + SHINGLE <= e and abs((p - s) - (q - t)) <= GAP * 8 for s, e, t, _ in found)
-        if not near and np.array_equal(a[p : p + SHINGLE], b[q : q + SHINGLE]):
-            try_seed(p, q)
+    for p, q, n in seed_runs(a, b, seeds):
+        if not any(s <= p and p + SHINGLE <= e and abs((p - s) - (q - t)) <= GAP * 8 for s, e, t, _ in found):
+            try_run(p, q, n)
     # texts that repeat lines meet at one of many places: what is left uncovered is looked up
     far = least - SHINGLE
     if len(tokens) <= far or len(other) <= far:
@@ -243,36 +241,66 @@ def shared_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]],
     return found
 
 
+def seed_runs(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the runs of equal words around seeds, each once, in order."""
+    found, ends = set(), {}
+    for p, q in sorted(seeds):
+        if p < ends.get(p - q, 0) or not np.array_equal(a[p : p + SHINGLE], b[q : q + SHINGLE]):
+            continue
+        after, before = same_run(a[p:], b[q:]), same_run(a[:p][::-1], b[:q][::-1])
+        ends[p - q] = p + after - SHINGLE + 1
+        found.add((p - before, q - before, before + after))
+    return sorted(found)
+
+
 def open_ends(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], found: list[tuple[int, int, int, int]], salt: int) -> list[tuple[int, int]]:
     """(key, word) of seeds that lie in no passage found: where the common words end, and what follows.
 
     A third text that shares a passage around the seed with text a, but not with b, goes on
     as a does on one side at least, and so has the same key there. salt: the hash of text b.
     """
-    keys = []
+    held = np.zeros(len(a) + 1, bool)
+    for s, e, *_ in found:
+        held[s : max(s, e - SHINGLE + 1)] = True
+    runs = {p - q: [] for p, q in seeds}
+    for p, q, n in seed_runs(a, b, seeds):
+        runs[p - q].append((p, n))
+    at, low, high = [], [], []
     for p, q in seeds:
-        if any(s <= p and p + SHINGLE <= e for s, e, *_ in found) or not np.array_equal(a[p : p + SHINGLE], b[q : q + SHINGLE]):
-            continue
-        after, before = same_run(a[p:], b[q:]), same_run(a[:p][::-1], b[:q][::-1])
-        start = shingles_of(a[p : p + SHINGLE])
-        for side, at in ((after, p + after), (-1 - before, p - before - 1)):
-            if 0 <= at < len(a):
-                word = mixed(a[at : at + 1], 3) ^ np.uint64((salt ^ side) & (2**64 - 1))
-                keys.append((int(mixed(start ^ mixed(word, 8), 9).view(np.int64)[0]), p))
+        if not held[p]:
+            for start, n in runs[p - q]:
+                if start <= p and p + SHINGLE <= start + n:
+                    at.append(p)
+                    low.append(start - 1)
+                    high.append(start + n)
+                    break
+    if not at:
+        return []
+    at, low, high = (np.array(x) for x in (at, low, high))
+    tokens, salted = shingles_of(a)[at], np.uint64(salt & (2**64 - 1))
+    keys = []
+    for far, side in ((high, 1), (low, -1)):
+        inside = (far >= 0) & (far < len(a))
+        x, away = at[inside], (far - at)[inside]
+        key = mixed(tokens[inside] ^ mixed(a[far[inside]] ^ away.astype(np.uint64), 8) ^ salted, 9 + side)
+        keys += zip(key.view(np.int64).tolist(), x.tolist(), strict=True)
     return keys
 
 
+#: Windows of a key from which on the others of a batch are linked to the first of them.
+HOT = 8
 #: What a task sends: a window (first_at below zero), or a link within a batch, whose `key` is the text it is linked to.
 SENT = ("key", "doc_id", "gid", "at", "first_at")
 
 
 def sent_rows(keys: np.ndarray, ids: np.ndarray, gids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """The windows of the first text of each key of a batch, and links of the other texts to it."""
+    """The windows of a batch; of keys with HOT and more, those of the first text, and links of the other texts to it."""
     order = np.lexsort((at, gids, ids, keys))
     keys, ids, gids, at = keys[order], ids[order], gids[order], at[order]
     fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    linked = gids != gids[lead]
+    counts = np.diff(np.append(np.flatnonzero(fresh), len(keys)))
+    linked = (gids != gids[lead]) & (np.repeat(counts, counts) >= HOT)
     columns = (np.where(linked, gids[lead], keys), ids, gids, at.astype(np.int32), np.where(linked, at[lead], -1).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(SENT))
 
@@ -396,8 +424,7 @@ def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
             some = links.select("gid").union(links.select("first_gid")).distinct().join(texts, "gid")
             one_each, again = cut(one_each.join(some.select(F.col("gid").alias("of"), "least_id"), (F.col("gid") == F.col("of")) & (F.col("doc_id") == F.col("least_id")), "left_semi")), True
     found = found.distinct()
-    trimmed = F.trim("text", F.lit(" \t\n\x0b\x0c\r"))
-    n_words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+")))
+    n_words = F.size(F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), ""))
     counted = docs.select("doc_id", "gid", n_words.alias("n")).where(F.col("n") >= least_words).distinct()
     copies = counted.join(texts, "gid").where("doc_id > least_id").select("doc_id", "gid", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("least_id").alias("first_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"))
     return found.unionByName(copies)
