@@ -126,10 +126,13 @@ def date_quote(page: Column | str, d: Column, reach: int = 80) -> Column:
 
 def closure_evidence(page: Column | str) -> Column:
     """The words around the first wording on a page that closes the call; empty if none does."""
-    from attesta.operators.decisions import CLOSED_WORDING, page_status
+    from attesta.operators.decisions import first_closure
 
-    around = F.regexp_extract(F.regexp_replace(text(page), r"\s+", " "), rf"(?i)(.{{0,60}}?(?:{CLOSED_WORDING}).{{0,60}})", 1)
-    return F.when(page_status(page) == "closed", F.trim(around)).otherwise("")
+    def around(flat: Column) -> Column:
+        piece = let(first_closure(flat), lambda m: F.substring(flat, F.greatest(m["start"] - 60, F.lit(0)) + 1, m["end"] - F.greatest(m["start"] - 60, F.lit(0)) + 60))
+        return F.coalesce(F.trim(piece), F.lit(""))
+
+    return let(F.regexp_replace(text(page), r"\s+", " "), around)
 
 
 def judged_fix(event: Column | str, cited: Column | str, ours: Column | str, quote: Column | str, name: Column | str) -> Column:

@@ -209,6 +209,13 @@ def sentence_with(page: Column | str, needle: Column | str) -> Column:
     return let(F.lower(text(needle)), lambda n: F.coalesce(F.get(F.filter(F.split(flat, r"(?<=[.!?]) "), lambda s: F.contains(F.lower(s), n)), F.lit(0)), F.lit("")))
 
 
+def shingle_hashes(c: Column | str, size: int = 6) -> Column:
+    """Distinct hashes of the runs of `size` words, as of `shingles`."""
+    words = F.filter(F.split(F.lower(text(c)), r"\s+"), lambda w: w != "")
+    runs = let(words, lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - size, F.lit(0)) + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, size), " "))))
+    return F.when(F.size(words) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles(c: Column | str, size: int = 6) -> Column:
     """Distinct runs of `size` words."""
     words = F.filter(F.split(F.lower(text(c)), r"\s+"), lambda w: w != "")

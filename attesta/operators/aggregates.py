@@ -61,12 +61,25 @@ def share_of(df: DataFrame, group: list[str], good: Column) -> DataFrame:
     return df.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(good).alias("good")).withColumn("percent", F.floor(F.col("good") * 100 / F.col("n") + 0.5).cast("int"))
 
 
+def repeated_shingle_hashes(pages: DataFrame, key: str, page_text: str, least_pages: int = 3, size: int = 6) -> DataFrame:
+    """(key, hash, pages) of runs of words that stand on least_pages pages of a key; only hashes are shuffled."""
+    from attesta.functions.text import shingle_hashes
+
+    each = pages.select(key, F.explode(shingle_hashes(page_text, size)).alias("hash"))
+    return each.groupBy(key, "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+
+
 def repeated_shingles(pages: DataFrame, key: str, page_text: str, least_pages: int = 3, size: int = 6) -> DataFrame:
-    """Runs of words that stand on least_pages pages of a key: its chrome."""
+    """(key, shingle, pages): runs of words that stand on least_pages pages of a key: its chrome.
+
+    Runs are counted by hash; only those that stand often enough are looked up and counted as text.
+    """
     from attesta.functions.text import shingles
 
+    often = repeated_shingle_hashes(pages, key, page_text, least_pages, size).select(F.col(key).alias("_key"), F.col("hash").alias("_hash"))
     each = pages.select(key, F.explode(shingles(page_text, size)).alias("shingle"))
-    return each.groupBy(key, "shingle").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    known = each.join(often, (F.col(key) == F.col("_key")) & (F.xxhash64("shingle") == F.col("_hash")), "left_semi")
+    return known.groupBy(key, "shingle").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
 
 
 def chrome_share(snippets: DataFrame, chrome: DataFrame, key: str, snippet: str, size: int = 6) -> DataFrame:

@@ -69,14 +69,36 @@ def result_quality(error: Column, pages: Column, basis: Column, has_core: Column
     )
 
 
+def first_closure(flat: Column) -> Column:
+    """struct(start, end) of the first wording in a text that closes the call; null if none does.
+
+    Wording under a condition within the 90 characters before it (in the same sentence), or near
+    another deadline than the call's, closes nothing.
+    """
+    marks = F.regexp_extract_all(flat, F.lit(f"(?i)({CLOSED_WORDING})"))
+    gaps = F.split(flat, f"(?i){CLOSED_WORDING}", -1)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(marks)), marks, lambda gap, mark: F.struct(F.length(gap).alias("gap"), F.length(mark).alias("mark")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def placed(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.struct((start + x["mark"]).alias("at"), F.array_append(acc["found"], F.struct(start.alias("start"), (start + x["mark"]).alias("end"))).alias("found"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), placed, lambda acc: acc["found"])
+
+    def real(m: Column) -> Column:
+        near = F.greatest(m["start"] - 60, F.lit(0))
+        before = F.substring(flat, F.greatest(m["start"] - 90, F.lit(0)) + 1, F.least(m["start"], F.lit(90)))
+        return ~before.rlike(rf"(?is){CONDITIONAL}[^.]{{0,80}}$") & ~F.substring(flat, near + 1, m["end"] - near + 20).rlike(f"(?i){OTHER_DEADLINE}")
+
+    # most pages have no such wording at all, and are not looked at again
+    return F.when(flat.rlike(f"(?i){CLOSED_WORDING}"), F.get(F.filter(found, real), F.lit(0)))
+
+
 def page_status(page: Column | str) -> Column:
     """Closed, open or null, from explicit wording. A condition, or another deadline, closes nothing."""
-    flat = F.regexp_replace(t(page), r"\s+", " ")
-    around = F.regexp_extract_all(flat, F.lit(rf"(?i)((?:(?!{CLOSED_WORDING}).){{0,90}}(?:{CLOSED_WORDING}).{{0,20}})"))
-    conditional = rf"(?is){CONDITIONAL}[^.]{{0,80}}(?:{CLOSED_WORDING})"
-    # most pages have no such wording at all, and are not looked at again
-    real = flat.rlike(f"(?i){CLOSED_WORDING}") & F.exists(around, lambda s: ~s.rlike(conditional) & ~s.rlike(f"(?i){OTHER_DEADLINE}"))
-    return F.when(real, "closed").when(flat.rlike(f"(?i){OPEN_WORDING}"), "open")
+    said = lambda flat: F.when(first_closure(flat).isNotNull(), "closed").when(flat.rlike(f"(?i){OPEN_WORDING}"), "open")
+    return let(F.regexp_replace(t(page), r"\s+", " "), said)
 
 
 def consolidated_status(closed: Column, opened: Column, upcoming: Column, form: Column, opportunity: Column, denied: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.plans import claims, delivery, history, linking, pages, reports, tables  # noqa: F401  registers queries
+from attesta.plans import claims, delivery, history, linking, pages, reports, roundtrips, tables  # noqa: F401  registers queries
 from attesta.plans.registry import ORACLES, QUERIES
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from attesta.functions import dates, records, text
+from attesta.functions import dates, records, text, url
 from attesta.operators import decisions, merge
 from attesta.plans.registry import query
 from attesta.session import table
@@ -58,12 +58,20 @@ def years_and_serials(spark, sf):
     return o.select("o_orderkey", dates.edition_year(F.lit("no year"), t).alias("edition"), dates.first_year(t).alias("first"), dates.event_past(t, dt.date(2026, 12, 1)).alias("past"), serial.alias("serial"), F.date_format(dates.from_excel_serial(serial), "yyyy-MM-dd").alias("back"))
 
 
-@query("""SELECT o_orderkey, o_orderkey % 4 <> 3 AS found FROM orders""")
+WRITTEN = ("MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "dd MMM yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "yyyy")
+WRITTEN_SQL = ("strftime(p, '%B') || ' ' || day(p) || ', ' || year(p)", "day(p) || ' ' || strftime(p, '%B') || ' ' || year(p)", "strftime(p, '%b') || ' ' || day(p) || ', ' || year(p)", "strftime(p, '%d %b %Y')", "strftime(p, '%m/%d/%Y')", "strftime(p, '%Y-%m-%d')", "year(p)::VARCHAR")
+BOTH_SQL = " OR ".join(f"contains(page, {e.replace('p,', 'd,').replace('(p)', '(d)')})" for e in WRITTEN_SQL[:-1])
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderdate::DATE + (o_orderkey % 3 - 1)::INT * 400 AS p FROM orders), t AS (SELECT o_orderkey, d, 'Key: ' || CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(WRITTEN_SQL)) + f" END || '. More' AS page FROM o) SELECT o_orderkey, {BOTH_SQL} AS found FROM t")
 def find_dates(spark, sf):
-    """Whether a claimed date stands in a page in another rendering."""
-    o, d = table(spark, sf, "orders"), F.to_date("o_orderdate")
-    page = F.when(k() % 4 == 0, F.concat(F.lit("Deadline: "), F.date_format(d, "MMMM d'st,' yyyy"), F.lit(". More"))).when(k() % 4 == 1, F.concat(F.lit("due "), F.date_format(d, "dd MMM yyyy"))).when(k() % 4 == 2, F.concat(F.lit("by "), F.date_format(d, "MM/dd/yyyy"), F.lit("!")))
-    return o.select("o_orderkey", dates.find_date(page.otherwise("no date at all, 12 May"), d).alias("found"))
+    """Whether a claimed date stands in a page in another rendering; two pages of three name another day."""
+    d = F.to_date("o_orderdate")
+    other, page = F.date_add(d, ((k() % 3 - 1) * 400).cast("int")), None
+    for i, form in enumerate(WRITTEN):
+        spelled_ = F.concat(F.lit("Key: "), F.date_format(other, form), F.lit(". More"))
+        page = F.when(k() % 7 == i, spelled_) if page is None else page.when(k() % 7 == i, spelled_)
+    return table(spark, sf, "orders").select("o_orderkey", dates.find_date(page, d).alias("found"))
 
 
 STATUS_SQL = "CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'P' THEN 'Upcoming' ELSE 'Closed' END"
@@ -110,25 +118,31 @@ def confidence(spark, sf):
     )
 
 
-PAGES = [
-    ("Call for papers is now closed. Thank you.", "closed"),
-    ("Once the registration deadline has passed, the list is final.", None),
-    ("Submit your abstract today! Submissions are open.", "open"),
-    ("Submissions are now closed. Submit your paper next year.", "closed"),
-    ("Early-bird deadline expired, hotel rooms remain.", None),
-    ("Venue and travel.", None),
-    ("If submissions are closed, write to us.", None),
-]
+#: Sentences of pages; each order's page is one of the first column and one of the second.
+OPENINGS = ("Venue and travel.", "Submit your abstract today!", "Once the papers are in, we read.", "If you wonder:", "The registration deadline and", "Early-bird deadline expired, hotel rooms remain.", "Submissions are open.")
+CLOSINGS = ("Call for papers is now closed.", "submissions are closed, write to us.", "Deadline has passed for all.", "Submissions will not be accepted", "We meet in May.", "thank you authors who have submitted", "now accepting proposals", "deadline has expired")
+CLOSED_SQL = r"(deadline (has )?(now )?(expired|passed|closed)|submissions? (are |is |will )?(no longer|not) (be )?(accepted|being accepted)|call for (papers|abstracts|speakers|presentations) (is |has )?(now )?closed|submissions? (are |is )?(now )?closed|closed for submissions|thank(s| you)? (all )?(the )?authors who (have )?submitted)"
+OPEN_SQL = r"call for (papers|abstracts|speakers|presentations) (is )?(now )?open|submissions? (are |is )?(now )?open|submit your (paper|abstract|proposal|talk)|now accepting (papers|abstracts|submissions|proposals)"
 
 
-def page_text():
-    found = F.when(k() % 7 == 0, PAGES[0][0])
-    for i, (p, _) in enumerate(PAGES[1:], 1):
-        found = found.when(k() % 7 == i, p)
+def _chosen(values, n, k_=None):
+    found = None
+    for i, v in enumerate(values):
+        found = F.when(k() % n == i, v) if found is None else found.when(k() % n == i, v)
     return found
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'closed' WHEN 2 THEN 'open' WHEN 3 THEN 'closed' END AS status FROM orders")
+def _chosen_sql(values, n):
+    return f"CASE o_orderkey % {n} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def page_text():
+    return F.concat_ws("  ", _chosen(OPENINGS, 7), _chosen(CLOSINGS, 8))
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, lower(concat_ws(' ', {_chosen_sql(OPENINGS, 7)}, {_chosen_sql(CLOSINGS, 8)})) AS t FROM orders),
+c AS (SELECT *, regexp_matches(t, '{CLOSED_SQL}') AS closing, regexp_matches(t, '\\b(once|if|when|after|unless|should|until|in the event|please note that)\\b[^.]{{0,80}}{CLOSED_SQL}') AS conditional, regexp_matches(t, '\\b(registration|early[- ]bird|hotel|booth|exhibit[a-z]*|payment|visa|badge) +deadline\\b') AS other FROM p)
+SELECT o_orderkey, CASE WHEN closing AND NOT conditional AND NOT other THEN 'closed' WHEN regexp_matches(t, '{OPEN_SQL}') THEN 'open' END AS status FROM c""".replace("\\\\", "\\"))
 def page_status(spark, sf):
     """Closed or open by explicit wording; rules and other deadlines close nothing."""
     return table(spark, sf, "orders").select("o_orderkey", decisions.page_status(page_text()).alias("status"))
@@ -155,14 +169,17 @@ def layered_verification(spark, sf):
     return s.select("o_orderkey", decisions.resolve(l0s, l0, l1, l2).alias("v")).select("o_orderkey", "v.verdict", "v.layer")
 
 
-@query("""SELECT o_orderkey, o_orderkey % 5 NOT IN (0, 1, 3, 4) OR (o_orderkey % 5 = 3 AND o_orderkey % 2 = 0) AS ok,
- CASE o_orderkey % 5 WHEN 0 THEN 'not a contradiction' WHEN 1 THEN 'no quote captured' WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'shared platform and the quote does not name the event' END WHEN 4 THEN 'quote does not name the call' ELSE '' END AS reason, CASE WHEN o_orderkey % 5 IN (2, 3, 0) THEN 'abstract' ELSE '' END AS label FROM orders""")
+VERDICTS = ("contradicted", "verified", "contradicted")
+QUOTES = ("Abstract deadline: July 6, 2026 for talks", "The date is July 6, 2026", " ", "Photonics poster deadline: July 6", "Global Congress speakers by July", "Nominations close in May", "Workshop on optics of PHOTONICS")
+SOURCES = ("https://ras.papercept.net/x", "https://photonics.example/cfp", "https://easychair.org/cfp/p", "https://EDAS.info/N1", "https://a.example/?easychair")
+
+
+@query(f"""WITH q AS (SELECT o_orderkey, {_chosen_sql(VERDICTS, 3)} AS v, {_chosen_sql(QUOTES, 7)} AS q, lower({_chosen_sql(SOURCES, 5)}) AS s FROM orders), l AS (SELECT *, coalesce([x for x in {list(text.CALL_LABELS)} if contains(lower(q), x)][1], '') AS label, len([x for x in {list(url.SHARED_PLATFORMS)} if contains(s, x)]) > 0 AS shared, contains(lower(q), 'photonics') AS named FROM q),
+r AS (SELECT *, CASE WHEN v <> 'contradicted' THEN 'not a contradiction' WHEN trim(q) = '' THEN 'no quote captured' WHEN shared AND NOT named THEN 'shared platform and the quote does not name the event' WHEN label = '' THEN 'quote does not name the call' ELSE '' END AS reason FROM l) SELECT o_orderkey, reason = '' AS ok, reason, label FROM r""")
 def exportable(spark, sf):
     """Whether a contradiction may leave the system, and the first reason if not."""
-    verdict = F.when(k() % 5 == 0, "verified").otherwise("contradicted")
-    quote = F.when(k() % 5 == 1, " ").when(k() % 5 == 4, "The date is July 6, 2026").when((k() % 5 == 3) & (k() % 2 == 0), "Photonics abstract deadline: July 6").otherwise("Abstract deadline: July 6, 2026 for talks")
-    source = F.when(k() % 5 == 3, "https://ras.papercept.net/x").otherwise("https://photonics.example/cfp")
-    e = decisions.exportable(verdict, quote, source, F.lit("Photonics Global Congress 2026"))
+    quote, source = _chosen(QUOTES, 7), _chosen(SOURCES, 5)
+    e = decisions.exportable(_chosen(VERDICTS, 3), quote, source, F.lit("Photonics Global Congress 2026"))
     return table(spark, sf, "orders").select("o_orderkey", e["ok"].alias("ok"), e["reason"].alias("reason"), text.call_label(quote).alias("label"))
 
 
@@ -175,11 +192,15 @@ def citation_merge(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fate.alias("fate"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'REJECT' WHEN 2 THEN 'CONFIDENT' WHEN 3 THEN 'CONFIDENT' ELSE 'REVIEW' END AS class FROM orders""")
+PROPOSED = ("https://e.example/", "", "https://e.example/events/", "https://e.example/events/cfp", "https://sessionize.com/e-2026", "https://sessionize.com/e/register", "https://e.example/submit-abstract", "https://e.example/about/team", "https://e.example/search?q=proposal", "https://e.example/list?page=2", "https://e.example/calendar", "https://easychair.org/my/summary", "https://e.example/x/CFP#a")
+PATH_SQL = r"lower(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) || '?' || regexp_extract(u, '^[^?#]*\?([^#]*)', 1))"
+
+
+@query(f"""WITH u AS (SELECT o_orderkey, {_chosen_sql(PROPOSED, 13)} AS u FROM orders), p AS (SELECT *, {PATH_SQL} AS p FROM u), s AS (SELECT *, regexp_matches(p, 'submit|submission|abstract|proposal|cfp|call-for') AS submits, len([x for x in {list(url.PLATFORMS)} if contains(lower(u), x)]) > 0 AS form FROM p)
+SELECT o_orderkey, CASE WHEN u = '' OR p IN ('?', '/?') THEN 'REJECT' WHEN regexp_matches(p, '/(events|conferences|calendar|list|search)(/|[?]|$)') AND NOT submits THEN 'REJECT' WHEN form THEN CASE WHEN regexp_matches(p, 'summary|register|registration') THEN 'REVIEW' ELSE 'CONFIDENT' END WHEN submits THEN 'CONFIDENT' ELSE 'REVIEW' END AS class FROM s""")
 def link_proposals(spark, sf):
     """What to do with a replacement link."""
-    u = F.when(k() % 5 == 0, "https://e.example/").when(k() % 5 == 1, "https://e.example/events/").when(k() % 5 == 2, "https://sessionize.com/e-2026").when(k() % 5 == 3, "https://e.example/submit-abstract").otherwise("https://e.example/about/team")
-    return table(spark, sf, "orders").select("o_orderkey", decisions.proposal_class(u).alias("class"))
+    return table(spark, sf, "orders").select("o_orderkey", decisions.proposal_class(_chosen(PROPOSED, 13)).alias("class"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Ulm' WHEN 1 THEN 'Reno' WHEN 2 THEN 'Monaco' ELSE '' END AS city, CASE o_orderkey % 4 WHEN 0 THEN 'Fixed Deadline' WHEN 1 THEN 'Rolling Form' WHEN 2 THEN 'Invite Only' ELSE 'Not Announced' END AS model, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'kept' END AS cell FROM orders""")
@@ -209,12 +230,18 @@ def reconciliation(spark, sf):
     return both.select("c_custkey", F.explode(F.when(F.col("there").isNull(), none).otherwise(fields)).alias("e")).select("c_custkey", "e.*")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'unclear' ELSE 'open' END AS status, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'deadline_after_event_conflict' ELSE 'inferred_open_but_deadline_past' END ELSE 'inferred_from_live_submission_form' END AS basis FROM orders""")
+CLOSES = ("May 2027", "2024-03-01", "2024 or 2028", "May 2026", "soon", "", "20261", "1 June 2025 (was 2025)")
+HELD = ("June 2026", "some day", "2024/2026", "Autumn 2025", "")
+STATES = ("open inferred_from_live_submission_form", "open explicit_open", "closed explicit_closed")
+YEARS_SQL = r"list_distinct(list_filter(list_transform(string_split_regex({}, '[^0-9]+'), lambda x: x), lambda x: regexp_full_match(x, '20[0-9]{{2}}')))"
+
+
+@query(f"""WITH g AS (SELECT o_orderkey, {YEARS_SQL.format(_chosen_sql(CLOSES, 8))} AS c, {YEARS_SQL.format(_chosen_sql(HELD, 5))} AS h, split_part({_chosen_sql(STATES, 3)}, ' ', 1) AS status, split_part({_chosen_sql(STATES, 3)}, ' ', 2) AS basis FROM orders), y AS (SELECT *, CASE WHEN len(c) = 1 THEN c[1]::INT END AS cy, CASE WHEN len(h) = 1 THEN h[1]::INT END AS hy FROM g),
+b AS (SELECT *, CASE WHEN cy > hy THEN 'deadline_after_event_conflict' WHEN status = 'open' AND basis = 'inferred_from_live_submission_form' AND cy < 2026 THEN 'inferred_open_but_deadline_past' END AS doubt FROM y) SELECT o_orderkey, CASE WHEN doubt IS NULL THEN status ELSE 'unclear' END AS status, coalesce(doubt, basis) AS basis FROM b""")
 def edition_guard(spark, sf):
-    """Verdicts whose years cannot both hold become unclear; ambiguous years change nothing."""
-    close = F.when(k() % 3 == 0, F.when(k() % 2 == 0, "May 2027").otherwise("May 2024")).when(k() % 3 == 1, "2024 or 2028").otherwise("May 2026")
-    event = F.when((k() % 3 == 0) & (k() % 2 == 1), "some day").otherwise("June 2026")
-    g = decisions.edition_consistency(F.lit("open"), F.lit("inferred_from_live_submission_form"), close, event, dt.date(2026, 1, 1))
+    """Verdicts whose years cannot both hold become unclear; ambiguous years change nothing."""
+    state = _chosen(STATES, 3)
+    g = decisions.edition_consistency(F.substring_index(state, " ", 1), F.substring_index(state, " ", -1), _chosen(CLOSES, 8), _chosen(HELD, 5), dt.date(2026, 1, 1))
     return table(spark, sf, "orders").select("o_orderkey", g["status"].alias("status"), g["basis"].alias("basis"))
 
 

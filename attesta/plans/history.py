@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from attesta.operators import merge, windows
 from attesta.plans.registry import query
 from attesta.session import table
+from attesta.streaming import jobs
 
 TODAY = dt.date(2024, 1, 20)
 CUT = "TIMESTAMP '2024-01-16'"
@@ -73,17 +74,28 @@ def top_events(spark, sf):
     return windows.top_k(table(spark, sf, "events"), ["user_id"], [F.desc("value"), F.col("event_id")], 3).select("user_id", "event_id", "rank")
 
 
-def _snapshot(spark, sf):
-    """Records as the first half of the month left them, and the later events as a crawl batch."""
-    e = _events(spark, sf).withColumn("amount", F.when(F.col("value") >= 50, F.floor("value").cast("string")))
-    early, late = e.where(f"ts < {CUT} AND user_id % 10 <> 3"), e.where(f"ts >= {CUT} AND user_id % 10 <> 4")
-    first = windows.first_wins(early, ["user_id"], ["ts", "event_id"])
+def _crawl(e):
+    """Events as rows of a crawl batch."""
+    quality = F.when(F.col("event_id") % 6 == 0, "ERROR").otherwise("PASS")
+    return e.select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("seq"), F.col("ts").cast("string").alias("at"), quality.alias("quality"), "status", "amount")
+
+
+def _known(e):
+    return e.withColumn("status", F.when(F.col("event_type") != "error", F.col("event_type"))).withColumn("amount", F.when(F.col("value") >= 50, F.floor("value").cast("string")))
+
+
+def _records(spark, sf):
+    """Records as the first half of the month left them."""
+    first = windows.first_wins(_known(table(spark, sf, "events")).where(f"ts < {CUT} AND user_id % 10 <> 3"), ["user_id"], ["ts", "event_id"])
     verified = F.when(F.col("user_id") % 5 == 0, F.array(F.lit("status"))).otherwise(F.array().cast("array<string>"))
     at = F.col("ts").cast("string")
-    current = first.select(F.col("user_id").alias("key"), "status", "amount", verified.alias("verified"), F.lit("PASS").alias("quality"), at.alias("first_seen"), at.alias("last_checked"), F.lit(None).cast("string").alias("last_changed"))
-    quality = F.when(F.col("event_id") % 6 == 0, "ERROR").otherwise("PASS")
-    batch = late.select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("seq"), at.alias("at"), quality.alias("quality"), "status", "amount")
-    return merge.upsert(current, batch, ("status", "amount"))
+    return first.select(F.col("user_id").alias("key"), "status", "amount", verified.alias("verified"), F.lit("PASS").alias("quality"), at.alias("first_seen"), at.alias("last_checked"), F.lit(None).cast("string").alias("last_changed"))
+
+
+def _snapshot(spark, sf):
+    """Records, and the later events as a crawl batch."""
+    late = _known(table(spark, sf, "events")).where(f"ts >= {CUT} AND user_id % 10 <> 4")
+    return merge.upsert(_records(spark, sf), _crawl(late), ("status", "amount"))
 
 
 UPSERT_SQL = f"""WITH e AS (SELECT *, {STATE} AS status, CASE WHEN value >= 50 THEN floor(value)::BIGINT::VARCHAR END AS amount FROM events),
@@ -109,6 +121,29 @@ def upsert_changes(spark, sf):
     return _snapshot(spark, sf)[1]
 
 
+SNAPSHOT_SQL = f"""{UPSERT_SQL} SELECT key, CASE WHEN fs IN ('take', 'updated') THEN ns ELSE os END AS status, CASE WHEN fa IN ('take', 'updated') THEN na ELSE oa END AS amount, coalesce(ots, nts)::VARCHAR AS first_seen, CASE WHEN 'updated' IN (fs, fa) THEN nts::VARCHAR END AS last_changed FROM f"""
+
+
+def _streamed(spark, sf):
+    out = jobs.workplace(spark)
+    late = _known(jobs.read_events(spark, sf)).where(f"ts >= {CUT} AND user_id % 10 <> 4")
+    jobs.crawl_stream(_crawl(late), _records(spark, sf), out, ("status", "amount"))
+    return out
+
+
+@query(SNAPSHOT_SQL)
+def streamed_records(spark, sf):
+    """The records after a crawl that arrives as a stream."""
+    return jobs.latest_records(spark, _streamed(spark, sf)).select("key", "status", "amount", "first_seen", "last_changed")
+
+
+@query(f"""{UPSERT_SQL} SELECT key, '*' AS field, NULL AS old_value, key::VARCHAR AS new_value, 'new_record' AS change_type, 0 AS batch FROM f WHERE created
+UNION ALL SELECT key, 'status', os, ns, fs, 0 FROM f WHERE fs IN ('updated', 'conflicts_verified') UNION ALL SELECT key, 'amount', oa, na, fa, 0 FROM f WHERE fa = 'updated'""")
+def streamed_changes(spark, sf):
+    """The change log of the same stream, by batch."""
+    return spark.read.parquet(f"{_streamed(spark, sf)}/changes").select("key", "field", "old_value", "new_value", "change_type", "batch")
+
+
 @query(f"""{UPSERT_SQL}, a AS (SELECT key, CASE WHEN created THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CASE WHEN created THEN 'new_conference' ELSE 'cfp_open' END AS kind FROM f WHERE created OR (fs = 'updated' AND ns = 'purchase'))
 SELECT * FROM a UNION ALL SELECT key, 'HIGH', 'deadline_soon' FROM f WHERE created AND date_diff('day', DATE '2024-01-20', nts::DATE) BETWEEN 0 AND 30""")
 def change_alerts(spark, sf):
@@ -263,6 +298,4 @@ def daily_events(spark, sf):
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2)")
 def streamed_first_of_kind(spark, sf):
     """2.11, W1 as a stream: the first event of each kind of each user, from a run-once stream."""
-    from attesta.streaming.jobs import first_of_kind_stream
-
-    return first_of_kind_stream(spark, sf).select("user_id", "event_id")
+    return jobs.first_of_kind_stream(spark, sf).select("user_id", "event_id")

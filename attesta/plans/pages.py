@@ -116,6 +116,8 @@ def link_scores(spark, sf):
     return p.select("page_id", scoring.score_link(href, anchor).cast("double").alias("score"), url.detect_platform(href).alias("platform"))
 
 
+#: Quotes of 60 characters that are broadcast at most.
+BROADCAST_QUOTES = 50_000
 NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(text), '–', '-'), '—', '-'), '([0-9])(st|nd|rd|th)\b', '\1', 'g'), '[^a-z0-9/: -]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -124,6 +126,7 @@ def quote_containment(spark, sf):
     """Documents that hold the first 60 normalized characters of a benchmark item.
 
     Blocked by the quote's first four words, so that only documents with that run are compared.
+    Up to BROADCAST_QUOTES quotes are sent to the documents, more are joined by a shuffle.
     """
     docs = table(spark, sf, "documents").select("doc_id", text.normalize_evidence("text").alias("t"))
     quotes = table(spark, sf, "benchmark").select("item_id", F.substring(text.normalize_evidence("text"), 1, 60).alias("q"))
@@ -133,7 +136,8 @@ def quote_containment(spark, sf):
     # the words are split once, and once for the whole lambda
     every = text.let(F.split("t", " "), lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: run(words, i)))
     runs = docs.select("doc_id", F.explode(F.array_distinct(every)).alias("k"))
-    found = runs.join(keyed, "k").select("doc_id", "item_id").distinct()
+    few = quotes.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES  # of 60 characters each
+    found = runs.join(F.broadcast(keyed) if few else keyed, "k").select("doc_id", "item_id").distinct()
     return found.join(docs, "doc_id").join(quotes, "item_id").where(F.contains("t", F.col("q"))).select("doc_id", "item_id")
 
 
@@ -143,7 +147,7 @@ c AS (SELECT source, shingle, count(*) AS pages FROM s GROUP BY ALL HAVING count
 SELECT source, count(*) AS shingles, max(pages) AS most FROM c GROUP BY 1""")
 def source_chrome(spark, sf):
     """Six-word runs that stand in three documents or more of a source."""
-    chrome = aggregates.repeated_shingles(table(spark, sf, "documents").select("source", "doc_id", "text"), "source", "text")
+    chrome = aggregates.repeated_shingle_hashes(table(spark, sf, "documents").select("source", "text"), "source", "text")
     return chrome.groupBy("source").agg(F.count("*").alias("shingles"), F.max("pages").alias("most"))
 
 

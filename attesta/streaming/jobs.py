@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators.merge import insert_or_replace
+from attesta.operators.merge import insert_or_replace, upsert
 from attesta.session import cut
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -71,6 +71,32 @@ def upsert_stream(events: DataFrame, out: str, keys: list[str], order: list) ->
     events.writeStream.foreachBatch(merge_batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
 
 
+def crawl_stream(batches: DataFrame, current: DataFrame, out: str, fields: tuple[str, ...]) -> None:
+    """U1 as a stream (R2, R3): each micro-batch of a crawl is merged into the records, and its changes are kept.
+
+    Records of batch n stand in out/records/v<n>, its changes in out/changes/batch=<n>, which nothing
+    else writes to: a batch that runs again overwrites its own, and the log only grows by batches.
+    """
+
+    def merge_batch(batch: DataFrame, number: int) -> None:
+        before = current if number == 0 else batch.sparkSession.read.parquet(f"{out}/records/v{number - 1}")
+        records, changes = upsert(before, batch, fields)
+        records.write.mode("overwrite").parquet(f"{out}/records/v{number}")
+        changes.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
+
+    job = batches.writeStream.foreachBatch(merge_batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+
+
+def latest_records(spark: SparkSession, out: str) -> DataFrame:
+    """The records after the last batch of crawl_stream."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{out}/records")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max(int(f.getPath().getName()[1:]) for f in files.listStatus(folder))
+    return spark.read.parquet(f"{out}/records/v{last}")
+
+
 def first_of_kind_stream(spark: SparkSession, folder: str) -> DataFrame:
     """(user_id, event_type, event_id): the first event of each kind of each user, kept in state.
 
