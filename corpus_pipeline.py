@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: documents in, token ids of the kept documents out."""
+"""The training-corpus pipeline: documents in, token ids of the kept documents out.
+
+All stages take tables whose columns may be null, empty tables, repeated rows and extra columns of
+any name. Null and empty texts are kept by the deduplicating stages (copies of each other, so one of
+them) and by decontamination; whether quality keeps them is for its model to say. Rows without doc_id
+are never dropped as copies. All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import bpe, decontaminate, quality, simhash, substring
+from attesta.llm.columns import free_name
 from attesta.session import cut, table
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier junk than well-formed go."""
-    scored = quality.score_quality(docs, quality.graded(table(spark, sf_dir, "labels")))
-    return scored.where("keep").select(docs.columns)
+    """Documents that are likelier junk than well-formed go; without labels all stay."""
+    out = tuple(free_name(n, docs.columns) for n in ("expected_grade", "tail_probability", "keep"))
+    scored = quality.score_quality(docs, quality.graded(table(spark, sf_dir, "labels")), out=out)
+    return scored.where(out[2]).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +39,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more of the words stands in benchmark windows go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each document; a null text has none."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.bpe_encode(docs.select("doc_id", "text"), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
