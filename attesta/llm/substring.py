@@ -152,23 +152,30 @@ def same_run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def grow(a: np.ndarray, b: np.ndarray, tokens: int, length_a: int, length_b: int) -> tuple[int, int, int, int, int]:
+#: Numbers of words left out in both texts, the smallest gaps and the most even ones first.
+GAPS = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x or y), key=lambda g: (sum(g), abs(g[0] - g[1])))
+_GAP_RANK = np.full((GAP + 1, GAP + 1), len(GAPS))
+for _rank, (_x, _y) in enumerate(GAPS):
+    _GAP_RANK[_x, _y] = _rank
+
+
+def grow(a: np.ndarray, b: np.ndarray, next_a: np.ndarray, next_b: np.ndarray, tokens: int, length_a: int, length_b: int) -> tuple[int, int, int, int, int]:
     """How far a passage goes on over gaps in a and b from their starts, and what it then has.
 
-    tokens, length_a, length_b: the shingles the passage shares so far and its words in both.
+    next_a, next_b: at each place, the hash of the shingle that goes on from there; tokens, length_a,
+    length_b: the shingles the passage shares so far and its words in both.
     It ends at the last run up to which the similarity of the whole passage holds; runs before
     that may be below it, as long as those that follow can make up for them.
     """
-    gaps = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x or y), key=lambda g: (sum(g), abs(g[0] - g[1])))
     i = j = 0
     best = (0, 0, tokens, length_a, length_b)
-    while i < len(a) and j < len(b):
-        for x, y in gaps:
-            run = same_run(a[i + x :], b[j + y :])
-            if run >= SHINGLE:
-                break
-        else:
+    while i < len(next_a) and j < len(next_b):
+        meet = next_a[i : i + GAP + 1, None] == next_b[None, j : j + GAP + 1]
+        rank = np.where(meet, _GAP_RANK[: meet.shape[0], : meet.shape[1]], len(GAPS)).min()
+        if rank == len(GAPS):
             break
+        x, y = GAPS[rank]
+        run = same_run(a[i + x :], b[j + y :])
         tokens, length_a, length_b = tokens + run - SHINGLE + 1, length_a + x + run, length_b + y + run
         i, j = i + x + run, j + y + run
         lacking = SIMILARITY * (length_a + length_b - 2 * (SHINGLE - 1) - tokens) - tokens
@@ -185,22 +192,26 @@ def passages(first: str | None, text: str | None, seeds: list[tuple[int, int]],
     seeds: words of `text` and of `first` where a shingle is shared. Runs of `least` words
     that are equal in both are found whether there is a seed in them or not.
     """
-    return shared_passages(run_hashes(text, 1), run_hashes(first, 1), seeds, least)
+    a, b = run_hashes(text, 1), run_hashes(first, 1)
+    return shared_passages(a, b, seed_runs(a, b, seeds), least)
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int]]:
-    """The same, by the hashes of the words of `text` and of `first`."""
+def shared_passages(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int, int]]:
+    """The same, by the hashes of the words of `text` and of `first`, and the runs of equal words around seeds."""
     tokens, other = shingles_of(a), shingles_of(b)
     found: list[tuple[int, int, int, int]] = []
 
     def try_run(p: int, q: int, n: int) -> None:
         # n equal words from p and q on count before any gap is judged
-        before, after = (a[:p][::-1], b[:q][::-1]), (a[p + n :], b[q + n :])
+        back = lambda x, t, at: (x[:at][::-1], t[: max(0, at - SHINGLE + 1)][::-1])
+        before = (*back(a, tokens, p), *back(b, other, q))
+        after = (a[p + n :], tokens[p + n :], b[q + n :], other[q + n :])
         state, left, right, moved = (n - SHINGLE + 1, n, n), [0, 0], [0, 0], True
         while moved:
             moved = False
             for side, at in ((after, right), (before, left)):
-                x, y, *state = grow(side[0][at[0] :], side[1][at[1] :], *state)
+                one, t_one, two, t_two = side
+                x, y, *state = grow(one[at[0] :], two[at[1] :], t_one[at[0] :], t_two[at[1] :], *state)
                 at[0], at[1], moved = at[0] + x, at[1] + y, moved or x > 0
         start, end, start_b, end_b = p - left[0], p + n + right[0], q - left[1], q + n + right[1]
         if end - start >= least:
@@ -208,7 +219,7 @@ def shared_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]],
             if len(one & two) >= SIMILARITY * len(one | two):
                 found.append((start, end, start_b, end_b))
 
-    for p, q, n in seed_runs(a, b, seeds):
+    for p, q, n in runs:
         if not any(s <= p and p + SHINGLE <= e and abs((p - s) - (q - t)) <= GAP * 8 for s, e, t, _ in found):
             try_run(p, q, n)
     # texts that repeat lines meet at one of many places: what is left uncovered is looked up
@@ -253,22 +264,23 @@ def seed_runs(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> lis
     return sorted(found)
 
 
-def open_ends(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], found: list[tuple[int, int, int, int]], salt: int) -> list[tuple[int, int]]:
+def open_ends(a: np.ndarray, seeds: list[tuple[int, int]], runs: list[tuple[int, int, int]], found: list[tuple[int, int, int, int]], salt: int) -> list[tuple[int, int]]:
     """(key, word) of seeds that lie in no passage found: where the common words end, and what follows.
 
     A third text that shares a passage around the seed with text a, but not with b, goes on
-    as a does on one side at least, and so has the same key there. salt: the hash of text b.
+    as a does on one side at least, and so has the same key there. runs: of equal words around
+    the seeds; salt: the hash of text b.
     """
     held = np.zeros(len(a) + 1, bool)
     for s, e, *_ in found:
         held[s : max(s, e - SHINGLE + 1)] = True
-    runs = {p - q: [] for p, q in seeds}
-    for p, q, n in seed_runs(a, b, seeds):
-        runs[p - q].append((p, n))
+    by_diagonal: dict[int, list[tuple[int, int]]] = {}
+    for p, q, n in runs:
+        by_diagonal.setdefault(p - q, []).append((p, n))
     at, low, high = [], [], []
     for p, q in seeds:
         if not held[p]:
-            for start, n in runs[p - q]:
+            for start, n in by_diagonal.get(p - q, ()):
                 if start <= p and p + SHINGLE <= start + n:
                     at.append(p)
                     low.append(start - 1)
@@ -287,6 +299,8 @@ def open_ends(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], found:
     return keys
 
 
+#: Texts (of two numbers each) that are named in a broadcast at most.
+BROADCAST_TEXTS = 200_000
 #: Windows of a key from which on the others of a batch are linked to the first of them.
 HOT = 8
 #: What a task sends: a window (first_at below zero), or a link within a batch, whose `key` is the text it is linked to.
@@ -388,9 +402,10 @@ def judged(links: DataFrame, docs: DataFrame, texts: DataFrame, least_words: int
                 for r in whole.slice(start, 128).to_pylist():
                     seeds = [(s["at"], s["first_at"]) for s in r["seeds"]]
                     a, b = run_hashes(r["text"], 1), run_hashes(r["first_text"], 1)
-                    found = shared_passages(a, b, seeds, least_words)
+                    runs = seed_runs(a, b, seeds)
+                    found = shared_passages(a, b, runs, least_words)
                     rows += [(r["doc_id"], r["gid"], s, e, r["first_id"], t, u, None) for s, e, t, u in found]
-                    rows += [(r["doc_id"], r["gid"], at, None, None, None, None, key) for key, at in set(open_ends(a, b, seeds, found, r["first_gid"]))]
+                    rows += [(r["doc_id"], r["gid"], at, None, None, None, None, key) for key, at in set(open_ends(a, seeds, runs, found, r["first_gid"]))]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                     names = ["doc_id", "gid", "start", "end", "first_id", "first_start", "first_end", "key"]
@@ -407,8 +422,9 @@ def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     from its first to its last word.
     """
     docs = df.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text", F.length("text")).alias("gid"), "text")
-    texts = cut(docs.groupBy("gid").agg(F.min("doc_id").alias("least_id")))
-    one_each = docs.dropDuplicates(["doc_id", "gid"]) if _repeated_ids(docs) else docs
+    ids = cut(_counted(docs))
+    texts = cut(ids.groupBy("gid").agg(F.min("doc_id").alias("least_id")))
+    one_each = docs.dropDuplicates(["doc_id", "gid"]) if _repeated(ids) else docs
     links, found, again = links_of(_windows(docs, least_words)), None, False
     while True:
         seen = cut(judged(links, one_each, texts, least_words))
@@ -421,18 +437,30 @@ def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
         if links.isEmpty():
             break
         if not again:  # all further rounds are among the texts of this one
-            some = links.select("gid").union(links.select("first_gid")).distinct().join(texts, "gid")
-            one_each, again = cut(one_each.join(some.select(F.col("gid").alias("of"), "least_id"), (F.col("gid") == F.col("of")) & (F.col("doc_id") == F.col("least_id")), "left_semi")), True
+            some = cut(links.select("gid").union(links.select("first_gid")).distinct().join(texts, "gid").select(F.col("gid").alias("of"), "least_id"))
+            few = some.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+            held = (F.col("gid") == F.col("of")) & (F.col("doc_id") == F.col("least_id"))
+            one_each, again = cut(one_each.join(F.broadcast(some) if few else some, held, "left_semi")), True
     found = found.distinct()
-    n_words = F.size(F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), ""))
-    counted = docs.select("doc_id", "gid", n_words.alias("n")).where(F.col("n") >= least_words).distinct()
+    counted = ids.where(F.col("n") >= least_words).distinct()
     copies = counted.join(texts, "gid").where("doc_id > least_id").select("doc_id", "gid", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("least_id").alias("first_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"))
     return found.unionByName(copies)
 
 
-def _repeated_ids(docs: DataFrame) -> bool:
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, gid, n): the number of words of each row of docs."""
+
+    def run(batches):
+        for batch in batches:
+            n = [len(t.as_py().encode("utf-8", "surrogatepass").split()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("gid"), pa.array(n, pa.int32())], names=["doc_id", "gid", "n"])
+
+    return docs.mapInArrow(run, "doc_id long, gid long, n int")
+
+
+def _repeated(ids: DataFrame) -> bool:
     """Whether some document stands in the table more than once."""
-    return not docs.groupBy("doc_id", "gid").count().where("count > 1").isEmpty()
+    return not ids.groupBy("doc_id", "gid").count().where("count > 1").isEmpty()
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
