@@ -391,7 +391,7 @@ def citation_hosts(spark, sf):
     return o.select("o_orderkey", decisions.is_social("u").alias("social"), decisions.is_proxy("u").alias("proxy"))
 
 
-SEEDS = {"CONFERENCE": CELLS["CONFERENCE"], "EDITION": pick(3, "1998", "2001", ""), "CITY": pick(4, "Lisbon", "", "Ulm"), "LOCATION": pick(3, "Hall 1, Porto, Portugal", "online", ""), "STATE_PROVINCE": "''", "COUNTRY": "'Portugal'", "CFP MODEL TYPE": pick(4, "fixed-deadline", "ROLLING", "who knows"), "STATUS": CELLS["STATUS"], "SUBMISSION DEADLINE": DAY, "START DATE": "'1999-01-01'", "SUBMISSION URL": pick(3, "https://a.org", ""), "OPPORTUNITY_TYPE": pick(3, "Speaking", "Awards", ""), "KEEP": "CAST(o_orderkey AS STRING)"}
+SEEDS = {"CONFERENCE": "'Event ' || lpad(CAST(o_orderkey AS STRING), 9, '0')", "EDITION": pick(3, "1998", "2001", ""), "CITY": pick(4, "Lisbon", "", "Ulm"), "LOCATION": pick(3, "Hall 1, Porto, Portugal", "online", ""), "STATE_PROVINCE": "''", "COUNTRY": "'Portugal'", "CFP MODEL TYPE": pick(4, "fixed-deadline", "ROLLING", "who knows"), "STATUS": CELLS["STATUS"], "SUBMISSION DEADLINE": DAY, "START DATE": "'1999-01-01'", "SUBMISSION URL": pick(3, "https://a.org", ""), "OPPORTUNITY_TYPE": pick(3, "Speaking", "Awards", ""), "KEEP": "CAST(o_orderkey AS STRING)"}
 
 
 @query("WITH s AS (SELECT *, CAST(\"SUBMISSION DEADLINE\" AS DATE) AS d FROM (SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in SEEDS.items()) + """ FROM orders)), c AS (SELECT *, CASE WHEN "CITY" <> '' THEN "CITY" WHEN "LOCATION" LIKE 'Hall%' THEN 'Porto' WHEN "LOCATION" = 'online' THEN 'online' ELSE '' END AS town, CASE WHEN "CFP MODEL TYPE" LIKE 'fixed%' THEN 'Fixed Deadline' WHEN "CFP MODEL TYPE" = 'ROLLING' THEN 'Rolling Form' ELSE 'Not Announced' END AS model FROM s)

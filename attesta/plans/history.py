@@ -218,7 +218,7 @@ def missing_and_extra(spark, sf):
     return merge.both_ways(*_before_after(spark, sf), "c_custkey")
 
 
-REFRESH_SQL = """WITH d AS (SELECT o_orderkey AS id, 'k' || (o_orderkey % 4000) AS key, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN ' 1998-01-01' ELSE '1998-01-01' END AS due, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'old' END AS page FROM orders),
+REFRESH_SQL = """WITH d AS (SELECT o_orderkey AS id, 'k' || CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 40 ELSE o_orderkey END AS key, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN ' 1998-01-01' ELSE '1998-01-01' END AS due, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'old' END AS page FROM orders),
 x AS (SELECT key FROM d GROUP BY key HAVING count(DISTINCT lower(trim(due))) > 1),
 v AS (SELECT 'k' || c_custkey AS key, max({'d': CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'soon' ELSE '1999-09-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') END, 'p': CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'new' END, 'c': c_custkey % 2 = 0}) AS v FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1),
 n AS (SELECT d.*, CASE WHEN v.key IS NULL THEN due WHEN try_cast(v.v.d AS DATE) IS NOT NULL THEN v.v.d WHEN v.v.c AND v.v.d = '' THEN '' ELSE due END AS due2, CASE WHEN v.key IS NULL THEN page WHEN v.v.p <> '' THEN v.v.p WHEN v.v.c THEN '' ELSE page END AS page2 FROM d LEFT JOIN (SELECT * FROM v WHERE key NOT IN (SELECT key FROM x)) v ON v.key = d.key)"""
@@ -227,7 +227,7 @@ n AS (SELECT d.*, CASE WHEN v.key IS NULL THEN due WHEN try_cast(v.v.d AS DATE)
 def _refreshed(spark, sf):
     k = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(
-        k.alias("id"), F.concat(F.lit("k"), (k % 4000).cast("string")).alias("key"),
+        k.alias("id"), F.concat(F.lit("k"), F.when(k % 5 == 0, k % 40).otherwise(k).cast("string")).alias("key"),
         F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 1, " 1998-01-01").otherwise("1998-01-01").alias("due"), F.when(k % 5 == 0, "").otherwise("old").alias("page"),
     )
     c = F.col("c_custkey")

@@ -45,4 +45,38 @@ def test_equals_duckdb(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
-    assert catalog.queries()[name](spark, FOLDER).columns
+    assert catalog.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_market_guard_by_definition(spark):
+    """M6 against a plain statement of the rule."""
+    from difflib import SequenceMatcher
+
+    from attesta.functions import vocabulary
+    from attesta.plans import delivery
+
+    keys = {vocabulary.plain_key(m): m for m in vocabulary.MARKETS}
+    aliases = {vocabulary.plain_key(a): m for a, m in vocabulary.ALIASES.items()}
+
+    def fate(name):
+        key = vocabulary.plain_key(name)
+        near = [m for k, m in keys.items() if k != key and (SequenceMatcher(None, key, k).ratio() >= 0.7 or key in k or k in key)]
+        return "refused: empty" if not name.strip() else "known" if key in keys or key in aliases else "refused: looks like another" if near else "added"
+
+    found = {r.o_orderkey: r.fate for r in catalog.queries()["market_guard"](spark, FOLDER).collect()}
+    assert found and all(f == fate(delivery.NAMES[min(k % 9, 8)]) for k, f in found.items())
+
+
+def test_stable_dates_by_definition(spark):
+    rows = {r.o_orderkey: r.day for r in catalog.queries()["stable_dates"](spark, FOLDER).collect()}
+    orders = {r.o_orderkey: r.o_orderdate for r in spark.read.parquet(f"{FOLDER}/orders.parquet").collect()}
+    for k, day in rows.items():
+        d = orders[k].date()
+        late = d.replace(year=d.year + 10) if (d.month, d.day) != (2, 29) else datetime.date(d.year + 10, 2, 28)
+        assert day == (late.isoformat() if k % 4 == 0 else d.isoformat() if k % 4 == 2 and d.year >= 2000 else None)
+
+
+def test_best_first_visits_the_best_open_link(spark):
+    walks = catalog.queries()["best_first"](spark, FOLDER).collect()
+    assert len({(r.site, r.url) for r in walks}) == len(walks) and all(r.depth <= 2 and r.step <= 12 for r in walks)
+    assert all({r.step for r in walks if r.site == s} == set(range(1, 1 + sum(r.site == s for r in walks))) for s in {r.site for r in walks})
