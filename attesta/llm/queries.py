@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import ann, bpe, decontaminate, filter_audit, fim, html_text, quality, sharding, simhash, substring, token_files, toxicity
+from attesta.llm import ann, bpe, decontaminate, filter_audit, fim, html_text, language_model, quality, sharding, simhash, substring, token_files, toxicity
 from attesta.session import table
 
 #: Bytes of text in a shard of op8.
@@ -69,6 +69,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, query_every=100)
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by the network and by counts; null texts hold an end only."""
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removals of five filters in all 120 orders, by source; null texts are empty, null sources ''."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -80,7 +85,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = (op1_toxicity, op2_quality, op3_simhash, op4_html, op5_bpe, op6_decontaminate, op7_token_files, op8_sharding, op9_substring, op10_ann, op12_filter_audit, op13_fim)
+    found = (op1_toxicity, op2_quality, op3_simhash, op4_html, op5_bpe, op6_decontaminate, op7_token_files, op8_sharding, op9_substring, op10_ann, op11_lm_scores, op12_filter_audit, op13_fim)
     return {f.__name__: f for f in found}
 
 
