@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +33,9 @@ from attesta.llm.bpe import _add, _with
 
 _TAG = re.compile(r"""<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _OPEN_QUOTE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>)[^>]*>")
-#: Characters up to which the end of a tag is looked for, but for FAR_TAGS tags of a page; beyond, quotes are not minded.
-TAG_CHARS, FAR_TAGS = 1 << 16, 16
+_NAME = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)")
+#: Characters in which a pattern looks for the end of a tag; what it does not find there, TagEnds does.
+TAG_CHARS = 1 << 12
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -68,6 +71,39 @@ TURNED = {"has", "with", "no", "without", "and", "is", "not", "show", "hide"}
 PROSE, REACH = 80, 6
 
 
+class TagEnds:
+    """Ends of tags of any length: the first > outside quotes, in time that grows with the page, not with its tags.
+
+    Where quotes stand is noted once. A walk that ends in a quote that never closes remembers where it was
+    outside quotes, for every later walk that comes there ends so too.
+    """
+
+    def __init__(self, page: str):
+        self.places = {c: array("q", (m.start() for m in re.finditer(c, page))) for c in "\"'>"}
+        self.failed: set[int] = set()
+
+    def after(self, char: str, at: int) -> int | None:
+        places = self.places[char]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
+    def end(self, at: int) -> int | None:
+        """Where the > is that ends a tag whose name ends at `at`; None if a quote stays open."""
+        walked = []
+        while at not in self.failed:
+            walked.append(at)
+            closing = self.after(">", at)
+            opened = min(((p, q) for q in "\"'" if (p := self.after(q, at)) is not None), default=None)
+            if closing is not None and (opened is None or closing < opened[0]):
+                return closing
+            quote = self.after(opened[1], opened[0] + 1) if opened else None
+            if quote is None:
+                break
+            at = quote + 1
+        self.failed.update(walked)
+        return None
+
+
 class Node:
     __slots__ = ("tag", "up", "never", "named", "unsure", "within", "evidence", "points", "own", "chars", "link_chars", "prose", "semantic", "kept", "holds")
 
@@ -168,7 +204,7 @@ def tree_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             flush(path[blocks[-1]])
 
     at = seen = 0  # up to `seen` the page has been read
-    last, far = page.rfind(">"), FAR_TAGS
+    last, ends = page.rfind(">"), None
     while (at := page.find("<", at)) >= 0:
         if page.startswith(("<!", "<?"), at):
             mark = "-->" if page.startswith("<!--", at) else ">"
@@ -182,23 +218,29 @@ def tree_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             at = seen = ended + len(mark) if ended >= 0 else len(page)
             continue
         match = _TAG.match(page, at, at + TAG_CHARS) if at < last else None
-        if match is None and at < last and page[at + 1 : at + 2].isalpha() and far:
-            match, far = _TAG.match(page, at), far - 1
-        if match is None and at < last:
-            match = _OPEN_QUOTE.match(page, at)
-        if match is None:
+        stop = match.end() if match else None
+        if match is None and at < last and (match := _NAME.match(page, at)):
+            ends = ends or TagEnds(page)
+            far = ends.end(match.end())
+            if far is None:  # a quote stays open: quotes are not minded
+                match = _OPEN_QUOTE.match(page, at)
+                stop = match.end() if match else None
+            else:
+                stop = far + 1
+        if stop is None:
             at += 1
             continue
         add(page[seen:at])
-        at = seen = match.end()
+        at = seen = stop
         tag = match["tag"]
+        whole = match["rest"] if "rest" in match.re.groupindex else page[match.end() : stop - 1]
         tag = tag.lower()
         if match["end"]:
             where = places.get(tag)
             if where and (tag not in INLINE or where[-1] > blocks[-1]):
                 close(where[-1])
             continue
-        rest = match["rest"] or ""
+        rest = whole or ""
         if tag in RAW:
             ended = _ENDS[tag].search(page, at)
             at = seen = ended.end() if ended else len(page)

@@ -417,8 +417,8 @@ def judged(links: DataFrame, docs: DataFrame, texts: DataFrame, least_words: int
 def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, gid, start, end, first_id, first_start, first_end): passages that repeat an earlier document.
 
-    Positions count words; gid is the hash of the text. The earlier document is the first that
-    holds the passage, or the first of a batch of a task. Copies of a whole text have one row,
+    Positions count words; gid is the hash of the text. A passage has one row, with the earliest
+    document that it was verified against. Copies of a whole text have one row,
     from its first to its last word.
     """
     docs = df.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text", F.length("text")).alias("gid"), "text")
@@ -441,7 +441,9 @@ def repeats(df: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
             few = some.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
             held = (F.col("gid") == F.col("of")) & (F.col("doc_id") == F.col("least_id"))
             one_each, again = cut(one_each.join(F.broadcast(some) if few else some, held, "left_semi")), True
-    found = found.distinct()
+    # a passage that was met under several keys has one row, with the smallest of the documents that hold it
+    first = F.min(F.struct("first_id", "first_start", "first_end")).alias("f")
+    found = found.groupBy("doc_id", "gid", "start", "end").agg(first).select("doc_id", "gid", "start", "end", "f.*")
     counted = ids.where(F.col("n") >= least_words).distinct()
     copies = counted.join(texts, "gid").where("doc_id > least_id").select("doc_id", "gid", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("least_id").alias("first_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"))
     return found.unionByName(copies)

@@ -4,7 +4,7 @@ import time
 import numpy as np
 
 from attesta.llm import ann
-from attesta.llm.html_text import extract_main, main_text
+from attesta.llm.html_text import TagEnds, extract_main, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, a lot of them, really, accept.</p></div>
@@ -154,3 +154,35 @@ def test_one_id_with_two_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors(40, 4, seed=2))] + [(0, [5.0, 5.0, 5.0, 5.0]), (3, [1.0, 1.0, 1.0, 1.0])]
     found = run(spark, rows)
     assert [r["rank"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(1, 11)) and len({r.vec_id for r in found}) == 10
+
+
+def test_many_long_tags_leak_nothing():
+    """However many tags are long, what stands in their quotes is no text; unclosed quotes cost no more than the page."""
+    image = '<img data-x="' + "y" * 70_000 + ' > leaked ">'
+    prose = "<p>" + "A sentence, with commas, that is long enough to read as prose. " * 5 + "</p>"
+    page = "<html><body><div>" + (image + prose) * 40 + "</div></body></html>"
+    text = main_text(page)
+    assert "leaked" not in text and "yyy" not in text and text.count("A sentence") == 200
+    open_quotes = "<html><body>" + "<b title=\"x>one</b> <i class='z>two</i>\n" * 20_000 + prose + "</body></html>"
+    began = time.process_time()
+    main_text(open_quotes)
+    assert time.process_time() - began < 20
+
+
+def test_ends_of_tags():
+    """Against a plain walk over the letters."""
+    rng = random.Random(6)
+    for _ in range(300):
+        page = "".join(rng.choices("<>\"'ab /", k=60))
+        ends = TagEnds(page)
+        for at in range(len(page)):
+            quote, found = None, None
+            for i in range(at, len(page)):
+                if quote:
+                    quote = None if page[i] == quote else quote
+                elif page[i] in "\"'":
+                    quote = page[i]
+                elif page[i] == ">":
+                    found = i
+                    break
+            assert ends.end(at) == found

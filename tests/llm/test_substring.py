@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from attesta.llm import substring
 from tests.llm.helpers import clashing, documents, odd_rows
@@ -146,3 +147,13 @@ def test_recall_of_edited_passages(spark):
         rows += [(k, " ".join(prose(60, 6000 + k) + passage + prose(60, 7000 + k))), (1000 + k, " ".join(prose(50, 8000 + k) + edited + prose(50, 9000 + k)))]
     found = {r.doc_id - 1000 for r in substring.repeats(documents(spark, rows)).collect() if r.first_id == r.doc_id - 1000}
     assert len(found) >= 135
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_a_passage_has_one_row_with_its_first_holder(spark, partitions):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda i: [f"d{i}x{rng.randrange(10**6)}" for _ in range(rng.randint(5, 40))]
+    rows = [(i, " ".join(own(i) + passage + own(i))) for i in range(1, 25)]
+    found = substring.repeats(documents(spark, rows).repartition(partitions)).collect()
+    assert len(found) == 23 and {r.first_id for r in found} == {1} and {r.end - r.start for r in found} == {60}
