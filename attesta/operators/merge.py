@@ -15,39 +15,52 @@ from attesta.functions.text import blank, text
 from attesta.operators.aggregates import contested
 from attesta.operators.windows import first_wins
 
-#: Fields that a crawl owns.
-TRACKED = ("name", "location", "conference_dates", "cfp_status", "cfp_close_date", "submission_url", "overview")
+# Fields whose changes are logged, and what becomes of the others, whatever the crawl's outcome: the
+# new value, the new one unless blank, or the old one unless blank.
+TRACKED = ("name", "location", "conference_dates", "cfp_status", "cfp_close_date", "submission_url", "categories")
+UNTRACKED = {"url": "new", "industry": "newer", "edition": "newer", "coordinator_email": "older", "overview": "newer", "status_details": "newer", "event_is_past": "new"}
 
 
-def upsert(current: DataFrame, batch: DataFrame, fields: tuple[str, ...] = TRACKED, key: str = "key", strict_parity: bool = False) -> tuple[DataFrame, DataFrame]:
+def upsert(current: DataFrame, batch: DataFrame, fields: tuple[str, ...] = TRACKED, key: str = "key", strict_parity: bool = False, untracked: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(snapshot, changes) of a crawl batch merged into the current records.
 
     current: key, fields, verified (list of human-verified fields), quality, first_seen,
     last_checked, last_changed. batch: key, seq, at, quality, fields; the last row of a key
     counts. A failed crawl leaves all fields; a blank never overwrites; a verified field
-    keeps its value and a conflict is logged. An unclear status counts as blank unless
-    strict_parity.
+    keeps its value and a conflict is logged, for an empty text too but not for null. An unclear
+    status counts as blank unless strict_parity. untracked: other columns of both with their rule
+    as in UNTRACKED, none by default; they are never logged.
     """
+    untracked = untracked or {}
     new = first_wins(batch, [key], [F.desc("seq")])
-    n = new.select(F.col(key), "at", F.col("quality").alias("n_quality"), F.lit(True).alias("n_there"), *[F.col(f).alias(f"n_{f}") for f in fields])
-    c = current.select(F.col(key), "verified", "quality", "first_seen", "last_checked", "last_changed", F.lit(True).alias("c_there"), *fields)
+    n = new.select(F.col(key), "at", F.col("quality").alias("n_quality"), F.lit(True).alias("n_there"), *[F.col(f).alias(f"n_{f}") for f in (*fields, *untracked)])
+    c = current.select(F.col(key), "verified", "quality", "first_seen", "last_checked", "last_changed", F.lit(True).alias("c_there"), *fields, *untracked)
     both = c.join(n, key, "full")
     created = F.col("c_there").isNull()
     failed = F.col("n_quality").isin("ERROR", "BLOCKED") & ~created
 
     def fate(f: str) -> Column:
         value = F.col(f"n_{f}")
-        nothing = blank(value) | (F.lit(not strict_parity) & F.lit(f == "cfp_status") & (F.lower(text(value)) == "unclear"))
+        unclear = F.lit(not strict_parity) & F.lit(f == "cfp_status") & (F.lower(text(value)) == "unclear")
+        nothing = blank(value) | unclear
         held = F.coalesce(F.array_contains("verified", f), F.lit(False))
         differs = text(f) != text(value)
-        return F.when(F.col("n_there").isNull() | failed, "keep").when(created, "take").when(held & differs & ~nothing, "conflicts_verified").when(held | nothing | ~differs, "keep").otherwise("updated")
+        return F.when(F.col("n_there").isNull() | failed, "keep").when(created, "take").when(held & differs & value.isNotNull() & ~unclear, "conflicts_verified").when(held | nothing | ~differs, "keep").otherwise("updated")
 
     fates = both.select("*", *[fate(f).alias(f"fate_{f}") for f in fields])
     updated = reduce(lambda a, b: a | b, [F.col(f"fate_{f}") == "updated" for f in fields])
     value = lambda f: F.when(F.col(f"fate_{f}").isin("take", "updated"), F.col(f"n_{f}")).otherwise(F.col(f)).alias(f)
+
+    def refreshed(f: str) -> Column:
+        old, new = F.col(f), F.col(f"n_{f}")
+        first, second = (new, old) if untracked[f] == "newer" else (old, new)
+        chosen = new if untracked[f] == "new" else F.when(~blank(first), first).otherwise(second)
+        return F.when(F.col("n_there").isNull(), old).when(created, new).otherwise(chosen).alias(f)
+
     snapshot = fates.select(
         key,
         *[value(f) for f in fields],
+        *[refreshed(f) for f in untracked],
         F.coalesce("verified", F.array().cast("array<string>")).alias("verified"),
         F.coalesce("n_quality", "quality").alias("quality"),
         F.coalesce("first_seen", "at").alias("first_seen"),

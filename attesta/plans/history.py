@@ -299,3 +299,51 @@ def daily_events(spark, sf):
 def streamed_first_of_kind(spark, sf):
     """2.11, W1 as a stream: the first event of each kind of each user, from a run-once stream."""
     return jobs.first_of_kind_stream(spark, sf).select("user_id", "event_id")
+
+
+CRAWLED = (*merge.TRACKED, *merge.UNTRACKED)
+OLD_FIELDS = {f: f"CASE WHEN (c_custkey + {k}) % 4 = 0 THEN NULL ELSE concat('v', CAST((c_custkey * {k}) % 7 AS STRING)) END" for k, f in enumerate(CRAWLED, 1)}
+NEW_FIELDS = {f: f"CASE WHEN (c_custkey + 2 * {k}) % 5 = 0 THEN NULL WHEN (c_custkey + 2 * {k}) % 5 = 1 THEN '' WHEN c_custkey % 3 = 1 THEN concat('v', CAST((c_custkey * {k}) % 7 AS STRING)) ELSE concat('w', CAST((c_custkey + {k}) % 11 AS STRING)) END" for k, f in enumerate(CRAWLED, 1)}
+VERIFIED_FIELDS = ("name", "cfp_status")
+_FATE = {
+    f: f"CASE WHEN created THEN 'take' WHEN NOT n_there OR failed THEN 'keep' "
+    + (f"WHEN held AND n_{f} IS NOT NULL AND coalesce(c_{f}, '') <> n_{f} THEN 'conflicts_verified' WHEN held THEN 'keep' " if f in VERIFIED_FIELDS else "")
+    + f"WHEN coalesce(n_{f}, '') = '' OR coalesce(c_{f}, '') = n_{f} THEN 'keep' ELSE 'updated' END"
+    for f in merge.TRACKED
+}
+_REFRESHED = {
+    "new": "n_{f}",
+    "newer": "CASE WHEN coalesce(n_{f}, '') <> '' THEN n_{f} ELSE c_{f} END",
+    "older": "CASE WHEN coalesce(c_{f}, '') <> '' THEN c_{f} ELSE n_{f} END",
+}
+_CURRENT_SQL = ", ".join(f"{e} AS c_{f}" for f, e in OLD_FIELDS.items())
+_BATCH_SQL = ", ".join(f"{e} AS n_{f}" for f, e in NEW_FIELDS.items())
+_FATES_SQL = ", ".join(f"{e} AS fate_{f}" for f, e in _FATE.items())
+FULL_SQL = f"""WITH c AS (SELECT c_custkey AS key, c_custkey % 5 = 0 AS held, {_CURRENT_SQL} FROM customer WHERE c_custkey % 3 <> 0),
+n AS (SELECT c_custkey AS key, c_custkey % 9 = 0 OR c_custkey % 11 = 0 AS bad, {_BATCH_SQL} FROM customer WHERE c_custkey % 4 <> 1),
+j AS (SELECT coalesce(c.key, n.key) AS key, c.key IS NULL AS created, n.key IS NOT NULL AS n_there, c.key IS NOT NULL AND coalesce(bad, false) AS failed, coalesce(c.held, false) AS held, c.* EXCLUDE (key, held), n.* EXCLUDE (key, bad) FROM c FULL JOIN n ON c.key = n.key),
+f AS (SELECT *, {_FATES_SQL} FROM j)"""
+
+
+def _full(spark, sf):
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    strings = lambda fields: [F.expr(e).alias(f) for f, e in fields.items()]
+    names = F.array(*[F.lit(f) for f in VERIFIED_FIELDS])
+    when = F.lit("2026-01-01")
+    current = c.where(k % 3 != 0).select(k.alias("key"), F.when(k % 5 == 0, names).otherwise(F.array().cast("array<string>")).alias("verified"), F.lit("PASS").alias("quality"), when.alias("first_seen"), when.alias("last_checked"), F.lit(None).cast("string").alias("last_changed"), *strings(OLD_FIELDS))
+    batch = c.where(k % 4 != 1).select(k.alias("key"), F.lit(1).alias("seq"), F.lit("2026-02-02").alias("at"), F.when((k % 9 == 0) | (k % 11 == 0), F.lit("ERROR")).otherwise(F.lit("PASS")).alias("quality"), *strings(NEW_FIELDS))
+    return merge.upsert(current, batch, untracked=merge.UNTRACKED)
+
+
+@query(f"""{FULL_SQL} SELECT key, {", ".join(f"CASE WHEN fate_{f} IN ('take', 'updated') THEN n_{f} ELSE c_{f} END AS {f}" for f in merge.TRACKED)},
+{", ".join(f"CASE WHEN NOT n_there THEN c_{f} WHEN created THEN n_{f} ELSE {_REFRESHED[rule].format(f=f)} END AS {f}" for f, rule in merge.UNTRACKED.items())},
+CASE WHEN n_there THEN '2026-02-02' ELSE '2026-01-01' END AS last_checked, CASE WHEN 'updated' IN ({", ".join(f"fate_{f}" for f in merge.TRACKED)}) THEN '2026-02-02' END AS last_changed FROM f""")
+def full_upsert(spark, sf):
+    """All tracked fields by the truth table and all other columns by their own rules."""
+    return _full(spark, sf)[0].select("key", *CRAWLED, "last_checked", "last_changed")
+
+
+@query(FULL_SQL + " SELECT key, '*' AS field, NULL AS old_value, key::VARCHAR AS new_value, 'new_record' AS change_type FROM f WHERE created " + " ".join(f"UNION ALL SELECT key, '{f}', c_{f}, n_{f}, fate_{f} FROM f WHERE fate_{f} IN ('updated', 'conflicts_verified')" for f in merge.TRACKED))
+def full_changes(spark, sf):
+    """The change log of the same batch; untracked columns are in none of its rows."""
+    return _full(spark, sf)[1].drop("at")

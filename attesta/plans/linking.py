@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import scoring, text, udfs, url
-from attesta.operators import alignment, frontier, linkage, names
+from attesta.operators import alignment, frontier, linkage, names, weights
 from attesta.plans.pages import PAGES_SQL
 from attesta.plans.registry import query
 from attesta.session import cut, table
@@ -274,3 +274,18 @@ def rare_word_titles(spark, sf):
     """M9: pairs of page titles that share rare words, by the cosine of their words' weights."""
     n = _named(spark, sf).select(F.col("page_id").alias("id"), "tokens")
     return names.rare_word_pairs(n, n, 0.15).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"""{SIDES_SQL}, f AS ({_found_sql(*TESTS_SQL)}), pat AS (SELECT row, candidate, bit_or(CASE test WHEN 'exact_url' THEN 1 WHEN 'domain' THEN 2 WHEN 'name_city_date' THEN 4 WHEN 'domain_position' THEN 8 WHEN 'domain_name' THEN 16 WHEN 'domain_date' THEN 32 WHEN 'domain_city' THEN 64 WHEN 'exact_name' THEN 128 WHEN 'name_city' THEN 256 END) AS pattern FROM f GROUP BY 1, 2)
+SELECT pattern::INTEGER AS pattern, count(*) AS n FROM pat GROUP BY 1""")
+def match_patterns(spark, sf):
+    """M9: pairs of records by the tests that agree on them."""
+    return weights.patterns(weights.agreement(linkage.candidates(*_sides(spark, sf), letters=False), linkage.TESTS))
+
+
+@query()
+def match_scores(spark, sf):
+    """M9: pairs with the weight of their agreement, m and u estimated from all pairs; iterative, so no SQL counterpart."""
+    pairs = cut(weights.agreement(linkage.candidates(*_sides(spark, sf), letters=False), linkage.TESTS))
+    learned = weights.fitted(pairs, linkage.TESTS)
+    return pairs.select("row", "candidate", "pattern", F.round(learned.score(), 6).alias("score"), F.round(learned.probability(), 6).alias("probability"))

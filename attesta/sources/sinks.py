@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions import dates, records, scoring, udfs
 from attesta.functions.text import blank, text
@@ -113,19 +114,36 @@ def seed_rows(claims: DataFrame, today: dt.date) -> DataFrame:
     return claims.withColumns(derived)
 
 
+def fingerprint(df: DataFrame) -> tuple:
+    """Number of rows, and sums of two hashes of each column and of whole rows: equal for equal tables in any order.
+
+    Floats are hashed as they are, arrays and structs by their parts, maps by their sorted entries.
+    """
+
+    def plain(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c
+
+    columns = [plain(f) for f in df.schema.fields]
+    sums = lambda *c: [F.sum(F.xxhash64(F.lit(seed), *c).cast("decimal(38,0)")) for seed in (1, 2)]
+    named = [x for i, c in enumerate(columns) for x in sums(F.lit(i), c, c.isNull())]
+    return tuple(df.agg(F.count(F.lit(1)), *named, *sums(*columns, *(c.isNull() for c in columns))).first())
+
+
 def write_checked(rows: DataFrame, path: str, columns: list[str]) -> int:
-    """K7, K8: written aside, read again and only then put in place; raises if columns or rows differ.
+    """K7, K8: written aside, read again and only then put in place; raises if columns or any value differ.
 
-    Returns the number of rows. The earlier version stays beside the new one.
+    Returns the number of rows. The earlier version stays beside the new one. Rows that are not the same each
+    time they are worked out count as changed.
     """
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     aside, target, backup = (jvm.Path(path + s) for s in (".new", "", ".before"))
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    expected = rows.count()
+    expected = fingerprint(rows)
     rows.write.mode("overwrite").parquet(aside.toString())
     again = spark.read.parquet(aside.toString())
-    if again.columns != columns or again.count() != expected:
+    if again.columns != columns or fingerprint(again) != expected:
         raise ValueError("what was written differs from what was to be written; the target is as it was")
     if files.exists(target):
         files.delete(backup, True)
@@ -135,4 +153,4 @@ def write_checked(rows: DataFrame, path: str, columns: list[str]) -> int:
         if files.exists(backup):
             files.rename(backup, target)
         raise OSError(f"{path} could not be replaced; it is as it was")
-    return expected
+    return expected[0]
