@@ -347,3 +347,59 @@ def full_upsert(spark, sf):
 def full_changes(spark, sf):
     """The change log of the same batch; untracked columns are in none of its rows."""
     return _full(spark, sf)[1].drop("at")
+
+
+#: Days at which the later events are split into three files of a crawl.
+SPLITS = ("2024-01-19", "2024-01-23")
+
+
+def _in_files(spark, sf):
+    """The crawl of `_streamed` in three files, with a restart before the last; the folder of the keyed stream."""
+    out = jobs.workplace(spark)
+    late = _crawl(_known(table(spark, sf, "events")).where(f"ts >= {CUT} AND user_id % 10 <> 4"))
+    day = F.substring("at", 1, 10)
+    parts = [late.where(day < SPLITS[0]), late.where((day >= SPLITS[0]) & (day < SPLITS[1])), late.where(day >= SPLITS[1])]
+    for run in (parts[:2], parts[2:]):
+        for part in run:
+            part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+        batches = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        jobs.keyed_crawl_stream(batches, _records(spark, sf), out, ("status", "amount"))
+        jobs.alert_stream(spark, out, TODAY)
+    return out
+
+
+def _chain_sql() -> str:
+    steps = [f"""e AS (SELECT *, {STATE} AS status, CASE WHEN value >= 50 THEN floor(value)::BIGINT::VARCHAR END AS amount, CASE WHEN event_id % 6 = 0 THEN 'ERROR' ELSE 'PASS' END AS quality,
+  CASE WHEN (ts::VARCHAR)[:10] < '{SPLITS[0]}' THEN 1 WHEN (ts::VARCHAR)[:10] < '{SPLITS[1]}' THEN 2 ELSE 3 END AS batch FROM events),
+c0 AS (SELECT user_id AS key, status, amount, user_id % 5 = 0 AS held, ts::VARCHAR AS first_seen, NULL::VARCHAR AS last_changed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e WHERE ts < {CUT} AND user_id % 10 <> 3) WHERE n = 1)"""]
+    for k in (1, 2, 3):
+        steps.append(f"""b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM e WHERE ts >= {CUT} AND user_id % 10 <> 4 AND batch = {k}) WHERE n = 1),
+f{k} AS (SELECT *, CASE WHEN created THEN 'take' WHEN skipped OR coalesce(ns, '') = '' OR coalesce(os, '') = ns THEN 'keep' WHEN held THEN 'conflicts_verified' ELSE 'updated' END AS fs,
+  CASE WHEN created THEN 'take' WHEN skipped OR coalesce(na, '') = '' OR coalesce(oa, '') = na THEN 'keep' ELSE 'updated' END AS fa
+  FROM (SELECT coalesce(c.key, b.user_id) AS key, c.key IS NULL AS created, b.user_id IS NULL OR (b.quality = 'ERROR' AND c.key IS NOT NULL) AS skipped, coalesce(c.held, false) AS held,
+    c.status AS os, c.amount AS oa, b.status AS ns, b.amount AS na, c.first_seen, c.last_changed, b.ts::VARCHAR AS tick FROM c{k - 1} c FULL JOIN b{k} b ON c.key = b.user_id)),
+c{k} AS (SELECT key, CASE WHEN fs IN ('take', 'updated') THEN ns ELSE os END AS status, CASE WHEN fa IN ('take', 'updated') THEN na ELSE oa END AS amount, held,
+  coalesce(first_seen, tick) AS first_seen, CASE WHEN 'updated' IN (fs, fa) THEN tick ELSE last_changed END AS last_changed FROM f{k})""")
+    steps.append("log AS (" + " UNION ALL ".join(
+        f"SELECT {k - 1} AS batch, key, '*' AS field, NULL AS old_value, key::VARCHAR AS new_value, 'new_record' AS change_type FROM f{k} WHERE created "
+        f"UNION ALL SELECT {k - 1}, key, 'status', os, ns, fs FROM f{k} WHERE fs IN ('updated', 'conflicts_verified') UNION ALL SELECT {k - 1}, key, 'amount', oa, na, fa FROM f{k} WHERE fa = 'updated'"
+        for k in (1, 2, 3)) + ")")
+    return "WITH " + ",\n".join(steps)
+
+
+@query(_chain_sql() + " SELECT key, status, amount, first_seen, last_changed FROM c3")
+def keyed_stream_records(spark, sf):
+    """Records after three files of a crawl in three batches, each from the one before, with a restart between."""
+    return jobs.keyed_records(spark, _in_files(spark, sf)).select("key", "status", "amount", "first_seen", "last_changed")
+
+
+@query(_chain_sql() + " SELECT batch, key, field, old_value, new_value, change_type FROM log")
+def keyed_stream_changes(spark, sf):
+    """The change log of the same three batches."""
+    return spark.read.parquet(f"{_in_files(spark, sf)}/changes").select("batch", "key", "field", "old_value", "new_value", "change_type")
+
+
+@query(_chain_sql() + " SELECT key, 'MEDIUM' AS severity, 'new_conference' AS kind FROM log WHERE change_type = 'new_record'")
+def keyed_stream_alerts(spark, sf):
+    """Alerts of a second stream that reads the first one's change log, in two runs; nothing twice."""
+    return spark.read.parquet(f"{_in_files(spark, sf)}/alerts").select("key", "severity", "kind")

@@ -42,6 +42,18 @@ def ragged_structure(spark, sf):
     return gate.structure_failures(files.read_ragged(spark, f"{path}/part*"))
 
 
+@query("""SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 5 = 0 THEN 4 ELSE 3 END::INTEGER AS width,
+CASE WHEN o_orderkey % 3 = 0 THEN 'two' || chr(10) || 'lines, "' || o_orderstatus || '"' ELSE o_orderpriority END AS note FROM orders""")
+def ragged_orders(spark, sf):
+    """Records of a large sheet whatever their width, with line breaks, commas and quotes inside cells."""
+    path, o = f"{workplace(spark)}/orders", table(spark, sf, "orders")
+    k, q = F.col("o_orderkey"), '"'
+    note = F.when(k % 3 == 0, F.concat(F.lit(f'{q}two\nlines, {q}{q}'), "o_orderstatus", F.lit(f"{q}{q}{q}"))).otherwise(F.col("o_orderpriority"))
+    line = F.concat_ws(",", k.cast("string"), note, F.when(k % 5 == 0, F.lit("x,y")).otherwise(F.lit("x")))
+    o.select(line.alias("value")).write.text(path)
+    return files.read_ragged(spark, f"{path}/part*").select(F.get("cells", F.lit(0)).alias("key"), "width", F.get("cells", F.lit(1)).alias("note"))
+
+
 @query("SELECT n_nationkey::VARCHAR AS key, CASE WHEN n_nationkey % 4 = 1 THEN n_name || ', x' ELSE n_name END AS name, n_regionkey::VARCHAR AS region FROM nation")
 def repaired_rows(spark, sf):
     """Parts of one sheet joined, headers and fences dropped, and records with a comma too many made whole."""

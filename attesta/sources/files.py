@@ -1,7 +1,7 @@
 """Readers of the files that deliveries come in. All cells are text; nothing is inferred.
 
-Large files go through Spark's readers. Workbooks and ragged files are small: one file is one
-row until a task has parsed it.
+Large files go through Spark's readers, ragged ones too. Workbooks are small: one file is one row until
+a task has parsed it.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import url
 from attesta.functions.dates import from_excel_serial
 from attesta.functions.text import blank
+from attesta.session import cut
 
 # Header spellings of workbook columns by role, the preferred one first.
 ROLES = {
@@ -39,19 +40,44 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _running(df: DataFrame, value: str, out: str) -> DataFrame:
+    """`df` with `out`: the sum of `value` over the earlier lines of its file. Blocks are added up, then lines in a block."""
+    block = ["path", "block"]
+    sums = df.groupBy(*block).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*block, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*block).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_inside", inside).join(before, block).withColumn(out, F.col("_inside") + F.col("_before")).drop("_inside", "_before")
+
+
 def read_ragged(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, width, header_width, cells) of each record, whatever its width."""
+    """(path, line, width, header_width, cells) of each record, whatever its width; line counts records from 1.
+
+    Files are read by blocks, many tasks for a large one. A line begins a record if the quotes before it in its
+    file are even in number, which the counts of earlier blocks and lines tell; a record is parsed when its lines
+    are together, wherever the borders of blocks lie. Quotes stand for quoting only, as RFC 4180 has it; one that is
+    never closed makes the rest of its file one record. A blank line is a record without cells.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = cut(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"))
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    begun = cut(_running(lines, "quotes", "before").select("path", "block", "at", "value", (F.col("before") % 2 == 0).cast("int").alias("first")))
+    numbered = _running(begun, "first", "records").select("path", "block", "at", "value", (F.col("records") + F.col("first")).cast("int").alias("line"))
+    whole = numbered.groupBy("path", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x.value), "\n").alias("value"))  # the lines of one record
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = list(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"))))
-                width = len(rows[0]) if rows else 0
-                yield pd.DataFrame({"path": name, "line": range(1, len(rows) + 1), "width": [len(r) for r in rows], "header_width": width, "cells": rows})
-
-    return _whole(spark, path).mapInPandas(run, "path string, line int, width int, header_width int, cells array<string>")
+            rows = []
+            for line, value in zip(batch["line"], batch["value"], strict=True):
+                value = value.removeprefix("\ufeff") if line == 1 else value
+                rows.append(next(csv.reader(io.StringIO(value.removesuffix("\r"), newline="")), []))
+            yield pd.DataFrame({"path": batch["path"], "line": batch["line"], "width": [len(r) for r in rows], "cells": rows})
+
+    parsed = cut(whole.mapInPandas(run, "path string, line int, width int, cells array<string>"))
+    heads = parsed.where("line = 1").select("path", F.col("width").alias("header_width"))
+    return parsed.join(heads, "path").select("path", "line", "width", "header_width", "cells")
 
 
 def malformed(ragged: DataFrame, widths: tuple[int, ...] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +89,114 @@ def crawl_stream(batches: DataFrame, current: DataFrame, out: str, fields: tuple
     job.awaitTermination()
 
 
+#: What the keyed crawl puts out besides the fields, and what it keeps of a key besides them.
+CHANGE = ("at", "field", "old_value", "new_value", "change_type")
+KEPT = ("verified", "quality", "first_seen", "last_checked", "last_changed")
+
+
+def merged_record(old: dict | None, new: dict, fields: tuple[str, ...], strict_parity: bool = False) -> tuple[dict, list[tuple]]:
+    """U1 for one key: the record after a crawl row and its changes (field, old, new, change_type); as merge.upsert has it."""
+    if old is None:
+        return {f: new[f] for f in fields} | {"verified": [], "quality": new["quality"], "first_seen": new["at"], "last_checked": new["at"], "last_changed": None}, [("*", None, str(new["key"]), "new_record")]
+    record, changes = old | {"quality": new["quality"] or old["quality"], "last_checked": new["at"]}, []
+    for f in fields if new["quality"] not in ("ERROR", "BLOCKED") else ():
+        was, now = old[f], new[f]
+        unclear = not strict_parity and f == "cfp_status" and (now or "").lower() == "unclear"
+        if (was or "") == (now or ""):
+            continue
+        if f in old["verified"]:
+            if now is not None and not unclear:
+                changes.append((f, was, now, "conflicts_verified"))
+        elif (now or "").strip(" ") and not unclear:
+            record[f] = now
+            changes.append((f, was, now, "updated"))
+    if any(c[3] == "updated" for c in changes):
+        record["last_changed"] = new["at"]
+    return record, changes
+
+
+def keyed_crawl_stream(batches: DataFrame, current: DataFrame, out: str, fields: tuple[str, ...], strict_parity: bool = False) -> None:
+    """U1 as a stream with a state for each key (R2, R3): a micro-batch touches its own keys and writes only these.
+
+    current: the records before the first batch, as merge.upsert takes them; they are read once, into the
+    state. batches: key (long), seq (a number, or a struct of numbers and times), at, quality, fields; of a
+    key's rows in a micro-batch the last counts. out/records/batch=<n> gets the touched records of batch n,
+    out/changes/batch=<n> its changes: a batch that runs again overwrites its own. All fields are text.
+    """
+    spark = batches.sparkSession
+    kept = [F.col(c) for c in KEPT[1:]]
+    seed = current.select(F.col("key").cast("long").alias("key"), *fields, F.array_join("verified", ",").alias("verified"), *kept)
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{out}/seed/_SUCCESS")
+    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        seed.write.mode("overwrite").parquet(f"{out}/seed")
+    seeds = spark.readStream.schema(seed.schema).parquet(f"{out}/seed").withColumns({"at": F.lit(None).cast("string"), "seq": F.array().cast("array<long>")})
+    kind = batches.schema["seq"].dataType
+    parts = [F.col("seq")] if not hasattr(kind, "fields") else [F.col(f"seq.{f.name}") for f in kind.fields]
+    types = [kind] if not hasattr(kind, "fields") else [f.dataType for f in kind.fields]
+    numbers = [F.unix_micros(c.cast("timestamp")) if "timestamp" in t.simpleString() else c.cast("long") for c, t in zip(parts, types, strict=True)]
+    none = {c: F.lit(None).cast("string") for c in KEPT if c != "quality"}
+    crawled = batches.select(F.col("key").cast("long").alias("key"), *fields, "quality", F.col("at").cast("string").alias("at"), F.array(*numbers).alias("seq")).withColumns(none)
+    columns = ["key", "at", "seq", *fields, *KEPT]
+    rows = seeds.select(*columns).unionByName(crawled.select(*columns)).withColumn("seq", F.array_join(F.transform("seq", lambda x: F.lpad(x.cast("string"), 20, "0")), ","))
+    text = ", ".join(f"`{c}` string" for c in (*fields, *KEPT, *CHANGE))
+
+    def touch(key, frames, state):
+        import pandas as pd
+
+        record = json.loads(state.get[0]) if state.exists else None
+        whole = pd.concat(list(frames)).astype(object)
+        found = whole.where(whole.notna(), None).to_dict("records")
+        put = []
+        for row in (r for r in found if r["at"] is None):  # what stood before the first batch
+            record = {f: row[f] for f in (*fields, *KEPT)} | {"verified": [v for v in (row["verified"] or "").split(",") if v]}
+        crawl = [r for r in found if r["at"] is not None]
+        if crawl:
+            last = max(crawl, key=lambda r: r["seq"])
+            record, changes = merged_record(record, last, fields, strict_parity)
+            put = [(key[0], "change", *[None] * (len(fields) + len(KEPT)), last["at"], *c) for c in changes]
+        state.update((json.dumps(record),))
+        values = record | {"verified": ",".join(record["verified"])}
+        put.append((key[0], "record", *[values[c] for c in (*fields, *KEPT)], *[None] * len(CHANGE)))
+        yield pd.DataFrame(put, columns=["key", "kind", *fields, *KEPT, *CHANGE]).astype({c: object for c in (*fields, *KEPT, *CHANGE)})
+
+    kept_rows = rows.groupBy("key").applyInPandasWithState(touch, f"key long, kind string, {text}", "record string", "append", "NoTimeout")
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        records = batch.where("kind = 'record'").select("key", *fields, F.split("verified", ",").alias("verified"), *KEPT[1:])
+        records.withColumn("verified", F.filter("verified", lambda v: v != "")).write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+        batch.where("kind = 'change'").select("key", *CHANGE).write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
+        batch.unpersist()
+
+    kept_rows.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def keyed_records(spark: SparkSession, out: str) -> DataFrame:
+    """The records after the last batch of keyed_crawl_stream: of each key the row of the last batch that touched it."""
+    written = spark.read.parquet(f"{out}/records")
+    names = [c for c in written.columns if c not in ("key", "batch")]
+    return written.groupBy("key").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("key", "r.*")
+
+
+def alert_stream(spark: SparkSession, out: str, today: str) -> None:
+    """D24 as a second stream (R3): alerts of the changes that keyed_crawl_stream wrote to out/changes, each once.
+
+    A batch's alerts stand in out/alerts/batch=<n>, which it overwrites if it runs again; a change that is
+    read again, since its batch was written again, is known by key, batch and field.
+    """
+    from attesta.operators.decisions import alerts
+
+    schema = "key long, " + ", ".join(f"{c} string" for c in CHANGE) + ", batch int"
+    log = spark.readStream.schema(schema).option("basePath", f"{out}/changes").parquet(f"{out}/changes").dropDuplicates(["key", "batch", "field", "change_type"])
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        none = batch.sparkSession.createDataFrame([], "key long, deadline date")
+        alerts(batch, none, today).write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
+
+    log.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", f"{out}/alert_state").trigger(availableNow=True).start().awaitTermination()
+
+
 def latest_records(spark: SparkSession, out: str) -> DataFrame:
     """The records after the last batch of crawl_stream."""
     jvm = spark.sparkContext._jvm

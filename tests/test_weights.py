@@ -1,5 +1,7 @@
 """Estimated match weights against those that made the pairs."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def test_a_changed_value_is_noticed(spark, tmp_path):
     assert all(sinks.fingerprint(x) != sinks.fingerprint(df) for x in changed)
     path = str(tmp_path / "t")
     assert sinks.write_checked(df, path, df.columns) == 3 and spark.read.parquet(path).count() == 3
-    unsteady = df.withColumn("s", F.expr("uuid()"))
+    unsteady = df.withColumn("s", F.udf(lambda: str(random.random()), "string").asNondeterministic()())
     with pytest.raises(ValueError):
         sinks.write_checked(unsteady, path, df.columns)
     assert sinks.fingerprint(spark.read.parquet(path)) == sinks.fingerprint(df)
