@@ -141,10 +141,19 @@ def linkage_weights(spark, sf):
     return linkage.calibrated(picked).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"SELECT candidate, count(*) AS rows FROM ({VOTE_SQL}) WHERE candidate IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+TWICE_SQL = _found_sql("exact_url", "exact_name").replace(" FROM t JOIN", " FROM twice t JOIN")
+
+
+@query(f"""{SIDES_SQL}, twice AS (FROM t UNION ALL SELECT page_id + 1000000, * EXCLUDE (page_id) FROM t WHERE page_id % 9 = 0),
+k AS (SELECT row, min(candidate) AS candidate FROM ({TWICE_SQL}) GROUP BY row, test HAVING count(DISTINCT candidate) = 1)
+SELECT candidate, count(*) AS rows FROM (SELECT DISTINCT row, candidate FROM k) GROUP BY candidate HAVING count(*) > 1""")
 def one_to_one_matches(spark, sf):
-    """M7: records that several rows of the sheet were matched to by the vote."""
-    return linkage.one_to_one_breaches(_voted(spark, sf, letters=False)[0])
+    """M7: records that URL or name match to several rows of a sheet in which some rows stand twice."""
+    theirs, ours = _sides(spark, sf)
+    again = theirs.where("id % 9 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("pos", F.lit(None).cast("long"))
+    found = linkage.candidates(theirs.unionByName(again), ours, tests=("exact_url", "exact_name"))
+    one = found.groupBy("row", "test").agg(F.min("candidate").alias("candidate"), F.max("candidate").alias("last")).where("candidate = last")
+    return linkage.one_to_one_breaches(one.select("row", "candidate").distinct())
 
 
 @query(r"""WITH s AS (SELECT page_id, list_sort(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\b(19|20)[0-9]{2}\b', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' +'), lambda w: length(w) > 1 AND w NOT IN ('the','and','of','for','on','in','a','an','conference','summit','expo','exhibition','congress','forum','show','annual','international','week','event')))) AS tokens FROM pages)
