@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import scoring, text, url
-from attesta.operators import aggregates, decisions, windows
+from attesta.operators import aggregates, decisions, quotes, windows
 from attesta.plans.registry import query
 from attesta.session import table
 
@@ -116,29 +116,24 @@ def link_scores(spark, sf):
     return p.select("page_id", scoring.score_link(href, anchor).cast("double").alias("score"), url.detect_platform(href).alias("platform"))
 
 
-#: Quotes of 60 characters that are broadcast at most.
-BROADCAST_QUOTES = 50_000
 NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(text), '–', '-'), '—', '-'), '([0-9])(st|nd|rd|th)\b', '\1', 'g'), '[^a-z0-9/: -]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"WITH d AS (SELECT doc_id, {NORM_SQL} AS t FROM documents), b AS (SELECT item_id, {NORM_SQL}[1:60] AS q FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.q)")
+@query(f"WITH d AS (SELECT doc_id, {NORM_SQL} AS t FROM documents), b AS (SELECT item_id, {NORM_SQL}[1:60] AS q FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON b.q <> '' AND contains(d.t, b.q)")
 def quote_containment(spark, sf):
-    """Documents that hold the first 60 normalized characters of a benchmark item.
+    """Documents that hold the first 60 normalized characters of a benchmark item."""
+    docs = table(spark, sf, "documents").select("doc_id", text.normalize_evidence("text").alias("t"))
+    items = table(spark, sf, "benchmark").select("item_id", F.substring(text.normalize_evidence("text"), 1, 60).alias("q"))
+    return quotes.containing(docs, items)
+
 
-    Blocked by the quote's first four words, so that only documents with that run are compared.
-    Up to BROADCAST_QUOTES quotes are sent to the documents, more are joined by a shuffle.
-    """
+@query(f"WITH d AS (SELECT doc_id, {NORM_SQL} AS t FROM documents), b AS (SELECT item_id || ':' || n AS item_id, array_to_string(string_split({NORM_SQL}, ' ')[4:3 + n], ' ') AS q FROM benchmark, range(1, 6) r(n)) SELECT doc_id, item_id FROM d JOIN b ON b.q <> '' AND contains(d.t, b.q)")
+def short_quotes(spark, sf):
+    """Documents that hold one to five words from inside a benchmark item."""
     docs = table(spark, sf, "documents").select("doc_id", text.normalize_evidence("text").alias("t"))
-    quotes = table(spark, sf, "benchmark").select("item_id", F.substring(text.normalize_evidence("text"), 1, 60).alias("q"))
-    run = lambda words, i: F.array_join(F.slice(words, i, 4), " ")
-    # the first word may continue one in the document, so the block starts at the second
-    keyed = quotes.withColumn("k", run(F.split("q", " "), 2))
-    # the words are split once, and once for the whole lambda
-    every = text.let(F.split("t", " "), lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: run(words, i)))
-    runs = docs.select("doc_id", F.explode(F.array_distinct(every)).alias("k"))
-    few = quotes.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES  # of 60 characters each
-    found = runs.join(F.broadcast(keyed) if few else keyed, "k").select("doc_id", "item_id").distinct()
-    return found.join(docs, "doc_id").join(quotes, "item_id").where(F.contains("t", F.col("q"))).select("doc_id", "item_id")
+    words = F.split(text.normalize_evidence("text"), " ")
+    items = table(spark, sf, "benchmark").select("item_id", words.alias("w"), F.explode(F.array(*map(F.lit, range(1, 6)))).alias("n"))
+    return quotes.containing(docs, items.select(F.concat("item_id", F.lit(":"), F.col("n").cast("string")).alias("item_id"), F.array_join(F.slice("w", F.lit(4), F.col("n")), " ").alias("q")))
 
 
 @query(r"""WITH w AS (SELECT source, doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 1 = 0),
