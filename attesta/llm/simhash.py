@@ -48,6 +48,8 @@ PRINTS, TOTAL = 3, 16
 TASK_ROWS = 500_000
 #: Texts and characters of a component up to which its pairs are compared at once, those already connected left out.
 SMALL, SMALL_CHARS = 256, 1 << 25
+#: Texts and characters, on average, of each side of a cell in which pairs of larger components are compared.
+CELL, CELL_CHARS = 256, 1 << 24
 #: Keys by which the texts of a larger component meet, each of two min-hashes. Texts of a
 #: similarity of 0.8 share none of them in 0.36^BANDS = 5 of a million pairs.
 BANDS = 12
@@ -347,27 +349,43 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts (gid, text) have a Jaccard similarity of `similarity` or more."""
-    # a text that is compared with many is dealt out in parts of 256
-    salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
-    wanted = salted.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
-    salted = salted.join(wanted, "a").withColumn("part", F.col("part") % F.col("parts"))
-    first = wanted.join(texts, wanted.a == texts.gid).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    both = salted.join(texts.select(F.col("gid").alias("b"), F.col("text").alias("text_b")), "b").join(first, ["a", "part"]).select("a", "b", "text_a", "text_b")
-
-    def compare(batches):
-        last, own = None, np.zeros(0, np.uint64)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                out = []
-                for r in whole.slice(start, 256).to_pylist():
-                    if r["a"] != last:
-                        last, own = r["a"], shingle_set(r["text_a"], shingle)
-                    if alike(own, shingle_set(r["text_b"], shingle), similarity):
-                        out.append((r["a"], r["b"]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    """(a, b): those of `pairs` (a, own, b, label) of a Jaccard similarity of `similarity` or more that connect own and label.
+
+    Pairs are compared in cells of about CELL texts, or CELL_CHARS characters, on each side. A text is sent once to a cell
+    and hashed once there, however many pairs it stands in; labels that a link of the cell connects are not compared again.
+    """
+    lengths = texts.select("gid", F.length("text").alias("chars"))
+    leads = pairs.select(F.col("a").alias("gid")).distinct().join(lengths, "gid")
+    n, chars = leads.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    blocks = max(1, -(-n // CELL), -(-chars // CELL_CHARS))
+    by_b = pairs.groupBy(F.pmod(F.xxhash64("a", F.lit("block")), F.lit(blocks)).alias("block"), "b").agg(F.collect_list(F.struct("a", "own", "label")).alias("met"))
+    weighed = cut(by_b.join(lengths.withColumnRenamed("gid", "b"), "b"))
+    parts = weighed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("chars") / CELL_CHARS), F.lit(1)).alias("parts"))
+    dealt = weighed.join(parts, "block").select("block", F.pmod(F.xxhash64("b", F.lit("part")), "parts").alias("part"), "b", "met")
+    of_a = dealt.select(F.col("block").alias("block_a"), F.col("part").alias("part_a"), F.explode("met.a").alias("gid")).distinct()
+    of_a = of_a.join(texts, "gid").select("block_a", "part_a", "gid", F.col("text").alias("text_a"))
+    of_b = dealt.join(texts.withColumnRenamed("gid", "b"), "b").select("block", "part", "b", "met", "text")
+
+    def compare(left, right):
+        sets = {g: shingle_set(t.as_py(), shingle) for g, t in zip(left.column("gid").to_pylist(), left.column("text_a"), strict=True)}
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x] = root.get(root[x], root[x])
+            return x
+
+        out = []
+        for b, met, text in zip(right.column("b").to_pylist(), right.column("met").to_pylist(), right.column("text"), strict=True):
+            own = shingle_set(text.as_py(), shingle)
+            for m in met:
+                x, y = top(m["own"]), top(m["label"])
+                if x != y and alike(sets[m["a"]], own, similarity):
+                    root[max(x, y)] = min(x, y)
+                    out.append((m["a"], b))
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return both.mapInArrow(compare, "a long, b long")
+    return of_a.groupBy("block_a", "part_a").cogroup(of_b.groupBy("block", "part")).applyInArrow(compare, "a long, b long")
 
 
 def small_links(member: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -422,7 +440,7 @@ def verified_links(member: DataFrame, texts: DataFrame, shingle: int, similarity
         lead = open_.where(F.col("turn") == now).select("meet", F.col("gid").alias("a"), F.col("place").alias("of"), F.col("label").alias("own"))
         after = (F.col("place") > F.col("of")) | (F.col("place") == F.col("of")) & (F.col("gid") > F.col("a"))
         pairs = cut(lead.join(open_, "meet").where(after & (F.col("label") != F.col("own"))).select("a", "own", F.col("gid").alias("b"), "label").distinct())
-        new = cut(similar_pairs(pairs.select("a", "b"), texts, shingle, similarity))
+        new = cut(similar_pairs(pairs, texts, shingle, similarity))
         found, now = found.unionByName(new), now + 1
         merged = components(pairs.join(new, ["a", "b"]), "own", "label")
         named = open_.join(merged, open_.label == merged.node, "left").select("meet", "gid", "place", "turn", F.coalesce("root", "label").alias("label"))
