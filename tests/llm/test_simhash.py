@@ -176,3 +176,22 @@ def test_candidate_links_equal_brute_force(spark):
             lo, hi = sorted((true[i], true[j]))
             true = [lo if t == hi else t for t in true]
     assert [found.get(i, i) for i in range(len(prints))] == true
+
+
+def test_cells_link_what_brute_force_links(spark, monkeypatch):
+    """Many small cells: links of similar texts only, and as many as connect all similar ones."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(4):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        for _ in range(7):
+            copy = list(words)
+            copy[rng.randrange(120)] = f"z{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), ""), (len(rows) + 1, "one two")]
+    true = linked_pairs(rows)
+    pairs = spark.createDataFrame([(a, a, b, b) for a, b in itertools.combinations(range(len(rows)), 2)], "a long, own long, b long, label long")
+    monkeypatch.setattr(simhash, "CELL", 5)
+    found = [tuple(r) for r in simhash.similar_pairs(pairs, spark.createDataFrame(rows, "gid long, text string"), 5, 0.8).collect()]
+    assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in true}
+    assert kept_by_links(rows, found) == kept_by_links(rows, true)
