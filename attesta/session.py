@@ -14,18 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lets Spark remove the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint `df` to the shared folder of the cluster and go on from there.
 
     The folder is the one named in spark.checkpoint.dir; only where none is set and all runs on
-    one machine (tests, a laptop) is one made.
+    one machine (tests, a laptop) is one made. What led to an eager checkpoint is not read again,
+    so its shuffle files go once it is written: rounds of many cuts do not add up on the disks.
     """
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager)
+    if not eager:
+        return df.checkpoint(eager)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own: the setting is read when it is made
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
 
 
 _shipped: set[str] = set()
