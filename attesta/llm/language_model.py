@@ -7,9 +7,9 @@ one of `KINDS` kinds by its last two bytes. The network predicts the class of th
 in a class, the word; a word of a kind has its count's share of that kind, and one unseen word counts
 as one token more, so that the probabilities of all tokens add up to one.
 
-It is trained by truncated backpropagation on a share of the learned documents that grows with the
-corpus (`SHARE`, or all of a corpus of under `LEAST` tokens, then several times): tasks train a copy
-each on their rows, and after each of `ROUNDS` rounds Spark adds the copies up to their mean, in
+It is trained by truncated backpropagation on all tokens of all learned documents (on those of a
+corpus of under `LEAST` tokens several times): tasks train a copy
+each on their rows, and after each of `ROUNDS` rounds, each on its part of the documents, Spark adds the copies up to their mean, in
 fixed-point numbers, so that no order of rows changes it. Documents are scored whole: rows of lanes
 run in windows of `WINDOW` steps, the state is carried from window to window and cleared at an end.
 
@@ -46,9 +46,9 @@ from attesta.session import cut
 HEAD_WORDS, HEAD_BYTES = 131_072, 64
 MODEL_WORDS, CLASS_WORDS, KINDS = 4096, 64, 32
 EMBED, HIDDEN = 16, 24
-WINDOW, TRAIN_LANES, SCORE_LANES = 32, 64, 512
-#: Share of the learned tokens that the network is trained on, the least number of tokens, tokens of one task, passes at most.
-SHARE, LEAST, PART_TOKENS, MOST_PASSES = 1 / 16, 2_000_000, 2_000_000, 5
+WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 512
+#: Tokens from which on one pass over all is enough, passes over fewer at most, tokens of one task.
+LEAST, MOST_PASSES, PART_TOKENS = 2_000_000, 5, 4_000_000
 ROUNDS, RATE = 8, 0.01
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
@@ -229,13 +229,17 @@ class Network:
         return -float(logp.mean()), grad, states[-1]
 
     def train(self, ids: np.ndarray, rate: float, lanes: int = TRAIN_LANES) -> None:
-        """One pass of truncated backpropagation over texts that lie one after the other, each with its end."""
-        lanes = max(1, min(lanes, len(ids) // (4 * WINDOW)))
-        length = len(ids) // lanes
-        if not length:
+        """One pass of truncated backpropagation over texts that lie one after the other, each with its end.
+
+        No token is left out: the last lane is filled up with the first tokens again.
+        """
+        if not len(ids):
             return
-        targets = ids[: lanes * length].reshape(lanes, length).T
-        seen = np.concatenate(([0], ids[: lanes * length - 1])).reshape(lanes, length).T
+        lanes = max(1, min(lanes, len(ids) // (4 * WINDOW)))
+        length = -(-len(ids) // lanes)
+        ids = np.resize(ids, lanes * length)
+        targets = ids.reshape(lanes, length).T
+        seen = np.concatenate(([0], ids[:-1])).reshape(lanes, length).T
         state = np.zeros((lanes, HIDDEN), np.float32)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for step, start in enumerate(range(0, length, WINDOW), 1):
@@ -344,44 +348,38 @@ def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Fitted:
 
 
 def trained(df: DataFrame, fitted: Fitted, text: str, rounds: int) -> Fitted:
-    """`fitted` with its network trained on a share of the texts of `df`."""
-    share = min(1.0, max(SHARE, LEAST / fitted.tokens))
+    """`fitted` with its network trained on all texts of `df`."""
     passes = min(MOST_PASSES, max(1.0, LEAST / fitted.tokens))
-    parts = max(1, round(fitted.tokens * share / PART_TOKENS))
+    parts = max(1, round(fitted.tokens / PART_TOKENS))
     context, size = df.sparkSession.sparkContext, fitted.network.words
     shared = context.broadcast((fitted.words, size))  # HEAD_WORDS words of HEAD_BYTES at most
-    slot = F.pmod(F.xxhash64("doc_id", F.length(text)) if "doc_id" in df.columns else F.xxhash64(text), F.lit(1 << 20))
+    slot = F.pmod(F.xxhash64("doc_id", F.length(text)) if "doc_id" in df.columns else F.xxhash64(text), F.lit(1 << 20)).cast("int")
 
     def encode(batches):
         place, number = numbered(*shared.value)
         for whole in batches:
-            for batch in _slices(whole, text, 4_000_000):
-                rows = [token_ids(words_of(t), place, number, shared.value[1])[1] for t in batch.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))] if rows else [pa.array([], pa.list_(pa.int32()))], names=["ids"])
-
-    chosen = df.where(slot < int(share * (1 << 20))).select(F.col(text))
-    sample = cut(chosen.mapInArrow(encode, "ids array<int>").repartition(parts))
+            for batch in _slices(whole, "text", 4_000_000):
+                rows = [token_ids(words_of(t), place, number, shared.value[1])[1] for t in batch.column("text").to_pylist()]
+                if rows:
+                    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column("slot"), ids], names=["slot", "ids"])
+
+    encoded = cut(df.select(slot.alias("slot"), F.col(text).alias("text")).mapInArrow(encode, "slot int, ids array<int>").repartition(parts))
     flat = fitted.network.flat()
     for turn in range(rounds):
         current = context.broadcast(flat)
         rate = RATE * (1 - 0.9 * turn / rounds)
 
-        def learn(batches, turn=turn, current=current, rate=rate):
-            mine, i = [], 0
-            for batch in batches:
-                column = batch.column("ids")
-                values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    if (i + turn) % rounds < passes:  # each row in as many rounds as there are passes
-                        mine.append(values[a:b])
-                    i += 1
+        def learn(batches, current=current, rate=rate):
+            mine = [b.column("ids").flatten().to_numpy() for b in batches if b.num_rows]
             if mine:
                 net = Network.of_flat(size, current.value)
                 net.train(np.concatenate(mine), rate)
                 yield summed_row(np.rint(net.flat().astype(np.float64) * 2.0**32).astype(np.int64), 1)
 
-        copies, n = sample.mapInArrow(learn, "total binary, n long"), parts
+        own = encoded.where((F.col("slot") + turn) % rounds < passes).select("ids")  # each row is in as many rounds as there are passes
+        copies, n = own.mapInArrow(learn, "total binary, n long"), parts
         while n > 8:  # a tree of sums, eight copies to a task
             n = -(-n // 8)
             copies = copies.repartition(n).mapInArrow(add_up, "total binary, n long")

@@ -204,3 +204,26 @@ def test_threshold_keeps_the_head_small(spark):
         inside = sum(n >= least and len(w) <= lm.HEAD_BYTES for w, n in rows)
         assert inside <= most
     assert lm.head_threshold(counts.limit(0), 5) == 1
+
+
+def test_the_network_learns_from_every_document(spark, monkeypatch):
+    """Words in another order leave all counts alone, but not the network, whatever document they stand in."""
+    monkeypatch.setattr(lm, "LEAST", 1)
+    rows = two_languages(40, seed=9)
+
+    def flat(turned=None):
+        texts = [(i, " ".join(reversed(t.split())) if i == turned else t) for i, t in rows]
+        return lm.fit(documents(spark, texts).coalesce(1), rounds=1).network.flat()
+
+    whole = flat()
+    assert all((flat(i) != whole).any() for i in (0, 7, 15, 22, 39))
+
+
+@pytest.mark.parametrize("n", [1, 31, 129, 4 * lm.WINDOW * 3 + 2, 4 * lm.WINDOW * 7 - 1])
+def test_no_token_is_left_out_of_training(monkeypatch, n):
+    net, seen = network(), []
+    gradients = lm.Network.gradients
+    monkeypatch.setattr(lm.Network, "gradients", lambda self, a, b, state: seen.append(b) or gradients(self, a, b, state))
+    net.train(np.arange(n) % 150, 0.01)
+    found = Counter(np.concatenate([x.ravel() for x in seen]).tolist())
+    assert not Counter((np.arange(n) % 150).tolist()) - found and sum(found.values()) < n + lm.TRAIN_LANES
