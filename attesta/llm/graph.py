@@ -11,6 +11,11 @@ from attesta.session import cut
 TASK_EDGES = 200_000
 
 
+def in_tasks(df: DataFrame) -> DataFrame:
+    """`df`, which is cut and of small rows, in as many partitions as it needs: one of few rows is joined without a shuffle."""
+    return df.coalesce(max(1, -(-df.count() // TASK_EDGES)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge, root being the smallest node of its component.
 
@@ -26,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         tasks = max(1, -(-edges_n // TASK_EDGES))
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(small.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct())

@@ -27,11 +27,12 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.graph import components
+from attesta.llm.graph import TASK_EDGES, components, in_tasks
 from attesta.llm.substring import mixed
 from attesta.session import cut
 
@@ -280,7 +281,9 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 def candidate_links(prints: DataFrame, max_bits: int, total: int) -> DataFrame:
     """(a, b): links between rows of prints (pid, fp0, fp1, ...) that are near in one fingerprint and in all.
 
-    Near: at most max_bits differing bits in one of them, at most `total` in all together.
+    Near: at most max_bits differing bits in one of them, at most `total` in all together. Rows that meet in a block
+    and are connected there are linked to the one with the smallest pid, so that a group which
+    meets in many blocks has mostly the same links in each of them.
     """
     names = [f"fp{i}" for i in range(PRINTS)]
     n = prints.count()
@@ -302,10 +305,11 @@ def candidate_links(prints: DataFrame, max_bits: int, total: int) -> DataFrame:
                 stands = stand_ins(turned, others, total)
                 chief = np.flatnonzero(stands == np.arange(len(at)))
                 labels = trie_self_join(turned[chief], sum(w for _, w in chosen), max_bits, others[chief], total)
-                linked, copied = np.flatnonzero(labels != np.arange(len(chief))), np.flatnonzero(stands != np.arange(len(at)))
-                own = pid[at]
-                a, b = (np.concatenate(x) for x in ((own[chief[linked]], own[copied]), (own[chief[labels[linked]]], own[stands[copied]])))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                own, joined = pid[at], labels[np.searchsorted(chief, stands)]
+                least = np.full(len(chief), np.iinfo(np.int64).max)
+                np.minimum.at(least, joined, own)
+                least = least[joined]
+                yield pa.RecordBatch.from_arrays([pa.array(x[own != least]) for x in (own, least)], names=["a", "b"])
 
     return rows.repartition(_tasks(prints, n * PRINTS * len(choices)), "which", "block", "head").drop("head").mapInArrow(run, "a long, b long")
 
@@ -354,20 +358,26 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     Pairs are compared in cells of about CELL texts, or CELL_CHARS characters, on each side. A text is sent once to a cell
     and hashed once there, however many pairs it stands in; labels that a link of the cell connects are not compared again.
     """
-    lengths = texts.select("gid", F.length("text").alias("chars"))
-    leads = pairs.select(F.col("a").alias("gid")).distinct().join(lengths, "gid")
-    n, chars = leads.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    pairs = pairs.select("a", "own", "b", "label", *[x for x in ("chars_a", "chars_b") if x in pairs.columns])
+    if "chars_a" not in pairs.columns:
+        lengths = texts.select("gid", F.length("text").alias("chars"))
+        for x in "ab":
+            pairs = pairs.join(lengths.select(F.col("gid").alias(x), F.col("chars").alias(f"chars_{x}")), x)
+    few = pairs.count() <= TASK_EDGES  # of so few pairs, what joins the texts is broadcast
+    n, chars = pairs.select("a", "chars_a").distinct().agg(F.count("*"), F.coalesce(F.sum("chars_a"), F.lit(0))).first()
     blocks = max(1, -(-n // CELL), -(-chars // CELL_CHARS))
-    by_b = pairs.groupBy(F.pmod(F.xxhash64("a", F.lit("block")), F.lit(blocks)).alias("block"), "b").agg(F.collect_list(F.struct("a", "own", "label")).alias("met"))
-    weighed = cut(by_b.join(lengths.withColumnRenamed("gid", "b"), "b"))
-    parts = weighed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("chars") / CELL_CHARS), F.lit(1)).alias("parts"))
-    dealt = weighed.join(parts, "block").select("block", F.pmod(F.xxhash64("b", F.lit("part")), "parts").alias("part"), "b", "met")
-    of_a = dealt.select(F.col("block").alias("block_a"), F.col("part").alias("part_a"), F.explode("met.a").alias("gid")).distinct()
-    of_a = of_a.join(texts, "gid").select("block_a", "part_a", "gid", F.col("text").alias("text_a"))
-    of_b = dealt.join(texts.withColumnRenamed("gid", "b"), "b").select("block", "part", "b", "met", "text")
-
-    def compare(left, right):
-        sets = {g: shingle_set(t.as_py(), shingle) for g, t in zip(left.column("gid").to_pylist(), left.column("text_a"), strict=True)}
+    by_b = pairs.groupBy(F.pmod(F.xxhash64("a", F.lit("block")), F.lit(blocks)).alias("block"), "b", "chars_b").agg(F.collect_list(F.struct("a", "own", "label")).alias("met"))
+    weighed = in_tasks(cut(by_b))
+    parts = weighed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("chars_b") / CELL_CHARS), F.lit(1)).alias("parts"))
+    dealt = in_tasks(cut(weighed.join(parts, "block").select("block", F.pmod(F.xxhash64("b", F.lit("part")), "parts").alias("part"), "b", "met").coalesce(weighed.rdd.getNumPartitions())))
+    sent = dealt.select("block", "part", F.explode(F.concat("met.a", F.array("b"))).alias("gid")).distinct()
+    rows = texts.join(F.broadcast(sent) if few else sent, "gid").select("block", "part", "gid", "text", F.lit(None).cast(dealt.schema["met"].dataType).alias("met"))
+    rows = rows.unionByName(dealt.select("block", "part", F.col("b").alias("gid"), F.lit(None).cast("string").alias("text"), "met"))
+
+    def compare(cell):
+        asks = cell.column("met").is_valid()
+        given, wanted = cell.filter(pc.invert(asks)), cell.filter(asks)
+        sets = {g: shingle_set(t.as_py(), shingle) for g, t in zip(given.column("gid").to_pylist(), given.column("text"), strict=True)}
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -376,16 +386,15 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
             return x
 
         out = []
-        for b, met, text in zip(right.column("b").to_pylist(), right.column("met").to_pylist(), right.column("text"), strict=True):
-            own = shingle_set(text.as_py(), shingle)
+        for b, met in zip(wanted.column("gid").to_pylist(), wanted.column("met").to_pylist(), strict=True):
             for m in met:
                 x, y = top(m["own"]), top(m["label"])
-                if x != y and alike(sets[m["a"]], own, similarity):
+                if x != y and alike(sets[m["a"]], sets[b], similarity):
                     root[max(x, y)] = min(x, y)
                     out.append((m["a"], b))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return of_a.groupBy("block_a", "part_a").cogroup(of_b.groupBy("block", "part")).applyInArrow(compare, "a long, b long")
+    return rows.groupBy("block", "part").applyInArrow(compare, "a long, b long")
 
 
 def small_links(member: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -421,31 +430,33 @@ def verified_links(member: DataFrame, texts: DataFrame, shingle: int, similarity
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                keys = [band_keys(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+                texts_ = batch.column("text").to_pylist()
+                keys, chars = [band_keys(shingle_hashes(t, shingle)) for t in texts_], np.repeat([len(t) for t in texts_], BANDS)
                 band = np.tile(np.arange(BANDS, dtype=np.int64), batch.num_rows)
                 key = np.array(keys, np.uint64).reshape(-1).view(np.int64)
                 gid, root = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("gid", "root"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (root, gid, band, key)], names=["root", "gid", "band", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (root, gid, chars, band, key)], names=["root", "gid", "chars", "band", "key"])
 
     large = member.where(~small).join(texts, "gid").select("root", "gid", "text")
-    keyed = large.mapInArrow(run, "root long, gid long, band long, key long").select("gid", F.xxhash64("root", "band", "key").alias("meet"))
+    keyed = large.mapInArrow(run, "root long, gid long, chars long, band long, key long").select("gid", "chars", F.xxhash64("root", "band", "key").alias("meet"))
     place = (F.xxhash64("gid", F.lit("place")) / F.lit(2.0**64) + 0.5).alias("place")
-    keyed = cut(keyed.select("gid", "meet", place))
+    keyed = in_tasks(cut(keyed.select("gid", "chars", "meet", place)))
     groups = keyed.groupBy("meet").agg(F.count("*").alias("n"), F.min(F.struct("place", "gid")).alias("first")).where("n > 1")
     soon = (F.col("n") <= 4) | (F.col("gid") == F.col("first.gid")) | (F.col("place") * F.col("n") <= 1)
     turn = F.when(soon, 0).otherwise(F.ceil(F.log(64.0, F.col("place") * F.col("n")))).cast("int")
-    open_ = cut(keyed.join(groups, "meet").select("meet", "gid", "place", turn.alias("turn"), F.col("gid").alias("label")))
+    open_ = in_tasks(cut(keyed.join(groups, "meet").select("meet", "gid", "chars", "place", turn.alias("turn"), F.col("gid").alias("label")).coalesce(keyed.rdd.getNumPartitions())))
     now = 0
+    tasks = open_.rdd.getNumPartitions()  # it only gets fewer rows
     while (last := open_.agg(F.max("turn")).first()[0]) is not None and now <= last:
-        lead = open_.where(F.col("turn") == now).select("meet", F.col("gid").alias("a"), F.col("place").alias("of"), F.col("label").alias("own"))
+        lead = open_.where(F.col("turn") == now).select("meet", F.col("gid").alias("a"), F.col("chars").alias("chars_a"), F.col("place").alias("of"), F.col("label").alias("own"))
         after = (F.col("place") > F.col("of")) | (F.col("place") == F.col("of")) & (F.col("gid") > F.col("a"))
-        pairs = cut(lead.join(open_, "meet").where(after & (F.col("label") != F.col("own"))).select("a", "own", F.col("gid").alias("b"), "label").distinct())
-        new = cut(similar_pairs(pairs, texts, shingle, similarity))
+        pairs = in_tasks(cut(lead.join(open_, "meet").where(after & (F.col("label") != F.col("own"))).select("a", "own", "chars_a", F.col("gid").alias("b"), "label", F.col("chars").alias("chars_b")).coalesce(tasks).distinct()))
+        new = in_tasks(cut(similar_pairs(pairs, texts, shingle, similarity)))
         found, now = found.unionByName(new), now + 1
-        merged = components(pairs.join(new, ["a", "b"]), "own", "label")
-        named = open_.join(merged, open_.label == merged.node, "left").select("meet", "gid", "place", "turn", F.coalesce("root", "label").alias("label"))
+        merged = in_tasks(components(pairs.join(new, ["a", "b"]).coalesce(pairs.rdd.getNumPartitions()), "own", "label"))
+        named = open_.join(merged, open_.label == merged.node, "left").select("meet", "gid", "chars", "place", "turn", F.coalesce("root", "label").alias("label")).coalesce(tasks)
         unsettled = named.groupBy("meet").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("meet")
-        open_ = cut(named.join(unsettled, "meet"))
+        open_ = in_tasks(cut(named.join(unsettled, "meet")))
     return found
 
 

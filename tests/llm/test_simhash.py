@@ -195,3 +195,49 @@ def test_cells_link_what_brute_force_links(spark, monkeypatch):
     found = [tuple(r) for r in simhash.similar_pairs(pairs, spark.createDataFrame(rows, "gid long, text string"), 5, 0.8).collect()]
     assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in true}
     assert kept_by_links(rows, found) == kept_by_links(rows, true)
+
+
+def near_prints(n, seed=4):
+    """Rows of three fingerprints each, all near those of the first."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(i, *(signed(x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))) for x in base)) for i in range(n)]
+
+
+def test_a_group_that_meets_in_many_blocks_has_few_links(spark):
+    prints = spark.createDataFrame(near_prints(400), "pid long, fp0 long, fp1 long, fp2 long")
+    links = {tuple(sorted(r)) for r in simhash.candidate_links(prints, 9, 48).collect()}
+    assert len(links) < 6 * 400  # thirty blocks of three prints
+    assert {r.root for r in components(spark.createDataFrame(sorted(links), "a long, b long")).collect()} == {0}
+
+
+def test_turns_of_a_large_component_take_few_tasks(spark, monkeypatch):
+    """Tasks that ran, of 64 that each shuffle has."""
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(150)] = f"z{i}"
+        rows.append((i, " ".join(copy)))
+    texts = simhash.cut(spark.createDataFrame(rows, "gid long, text string").coalesce(2))
+    member = simhash.cut(texts.selectExpr("0L AS root", "gid"))
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    context = spark.sparkContext
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("turns", "turns")
+        links = simhash.verified_links(member, texts, 5, 0.8).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("turns") for s in tracker.getJobInfo(job).stageIds}
+    infos = [tracker.getStageInfo(s) for s in stages]
+    assert kept_by_links(rows, [tuple(r) for r in links]) == kept_by_links(rows, linked_pairs(rows))
+    assert sum(i.numCompletedTasks for i in infos if i) < 30 * 64
