@@ -98,9 +98,20 @@ def shingles_of(words: np.ndarray) -> np.ndarray:
     return mixed(found)
 
 
+_places = np.zeros(0, np.uint64)
+
+
+def _place_hashes(n: int) -> np.ndarray:
+    """A hash of 20 bits of each of the first n places, worked out once for all texts of a worker."""
+    global _places
+    if len(_places) < n:
+        _places = mixed(np.arange(1 << (n - 1).bit_length(), dtype=np.uint64), 99) >> np.uint64(44)
+    return _places[:n]
+
+
 def spread(values: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of tokens, made distinct: equal tokens stand in an order by place, so that trees stay low."""
-    return mixed(values, seed) & ~np.uint64(0xFFFFF) | mixed(np.arange(len(values), dtype=np.uint64), 99) >> np.uint64(44)
+    return mixed(values, seed) & ~np.uint64(0xFFFFF) | _place_hashes(len(values))
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:

@@ -157,3 +157,14 @@ def test_a_passage_has_one_row_with_its_first_holder(spark, partitions):
     rows = [(i, " ".join(own(i) + passage + own(i))) for i in range(1, 25)]
     found = substring.repeats(documents(spark, rows).repartition(partitions)).collect()
     assert len(found) == 23 and {r.first_id for r in found} == {1} and {r.end - r.start for r in found} == {60}
+
+
+def test_places_are_hashed_once_for_all_texts(monkeypatch):
+    seeds, mixed = [], substring.mixed
+    monkeypatch.setattr(substring, "mixed", lambda x, seed=0: seeds.append(seed) or mixed(x, seed))
+    for n in (1, 7, 700, 701, 90, 3000, 0):
+        values = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
+        for seed in (1, 2, 3):
+            want = mixed(values, seed) & ~np.uint64(0xFFFFF) | mixed(np.arange(n, dtype=np.uint64), 99) >> np.uint64(44)
+            assert (substring.spread(values, seed) == want).all()
+    assert seeds.count(99) <= 4
