@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import unicodedata
 import uuid
 import zlib
@@ -42,200 +43,283 @@ _ONE = 1 << _BITS
 _SLOTS = 2_048
 _TOP, _BOTTOM, _MASK = np.uint64(32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
 
-#: ln(p / (1 - p)) and its inverse, in steps of 1/256 over probabilities of 12 bits.
+#: ln(p / (1 - p)) and its inverse, in steps of 1/256 over probabilities of 12 bits; the inverse as a share of _ONE.
 _STRETCH = np.array([round(256 * math.log((2 * p + 1) / (8191 - 2 * p))) for p in range(4096)], np.int32)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
-#: Where each of 17 cumulative frequencies moves when a digit is seen.
-_TARGET = np.array([[_ONE if i == 16 else i + (_ONE - 16 if i > d else 0) for i in range(17)] for d in range(16)], np.int32)
+_CHANCE = np.clip(_SQUASH << 3, 32, _ONE - 32).astype(np.uint64)
+#: Where each of 16 cumulative frequencies moves when a digit is seen; the first is 0, one after the last would be _ONE.
+_TARGET = np.array([[i + (_ONE - 16 if i > d else 0) for i in range(16)] for d in range(16)], np.int16)
+#: By how much an id is shifted for each of its three adaptive digits, and the first context of each.
+_SHIFTS, _FIRSTS = np.array([[12], [8], [4]], np.int32), np.array([[0], [1], [17]])
+_CONTEXTS = 1 + 16 + 256
+_UNIT, _FULL = np.uint64(32), np.uint64(1 << 32)
+_P, _D = np.uint64(_BITS), np.uint64(_BITS + 4)
+_HASH, _BUCKET = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x5BD1)), np.uint32(21)
 
 
 def bounds(cdf: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the interval of digit d, by rows of cumulative frequencies (17, the last _ONE)."""
-    rows, flat = np.arange(0, cdf.size, 17), cdf.ravel()
-    start = flat[rows + d]
-    return start, flat[rows + d + 1] - start
-
-
-class _Coder:
-    """The interval of each lane: 48-bit low end and range, moved on by 16 bits at a time."""
-
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _MASK, np.uint64)
-
-    def settle(self, at: np.ndarray) -> None:
-        while True:
-            low, span = self.low[at], self.range[at]
-            same = ((low ^ (low + span)) >> _TOP) == 0
-            small = ~same & (span < _BOTTOM)
-            move = same | small
-            if not move.any():
-                return
-            span = np.where(small, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), span)[move]
-            at, low = at[move], low[move]
-            self.shift(at, low)
-            self.low[at] = (low << np.uint64(16)) & _MASK
-            self.range[at] = span << np.uint64(16)
-
-    def narrow(self, at: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[at] += start.astype(np.uint64) * step
-        self.range[at] = size.astype(np.uint64) * step
-        self.settle(at)
-
-
-class _Writer(_Coder):
+    """Start and size of the interval of digit d, by rows of 16 cumulative frequencies.
+
+    After the last one of a row stands the 0 of another, which is _ONE modulo _ONE.
+    """
+    flat, at = cdf.ravel(), np.arange(0, cdf.size, 16) + d
+    start = flat[at]
+    at += 1
+    return start.astype(np.int32), ((flat.take(at, mode="wrap") - start) & (_ONE - 1)).astype(np.int32)
+
+
+class _Writer:
+    """Low end and range of each lane, 64 bits each. Units of 32 bits move out; lanes' n-th units lie together.
+
+    ids: a row for each step, a column for each lane; ids are given as id + 1 here and in the reader.
+    """
+
     def __init__(self, ids: np.ndarray):
-        super().__init__(len(ids))
-        self.ids = ids
-        self.out = np.zeros((len(ids), 2 * ids.shape[1] + 64), "<u2")
-        self.pos = np.zeros(len(ids), np.int64)
-
-    def shift(self, at, low):
-        self.out[at, self.pos[at]] = (low >> _TOP).astype(np.uint16)
-        self.pos[at] += 1
-
-    def bit(self, at, step_no, p, guess):
-        """Code whether the id is the guessed one (given as id + 1), p being its share of _ONE."""
-        y = self.ids[at, step_no] + 1 == guess
-        self.narrow(at, self.range[at] >> np.uint64(_BITS), np.where(y, 0, p), np.where(y, p, _ONE - p))
-        return y
-
-    def digit(self, at, step_no, shift, cdf):
-        d = ((self.ids[at, step_no] >> shift) & 15).astype(np.int64)
+        self.ids, self.lanes = ids, ids.shape[1]
+        self.low, self.range = np.zeros(self.lanes, np.uint64), np.full(self.lanes, (1 << 64) - 1, np.uint64)
+        self.out = np.zeros((3 * len(ids) + 8) * self.lanes, np.uint32)  # an id takes less than 96 bits
+        self.pos = np.arange(self.lanes)
+
+    def raised(self, low: np.ndarray, by: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """low + by; what runs over goes to the units that are out."""
+        found = low + by
+        over = np.flatnonzero(found < low)
+        if len(over):
+            places = self.pos[over if at is None else at[over]] - self.lanes
+            while len(places):
+                self.out[places] += np.uint32(1)
+                places = places[self.out[places] == 0] - self.lanes
+        return found
+
+    def shift(self, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+        pos = self.pos[at]
+        self.out[pos] = low >> _UNIT
+        self.pos[at] = pos + self.lanes
+        return low << _UNIT
+
+    def bit(self, t: int, p: np.ndarray, guess: np.ndarray):
+        """Code whether the ids of the first lanes are the guessed ones, p being its share of _ONE; new ranges."""
+        m = len(guess)
+        y, span = self.ids[t, :m] == guess, self.range[:m]
+        bound = (span >> _P) * p
+        self.low[:m] = self.raised(self.low[:m], bound * ~y)
+        return y, np.where(y, bound, span - bound)
+
+    def bit_of(self, at: np.ndarray, t: int, p: np.ndarray, guess: np.ndarray, span: np.ndarray):
+        """The same for the lanes `at`, whose ranges are given."""
+        y = self.ids[t].take(at) == guess
+        bound = (span >> _P) * p
+        self.low[at] = self.raised(self.low[at], bound * ~y, at)
+        return y, np.where(y, bound, span - bound)
+
+    def settle(self, span: np.ndarray) -> None:
+        """Take over the ranges of the first lanes, with 32 bits and more in each."""
+        at = np.flatnonzero(span < _FULL)
+        if len(at):
+            span[at] <<= _UNIT
+            self.low[at] = self.shift(at, self.low[at])
+        self.range[: len(span)] = span
+
+    def open_digits(self, at: np.ndarray, t: int) -> None:
+        self.at, self.value = at, self.ids[t].take(at) - 1
+        self.at_low, self.at_range = self.low[at], self.range[at]
+
+    def digit(self, shift: int, cdf: np.ndarray):
+        """The digit at `shift` of the opened lanes, and with the last adaptive one the even one below it."""
+        d, low = (self.value >> shift) & 15, None
         start, size = bounds(cdf, d)
         if shift > 4:
-            self.narrow(at, self.range[at] >> np.uint64(_BITS), start, size)
-            return d
-        low = (self.ids[at, step_no] & 15).astype(np.int64)
-        self.narrow(at, self.range[at] >> np.uint64(_BITS + 4), (start << 4) + low * size, size)
+            step = self.at_range >> _P
+        else:
+            step, low = self.at_range >> _D, self.value & 15
+            start = (start << 4) + low * size
+        self.at_low = self.raised(self.at_low, start.astype(np.uint64) * step, self.at)
+        self.at_range = size.astype(np.uint64) * step
         return d, low
 
-    def learned(self, at, step_no, ids):
+    def settle_digits(self) -> None:
+        k = np.flatnonzero(self.at_range < _FULL)
+        if len(k):
+            self.at_range[k] <<= _UNIT
+            self.at_low[k] = self.shift(self.at[k], self.at_low[k])
+
+    def close_digits(self) -> None:
+        self.settle_digits()
+        self.low[self.at], self.range[self.at] = self.at_low, self.at_range
+
+    def learned(self, t: int, ids: np.ndarray) -> None:
         pass
 
     def bytes(self) -> list[bytes]:
-        for _ in range(3):
-            self.shift(np.arange(len(self.low)), self.low)
-            self.low = (self.low << np.uint64(16)) & _MASK
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.pos.tolist())]
+        every = np.arange(self.lanes)
+        self.low = self.raised(self.low, np.full(self.lanes, _FULL - np.uint64(1)))  # one unit more, then zeros, lies in the range
+        self.shift(every, self.low)
+        sizes = (self.pos - every) // self.lanes
+        units = self.out.reshape(-1, self.lanes)[: sizes.max()].T.astype("<u4")
+        return [units[i, :n].tobytes() for i, n in enumerate(sizes.tolist())]
+
 
+class _Reader:
+    """Code (less the low end) and range of each lane. Beyond the end of what was written stand zeros."""
 
-class _Reader(_Coder):
     def __init__(self, coded: list[bytes], most: int):
-        super().__init__(len(coded))
-        width = max(len(c) for c in coded) // 2 + 64
-        self.units = np.zeros((len(coded), width), np.uint16)
+        self.lanes = len(coded)
+        units = np.zeros((self.lanes, max(len(c) for c in coded) // 4 + 3), np.uint32)
         for i, c in enumerate(coded):
-            self.units[i, : len(c) // 2] = np.frombuffer(c, "<u2", len(c) // 2)
-        first = self.units[:, :3].astype(np.uint64)
-        self.code = first[:, 0] << np.uint64(32) | first[:, 1] << np.uint64(16) | first[:, 2]
-        self.pos = np.full(len(coded), 3, np.int64)
-        self.ids = np.zeros((len(coded), most), np.int32)
-
-    def shift(self, at, low):
-        self.code[at] = (self.code[at] << np.uint64(16)) & _MASK | self.units[at, np.minimum(self.pos[at], self.units.shape[1] - 1)]
-        self.pos[at] += 1
-
-    def bit(self, at, step_no, p, guess):
-        step = self.range[at] >> np.uint64(_BITS)
-        y = self.code[at] - self.low[at] < p.astype(np.uint64) * step
-        self.narrow(at, step, np.where(y, 0, p), np.where(y, p, _ONE - p))
-        return y
-
-    def digit(self, at, step_no, shift, cdf):
-        more = 0 if shift > 4 else 4
-        step = self.range[at] >> np.uint64(_BITS + more)
-        target = np.minimum((self.code[at] - self.low[at]) // step, np.uint64((_ONE << more) - 1)).astype(np.int32)
-        d = np.count_nonzero(cdf <= (target >> more)[:, None], axis=1) - 1
+            units[i, : len(c) // 4] = np.frombuffer(c, "<u4", len(c) // 4)
+        self.code = units[:, 0].astype(np.uint64) << _UNIT | units[:, 1]
+        self.range = np.full(self.lanes, (1 << 64) - 1, np.uint64)
+        self.units = units.T.ravel()
+        self.pos = np.arange(self.lanes) + 2 * self.lanes
+        self.last = len(self.units) - 1
+        self.ids = np.zeros((most, self.lanes), np.int32)
+
+    def shift(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        pos = self.pos[at]
+        self.pos[at] = pos + self.lanes
+        return code << _UNIT | self.units[np.minimum(pos, self.last)]
+
+    def bit(self, t: int, p: np.ndarray, guess: np.ndarray):
+        m = len(guess)
+        span, code = self.range[:m], self.code[:m]
+        bound = (span >> _P) * p
+        y = code < bound
+        code -= bound * ~y
+        return y, np.where(y, bound, span - bound)
+
+    def bit_of(self, at: np.ndarray, t: int, p: np.ndarray, guess: np.ndarray, span: np.ndarray):
+        code = self.code[at]
+        bound = (span >> _P) * p
+        y = code < bound
+        self.code[at] = code - bound * ~y
+        return y, np.where(y, bound, span - bound)
+
+    def settle(self, span: np.ndarray) -> None:
+        at = np.flatnonzero(span < _FULL)
+        if len(at):
+            span[at] <<= _UNIT
+            self.code[at] = self.shift(at, self.code[at])
+        self.range[: len(span)] = span
+
+    def open_digits(self, at: np.ndarray, t: int) -> None:
+        self.at, self.at_code, self.at_range = at, self.code[at], self.range[at]
+
+    def digit(self, shift: int, cdf: np.ndarray):
+        more, low = (0 if shift > 4 else 4), None
+        step = self.at_range >> (_D if more else _P)
+        target = np.minimum(self.at_code // step, np.uint64((_ONE << more) - 1)).astype(np.int32)
+        below = (cdf <= (target >> more).astype(np.int16)[:, None]).view(np.uint64)  # eight truths to a number
+        d = ((below[:, 0] + below[:, 1]) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64) - 1
         start, size = bounds(cdf, d)
-        if shift > 4:
-            self.narrow(at, step, start, size)
-            return d
-        low = (target - (start << 4)) // size
-        self.narrow(at, step, (start << 4) + low * size, size)
+        if more:
+            low = (target - (start << 4)) // size
+            start = (start << 4) + low * size
+        self.at_code -= start.astype(np.uint64) * step
+        self.at_range = size.astype(np.uint64) * step
         return d, low
 
-    def learned(self, at, step_no, ids):
-        self.ids[at, step_no] = ids
-
+    def settle_digits(self) -> None:
+        k = np.flatnonzero(self.at_range < _FULL)
+        if len(k):
+            self.at_range[k] <<= _UNIT
+            self.at_code[k] = self.shift(self.at[k], self.at_code[k])
 
-def _adapt(table: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
-    """Move adaptive probabilities towards what was seen."""
-    table[at] += (np.where(y, _ONE - 1, 0) - table[at]) >> 4
+    def close_digits(self) -> None:
+        self.settle_digits()
+        self.code[self.at], self.range[self.at] = self.at_code, self.at_range
 
-
-def order0(digits: np.ndarray, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The order-0 share of an id of each lane, of 4096: the product of the shares of its digits."""
-    flat, row, found = digits.ravel(), lanes * 273, None
-    for shift, first in ((12, 0), (8, 1), (4, 17)):
-        at = (row + first + (ids >> (shift + 4))) * 17 + ((ids >> shift) & 15)
-        share = (flat[at + 1] - flat[at]).astype(np.int64)
-        found = share if found is None else found * share >> _BITS
-    return found >> (4 + _BITS - 12)  # the last digit is even
+    def learned(self, t: int, ids: np.ndarray) -> None:
+        self.ids[t, : len(ids)] = ids
 
 
 def _code(coder: _Writer | _Reader, lengths: np.ndarray) -> None:
-    """Run the model over all lanes; lengths must fall. Writer and reader meet the same states."""
+    """Run the model over all lanes; lengths must fall. Writer and reader meet the same states.
+
+    Arrays of two rows hold what belongs to order 1 and order 2. Tables are laid out by context, so that lanes
+    in the same context touch the same memory.
+    """
     n = len(lengths)
-    order2, order1 = np.zeros(n * _SLOTS, np.int32), np.zeros(n * _SLOTS, np.int32)  # (id + 1) << 3 | confidence
-    seen2, seen1, seen_b = np.full(n * 9, _ONE // 2, np.int32), np.full(n * 16, _ONE // 2, np.int32), np.full(n * 8, _ONE // 4, np.int32)
-    weights = np.repeat(np.array([[1 << 15], [1 << 15], [1 << 12]], np.int64), n, axis=1)
-    digits = np.tile((np.arange(17) * (_ONE // 16)).astype(np.int32), (n * 273, 1))
-    last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    alive = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if n else 0), side="left")
-    for t in range(int(lengths[0]) if n else 0):
-        lanes = np.arange(int(alive[t]))
-        one, two = last[lanes], before[lanes]
-        h1 = lanes * _SLOTS + (((one * 0x9E3779B1) & 0xFFFFFFFF) >> 21)
-        h2 = lanes * _SLOTS + (((one * 0x9E3779B1 ^ two * 0x85EBCA6B + 0x5BD1) & 0xFFFFFFFF) >> 21)
-        e1, e2 = order1[h1], order2[h2]
-        q1, c1, q2, c2 = e1 >> 3, e1 & 7, e2 >> 3, e2 & 7
+    lanes = np.arange(n)
+    orders = np.zeros(2 * _SLOTS * n, np.int32)  # (id + 1) << 3 | confidence
+    seen, seen_b = np.full(2 * n * 16, _ONE // 2, np.int16), np.full(n * 8, _ONE // 4, np.int16)
+    weights = np.repeat(np.array([[1 << 15], [1 << 15], [1 << 12]], np.int32), n, axis=1)
+    rows = np.tile((np.arange(16) * (_ONE // 16)).astype(np.int16), (_CONTEXTS * n, 1))
+    flat, whole = rows.ravel(), rows.view("V32").ravel()
+    last, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    alive = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if n else 0), side="left").tolist()
+    width = 0
+    for t, m in enumerate(alive):
+        if m != width:
+            width, w = m, weights[:, :m]
+            slots, seens = np.stack((lanes[:m], lanes[:m] + _SLOTS * n)), np.stack((lanes[:m], lanes[:m] + n)) * 16
+            bases = (lanes[:m] + _FIRSTS * n) * 16
+            hashed, x = np.empty((2, m), np.uint32), np.empty((3, m), np.int32)
+        np.multiply(last[:m], _HASH[0], out=hashed[0])
+        np.multiply(before[:m], _HASH[1], out=hashed[1])
+        hashed[1] += _HASH[2]
+        hashed[1] ^= hashed[0]
+        h = (hashed >> _BUCKET) * np.int64(n)
+        h += slots
+        e = orders[h]
+        q, c = e >> 3, e & 7
+        q1, q2 = q
         guess = np.where(q2 > 0, q2, q1)
-        ids = np.full(len(lanes), -1, np.int64)
-        # the likelier guess, its probability mixed from both orders
-        has = np.flatnonzero(guess > 0)
-        if len(has):
-            i2 = has * 9 + np.where(q2[has] > 0, c2[has], 8)
-            i1 = has * 16 + np.where(q1[has] == guess[has], c1[has], 8 + c1[has])
-            x2, x1 = _STRETCH[seen2[i2] >> 3], _STRETCH[seen1[i1] >> 3]
-            x0 = _STRETCH[order0(digits, has, guess[has] - 1)]
-            w2, w1, w0 = weights[0, has], weights[1, has], weights[2, has]
-            p12 = _SQUASH[np.clip((w2 * x2 + w1 * x1 + w0 * x0) >> 16, -2047, 2047) + 2047]
-            y = coder.bit(has, t, np.clip(p12 << 3, 32, _ONE - 32), guess[has])
-            error = ((y.astype(np.int64) << 12) - p12) * 6
-            weights[0, has] = w2 + ((x2 * error + 512) >> 10)
-            weights[1, has] = w1 + ((x1 * error + 512) >> 10)
-            weights[2, has] = w0 + ((x0 * error + 512) >> 10)
-            _adapt(seen2, i2, y)
-            _adapt(seen1, i1, y)
-            hit = has[y]
-            ids[hit] = guess[hit] - 1
+        # the likelier guess, its probability mixed from both orders and its order-0 share, the product of its
+        # digits' shares (the last digit is even); where nothing is guessed, no id is the guessed one
+        i = ((q != guess) << np.int64(3)) + seens
+        i += c
+        s = seen[i]
+        digits = np.maximum(guess - 1, 0) >> _SHIFTS
+        at = (digits >> 4) * np.int64(16 * n)
+        at += digits & 15
+        at += bases
+        low = flat[at]
+        at += 1
+        share = ((flat.take(at, mode="wrap") - low) & (_ONE - 1)).astype(np.int32)
+        x[:2] = s >> 3
+        x[2] = (share[0] * share[1] >> _BITS) * share[2] >> (_BITS + 4 + _BITS - 12)
+        _STRETCH.take(x, out=x, mode="clip")
+        mixed = ((w * x).sum(axis=0, dtype=np.int32) >> 16) + 2047
+        y, span = coder.bit(t, _CHANCE.take(mixed, mode="clip"), guess)
+        move = x * (((y << np.int32(12)) - _SQUASH.take(mixed, mode="clip")) * 6)
+        move += 512
+        move >>= 10
+        w += move
+        seen[i] = s + ((y * np.int16(_ONE - 1) - s) >> 4)
+        ids = guess * y  # id + 1, and 0 where it isn't known yet
         # the other guess
-        other = np.flatnonzero((ids < 0) & (q2 > 0) & (q1 > 0) & (q1 != q2))
+        other = np.flatnonzero((ids == 0) & (q1 != q2) & (q1 > 0) & (q2 > 0))
         if len(other):
-            ib = other * 8 + c1[other]
-            y = coder.bit(other, t, np.clip(seen_b[ib], 32, _ONE - 32), q1[other])
-            _adapt(seen_b, ib, y)
-            hit = other[y]
-            ids[hit] = q1[hit] - 1
+            ib = other * 8 + c[0].take(other)
+            sb, own = seen_b[ib], q1.take(other)
+            yb, span[other] = coder.bit_of(other, t, np.clip(sb, 32, _ONE - 32).astype(np.uint64), own, span[other])
+            seen_b[ib] = sb + ((yb * np.int16(_ONE - 1) - sb) >> 4)
+            ids[other] = own * yb
+        coder.settle(span)
         # order 0: three adaptive digits of four bits, the last one even
-        rest = np.flatnonzero(ids < 0)
+        rest = np.flatnonzero(ids == 0)
         if len(rest):
-            value, row = np.zeros(len(rest), np.int64), rest * 273
-            for shift, first in ((12, 0), (8, 1), (4, 17)):
-                at = row + first + value
-                cdf = digits[at]
-                d = coder.digit(rest, t, shift, cdf)
-                if shift == 4:
-                    d, low = d
-                digits[at] = cdf + ((_TARGET[d] - cdf) >> 4)
+            coder.open_digits(rest, t)
+            value, low = 0, None
+            for shift, first in zip((12, 8, 4), _FIRSTS.ravel().tolist(), strict=True):
+                at = (value + first) * n + rest
+                cdf = rows.take(at, axis=0)
+                d, low = coder.digit(shift, cdf)
+                if shift == 8:
+                    coder.settle_digits()
+                moved = _TARGET.take(d, axis=0)
+                moved -= cdf
+                moved >>= 4
+                moved += cdf
+                whole[at] = moved.view("V32").ravel()
                 value = value << 4 | d
-            ids[rest] = value << 4 | low
-        coder.learned(lanes, t, ids)
-        for table, h, e, q, c in ((order1, h1, e1, q1, c1), (order2, h2, e2, q2, c2)):
-            right = q == ids + 1
-            table[h] = np.where(right, e + (c < 7), np.where(c >= 4, e - 3, (ids + 1) << 3))
-        before[lanes], last[lanes] = one, ids
+            coder.close_digits()
+            ids[rest] = (value << 4 | low) + 1
+        coder.learned(t, ids)
+        orders[h] = np.where(q == ids, e + (c < 7), np.where(c >= 4, e - 3, ids << 3))
+        before[:m] = last[:m]
+        last[:m] = ids
+        last[:m] -= np.uint32(1)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -250,7 +334,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         ids = np.zeros((len(part), lengths[0]), np.int32)
         for k, i in enumerate(part):
             ids[k, : lengths[k]] = blocks[i]
-        writer = _Writer(ids)
+        ids += 1
+        writer = _Writer(np.ascontiguousarray(ids.T))
         _code(writer, lengths)
         for i, data in zip(part, writer.bytes(), strict=True):
             found[i] = data
@@ -268,8 +353,9 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         lengths = np.array([sizes[i] for i in part])
         reader = _Reader([coded[i] for i in part], int(lengths[0]))
         _code(reader, lengths)
+        ids = np.ascontiguousarray((reader.ids - 1).astype(np.uint16).T)
         for k, i in enumerate(part):
-            found[i] = reader.ids[k, : lengths[k]].astype(np.uint16)
+            found[i] = ids[k, : lengths[k]]
     return found
 
 
@@ -281,12 +367,16 @@ def crc_of(ids: np.ndarray) -> int:
 class WordTokens:
     """Ids of texts by the tokenizers library, which encodes each distinct word once.
 
+    Pieces between white space are looked up whole and cut into words only where they are new. New words go to the
+    library many at a time, with spaces between; the last token of a word is one that ends words.
     Texts that hold special tokens, combining marks or Hangul, or letters newer than the
     tables of regex, go to the library whole.
     """
 
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    MEMORY_WORDS = 300_000
+    MEMORY_WORDS, MEMORY_PIECES = 600_000, 400_000
+    #: Split by str.split, but no white space to the library.
+    SEPARATORS = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -297,7 +387,41 @@ class WordTokens:
         self.words, self.unknown = regex.compile(self.WORDS), regex.compile(r"[\p{Cn}\p{M}\u1100-\u11ff\ua960-\ua97f\uac00-\ud7ff]")
         self.distant = re.compile("[^\x00-\u02ff]")  # a quick look before the exact one
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Find the ids of new pieces. Most are letters, with ASCII punctuation behind or not: two words at most.
+
+        Words are held in no list for each piece, which Python's garbage collector would go through again and again.
+        """
+        letters = [p.rstrip(string.punctuation) for p in pieces]
+        plain = [x.isalpha() for x in letters]
+        behind = [p[len(x) :] for p, x in zip(pieces, letters, strict=True)]
+        other = {p: self.words.findall(p) for p, ok in zip(pieces, plain, strict=True) if not ok}
+        words = {x for x, ok in zip(letters, plain, strict=True) if ok}
+        words.update(x for x, ok in zip(behind, plain, strict=True) if ok and x)
+        words.update(*other.values())
+        self.learn([w for w in words if w not in self.known])
+        of = self.known.__getitem__
+        for piece, x, y, ok in zip(pieces, letters, behind, plain, strict=True):
+            self.pieces[piece] = (of(x) + of(y) if y else of(x)) if ok else b"".join(map(of, other[piece]))
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that aren't known yet."""
+        for start in range(0, len(words), 10_000):
+            parts = [words[a : min(a + 1_000, start + 10_000)] for a in range(start, min(start + 10_000, len(words)), 1_000)]
+            for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u2")
+                stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+                if len(stops) == len(part):
+                    data = ids.tobytes()
+                    self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+                else:  # some word has no end of its own
+                    for word, own in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                        self.known[word] = np.array(own.ids, "<u2").tobytes()
 
     def encode_all(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 16-bit integers."""
@@ -309,15 +433,14 @@ class WordTokens:
                 continue
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            split.append(self.words.findall(text.lower()))
+            text = text.lower()
+            split.append(self.words.findall(text) if any(s in text for s in self.SEPARATORS) else text.split())
+        if len(self.pieces) > self.MEMORY_PIECES:
+            self.pieces.clear()
         if len(self.known) > self.MEMORY_WORDS:
             self.known.clear()
-        fresh = list({w for words in split if isinstance(words, list) for w in words if w not in self.known})
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start : start + 10_000]
-            for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u2").tobytes()
-        get = self.known.__getitem__
+        self.learn_pieces([p for p in set().union(*(x for x in split if isinstance(x, list))) if p not in self.pieces])
+        get = self.pieces.__getitem__
         return [(b"".join(map(get, x)) if isinstance(x, list) else x) + end for x in split]
 
 

@@ -75,3 +75,39 @@ def test_damage_is_noticed():
 
 def test_empty_table(spark, tmp_path):
     assert token_files.token_digest(documents(spark, []), PATH, str(tmp_path / "out")).count() == 0
+
+
+def test_new_words_go_to_the_library_together(library):
+    """A call for each distinct word took most of the tokenizer's time (round 3: 1,596 CPU seconds a GB)."""
+
+    class Counting:
+        def __init__(self):
+            self.texts = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    own = token_files.WordTokens(open(PATH, encoding="utf-8").read())
+    own.library = counting = Counting()
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{'.,!é'[k]}" for i in range(k, 4000, 3)) for k in range(4)]
+    found = [np.frombuffer(x, "<u2").tolist() for x in own.encode_all(texts, 2)]
+    assert found == [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counting.texts < 20
+
+
+def test_words_without_an_end_of_their_own(library):
+    own = token_files.WordTokens(open(PATH, encoding="utf-8").read())
+    own.ends[:] = False
+    assert np.frombuffer(own.encode_all(["some words, again"], 2)[0], "<u2").tolist() == [*library.encode("some words, again", add_special_tokens=False).ids, 2]
+
+
+def test_carries_run_through_units():
+    rng = np.random.default_rng(8)
+    blocks = [rng.integers(0, most, n).astype(np.uint16) for most in (2, 30, 65_536) for n in rng.integers(1, 2049, 150)]
+    assert all((a == b).all() for a, b in zip(blocks, token_files.decode_blocks(token_files.encode_blocks(blocks), [len(b) for b in blocks]), strict=True))
+    writer = token_files._Writer(np.zeros((4, 2), np.int32))
+    writer.out[[1, 3, 5]] = 7, 2**32 - 1, 2**32 - 1
+    writer.pos[1] = 7
+    low = np.array([0, 2**64 - 1], np.uint64)
+    assert writer.raised(low, np.array([0, 2], np.uint64)).tolist() == [0, 1] and writer.out[[1, 3, 5]].tolist() == [8, 0, 0]
