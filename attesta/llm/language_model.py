@@ -27,19 +27,17 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.bpe import _slices
 from attesta.llm.columns import free_name
-from attesta.llm.toxicity import sigmoid, summed
 from attesta.session import cut
 
 #: Words whose counts are broadcast, and the most bytes such a word has; the counts of all others are joined.
@@ -50,6 +48,8 @@ WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 512
 #: Tokens from which on one pass over all is enough, passes over fewer at most, tokens of one task.
 LEAST, MOST_PASSES, PART_TOKENS = 2_000_000, 5, 4_000_000
 ROUNDS, RATE = 8, 0.01
+#: Rows whose classes are predicted at once: their logits stay in a core's cache.
+ROWS = 2_048
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
 #: The end of a text; no word holds white space.
@@ -62,10 +62,33 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """`words_of` of all texts, one after the other, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, stops = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    full = pc.not_equal(found, "")  # white space at either end leaves an empty piece there
+    return found.filter(full), np.diff(np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[stops])
+
+
 def kind_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % KINDS
 
 
+#: Kinds of words of one byte, and of those that end in two bytes (the first times 256, and the second).
+_KIND_OF_ONE = np.array([kind_of(bytes([a])) for a in range(256)], np.int32)
+_KIND_OF_TWO = np.array([kind_of(bytes([a, b])) for a in range(256) for b in range(256)], np.int32)
+
+
+def kinds_of(words: pa.Array) -> np.ndarray:
+    """`kind_of` of many words."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    stops = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    at, data = stops[1:] - 1, np.frombuffer(data, np.uint8)
+    return np.where(np.diff(stops) > 1, _KIND_OF_TWO[data[at - 1].astype(np.int32) * 256 + data[at]], _KIND_OF_ONE[data[at]])
+
+
 def kind_column(word: str = "word") -> Column:
     """`kind_of` as a column of a binary column."""
     n = F.length(word)
@@ -80,26 +103,49 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """word (binary) and n: how often each token stands in the texts, the end once a row."""
 
     def run(batches):
-        found: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+
+        def summed_up():
+            both = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            held[:] = [pa.table([both["word"], both["n_sum"]], names=["word", "n"])]
+            return held[0].num_rows
 
         def passed_on():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            for start in range(0, batch.num_rows, 50_000):
-                yield batch.slice(start, 50_000)
+            summed_up()
+            for batch in held.pop().to_batches(50_000):
+                yield pa.RecordBatch.from_arrays([batch.column("word").cast(pa.binary()), batch.column("n")], names=["word", "n"])
 
         for whole in batches:
             for batch in _slices(whole, text, 4_000_000):
-                for t in batch.column(text).to_pylist():
-                    found.update(words_of(t))
-                found[END] += batch.num_rows
-                if len(found) > COUNTED:
+                counted = split_words(batch.column(text))[0].value_counts()
+                held.append(pa.table([counted.field("values"), counted.field("counts")], names=["word", "n"]))
+                held.append(pa.table([pa.array([END.decode()]), pa.array([batch.num_rows], pa.int64())], names=["word", "n"]))
+                if sum(t.num_rows for t in held) > 2 * COUNTED and summed_up() > COUNTED:
                     yield from passed_on()
-        yield from passed_on()
+        if held:
+            yield from passed_on()
 
     return df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def chosen(logits: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log of the share of one column in each row, and each row's total; logits become their exponentials."""
+    own = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + which]
+    if own.min(initial=0) < -60 or logits.max(initial=0) > 60:  # else no exponential or total runs over or vanishes
+        top = logits.max(axis=1, keepdims=True)
+        logits -= top
+        own -= top[:, 0]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return own - np.log(total), total
+
+
+def less_own(shares: np.ndarray, which: np.ndarray, total: np.ndarray, n: int) -> None:
+    """From exponentials to the gradient of the mean of n losses: shares, less one for the column meant."""
+    shares *= (1 / (total * n))[:, None]
+    shares.ravel()[np.arange(0, shares.size, shares.shape[1]) + which] -= shares.dtype.type(1 / n)
+
+
 class Network:
     """Tokens are numbers: the model's words by frequency, the end first, then the kinds."""
 
@@ -130,103 +176,126 @@ class Network:
 
     @classmethod
     def of_flat(cls, words: int, flat: np.ndarray) -> Network:
+        return cls(words, cls.parts(words, flat.astype(np.float32)))
+
+    @classmethod
+    def parts(cls, words: int, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters that lie in `flat`, without a copy."""
         p, at = {}, 0
         for name, shape in cls.shapes(words).items():
             n = math.prod(shape)
-            p[name], at = flat[at : at + n].reshape(shape).astype(np.float32), at + n
-        return cls(words, p)
+            p[name], at = flat[at : at + n].reshape(shape), at + n
+        return p
 
-    def gate_table(self) -> np.ndarray:
-        """What each token brings to the gates."""
-        return self.p["emb"] @ self.p["wx"] + self.p["bx"]
+    def run(self, vectors: np.ndarray, seen: np.ndarray, state: np.ndarray, saved: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """States of each step (steps x h x lanes) from those tokens, the state cleared where a token is an end.
 
-    def run(self, gates: np.ndarray, seen: np.ndarray, state: np.ndarray, saved: list | None = None) -> np.ndarray:
-        """States of each step (steps x lanes x h) from those tokens, the state cleared where a token is an end.
-
-        gates: steps x lanes x 3h; what `backward` needs is added to `saved`.
+        vectors: steps x lanes x EMBED; the state is h x lanes, so that each gate's values lie together.
+        What `gradients` needs of all steps is put into `saved`.
         """
-        h, u, keep = HIDDEN, self.p["u"], (seen != 0).astype(np.float32)
-        states = np.empty((*seen.shape, h), gates.dtype)
+        h, kept, kind = HIDDEN, (seen != 0)[:, None, :].astype(vectors.dtype), vectors.dtype
+        half = np.repeat(np.array([0.5, 1], kind), (2 * h, h))[:, None]  # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2
+        u = self.p["u"].T * half
+        gates = np.matmul(self.p["wx"].T * half, vectors.transpose(0, 2, 1))
+        gates += self.p["bx"][:, None] * half
+        states, inner = np.empty((len(seen), h, len(seen[0])), kind), np.empty((3 * h, len(seen[0])), kind)
+        before, own, change = np.empty_like(states[0]), inner[2 * h :], np.empty_like(states[0])
+        if saved is not None:
+            saved |= {"before": np.empty_like(states), "inner": np.empty_like(states), "z": gates[:, :h], "r": gates[:, h : 2 * h], "n": gates[:, 2 * h :], "kept": kept}
         for t in range(len(seen)):
-            state = state * keep[t][:, None]
-            inner = state @ u
-            zr = sigmoid(gates[t, :, : 2 * h] + inner[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(gates[t, :, 2 * h :] + r * inner[:, 2 * h :])
             if saved is not None:
-                saved.append((state, z, r, n, inner[:, 2 * h :], keep[t]))
-            state = states[t] = state + z * (n - state)
+                before = saved["before"][t]
+            np.multiply(state, kept[t], out=before)
+            np.matmul(u, before, out=inner)
+            zr, n = gates[t, : 2 * h], gates[t, 2 * h :]
+            zr += inner[: 2 * h]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[h:], own, out=change)
+            n += change
+            np.tanh(n, out=n)
+            if saved is not None:
+                saved["inner"][t] = own
+            state = states[t]
+            np.subtract(n, before, out=state)
+            state *= zr[:h]
+            state += before
         return states
 
-    def word_segments(self, targets: np.ndarray):
-        """(rows, first word, last word) of the targets that are words, class by class."""
-        order = np.argsort(targets, kind="stable")
-        order = order[: np.searchsorted(targets[order], self.words)]
-        stops = np.searchsorted(targets[order], np.arange(1, self.classes + 1) * CLASS_WORDS)
-        start = 0
-        for k, stop in enumerate(stops):
-            if stop > start:
-                yield order[start:stop], k * CLASS_WORDS, min(self.words, (k + 1) * CLASS_WORDS)
-            start = stop
-
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None):
         """Natural log probabilities of class and word for each row, and gradients of the states if asked.
 
-        grad: gets the gradients of the mean loss for the output parameters.
+        grad: gets the gradients of the mean loss for the output parameters. A column of ones stands beside the
+        states, so that biases are weights as others. Words' rows lie class by class, and are all of one width.
         """
-        p, n, at = self.p, len(targets), np.arange(len(targets))
-        found, d_states = np.zeros(n, states.dtype), None
-
-        def chosen(logits, which):
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(which)), which]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
-            return own - np.log(total), total
-
-        logits, which = states @ p["wc"] + p["bc"], self.class_of[targets]
-        found[:], total = chosen(logits, which)
-        if grad is not None:
-            logits /= total[:, None]
-            logits[at, which] -= 1
-            logits /= n
-            grad |= {"wc": states.T @ logits, "bc": logits.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-            d_states = logits @ p["wc"].T
-        for rows, low, high in self.word_segments(targets):
-            part, which = states[rows], targets[rows] - low
-            logits = part @ p["wo"][low:high].T + p["bo"][low:high]
-            own, total = chosen(logits, which)
-            found[rows] += own
+        p, n, h = self.p, len(targets), HIDDEN
+        found, d_states = np.empty(n, states.dtype), None if grad is None else np.empty_like(states)
+        with_one = np.empty((n, h + 1), states.dtype)
+        with_one[:, :h], with_one[:, h] = states, 1
+        of_class, of_word = np.vstack((p["wc"], p["bc"])), np.column_stack((p["wo"], p["bo"]))
+        which = self.class_of[targets]
+        d_class, d_word = (None, None) if grad is None else (np.zeros_like(of_class), np.zeros_like(of_word))
+        for start in range(0, n, ROWS):
+            rows = slice(start, start + ROWS)
+            logits = with_one[rows] @ of_class
+            found[rows], total = chosen(logits, which[rows])
             if grad is not None:
-                logits /= total[:, None]
-                logits[np.arange(len(rows)), which] -= 1
-                logits /= n
-                grad["wo"][low:high] = logits.T @ part
-                grad["bo"][low:high] = logits.sum(axis=0)
-                d_states[rows] += logits @ p["wo"][low:high]
+                less_own(logits, which[rows], total, n)
+                d_class += with_one[rows].T @ logits
+                np.matmul(logits, p["wc"].T, out=d_states[rows])
+        order = np.argsort(targets.astype(np.uint16) if self.words + KINDS < 1 << 16 else targets, kind="stable")
+        order = order[: np.searchsorted(targets, self.words, sorter=order)]
+        own_targets, own_rows = targets[order], with_one[order]
+        stops = np.searchsorted(own_targets, np.arange(1, self.classes + 1) * CLASS_WORDS).tolist()
+        segments = [(a, b, k * CLASS_WORDS, min(self.words, (k + 1) * CLASS_WORDS)) for k, (a, b) in enumerate(zip([0, *stops], stops)) if b > a]  # noqa: B905
+        logits = np.empty((len(order), CLASS_WORDS), states.dtype)
+        for a, b, low, high in segments:
+            np.matmul(own_rows[a:b], of_word[low:high].T, out=logits[a:b, : high - low])
+            logits[a:b, high - low :] = -1e30  # words that the last class lacks
+        own, total = chosen(logits, own_targets % CLASS_WORDS)
+        found[order] += own
+        if grad is not None:
+            less_own(logits, own_targets % CLASS_WORDS, total, n)
+            d_rows = np.empty((len(order), h), states.dtype)
+            for a, b, low, high in segments:
+                part = logits[a:b, : high - low]
+                np.matmul(part.T, own_rows[a:b], out=d_word[low:high])
+                np.matmul(part, p["wo"][low:high], out=d_rows[a:b])
+            d_states[order] += d_rows
+            grad |= {"wc": d_class[:h], "bc": d_class[h], "wo": d_word[:, :h], "bo": d_word[:, h]}
         return found, d_states
 
     def gradients(self, seen: np.ndarray, targets: np.ndarray, state: np.ndarray):
-        """Mean loss, gradients and last state of one window; both arrays are steps x lanes."""
-        p, h, saved, grad = self.p, HIDDEN, [], {}
+        """Mean loss, gradients and last state (lanes x h) of one window; both arrays are steps x lanes."""
+        p, h, saved, grad = self.p, HIDDEN, {}, {}
         vectors = p["emb"][seen]
-        states = self.run(vectors @ p["wx"] + p["bx"], seen, state, saved)
-        logp, d_flat = self.log_probs(states.reshape(-1, h), targets.ravel(), grad)
-        d_states = d_flat.reshape(states.shape)
-        dx, du, carry = np.empty((*seen.shape, 3 * h), states.dtype), np.zeros_like(p["u"]), np.zeros_like(state)
+        states = self.run(vectors, seen, state.T, saved)
+        logp, d_flat = self.log_probs(states.transpose(0, 2, 1).reshape(-1, h), targets.ravel(), grad)
+        d_states = np.ascontiguousarray(d_flat.reshape(*seen.shape, h).transpose(0, 2, 1))
+        # what each gate adds to the state, for all steps at once; only what comes from later steps goes step by step
+        before, z, r, n, kept = (saved[k] for k in ("before", "z", "r", "n", "kept"))
+        keep, by_n = 1 - z, (1 - n * n) * z
+        by_z, by_r, by_nr = (n - before) * z * keep, saved["inner"] * r * (1 - r) * by_n, by_n * r
+        d_inner, carry, back = np.empty((len(seen), 3 * h, len(seen[0])), states.dtype), np.zeros_like(states[0]), p["u"]
         for t in range(len(seen) - 1, -1, -1):
-            before, z, r, n, inner, keep = saved[t]
-            d = carry + d_states[t]
-            dn = d * z * (1 - n * n)
-            dz = d * (n - before) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            d_inner = np.concatenate((dz, dr, dn * r), axis=1)
-            dx[t] = np.concatenate((dz, dr, dn), axis=1)
-            du += before.T @ d_inner
-            carry = (d * (1 - z) + d_inner @ p["u"].T) * keep[:, None]
-        flat = dx.reshape(-1, 3 * h)
-        grad |= {"u": du, "wx": vectors.reshape(-1, EMBED).T @ flat, "bx": flat.sum(axis=0), "emb": summed(flat @ p["wx"].T, seen.ravel(), len(p["emb"]))}
-        return -float(logp.mean()), grad, states[-1]
+            d, own = d_states[t], d_inner[t]
+            d += carry
+            np.multiply(d, by_z[t], out=own[:h])
+            np.multiply(d, by_r[t], out=own[h : 2 * h])
+            np.multiply(d, by_nr[t], out=own[2 * h :])
+            np.matmul(back, own, out=carry)
+            keep[t] *= d
+            carry += keep[t]
+            carry *= kept[t]
+        by_lane = d_inner.transpose(0, 2, 1)
+        grad["u"] = np.matmul(before, by_lane).sum(axis=0)
+        np.multiply(d_states, by_n, out=d_inner[:, 2 * h :])
+        d_vectors = np.matmul(by_lane, p["wx"].T)
+        places = seen.reshape(-1, 1) * EMBED + np.arange(EMBED)
+        d_emb = np.bincount(places.ravel(), d_vectors.ravel(), p["emb"].size).astype(states.dtype)
+        grad |= {"wx": np.matmul(vectors.transpose(0, 2, 1), by_lane).sum(axis=0), "bx": d_inner.sum(axis=(0, 2)), "emb": d_emb.reshape(p["emb"].shape)}
+        return -float(logp.mean()), grad, states[-1].T
 
     def train(self, ids: np.ndarray, rate: float, lanes: int = TRAIN_LANES) -> None:
         """One pass of truncated backpropagation over texts that lie one after the other, each with its end.
@@ -240,21 +309,32 @@ class Network:
         ids = np.resize(ids, lanes * length)
         targets = ids.reshape(lanes, length).T
         seen = np.concatenate(([0], ids[:-1])).reshape(lanes, length).T
-        state = np.zeros((lanes, HIDDEN), np.float32)
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        state, names = np.zeros((lanes, HIDDEN), np.float32), list(self.shapes(self.words))
+        flat = self.flat()
+        self.p = Network.parts(self.words, flat)
+        first, second, move = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
         for step, start in enumerate(range(0, length, WINDOW), 1):
             _, grad, state = self.gradients(seen[start : start + WINDOW], targets[start : start + WINDOW], state)
-            scale = min(1.0, 1 / (math.sqrt(sum(float((g * g).sum()) for g in grad.values())) + 1e-9))
-            for k, g in grad.items():
-                first[k] += 0.1 * (scale * g - first[k])
-                second[k] += 0.01 * ((scale * g) ** 2 - second[k])
-                self.p[k] -= rate / (1 - 0.9**step) * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
-
-    def text_scores(self, texts: list[np.ndarray], table: np.ndarray | None = None) -> np.ndarray:
+            g = np.concatenate([grad[k].ravel() for k in names])
+            g *= min(1.0, 1 / (math.sqrt(float(g @ g)) + 1e-9))
+            np.subtract(g, first, out=move)
+            move *= 0.1
+            first += move
+            g *= g
+            g -= second
+            g *= 0.01
+            second += g
+            np.divide(second, 1 - 0.99**step, out=move)
+            np.sqrt(move, out=move)
+            move += 1e-7
+            np.divide(first, move, out=move)
+            move *= rate / (1 - 0.9**step)
+            flat -= move
+
+    def text_scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each text (token numbers, the end last): of classes, and of words in them."""
         if not texts:
             return np.zeros(0)
-        table = self.gate_table() if table is None else table
         lanes: list[list[int]] = [[] for _ in range(min(SCORE_LANES, len(texts)))]
         long_first = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         load = [(0, k) for k in range(len(lanes))]
@@ -269,16 +349,16 @@ class Network:
         starts = np.cumsum(sizes) - sizes
         ids = np.concatenate([texts[i] for i in order])
         before = np.concatenate(([0], ids[:-1]))  # a text begins after an end
-        found, state = np.zeros(len(ids), np.float32), np.zeros((len(lanes), HIDDEN), np.float32)
+        found, state = np.zeros(len(ids), np.float32), np.zeros((HIDDEN, len(lanes)), np.float32)
         for at in range(0, int(sizes[0]), WINDOW):
             open_ = int(np.searchsorted(-sizes, -at))  # lanes that are longer than `at`
             live = at + np.arange(WINDOW)[:, None] < sizes[:open_]
             places = np.where(live, starts[:open_] + at + np.arange(WINDOW)[:, None], 0)
-            states = self.run(table[before[places]], before[places], state[:open_])
+            states = self.run(self.p["emb"][before[places]], before[places], state[:, :open_])
             state = states[-1]
             rows = live.ravel()
             where = places.ravel()[rows]
-            found[where] = self.log_probs(states.reshape(-1, HIDDEN)[rows], ids[where])[0]
+            found[where] = self.log_probs(states.transpose(0, 2, 1).reshape(-1, HIDDEN)[rows], ids[where])[0]
         ends = np.cumsum([len(texts[i]) for i in order])
         sums = np.zeros(len(texts))
         sums[order] = np.diff(np.cumsum(found, dtype=np.float64)[ends - 1], prepend=0)
@@ -312,18 +392,25 @@ def head_threshold(counts: DataFrame, most: int) -> int:
     return least
 
 
-def numbered(words: list[bytes], network_words: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """Place of each head word, and the token number of each place."""
-    return {w: i for i, w in enumerate(words)}, np.array([i if i < network_words else network_words + kind_of(w) for i, w in enumerate(words)], np.int32)
+def numbered(words: list[bytes], network_words: int) -> tuple[pa.Array, np.ndarray]:
+    """Head words by place, and the token number of each place."""
+    return pa.array(words, pa.binary()).cast(pa.string()), np.array([i if i < network_words else network_words + kind_of(w) for i, w in enumerate(words)], np.int32)
 
 
-def token_ids(words: list[bytes], place: dict[bytes, int], number: np.ndarray, network_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the head (-1: none) and token numbers of a text's tokens, the end last."""
-    places = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-    ids = number[places]
-    for i in np.flatnonzero(places < 0):
-        ids[i] = network_words + kind_of(words[i])
-    return np.append(places, 0), np.append(ids, 0)
+def token_ids(texts: pa.Array, head: pa.Array, number: np.ndarray, network_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of all texts, one after the other, each with its end: places in the head (-1: none) and token numbers;
+    where each text starts, and the words without a place."""
+    words, sizes = split_words(texts)
+    found = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy()
+    rarer = words.filter(pa.array(found < 0))
+    ids = number[found]
+    ids[found < 0] = network_words + kinds_of(rarer)
+    starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+    inside = np.ones(starts[-1], bool)
+    inside[starts[1:] - 1] = False
+    places, numbers = np.zeros(starts[-1], np.int64), np.zeros(starts[-1], np.int32)
+    places[inside], numbers[inside] = found, ids
+    return places, numbers, starts, rarer
 
 
 def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Fitted:
@@ -356,13 +443,12 @@ def trained(df: DataFrame, fitted: Fitted, text: str, rounds: int) -> Fitted:
     slot = F.pmod(F.xxhash64("doc_id", F.length(text)) if "doc_id" in df.columns else F.xxhash64(text), F.lit(1 << 20)).cast("int")
 
     def encode(batches):
-        place, number = numbered(*shared.value)
+        head, number = numbered(*shared.value)
         for whole in batches:
             for batch in _slices(whole, "text", 4_000_000):
-                rows = [token_ids(words_of(t), place, number, shared.value[1])[1] for t in batch.column("text").to_pylist()]
-                if rows:
-                    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
+                if batch.num_rows:
+                    _, numbers, starts, _ = token_ids(batch.column("text"), head, number, shared.value[1])
+                    ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(numbers))
                     yield pa.RecordBatch.from_arrays([batch.column("slot"), ids], names=["slot", "ids"])
 
     encoded = cut(df.select(slot.alias("slot"), F.col(text).alias("text")).mapInArrow(encode, "slot int, ids array<int>").repartition(parts))
@@ -421,25 +507,23 @@ def score(df: DataFrame, fitted: Fitted, keep: tuple[str, ...] = ("doc_id",), te
 
     def run(batches):
         words, head_counts, size, flat, totals = shared.value
-        place, number = numbered(words, size)
+        head, number = numbered(words, size)
         net = Network.of_flat(size, flat)
-        table = net.gate_table()
         base_log = np.log10((head_counts + 1) / (tokens + distinct + 1))
         of_kind = totals.sum(axis=1) + 1
         own_log = np.where(number < size, 0.0, np.log10((head_counts + 1) / of_kind[np.maximum(number - size, 0)]))
         known = (head_counts > 0).astype(np.int64)
         for whole in batches:
             for batch in _slices(whole, body, 16_000_000):
-                ids, figures = [], []
-                for t in batch.column(body).to_pylist():
-                    split = words_of(t)
-                    places, own = token_ids(split, place, number, size)
-                    ids.append(own)
-                    there = places[places >= 0]
-                    missing = b" ".join([split[i] for i in np.flatnonzero(places < 0)])
-                    figures.append((len(places), int(known[there].sum()), float(base_log[there].sum()), float(own_log[there].sum()), missing.decode() or None))
-                scores = net.text_scores(ids, table) / math.log(10) + np.array([f[3] for f in figures])
-                columns = [pa.array([f[0] for f in figures], pa.int64()), pa.array([f[1] for f in figures], pa.int64()), pa.array([f[2] for f in figures], pa.float64()), pa.array(scores), pa.array([f[4] for f in figures], pa.string())]
+                places, numbers, starts, rarer = token_ids(batch.column(body), head, number, size)
+                sizes, missing = np.diff(starts), places < 0
+                of_text = np.repeat(np.arange(len(sizes)), sizes)
+                summed = lambda values, of_text=of_text, sizes=sizes, places=places, missing=missing: np.bincount(of_text, np.where(missing, 0, values[places]), len(sizes))
+                n_missing = np.bincount(of_text, missing, len(sizes)).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_missing))), pa.int32()), rarer)
+                rest = pc.if_else(pa.array(n_missing > 0), pc.binary_join(lists, " "), None)
+                scores = net.text_scores(np.split(numbers, starts[1:-1])) / math.log(10) + summed(own_log) if len(sizes) else np.zeros(0)
+                columns = [pa.array(sizes, pa.int64()), pa.array(summed(known).astype(np.int64)), pa.array(summed(base_log)), pa.array(scores), rest]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns], names=schema.names)
 
     seen = cut(base.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()))
