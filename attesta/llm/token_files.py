@@ -28,10 +28,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attesta.llm.bpe import _slices
+
 BLOCK = 2_048
 #: Blocks coded in step, at most.
 LANES = 4_096
@@ -375,7 +378,7 @@ class WordTokens:
 
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     MEMORY_WORDS, MEMORY_PIECES = 600_000, 400_000
-    #: Split by str.split, but no white space to the library.
+    #: Split at as white space by Arrow and Python, but not by the library.
     SEPARATORS = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, definition: str):
@@ -425,23 +428,38 @@ class WordTokens:
 
     def encode_all(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 16-bit integers."""
-        end, split = end_id.to_bytes(2, "little"), []
-        for text in texts:
-            text = text or ""
-            if any(s in text for s in self.special) or self.distant.search(text) and self.unknown.search(text):
-                split.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
-                continue
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            text = text.lower()
-            split.append(self.words.findall(text) if any(s in text for s in self.SEPARATORS) else text.split())
+        end, split, own = end_id.to_bytes(2, "little"), [], {}
         if len(self.pieces) > self.MEMORY_PIECES:
             self.pieces.clear()
         if len(self.known) > self.MEMORY_WORDS:
             self.known.clear()
-        self.learn_pieces([p for p in set().union(*(x for x in split if isinstance(x, list))) if p not in self.pieces])
-        get = self.pieces.__getitem__
-        return [(b"".join(map(get, x)) if isinstance(x, list) else x) + end for x in split]
+        for k, text in enumerate(texts):
+            text = text or ""
+            if any(s in text for s in self.special) or self.distant.search(text) and self.unknown.search(text):
+                own[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+                text = ""
+            elif not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.lower()
+            if any(s in text for s in self.SEPARATORS):
+                words = self.words.findall(text)
+                self.learn(list({w for w in words if w not in self.known}))
+                own[k], text = b"".join(map(self.known.__getitem__, words)), ""
+            split.append(text)
+        if not split:
+            return []
+        lists = pc.utf8_split_whitespace(pa.array(split, pa.string()))
+        flat = lists.flatten().dictionary_encode()
+        pieces, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        self.learn_pieces([p for p in pieces if p not in self.pieces])
+        # the ids of distinct pieces, one after the other, and from where to where each piece of a text takes its own
+        data = list(map(self.pieces.__getitem__, pieces))
+        sizes, pool = np.fromiter(map(len, data), np.int64, len(data)) // 2, np.frombuffer(b"".join(data), "<u2")
+        stops = np.concatenate(([0], np.cumsum(sizes[index])))
+        first = (np.cumsum(sizes) - sizes)[index] - stops[:-1]
+        ids = pool[np.repeat(first, sizes[index]) + np.arange(stops[-1])].tobytes()
+        bounds_ = (2 * stops[lists.offsets.to_numpy()]).tolist()
+        return [own.get(k, ids[a:b]) + end for k, (a, b) in enumerate(zip(bounds_[:-1], bounds_[1:], strict=True))]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -488,8 +506,7 @@ def write_token_files(df: DataFrame, definition_path: str, path: str, end_id: in
                 yield pa.RecordBatch.from_pylist(rows, schema=_FILE)
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for batch in _slices(whole, "text", 8_000_000):
                 for doc, data in zip(batch.column("doc_id").to_pylist(), tokens.encode_all(batch.column("text").to_pylist(), end_id), strict=True):
                     docs.append(doc)
                     lengths.append(len(data) // 2)
