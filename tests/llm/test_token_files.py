@@ -78,7 +78,7 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_new_words_go_to_the_library_together(library):
-    """A call for each distinct word took most of the tokenizer's time (round 3: 1,596 CPU seconds a GB)."""
+    """Each distinct word went to the library by itself, which took 1.4 of 5.3 s of 5,000 documents."""
 
     class Counting:
         def __init__(self):
