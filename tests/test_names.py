@@ -83,3 +83,16 @@ def test_rare_word_pairs(spark, least):
                 want[i, j] = c
     near = {k for k, c in want.items() if c < least + 1e-9}
     assert found.keys() | near == want.keys() | near and all(abs(found[k] - want[k]) < 1e-9 for k in found)
+
+
+def test_pairs_of_a_common_word_are_not_shuffled(spark, monkeypatch):
+    from bench import shuffle_bytes
+
+    rows = [(i, ["common"] + [f"w{i}x{k}" for k in range(7)]) for i in range(600)] + [(i, ["twin", "other"]) for i in range(600, 640)]
+    frame = spark.createDataFrame(rows, "id long, tokens array<string>")
+    monkeypatch.setattr(names, "CELL", 100)  # the common word is dealt out
+    monkeypatch.setattr(names, "LISTED", 7, raising=False)  # and so are the equal names
+    before = shuffle_bytes(spark)
+    found = [(r.a_id, r.b_id) for r in names.rare_word_pairs(frame, frame, 0.03).collect()]
+    assert shuffle_bytes(spark) - before < 2_000_000  # 360,000 pairs meet by the common word, and none is alike
+    assert sorted(found) == sorted([(i, i) for i in range(600)] + [(i, j) for i in range(600, 640) for j in range(600, 640)])
